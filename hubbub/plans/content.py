@@ -1 +1,123 @@
-"""To be filled."""
+"""Text, lexicon, vulnerability and registry jobs over the adapted posts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hubbub.operators import content as c
+from hubbub.operators.descriptive import top
+from hubbub.operators.trend import in_window
+from hubbub.plans.adapters import AS_OF
+from hubbub.plans.catalog import register
+from hubbub.plans.signals import _CUR, FLAGGED_SQL, flagged
+
+_URLS = r"""regexp_extract_all(text, '(https?://[^\s<>"'']+)', 1)"""
+_HASH = r"""sha256(lower(trim(regexp_replace(regexp_replace(text, 'https?://[^\s<>"'']+', '', 'g'), '\s+', ' ', 'g'))))"""
+register("normalize_text", lambda t: t.posts.select("post_id", c.normalize_text(F.col("text")).alias("text")), r"SELECT post_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM posts")
+register("text_hash", lambda t: t.posts.select("post_id", c.text_hash(F.col("text")).alias("hash")), f"SELECT post_id, {_HASH} AS hash FROM posts")
+register("exact_dup_clusters", lambda t: c.exact_dup_clusters(t.posts), f"SELECT {_HASH} AS hash, count(*) AS size, arg_min(post_id, (published_at, post_id)) AS first_post, count(DISTINCT author_id) AS authors FROM posts GROUP BY 1 HAVING count(*) > 1")
+register("extract_urls", lambda t: t.posts.select("post_id", F.array_join(c.extract_urls(F.col("text")), " ").alias("urls")).where("urls <> ''"), f"SELECT post_id, array_to_string(list_transform({_URLS}, lambda u: rtrim(u, '.,;)')), ' ') AS urls FROM posts WHERE len({_URLS}) > 0")
+register("unique_urls", lambda t: t.relevant.select(F.explode(c.extract_urls(F.col("text"))).alias("url")).agg(F.countDistinct("url").alias("urls")), f"SELECT count(DISTINCT u) AS urls FROM (SELECT rtrim(unnest({_URLS}), '.,;)') AS u FROM relevant)")
+_DOM = f"dom AS (SELECT DISTINCT post_id, author_id, broadcast, regexp_replace(lower(regexp_extract(u, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '') AS domain FROM (SELECT post_id, author_id, broadcast, rtrim(unnest({_URLS}), '.,;)') AS u FROM flagged))"
+
+
+def domains(t):
+    rows = flagged(t).select("post_id", "author_id", "broadcast", F.explode(c.extract_urls(F.col("text"))).alias("url"))
+    return rows.select("post_id", "author_id", "broadcast", c.url_domain(F.col("url")).alias("domain")).distinct().where(~F.col("domain").isin("blog.example.net"))
+
+
+register("coshare_domains", lambda t: domains(t).groupBy("domain", "author_id").agg(F.count(F.lit(1)).alias("posts")), f"WITH {FLAGGED_SQL}, {_DOM} SELECT domain, author_id, count(*) AS posts FROM dom WHERE domain <> 'blog.example.net' GROUP BY 1, 2")
+register("source_uptake", lambda t: top(domains(t).groupBy("domain").agg(F.countDistinct(F.when(~F.col("broadcast"), F.col("author_id"))).alias("organic"), F.countDistinct(F.when(F.col("broadcast"), F.col("author_id"))).alias("broadcast"), F.count(F.lit(1)).alias("posts")).where("organic + broadcast >= 3"), 18, F.desc("posts"), "domain"), f"WITH {FLAGGED_SQL}, {_DOM}, g AS (SELECT domain, count(DISTINCT author_id) FILTER (NOT broadcast) AS organic, count(DISTINCT author_id) FILTER (broadcast) AS broadcast, count(*) AS posts FROM dom WHERE domain <> 'blog.example.net' GROUP BY 1) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY posts DESC, domain) AS place FROM g WHERE organic + broadcast >= 3) WHERE place <= 18")
+register("html_clean", lambda t: t.pages.select("page_id", c.html_clean(F.col("html")).alias("text")), r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+register("parse_post_time", lambda t: t.posts.select("post_id", c.parse_post_time(F.concat(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z"))).cast("timestamp_ntz").alias("parsed")), "SELECT post_id, published_at AS parsed FROM posts")
+_CLAIM = "claim AS (SELECT post_id, collected_at AS indexed_at, CASE post_id % 3 WHEN 0 THEN collected_at + INTERVAL 3 HOUR ELSE published_at END AS created_at FROM posts)"
+
+
+def claims(t):
+    return t.posts.select("post_id", F.col("collected_at").alias("indexed_at"), F.when(F.col("post_id") % 3 == 0, F.col("collected_at") + F.expr("interval 3 hours")).otherwise(F.col("published_at")).alias("created_at"))
+
+
+register("resolve_published_at", lambda t: c.resolve_published_at(claims(t)), f"WITH {_CLAIM}, r AS (SELECT *, CASE WHEN created_at > indexed_at + INTERVAL 1 HOUR THEN 'future_createdAt' WHEN created_at < indexed_at - INTERVAL 2 DAY THEN 'backdated_createdAt' END AS reason FROM claim) SELECT *, CASE WHEN reason IS NULL THEN created_at ELSE indexed_at END AS published_at FROM r")
+register("created_at_suspect", lambda t: c.resolve_published_at(claims(t)).groupBy("reason").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_CLAIM} SELECT CASE WHEN created_at > indexed_at + INTERVAL 1 HOUR THEN 'future_createdAt' WHEN created_at < indexed_at - INTERVAL 2 DAY THEN 'backdated_createdAt' END AS reason, count(*) AS posts FROM claim GROUP BY 1")
+register("resolve_lang", lambda t: t.posts.select("post_id", F.coalesce("lang", F.lit("(unknown)")).alias("lang")), "SELECT post_id, coalesce(lang, '(unknown)') AS lang FROM posts")
+_TWICE = lambda t: t.posts.select("source_key", F.concat(F.lit("q"), (F.col("post_id") % 4000).cast("string")).alias("source_post_id"), "post_id")
+_TWICE_SQL = "tw AS (SELECT source_key, 'q' || (post_id % 4000) AS source_post_id, post_id FROM posts)"
+register("dedup_batch", lambda t: c.dedup_batch(_TWICE(t), ["source_key", "source_post_id"], "post_id"), f"WITH {_TWICE_SQL} SELECT source_key, source_post_id, min(post_id) AS post_id FROM tw GROUP BY ALL")
+register("upsert_posts", lambda t: c.upsert_posts(_TWICE(t).where("post_id < 2000"), _TWICE(t).where("post_id >= 1500"), ["source_key", "source_post_id"], "post_id"), f"WITH {_TWICE_SQL} SELECT source_key, source_post_id, min(post_id) AS post_id FROM tw WHERE post_id >= 1500 AND (source_key, source_post_id) NOT IN (SELECT (source_key, source_post_id) FROM tw WHERE post_id < 2000) GROUP BY ALL")
+register("upsert_labels", lambda t: c.upsert_labels(t.labels.where("label_version = 'v1'").select("post_id", "label_version", "topic_key"), t.labels.where("label_version = 'v2' and post_id % 3 = 0").select("post_id", F.lit("v1").alias("label_version"), "topic_key")), "SELECT a.post_id, 'v1' AS label_version, CASE WHEN a.post_id % 3 = 0 THEN b.topic_key ELSE a.topic_key END AS topic_key FROM labels a JOIN labels b ON a.post_id = b.post_id AND a.label_version = 'v1' AND b.label_version = 'v2'")
+register("label_counts", lambda t: c.label_counts(t.labels), "SELECT label_version, count(*) AS n, count(*) FILTER (is_relevant) AS n_relevant, count(*) FILTER (low_info) AS n_low_info FROM labels GROUP BY 1")
+_RULES = r"""x AS (SELECT post_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM posts),
+   h AS (SELECT post_id, text, list_filter(['breach','vulnerability','exploited','phishing','ransomware','malware','ddos','password leak'], lambda w: regexp_matches(text, '(?i)\b' || replace(w, ' ', '\s+') || '\b')) AS cyber,
+     list_filter(['toronto','ottawa','quebec','canada'], lambda w: regexp_matches(text, '(?i)\b' || w || '\b')) AS place, list_filter(['parliament','provincial'], lambda w: regexp_matches(text, '(?i)\b' || w || '\b')) AS office,
+     CASE WHEN regexp_matches(text, '(?i)\b(breach|leak)\b') THEN 'intrusion' WHEN regexp_matches(text, '(?i)\bvulnerability\b|\bcve-') THEN 'vulnerability' WHEN regexp_matches(text, '(?i)\bransomware\b') THEN 'extortion' WHEN regexp_matches(text, '(?i)\bphishing\b') THEN 'fraud' WHEN regexp_matches(text, '(?i)\bddos\b') THEN 'disruption' ELSE 'other' END AS topic,
+     len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, 'https?://[^\s<>"'']+', ' ', 'g'), '@\w+', ' ', 'g'), '[^A-Za-z0-9]+'), lambda w: w <> '')) AS tokens FROM x),
+   r AS (SELECT post_id, len(cyber) > 0 AS is_cyber, len(place) > 0 OR (len(office) > 0 AND len(cyber) > 0) AS is_home, topic, array_to_string(cyber, ',') AS cyber_hits, CAST(len(place) + 0.5 * len(office) AS DOUBLE) AS home_score,
+     CASE WHEN regexp_matches(lower(text), '^(lol|ok|wow|yes|no|thanks)[.!]*$') THEN 'reaction' WHEN tokens < 4 THEN 'short' END AS low_reason, len(cyber) AS n, tokens FROM h)"""
+register("label_rules", lambda t: c.label_rules(t.posts), f"WITH {_RULES} SELECT post_id, is_cyber, is_home, topic, cyber_hits, home_score, low_reason, is_cyber AND is_home AS is_relevant, CASE WHEN is_cyber AND is_home THEN round(least(1.0, 0.15 * n + 0.2 * home_score), 6) ELSE 0 END::DOUBLE AS confidence FROM r")
+register("cyber_hits", lambda t: t.posts.select("post_id", F.array_join(c.hits(F.col("text"), c.CYBER), ",").alias("cyber_hits")), f"WITH {_RULES} SELECT post_id, cyber_hits FROM r")
+register("geo_hits", lambda t: c.label_rules(t.posts).groupBy("is_home", "home_score").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_RULES} SELECT is_home, home_score, count(*) AS posts FROM r GROUP BY 1, 2")
+register("assign_topic", lambda t: c.label_rules(t.posts).groupBy("topic").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_RULES} SELECT topic, count(*) AS posts FROM r GROUP BY 1")
+register("effective_tokens", lambda t: t.posts.select("post_id", F.size(c.effective_tokens(F.col("text"))).alias("tokens")), f"WITH {_RULES} SELECT post_id, CAST(tokens AS INTEGER) AS tokens FROM r")
+register("low_information", lambda t: c.label_rules(t.posts).groupBy("low_reason").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_RULES} SELECT low_reason, count(*) AS posts FROM r GROUP BY 1")
+
+
+def term_hits(t):
+    return t.relevant.select("post_id", F.explode(c.hits(F.col("text"), c.CYBER)).alias("term"))
+
+
+_TH = r"th AS (SELECT post_id, w AS term FROM relevant, (SELECT unnest(['breach','vulnerability','exploited','phishing','ransomware','malware','ddos','password leak']) AS w) WHERE regexp_matches(text, '(?i)\b' || replace(w, ' ', '\s+') || '\b'))"
+register("term_yield", lambda t: term_hits(t).groupBy("term").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_TH} SELECT term, count(*) AS posts FROM th GROUP BY 1")
+register("term_exclusive", lambda t: term_hits(t).groupBy("post_id").agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("term")).where("n = 1").groupBy("term").agg(F.count(F.lit(1)).alias("only")), f"WITH {_TH} SELECT term, count(*) AS only FROM (SELECT post_id, min(term) AS term FROM th GROUP BY 1 HAVING count(*) = 1) GROUP BY 1")
+
+# vulnerabilities
+_CV = r"cv AS (SELECT post_id, text, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\bCVE-\d{4}-\d{4,7}\b'), lambda x: upper(x)))) AS cve_id FROM posts), mention AS (SELECT post_id, cve_id, CAST(instr(upper(text), cve_id) - 1 AS BIGINT) AS char_start FROM cv)"
+register("extract_cves", lambda t: c.extract_cves(t.posts), f"WITH {_CV} SELECT * FROM mention")
+register("link_corpus", lambda t: c.link_corpus(t.posts, c.extract_cves(t.posts.where("post_id < 3000"))).agg(F.countDistinct("post_id").alias("posts"), F.count(F.lit(1)).alias("links"), F.countDistinct("cve_id").alias("cves")), f"WITH {_CV} SELECT count(DISTINCT post_id) AS posts, count(*) AS links, count(DISTINCT cve_id) AS cves FROM mention WHERE post_id >= 3000")
+register("merge_kev", lambda t: c.merge_kev(t.cve_records, t.given("part").where("p_partkey between 90 and 130 and p_partkey % 3 = 0").select(F.concat(F.lit("CVE-2024-"), (1000 + F.col("p_partkey")).cast("string")).alias("cve_id"), F.lit("2024-01-05").cast("date").alias("kev_date"))), "WITH kv AS (SELECT 'CVE-2024-' || (1000 + p_partkey) AS cve_id, DATE '2024-01-05' AS kev_date FROM part WHERE p_partkey BETWEEN 90 AND 130 AND p_partkey % 3 = 0) SELECT coalesce(r.cve_id, k.cve_id) AS cve_id, cvss, CASE WHEN k.cve_id IS NOT NULL THEN true ELSE known_exploited END AS known_exploited, kev_date FROM cve_records r FULL JOIN kv k ON r.cve_id = k.cve_id")
+register("enrich_queue", lambda t: c.extract_cves(t.posts).groupBy("cve_id").agg(F.count(F.lit(1)).alias("posts")).join(t.cve_records.where("cvss > 2").select("cve_id"), "cve_id", "left_anti").where("posts >= 2"), f"WITH {_CV} SELECT cve_id, count(*) AS posts FROM mention WHERE cve_id NOT IN (SELECT cve_id FROM cve_records WHERE cvss > 2) GROUP BY 1 HAVING count(*) >= 2")
+register("top_cves", lambda t: c.top_cves(c.extract_cves(t.relevant), t.posts.where(in_window(F.col("published_at"), AS_OF, 7)), t.cve_records, 20), f"WITH {_CV}, g AS (SELECT cve_id, count(DISTINCT post_id) AS posts, count(DISTINCT source_key) AS sources, max(published_at) AS last_seen FROM mention JOIN relevant USING (post_id) WHERE {_CUR} GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY posts DESC, cve_id) AS place FROM g) SELECT o.*, cvss, known_exploited FROM o LEFT JOIN cve_records USING (cve_id) WHERE place <= 20")
+register("cve_mentions_top4", lambda t: top(c.extract_cves(t.posts).join(t.posts.select("post_id", "published_at"), "post_id").join(t.labels.where("label_version = 'v1'").select("post_id", "is_relevant"), "post_id").select("cve_id", "post_id", "is_relevant", "published_at"), 4, F.desc("is_relevant"), F.desc("published_at"), "post_id", by=("cve_id",)), f"WITH {_CV}, j AS (SELECT cve_id, p.post_id, is_relevant, published_at FROM mention m JOIN posts p USING (post_id) JOIN labels l ON l.post_id = p.post_id AND label_version = 'v1') SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY is_relevant DESC, published_at DESC, post_id) AS place FROM j) WHERE place <= 4")
+register("cve_totals", lambda t: c.extract_cves(t.relevant).agg(F.countDistinct("cve_id").alias("cves"), F.countDistinct("post_id").alias("posts"), F.count(F.lit(1)).alias("mentions")), f"WITH {_CV} SELECT count(DISTINCT cve_id) AS cves, count(DISTINCT post_id) AS posts, count(*) AS mentions FROM mention JOIN relevant USING (post_id)")
+register("lookup_cve", lambda t: t.cve_records.join(c.extract_cves(t.posts).groupBy("cve_id").agg(F.count(F.lit(1)).alias("mentions")), "cve_id", "left").select("cve_id", "cvss", "known_exploited", F.coalesce("mentions", F.lit(0)).cast("long").alias("mentions")), f"WITH {_CV} SELECT cve_id, cvss, known_exploited, count(post_id) AS mentions FROM cve_records LEFT JOIN mention USING (cve_id) GROUP BY ALL")
+register("cve_posts", lambda t: top(c.extract_cves(t.posts).where("cve_id = 'CVE-2024-1001'").join(t.posts.select("post_id", "published_at", "author_id"), "post_id").select("post_id", "published_at", "author_id"), 25, F.desc("published_at"), "post_id"), f"WITH {_CV} SELECT * FROM (SELECT post_id, published_at, author_id, row_number() OVER (ORDER BY published_at DESC, post_id) AS place FROM mention JOIN posts USING (post_id) WHERE cve_id = 'CVE-2024-1001') WHERE place <= 25")
+register("related_cves", lambda t: c.extract_cves(t.relevant).join(t.relevant.select("post_id", "topic"), "post_id").groupBy("topic", "cve_id").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_CV} SELECT topic, cve_id, count(*) AS posts FROM mention JOIN relevant USING (post_id) GROUP BY 1, 2")
+register("kev_concentration", lambda t: c.extract_cves(t.posts).join(t.cve_records, "cve_id", "left").agg(F.round(F.countDistinct(F.when(F.col("known_exploited"), F.col("cve_id"))) / F.countDistinct("cve_id"), 6).alias("of_cves"), F.round(F.count_if("known_exploited") / F.count(F.lit(1)), 6).alias("of_mentions")), f"WITH {_CV} SELECT round(count(DISTINCT cve_id) FILTER (known_exploited) / count(DISTINCT cve_id), 6) AS of_cves, round(count(*) FILTER (known_exploited) / count(*), 6) AS of_mentions FROM mention LEFT JOIN cve_records USING (cve_id)")
+
+
+def cve_vector(t):
+    m = c.extract_cves(t.posts).join(t.posts.select("post_id", F.to_date("published_at").alias("day")), "post_id").groupBy("cve_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    grid = m.select("cve_id").distinct().select("cve_id", F.explode(F.expr("sequence(date'2024-01-22', date'2024-01-28', interval 1 day)")).alias("day"))
+    rows = grid.join(m, ["cve_id", "day"], "left").groupBy("cve_id").agg(F.sort_array(F.collect_list(F.struct("day", F.coalesce("n", F.lit(0)).alias("n")))).alias("v"))
+    return rows.select("cve_id", F.array_join(F.transform("v", lambda x: x["n"].cast("string")), ",").alias("daily"))
+
+
+register("cve_daily_vector", cve_vector, f"WITH {_CV}, g AS (SELECT DISTINCT cve_id FROM mention), dd AS (SELECT CAST(unnest(generate_series(DATE '2024-01-22', DATE '2024-01-28', INTERVAL 1 DAY)) AS DATE) AS day), n AS (SELECT cve_id, CAST(published_at AS DATE) AS day, count(*) AS n FROM mention JOIN posts USING (post_id) GROUP BY 1, 2) SELECT cve_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY day) AS daily FROM g CROSS JOIN dd LEFT JOIN n USING (cve_id, day) GROUP BY 1")
+
+# registry
+_EV = "ev AS (SELECT DISTINCT event_id, name, country, coalesce(published_at, discovered_at) AS at FROM registry WHERE CAST(coalesce(published_at, discovered_at) AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-25'), en AS (SELECT event_id, country, name AS entity, false AS is_domain, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS canonical FROM registry UNION ALL SELECT event_id, country, website, true, regexp_replace(regexp_replace(regexp_replace(lower(website), '^[a-z]+://', ''), '/.*$', ''), '^www\\.', '') FROM registry)"
+_US = f"{_EV}, us AS (SELECT e.* FROM en e WHERE ((NOT is_domain AND length(canonical) >= 8 AND contains(canonical, ' ')) OR (is_domain AND length(canonical) >= 7)) AND (country = 'CA' OR canonical NOT IN (SELECT canonical FROM en WHERE country = 'CA')))"
+_MT = rf"{_US}, fl AS (SELECT post_id, published_at, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat FROM posts), mt AS (SELECT DISTINCT post_id, us.event_id, CAST(floor((epoch_us(published_at) - epoch_us(ev.at)) / 86400000000) AS BIGINT) AS delta FROM fl JOIN us ON contains(flat, ' ' || canonical || ' ') AND NOT is_domain JOIN ev ON ev.event_id = us.event_id), mw AS (SELECT * FROM mt WHERE delta BETWEEN -2 AND 30)"
+
+
+def entities(t):
+    return c.usable_entity(c.event_entities(t.registry), "CA")
+
+
+def events(t):
+    return c.ingest_events(t.registry, "2024-01-01", "2024-01-25")
+
+
+def matches(t):
+    return c.match_events(t.posts, entities(t).where("not is_domain").join(events(t).select("event_id", "at"), "event_id"), 2, 30)
+
+
+register("ingest_events", events, f"WITH {_EV} SELECT * FROM ev")
+register("canonical_name", lambda t: c.event_entities(t.registry), f"WITH {_EV} SELECT * FROM en")
+register("event_entities", lambda t: c.event_entities(t.registry).groupBy("event_id").agg(F.count(F.lit(1)).alias("entities")), f"WITH {_EV} SELECT event_id, count(*) AS entities FROM en GROUP BY 1")
+register("usable_entity", entities, f"WITH {_US} SELECT * FROM us")
+register("event_match_eval", lambda t: c.nearest_event(matches(t)), f"WITH {_MT} SELECT post_id, arg_min(event_id, (abs(delta), event_id)) AS event_id, arg_min(delta, (abs(delta), event_id)) AS delta FROM mw GROUP BY 1")
+register("oracle_hits", lambda t: matches(t).groupBy("event_id").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_MT} SELECT event_id, count(*) AS posts FROM mw GROUP BY 1")
+register("event_lead_lag", lambda t: matches(t).groupBy("event_id").agg(F.min("delta").alias("first_delta"), F.max("delta").alias("last_delta")), f"WITH {_MT} SELECT event_id, min(delta) AS first_delta, max(delta) AS last_delta FROM mw GROUP BY 1")
+register("event_funnel", lambda t: events(t).join(matches(t).join(t.labels.where("label_version = 'v1'").select("post_id", "is_relevant"), "post_id").groupBy("event_id").agg(F.bool_or("is_relevant").alias("relevant")), "event_id", "left").agg(F.count(F.lit(1)).alias("registered"), F.count("relevant").alias("captured"), F.count_if("relevant").alias("relevant")), f"WITH {_MT}, h AS (SELECT event_id, bool_or(is_relevant) AS relevant FROM mw JOIN labels l ON l.post_id = mw.post_id AND label_version = 'v1' GROUP BY 1) SELECT count(*) AS registered, count(relevant) AS captured, count(*) FILTER (relevant) AS relevant FROM ev LEFT JOIN h USING (event_id)")
+register("events_with_domain", lambda t: c.event_entities(t.registry).where("is_domain").groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_set("canonical")), ",").alias("domains")).withColumn("registry", F.split("event_id", ":")[0]), f"WITH {_EV} SELECT event_id, string_agg(DISTINCT canonical, ',' ORDER BY canonical) AS domains, split_part(event_id, ':', 1) AS registry FROM en WHERE is_domain GROUP BY 1")
+register("search_events", lambda t: t.registry.join(c.event_entities(t.registry).where(F.col("entity").ilike("%supplier1%")).select("event_id"), "event_id", "left_semi").select("event_id", "name"), f"WITH {_EV} SELECT event_id, name FROM registry WHERE event_id IN (SELECT event_id FROM en WHERE entity ILIKE '%supplier1%')")

@@ -27,6 +27,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -51,7 +52,9 @@ def digest_state(spark: SparkSession, path: str, state_dir: str, digest: Callabl
     """Bring the state in state_dir up to date with the files at path; state: digest, n, best.
     Run again after files were added, it reads only those."""
     session = spark.newSession()
-    for key, value in _STATE.items():
+    # a new session has the defaults, not what was set on this one
+    same = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")}
+    for key, value in (_STATE | same).items():
         session.conf.set(key, value)
     schema = spark.read.parquet(path).schema
     # as a pattern that matches path alone: a streaming source takes a single file only so

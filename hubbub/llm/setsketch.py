@@ -8,9 +8,9 @@ likelihood of J has a maximum; a pair goes on only if J at the threshold or abov
 pair that goes on is confirmed on its full shingle sets.
 
 Documents with equal sets are first folded into one representative, so a group of copies costs a row for each task.
-Only components are asked for, so a bucket first compares its members with its smallest one; buckets whose
-members are by then in one component are done. In the others, members of different components are compared in
-blocks of bounded size: no bucket is held by one task and no pair within a component is made.
+Documents that buckets chain together form a group, in which each document occurs once however many buckets it
+shares. A group meets itself in blocks of bounded size, so no group is held by one task; a block tries its likely pairs
+from the most alike on and skips those it has joined already, and only a spanning forest of confirmed links leaves it.
 
 Words are runs of non-blank characters with A-Z lower-cased; shingles are held as 64-bit hashes of their words.
 A document with fewer words than a shingle is one shingle; one without words (or null) has none and links
@@ -198,57 +198,88 @@ def _sets(docs: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInArrow(sets, "doc_id long, shingles array<long>")
 
 
-def _likely_pairs(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
-    """Those of pairs (u, v) that the registers leave likely."""
-    part = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
-
-    def keep(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("r_u", "r_v"))
-            n_u, n_v = (batch[c].to_numpy().astype(float) for c in ("n_u", "n_v"))
-            ok = likely((a > b).sum(1), (a == b).sum(1), plan.registers, n_u, n_v, plan)
-            yield batch.filter(pa.array(ok)).select(["u", "v", "n_u", "n_v"])
-
-    rows = pairs.join(part("u"), "u").join(part("v"), "v").select("u", "v", "n_u", "n_v", "r_u", "r_v")
-    return rows.mapInArrow(keep, "u long, v long, n_u long, n_v long")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}"))
-    both = F.size(F.array_intersect("s_u", "s_v"))
-    rows = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("both", both)
-    return rows.where(100 * F.col("both") >= plan.percent * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v")
+def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of narrow incidence matrices."""
+    every = np.concatenate([*a, *b])
+    names, at = np.unique(every, return_inverse=True)
+    sizes = [len(x) for x in (*a, *b)]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    common = np.flatnonzero(np.bincount(at) > 1)
+    column = np.full(len(names), -1)
+    column[common] = np.arange(len(common))
+    at = column[at]
+    owner, at = owner[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, len(common), 4096):
+        i, j = np.searchsorted(at, (low, low + 4096))
+        part = np.zeros((len(sizes), 4096), np.float32)
+        part[owner[i:j], at[i:j] - low] = 1
+        out += part[: len(a)] @ part[len(a) :].T
+    return out.astype(np.int64)
+
+
+def _links(a: pd.DataFrame, b: pd.DataFrame, same: bool, plan: Plan) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two blocks (or within one)."""
+    ra, rb = (np.frombuffer(b"".join(x.registers), np.uint16).reshape(len(x), plan.registers) for x in (a, b))
+    na, nb = a.n_shingles.to_numpy().astype(float), b.n_shingles.to_numpy().astype(float)
+    left, right, score = [], [], []
+    for i in range(len(a)):
+        equal = (ra[i] == rb).sum(1)
+        j = np.flatnonzero(equal * 100 >= plan.registers * (plan.percent - 30))
+        j = j[j > i] if same else j
+        if len(j):
+            larger = (ra[i] > rb[j]).sum(1)
+            ok = likely(larger, equal[j], plan.registers, np.full(len(j), na[i]), nb[j], plan)
+            left.append(np.full(ok.sum(), i))
+            right.append(j[ok])
+            score.append(equal[j[ok]])
+    if not left:
+        return []
+    left, right, score = map(np.concatenate, (left, right, score))
+    ids_a, ids_b = a.doc_id.to_numpy(), b.doc_id.to_numpy()
+    root = {int(x): int(x) for x in (*ids_a, *ids_b)}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sets_a, sets_b = list(a.shingles), list(b.shingles)
+    counts, tested, out = None, 0, []
+    for k in np.argsort(-score, kind="stable"):
+        i, j = left[k], right[k]
+        u, v = find(int(ids_a[i])), find(int(ids_b[j]))
+        if u == v:
+            continue
+        tested += 1
+        if tested == 2000:
+            counts = _shared_counts(sets_a, sets_b)
+        both = int(counts[i, j]) if counts is not None else len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True))
+        if 100 * both >= plan.percent * (na[i] + nb[j] - both):
+            root[max(u, v)] = min(u, v)
+            out.append((int(ids_a[i]), int(ids_b[j])))
+    return out
 
 
-def _cell_pairs(members: DataFrame, plan: Plan) -> DataFrame:
-    """Likely pairs of different components within each bucket, block against block."""
+def _confirmed(members: DataFrame, plan: Plan) -> DataFrame:
+    """members: doc_id, group, n (members of the group), n_shingles, registers, shingles. Links (u, v) that hold each
+    group's classes together; a group meets itself block against block."""
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.drop_duplicates("doc_id")
-        a, b = cell[cell.own == cell.low], cell[cell.own == cell.high]
         same = int(cell.low.iloc[0]) == int(cell.high.iloc[0])
-        ra, rb = (np.frombuffer(b"".join(x.registers), np.uint16).reshape(len(x), plan.registers) for x in (a, b))
-        out = []
-        for i in range(len(a)):
-            left, right = a.iloc[i], b
-            ok = (right.component.to_numpy() != left.component) & ((right.doc_id.to_numpy() > left.doc_id) | (not same))
-            at = np.flatnonzero(ok)
-            if len(at):
-                larger, equal = (ra[i] > rb[at]).sum(1), (ra[i] == rb[at]).sum(1)
-                n_v = right.n_shingles.to_numpy()[at].astype(float)
-                at = at[likely(larger, equal, plan.registers, np.full(len(at), float(left.n_shingles)), n_v, plan)]
-                out += [(left.doc_id, left.n_shingles, x, n) for x, n in zip(right.doc_id.to_numpy()[at], right.n_shingles.to_numpy()[at])]
-        table = pd.DataFrame(out, columns=["a", "n_a", "b", "n_b"], dtype="int64")
-        swap = table.a > table.b
-        table.loc[swap, ["a", "n_a", "b", "n_b"]] = table.loc[swap, ["b", "n_b", "a", "n_a"]].to_numpy()
-        return table.rename(columns={"a": "u", "b": "v", "n_a": "n_u", "n_b": "n_v"})[["u", "v", "n_u", "n_v"]]
-
-    blocks = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = blocks.select("*", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    return cells.groupBy("bucket", "low", "high").applyInPandas(compare, "u long, v long, n_u long, n_v long").distinct()
+        a = cell[cell.own == cell.low]
+        b = a if same else cell[cell.own == cell.high]
+        return pd.DataFrame(_links(a, b, same, plan) if len(a) and len(b) else [], columns=["u", "v"], dtype="int64")
+
+    rows = members.withColumn("blocks", F.ceil(F.col("n") / plan.block).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "n", "blocks")
+    return cells.groupBy("group", "low", "high").applyInPandas(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -266,21 +297,14 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     buckets = buckets.groupBy("n", "hub", "mark").agg(F.min("bucket").alias("bucket"))
     members = stage(banded.join(buckets.select("bucket", "n", "hub"), "bucket"), "members")
 
-    candidates = members.select("doc_id").distinct()
-    sets = stage(_sets(docs.join(candidates, "doc_id"), plan), "shingle-sets")
-    drawn = reps.join(candidates, "doc_id").select("doc_id", "n_shingles", "registers")
-    hubs = members.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    links = stage(_confirmed(_likely_pairs(hubs, drawn, plan), sets, plan), "links")
-
-    labels = connected_components(links)
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
-    several = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    blocks = F.ceil(F.col("n") / plan.block).cast("int")
-    rest = labelled.join(several, "bucket").join(drawn, "doc_id").select("bucket", "doc_id", "component", "n_shingles", "registers", blocks.alias("blocks"))
-    across = stage(_confirmed(_cell_pairs(rest, plan).join(hubs, ["u", "v"], "left_anti"), sets, plan), "links")
-
-    found = connected_components(links.unionByName(across))
+    hubs = members.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"))
+    groups = connected_components(hubs).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    groups = stage(groups.join(sizes, "group"), "groups")
+    sets = stage(_sets(docs.join(groups.select("doc_id"), "doc_id"), plan), "shingle-sets")
+    drawn = reps.select("doc_id", "n_shingles", "registers").join(groups, "doc_id").join(sets, "doc_id")
+    found = connected_components(stage(_confirmed(drawn, plan), "links"))
+
     placed = reps.select("digest", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.select(F.col("digest").alias("of"), F.coalesce("component", "doc_id").alias("component"))
     # a document without shingles has a key of its own, so that these do not meet in one task

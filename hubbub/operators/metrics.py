@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from hubbub.operators.trend import days, instant
 
-_BY_DAY = W.partitionBy("topic").orderBy("day")
+
+def _by_day():
+    return W.partitionBy("topic").orderBy("day")
 
 
 def filled_daily(posts: DataFrame) -> DataFrame:
@@ -20,17 +22,17 @@ def filled_daily(posts: DataFrame) -> DataFrame:
 
 
 def moving_average(daily: DataFrame, k: int) -> DataFrame:
-    return daily.withColumn("moving", F.round(F.avg("n").over(_BY_DAY.rowsBetween(1 - k, 0)), 6))
+    return daily.withColumn("moving", F.round(F.avg("n").over(_by_day().rowsBetween(1 - k, 0)), 6))
 
 
 def rolling_centered(daily: DataFrame, k: int) -> DataFrame:
     """NULL where the window is not whole."""
-    half = _BY_DAY.rowsBetween(-(k // 2), k // 2)
+    half = _by_day().rowsBetween(-(k // 2), k // 2)
     return daily.select("topic", "day", F.when(F.count(F.lit(1)).over(half) == k, F.round(F.avg("n").over(half), 6)).alias("rolling"))
 
 
 def acceleration(daily: DataFrame) -> DataFrame:
-    return daily.select("topic", "day", (F.col("n") - 2 * F.lag("n").over(_BY_DAY) + F.lag("n", 2).over(_BY_DAY)).alias("acceleration"))
+    return daily.select("topic", "day", (F.col("n") - 2 * F.lag("n").over(_by_day()) + F.lag("n", 2).over(_by_day())).alias("acceleration"))
 
 
 def volatility(daily: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def volatility(daily: DataFrame) -> DataFrame:
 
 def zscore(daily: DataFrame, history: int) -> DataFrame:
     """Against the days before; not for sparse topics, whose spread says little."""
-    past = _BY_DAY.rowsBetween(-history, -1)
+    past = _by_day().rowsBetween(-history, -1)
     mean, sd, n = F.avg("n").over(past), F.stddev_samp("n").over(past), F.count("n").over(past)
     return daily.select("topic", "day", F.when((n == history) & (sd > 0), F.round((F.col("n") - mean) / sd, 6)).alias("z"))
 
@@ -50,7 +52,7 @@ def novelty(posts: DataFrame, as_of: str, w: int) -> DataFrame:
 
 def persistence(daily: DataFrame, least: int) -> DataFrame:
     """The longest run of days with `least` posts: day minus row number is the same within a run."""
-    rows = daily.where(F.col("n") >= least).withColumn("island", F.date_sub("day", F.row_number().over(_BY_DAY)))
+    rows = daily.where(F.col("n") >= least).withColumn("island", F.date_sub("day", F.row_number().over(_by_day())))
     return rows.groupBy("topic", "island").agg(F.count(F.lit(1)).alias("run")).groupBy("topic").agg(F.max("run").alias("longest"))
 
 

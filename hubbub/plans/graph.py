@@ -1 +1,21 @@
-"""To be filled."""
+"""Interaction jobs over the adapted edges, seeds and outcomes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hubbub.operators import interaction as i
+from hubbub.plans.catalog import register
+
+_LO = "lo AS (SELECT seed_id, endpoint, coalesce(max(run_id) FILTER (outcome <> 'failed'), min(run_id)) AS run_id FROM outcomes GROUP BY 1, 2), la AS (SELECT o.seed_id, o.endpoint, o.run_id, o.outcome FROM outcomes o JOIN lo USING (seed_id, endpoint, run_id))"
+_ME = "me AS (SELECT seed_id, count(*) FILTER (edge_type = 'reply' AND depth = 1) AS d1, count(*) FILTER (edge_type = 'reply' AND depth = 2) AS d2, count(*) FILTER (edge_type = 'quote') AS quotes, count(*) FILTER (edge_type = 'repost') AS reposts, count(DISTINCT actor) AS actors FROM edges GROUP BY 1)"
+_SS = f"{_LO}, ss AS (SELECT seed_id, CASE WHEN count(*) FILTER (outcome IN ('success', 'partial')) = 2 THEN 'observed' WHEN bool_or(outcome = 'unavailable') THEN 'unavailable' WHEN bool_or(outcome = 'failed') THEN 'failed' ELSE 'missing' END AS status FROM la GROUP BY 1)"
+register("edge_key", lambda t: t.edges.select("edge_no", i.edge_key(F.col("edge_type"), F.col("actor"), F.when(F.col("target_id") % 5 > 0, F.col("target_id"))).alias("key")), "SELECT edge_no, substr(sha256(edge_type || '|' || actor || '|' || CASE WHEN target_id % 5 > 0 THEN CAST(target_id AS VARCHAR) ELSE 'None' END), 1, 32) AS key FROM edges")
+register("latest_outcome", lambda t: i.latest_outcome(t.outcomes), f"WITH {_LO} SELECT * FROM la")
+register("seed_metrics", lambda t: i.seed_metrics(t.edges), f"WITH {_ME} SELECT * FROM me")
+register("seed_status", lambda t: i.seed_status(i.latest_outcome(t.outcomes)), f"WITH {_SS} SELECT * FROM ss")
+for _by in ("topic_key", "actor_type", "has_cve", "in_main"):
+    register(f"csr_by_{_by}", lambda t, by=_by: i.csr(t.seeds, i.seed_status(i.latest_outcome(t.outcomes)), i.seed_metrics(t.edges), by), f"""WITH {_SS}, {_ME}, j AS (SELECT s.{_by}, status = 'observed' AS seen, coalesce(d1, 0) + coalesce(quotes, 0) > 0 AS talk FROM seeds s LEFT JOIN ss USING (seed_id) LEFT JOIN me USING (seed_id))
+      SELECT {_by}, count(*) AS seeds, count(*) FILTER (seen) AS observed, count(*) FILTER (seen AND talk) AS conversations, round(count(*) FILTER (seen AND talk) / nullif(count(*) FILTER (seen), 0), 6) AS csr FROM j GROUP BY 1""")
+register("actor_reply_graph", lambda t: i.actor_reply_graph(t.edges, t.posts.select(F.col("post_id").alias("target_id"), F.col("author_id").alias("author"))), "WITH g AS (SELECT actor AS src, author_id AS dst, count(*) AS weight FROM edges JOIN posts ON post_id = target_id WHERE edge_type = 'reply' GROUP BY 1, 2) SELECT src, dst, weight, EXISTS (SELECT 1 FROM g h WHERE h.src = g.dst AND h.dst = g.src) AS mutual FROM g")
+register("corpus_reply_edges", lambda t: t.posts.where("in_reply_to is not null").select(F.col("post_id").alias("reply"), F.col("in_reply_to").alias("uri")).join(t.posts.select("uri", F.col("post_id").alias("parent")), "uri").select("reply", "parent"), "SELECT a.post_id AS reply, b.post_id AS parent FROM posts a JOIN posts b ON a.in_reply_to = b.uri")

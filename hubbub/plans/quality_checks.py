@@ -1 +1,41 @@
-"""To be filled."""
+"""Scores of label versions over the adapted labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hubbub.operators import evaluation as e
+from hubbub.plans.catalog import register
+
+
+def version(t, v):
+    return t.labels.where(F.col("label_version") == v)
+
+
+_ST = "st AS (SELECT *, CASE WHEN is_cyber THEN 'is_cyber' WHEN NOT is_cyber THEN 'not_is_cyber' END || '/' || CASE WHEN is_canada THEN 'is_canada' WHEN NOT is_canada THEN 'not_is_canada' END AS stratum FROM labels WHERE label_version = 'v2')"
+register("stratified_sample", lambda t: e.stratified_sample(version(t, "v2"), 25, "seed"), f"WITH {_ST} SELECT * FROM (SELECT post_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5(post_id || 'seed'), post_id) AS place FROM st WHERE stratum IS NOT NULL) WHERE place <= 25")
+register("stratum_sizes", lambda t: e.stratum_sizes(version(t, "v2")), f"WITH {_ST} SELECT stratum, count(*) AS n FROM st WHERE stratum IS NOT NULL GROUP BY 1")
+
+
+def interval(t):
+    rows = version(t, "v2").groupBy("topic_key").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_relevant").alias("hits"))
+    low, high = e.wilson_ci(F.col("hits"), F.col("n"))
+    return rows.select("*", low.alias("low"), high.alias("high"))
+
+
+register("wilson_ci", interval, """WITH g AS (SELECT topic_key, count(*) AS n, count(*) FILTER (is_relevant) AS hits FROM labels WHERE label_version = 'v2' GROUP BY 1), p AS (SELECT *, hits / n AS p, 1.96::DOUBLE AS z FROM g)
+      SELECT topic_key, n, hits, round(greatest((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 0), 6) AS low, round(least((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 1), 6) AS high FROM p""")
+_AB = "labels a JOIN labels b ON a.post_id = b.post_id AND a.label_version = 'v1' AND b.label_version = 'v2'"
+register("gate_diff", lambda t: e.gate_diff(version(t, "v1"), version(t, "v2")), f"SELECT b.is_cyber, b.is_canada, count(*) AS posts FROM {_AB} WHERE a.is_relevant AND NOT b.is_relevant GROUP BY 1, 2")
+register("version_transition", lambda t: e.version_transition(version(t, "v1"), version(t, "v2")), f"SELECT b.derived_chain, count(*) AS posts, count(*) FILTER (b.is_relevant) AS relevant, count(*) FILTER (b.is_relevant AND NOT a.is_relevant) AS gained, count(*) FILTER (a.is_relevant AND NOT b.is_relevant) AS lost FROM {_AB} GROUP BY 1")
+register("label_migration", lambda t: e.label_migration(version(t, "v1"), version(t, "v2")), f"SELECT coalesce(a.topic_key, 'other') AS before, coalesce(b.topic_key, 'other') AS after, count(*) AS posts FROM {_AB} WHERE a.is_relevant AND b.is_relevant GROUP BY 1, 2")
+
+
+def pairs(t):
+    key = lambda v, c: version(t, v).select("post_id", F.coalesce("topic_key", F.lit("other")).alias(c))
+    return key("v1", "a").join(key("v2", "b"), "post_id")
+
+
+register("cohen_kappa", lambda t: e.cohen_kappa(pairs(t), "a", "b"), f"""WITH p AS (SELECT coalesce(a.topic_key, 'other') AS x, coalesce(b.topic_key, 'other') AS y FROM {_AB}), n AS (SELECT count(*) AS n, avg(CAST(x = y AS INTEGER)) AS po FROM p),
+      m AS (SELECT sum(u.c * v.c) AS s FROM (SELECT x, count(*) AS c FROM p GROUP BY 1) u JOIN (SELECT y, count(*) AS c FROM p GROUP BY 1) v ON x = y)
+      SELECT round(po, 6) AS agreement, round((po - s / (n * n)) / (1 - s / (n * n)), 6) AS kappa FROM n, m""")

@@ -58,3 +58,46 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     same = F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(0.0)
     rows = cells.agg(F.sum(same * F.col("n") / F.col("all")).alias("po"), F.sum(same * F.col("ra") * F.col("rb") / (F.col("all") * F.col("all"))).alias("pe"))
     return rows.select(F.round("po", 6).alias("agreement"), F.round(F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")), 6).alias("kappa"))
+
+
+def _prf(tp: str, fp: str, fn: str) -> list[Column]:
+    p, r = F.try_divide(F.col(tp), F.col(tp) + F.col(fp)), F.try_divide(F.col(tp), F.col(tp) + F.col(fn))
+    f1 = F.try_divide(2 * F.col(tp), 2 * F.col(tp) + F.col(fp) + F.col(fn))
+    return [F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1")]
+
+
+def score_weighted(truth: DataFrame, labels: DataFrame, flags: list[str], sizes: DataFrame) -> DataFrame:
+    """truth: post_id, stratum and the true flags of a sample. Every row counts by its stratum's population over its sample."""
+    drawn = truth.groupBy("stratum").agg(F.count(F.lit(1)).alias("drawn"))
+    weight = sizes.join(F.broadcast(drawn), "stratum").select("stratum", (F.col("n") / F.col("drawn")).alias("w"))
+    both = truth.join(labels.select("post_id", *[F.col(f).alias(f"p_{f}") for f in flags]), "post_id").join(F.broadcast(weight), "stratum")
+    long = both.select("w", F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f).alias("t"), F.col(f"p_{f}").alias("p")) for f in flags])).alias("x")).select("w", "x.*")
+    sums = {"tp": "t and p", "fp": "not t and p", "fn": "t and not p"}
+    rows = long.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.expr(c), F.col("w")).otherwise(0.0)).alias(k) for k, c in sums.items()])
+    return rows.select("flag", "n", *_prf("tp", "fp", "fn"))
+
+
+def compare_scores(truth: DataFrame, labels: DataFrame, flag: str) -> DataFrame:
+    """Each label version beside the others on the same truth."""
+    rows = truth.select("post_id", F.col(flag).alias("t")).join(labels.select("post_id", "label_version", F.col(flag).alias("p")), "post_id").groupBy("label_version")
+    sums = {"tp": "t and p", "fp": "not t and p", "fn": "t and not p", "unjudged": "p is null"}
+    return rows.agg(*[F.count_if(F.expr(c)).alias(k) for k, c in sums.items()]).select("*", *_prf("tp", "fp", "fn"))
+
+
+def gate_eval(truth: DataFrame, labels: DataFrame, flag: str) -> DataFrame:
+    """Recall and specificity per stratum and over all (stratum NULL); unjudged rows are in no denominator."""
+    rows = truth.select("post_id", "stratum", F.col(flag).alias("t")).join(labels.select("post_id", F.col(flag).alias("p")), "post_id", "left").rollup("stratum")
+    sums = {"positives": "t and p is not null", "hits": "t and p", "negatives": "not t and p is not null", "passed": "not t and not p", "unjudged": "p is null"}
+    out = rows.agg(*[F.count_if(F.expr(c)).alias(k) for k, c in sums.items()])
+    return out.select("*", F.round(F.try_divide("hits", "positives"), 6).alias("recall"), F.round(F.try_divide("passed", "negatives"), 6).alias("specificity"))
+
+
+def mann_whitney(values: DataFrame, group: str, x: str) -> DataFrame:
+    """values: two groups (a boolean column) of numbers. U of the true group by average ranks, from the histogram of
+    the values, so that rows are never ordered; rank-biserial effect. No row if a side has fewer than five."""
+    h = values.where(F.col(x).isNotNull()).groupBy(x).agg(F.count_if(F.col(group)).alias("a"), F.count_if(~F.col(group)).alias("b"))
+    below = F.coalesce(F.sum(F.col("a") + F.col("b")).over(W.orderBy(x).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    h = h.withColumn("rank", below + (F.col("a") + F.col("b") + 1) / 2)
+    rows = h.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * F.col("rank")).alias("r"))
+    u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2
+    return rows.where("n_a >= 5 and n_b >= 5").select("n_a", "n_b", u.alias("u"), F.round(2 * u / (F.col("n_a") * F.col("n_b")) - 1, 6).alias("effect"))

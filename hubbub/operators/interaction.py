@@ -52,3 +52,142 @@ def actor_reply_graph(edges: DataFrame, authors: DataFrame) -> DataFrame:
     rows = edges.where("edge_type = 'reply'").join(authors, "target_id").groupBy(F.col("actor").alias("src"), F.col("author").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
     back = rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("back"))
     return rows.join(back, ["src", "dst"], "left").select("src", "dst", "weight", F.coalesce("back", F.lit(False)).alias("mutual"))
+
+
+def seed_facts(seeds: DataFrame, status: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Seeds with their status and counts; observed and conversation as flags, never NULL."""
+    rows = seeds.join(status, "seed_id", "left").join(metrics, "seed_id", "left").fillna(0, ["d1", "d2", "quotes", "reposts", "actors"]).fillna("missing", ["status"])
+    seen = F.col("status") == "observed"
+    return rows.withColumn("observed", seen).withColumn("conversation", seen & (F.col("d1") + F.col("quotes") > 0))
+
+
+def _share(hits: str, n: str) -> Column:
+    return F.round(F.try_divide(hits, n), 6)
+
+
+def csr_population(facts: DataFrame, populations: dict[str, Column]) -> DataFrame:
+    """Status counts and conversation share of overlapping populations, in one pass."""
+    member = F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in populations.items()]))
+    rows = facts.withColumn("population", F.explode(member)).groupBy("population").agg(
+        F.count(F.lit(1)).alias("seeds"), *[F.count_if(F.col("status") == s).alias(s) for s in ("observed", "unavailable", "failed", "missing")], F.count_if("conversation").alias("conversations")
+    )
+    return rows.withColumn("csr", _share("conversations", "observed"))
+
+
+def csr_depth(facts: DataFrame) -> DataFrame:
+    rows = facts.where("observed").agg(F.count(F.lit(1)).alias("observed"), F.count_if(F.expr("d1 > 0")).alias("with_d1"), F.count_if(F.expr("d2 > 0")).alias("with_d2"))
+    return rows.select("*", _share("with_d1", "observed").alias("share_d1"), _share("with_d2", "observed").alias("share_d2"))
+
+
+def csr_weighted(facts: DataFrame, stratum: str) -> DataFrame:
+    """Share per stratum among observed seeds, weighted by the stratum's share of all seeds."""
+    rows = facts.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.count_if("observed").alias("seen"), F.count_if("conversation").alias("talk")).where("seen > 0")
+    return rows.agg(F.round(F.try_divide(F.sum(F.col("n") * F.col("talk") / F.col("seen")), F.sum("n")), 6).alias("csr_weighted"))
+
+
+def seed_distribution(facts: DataFrame, columns: list[str]) -> DataFrame:
+    """Exact quartiles, mean and zero share of each count, one row a measure."""
+    long = facts.where("observed").select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("x")) for c in columns])).alias("m")).select("m.*")
+    q = lambda p: F.percentile("x", F.lit(p))
+    return long.groupBy("measure").agg(
+        F.count("x").alias("n"), F.sum("x").alias("total"), F.round(F.avg("x"), 6).alias("mean"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"),
+        F.max("x").alias("most"), F.round(F.avg((F.col("x") == 0).cast("int")), 6).alias("zero_share"),
+    )
+
+
+def concentration(counts: DataFrame, by: str, n: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """HHI and top-k shares of counts (one row an actor). Works on the histogram of the counts, so that a
+    group with very many actors is never ordered in one task."""
+    histogram = counts.groupBy(by, n).agg(F.count(F.lit(1)).alias("m"))
+    ahead = F.coalesce(F.sum("m").over(W.partitionBy(by).orderBy(F.desc(n)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    top = lambda k: F.sum(F.col(n) * F.least("m", F.greatest(F.lit(k) - F.col("ahead"), F.lit(0))))
+    total = F.sum(F.col(n) * F.col("m"))
+    return histogram.withColumn("ahead", ahead).groupBy(by).agg(
+        F.sum("m").alias("actors"), total.alias("total"), F.round(F.sum(F.col(n) * F.col(n) * F.col("m")) / (total * total), 6).alias("hhi"), *[F.round(top(k) / total, 6).alias(f"top_{k}") for k in ks]
+    )
+
+
+def top_actor_removal(facts: DataFrame, ks: tuple[int, ...] = (0, 1, 5, 10)) -> DataFrame:
+    """Conversation share without the seeds of the k authors with most seeds; ties by author."""
+    order = (F.desc("n"), F.asc("author_id"))
+    top = facts.groupBy("author_id").agg(F.count(F.lit(1)).alias("n")).orderBy(*order).limit(max(ks))
+    top = top.select("author_id", F.row_number().over(W.orderBy(*order)).alias("place"))
+    rows = facts.join(F.broadcast(top), "author_id", "left").withColumn("removed", F.explode(F.array(*map(F.lit, ks))))
+    rows = rows.where("place is null or place > removed")
+    out = rows.groupBy("removed").agg(F.count(F.lit(1)).alias("seeds"), F.count_if("observed").alias("observed"), F.count_if("conversation").alias("conversations"))
+    return out.withColumn("csr", _share("conversations", "observed"))
+
+
+def count_gap(facts: DataFrame) -> DataFrame:
+    """Replies that observed seeds report of themselves against those retrieved."""
+    rows = facts.where("observed")
+    return rows.agg(F.sum("reply_count").alias("reported"), F.sum("d1").alias("retrieved"), F.count_if(F.expr("d1 < reply_count")).alias("short_seeds"), F.sum(F.greatest(F.col("reply_count") - F.col("d1"), F.lit(0))).alias("missing"))
+
+
+def snapshot_vs_conv(facts: DataFrame) -> DataFrame:
+    return facts.where("observed").groupBy((F.col("reply_count") > 0).alias("early"), "conversation").agg(F.count(F.lit(1)).alias("seeds"))
+
+
+def reply_delay(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Hours from seed to direct reply; replies dated before their seed are counted apart."""
+    rows = edges.where("edge_type = 'reply' and depth = 1").join(seeds.select("seed_id", "created_at"), "seed_id")
+    hours = (F.unix_micros(F.col("event_time").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 3.6e9
+    rows = rows.select(hours.alias("h"))
+    later = F.when(F.col("h") >= 0, F.col("h"))
+    q = lambda p: F.round(F.percentile(later, F.lit(p)), 6)
+    return rows.agg(F.count(later).alias("n"), F.count_if(F.expr("h < 0")).alias("before_seed"), q(0.5).alias("median_h"), q(0.9).alias("p90_h"), F.round(F.avg((later <= 24).cast("int")), 6).alias("within_day"))
+
+
+def sensors_by_topic(facts: DataFrame) -> DataFrame:
+    """Posts, actors and interactions of each topic, their ranks (ties by topic) and interactions a post."""
+    rows = facts.groupBy("topic_key").agg(F.count(F.lit(1)).alias("s_post"), F.countDistinct("author_id").alias("s_actor"), F.sum(F.col("d1") + F.col("d2") + F.col("quotes")).alias("s_interaction"))
+    place = lambda c: F.row_number().over(W.orderBy(F.desc(c), "topic_key")).alias(c.replace("s_", "rank_"))
+    return rows.select("*", *map(place, ("s_post", "s_actor", "s_interaction")), F.round(F.col("s_interaction") / F.col("s_post"), 6).alias("per_post"))
+
+
+def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Correlation of average ranks over a short table, such as one row a topic."""
+    mean_rank = lambda c: (F.rank().over(W.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(c)) - 1) / 2).alias(f"r_{c}")
+    return rows.select(mean_rank(x), mean_rank(y)).agg(F.round(F.corr(f"r_{x}", f"r_{y}"), 6).alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
+def run_rollup(outcomes: DataFrame) -> DataFrame:
+    """Seeds of each run by their worst endpoint: failed > unavailable > partial > ok."""
+    worst = F.max(F.when(F.col("outcome") == "failed", 3).when(F.col("outcome") == "unavailable", 2).when(F.col("outcome") == "partial", 1).otherwise(0)).alias("w")
+    rows = outcomes.groupBy("run_id", "seed_id").agg(worst).groupBy("run_id")
+    return rows.agg(*[F.count_if(F.col("w") == i).alias(name) for i, name in enumerate(("ok", "partial", "unavailable", "failed"))])
+
+
+def resume_anti(seeds: DataFrame, outcomes: DataFrame, run: int) -> DataFrame:
+    """Seeds that the run has not covered with both endpoints."""
+    done = outcomes.where((F.col("run_id") == run) & F.col("outcome").isin("success", "partial")).groupBy("seed_id").agg(F.countDistinct("endpoint").alias("n")).where("n = 2")
+    return seeds.join(done, "seed_id", "left_anti").select("seed_id")
+
+
+def repeat_run_diff(edges: DataFrame, a: int, b: int) -> DataFrame:
+    """Keys (source, seed, type) found in only one or in both of two runs."""
+    rows = edges.where(F.col("run_id").isin(a, b)).groupBy("edge_type", "actor", "seed_id").agg(F.bool_or(F.col("run_id") == a).alias("x"), F.bool_or(F.col("run_id") == b).alias("y"))
+    return rows.groupBy("edge_type").agg(F.count_if(F.expr("x and not y")).alias("only_a"), F.count_if(F.expr("y and not x")).alias("only_b"), F.count_if(F.expr("x and y")).alias("both"))
+
+
+def intensity_ratios(edges: DataFrame, posts: DataFrame) -> DataFrame:
+    """Replies and quotes a post, and distinct interacting actors an author, by day."""
+    day = lambda d, c: d.withColumn("day", F.to_date(c))
+    made = day(edges, "event_time").groupBy("day").agg(F.count_if(F.expr("edge_type = 'reply'")).alias("replies"), F.count_if(F.expr("edge_type = 'quote'")).alias("quotes"), F.countDistinct("actor").alias("actors"))
+    rows = day(posts, "published_at").groupBy("day").agg(F.count(F.lit(1)).alias("posts"), F.countDistinct("author_id").alias("authors")).join(made, "day", "left").fillna(0)
+    return rows.select("day", _share("replies", "posts").alias("ri"), _share("quotes", "posts").alias("qi"), _share("actors", "authors").alias("uar"))
+
+
+def conversation_features(edges: DataFrame) -> DataFrame:
+    """Size, depth, responders and replies for each replied-to post of a seed."""
+    rows = edges.where("edge_type = 'reply'").groupBy("seed_id").agg(F.count(F.lit(1)).alias("size"), F.max("depth").alias("depth"), F.countDistinct("actor").alias("responders"), F.countDistinct("target_id").alias("targets"))
+    return rows.withColumn("branching", _share("size", "targets"))
+
+
+def interaction_by_cve(mentions: DataFrame, edges: DataFrame, records: DataFrame) -> DataFrame:
+    """mentions: post_id, author_id, cve_id. Posts, authors and interactions of each CVE beside its known-exploited flag."""
+    hits = edges.groupBy(F.col("target_id").alias("post_id")).agg(F.count(F.lit(1)).alias("hits"))
+    rows = mentions.join(hits, "post_id", "left").groupBy("cve_id").agg(
+        F.count(F.lit(1)).alias("posts"), F.countDistinct("author_id").alias("authors"), F.coalesce(F.sum("hits"), F.lit(0)).alias("interactions")
+    )
+    return rows.join(records.select("cve_id", "known_exploited"), "cve_id", "left").withColumn("known_exploited", F.coalesce("known_exploited", F.lit(False)))

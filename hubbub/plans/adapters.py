@@ -57,6 +57,12 @@ VIEWS: dict[str, str] = {
       CASE user_id % 4 WHEN 0 THEN 'broadcast' WHEN 1 THEN 'news' ELSE 'person' END AS actor_type FROM base WHERE event_id % 20 = 0""",
     "outcomes": """SELECT r.run_id, s.seed_id, e.endpoint, CASE (CAST(floor(s.seed_id / 20) AS BIGINT) + r.run_id * 3 + length(e.endpoint)) % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'partial' ELSE 'success' END AS outcome
       FROM seeds s CROSS JOIN (SELECT 0 AS run_id UNION ALL SELECT 1 UNION ALL SELECT 2) r CROSS JOIN (SELECT 'thread' AS endpoint UNION ALL SELECT 'quotes') e""",
+    "verdicts": """SELECT event_id AS post_id, CASE event_id % 6 WHEN 0 THEN '{"topic": "' || event_type || '", "confidence": "high", "rationale": "clear"}'
+      WHEN 1 THEN 'Sure! "topic": "' || event_type || '", "confidence": "medium" and so on' WHEN 2 THEN '{"confidence": "low"}' WHEN 3 THEN '{"topic": "other"}'
+      WHEN 4 THEN '{"topic": "view", "confidence": "certain", "off_topic": true}' END AS answer FROM base""",
+    "entities": """SELECT event_id AS post_id, 'v2' AS label_version, CASE user_id % 4 WHEN 0 THEN 'toronto' WHEN 1 THEN 'Canada' WHEN 2 THEN 'news.example.com' ELSE 'Quebec' END AS entity,
+      CASE WHEN user_id % 4 = 2 THEN 'domain' ELSE 'place' END AS kind FROM base WHERE event_id % 2 = 0
+      UNION ALL SELECT event_id, 'v2', 'sec.example.org', 'domain' FROM base WHERE event_id % 12 = 3 UNION ALL SELECT event_id, 'v2', 'canada', 'place' FROM base WHERE event_id % 12 = 3""",
     "relevant": """SELECT p.*, l.topic_key, coalesce(l.topic_key, 'other') AS topic, l.low_info, l.is_cyber, l.is_canada FROM posts p JOIN labels l ON p.post_id = l.post_id AND l.label_version = 'v1' WHERE l.is_relevant""",
 }
 
@@ -83,6 +89,6 @@ class Tables:
         return self._made[name]
 
     def _adapt(self, name: str) -> DataFrame:
-        text = VIEWS[name]
+        text = VIEWS[name].replace("{", "{{").replace("}", "}}")  # literal braces, as spark.sql fills in names
         used = [v for v in (*VIEWS, *self.GIVEN) if v != name and re.search(rf"\b(FROM|JOIN) {v}\b", text)]
         return self.spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], text), **{v: getattr(self, v) for v in used})

@@ -20,4 +20,4 @@ def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None =
         ORACLES[name] = SHARED_SQL + (", " + text[5:] if text.upper().startswith("WITH ") else " " + text)
 
 
-from hubbub.plans import activity, content, graph, quality_checks, signals, verdicts  # noqa: E402, F401
+from hubbub.plans import activity, content, graph, language, payloads, quality_checks, signals, streams, verdicts  # noqa: E402, F401

@@ -101,3 +101,40 @@ def mann_whitney(values: DataFrame, group: str, x: str) -> DataFrame:
     rows = h.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * F.col("rank")).alias("r"))
     u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2
     return rows.where("n_a >= 5 and n_b >= 5").select("n_a", "n_b", u.alias("u"), F.round(2 * u / (F.col("n_a") * F.col("n_b")) - 1, 6).alias("effect"))
+
+
+def ppi_daily(predicted: DataFrame, labelled: DataFrame, z: float = 1.96) -> DataFrame:
+    """predicted: post_id, day, p (0 or 1) of all posts; labelled: post_id, y of a few. The daily rate is the mean prediction
+    plus the mean correction of the labelled posts, with its interval. NULL where a day has fewer than two labels."""
+    rows = predicted.join(labelled, "post_id", "left").withColumn("d", F.col("y") - F.col("p"))
+    rows = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count("d").alias("n_labelled"), F.avg("p").alias("m"), F.avg("d").alias("c"), F.var_samp("p").alias("vp"), F.var_samp("d").alias("vd"))
+    rate, half = F.col("m") + F.col("c"), z * F.sqrt(F.col("vp") / F.col("n") + F.try_divide("vd", "n_labelled"))
+    enough = lambda c: F.when((F.col("n_labelled") > 1) & (F.col("n") > 1), F.round(c, 6))
+    return rows.select("day", "n", "n_labelled", enough(rate).alias("rate"), enough(rate - half).alias("low"), enough(rate + half).alias("high"))
+
+
+def quota_round_robin(units: DataFrame, quota: int, seed: str) -> DataFrame:
+    """units: unit_id, stratum. The strata take turns until the quota is full; within one the order is by hash."""
+    place = F.row_number().over(W.partitionBy("stratum").orderBy(F.md5(F.concat(F.col("unit_id").cast("string"), F.lit(seed))), "unit_id"))
+    rows = units.select("unit_id", "stratum", place.alias("place")).where(F.col("place") <= quota)
+    return rows.orderBy("place", "stratum").limit(quota)
+
+
+def verify_evidence(cited: DataFrame, served: DataFrame, key: str) -> DataFrame:
+    """Cited keys that were never served, with how often each is cited."""
+    return cited.join(served, key, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("times"))
+
+
+def export_review(rows: DataFrame, path: str) -> None:
+    """A tab-separated sheet with one line a post: white space is flattened, flags are y or n."""
+    flag = lambda c: F.when(F.col(c), "y").when(~F.col(c), "n").otherwise("").alias(c)
+    kinds = dict(rows.dtypes)
+    flat = lambda c: F.trim(F.regexp_replace(F.col(c).cast("string"), r"\s+", " ")).alias(c)
+    rows.select(*[flag(c) if kinds[c] == "boolean" else flat(c) for c in rows.columns]).write.csv(path, sep="\t", header=True, quote="", emptyValue="")
+
+
+def load_review(spark, path: str, flags: list[str]) -> DataFrame:
+    """The lines in which every given flag is filled with y or n."""
+    rows = spark.read.csv(path, sep="\t", header=True, quote="")
+    value = lambda c: F.when(F.lower(F.trim(c)) == "y", True).when(F.lower(F.trim(c)) == "n", False)
+    return rows.withColumns({f: value(F.col(f)) for f in flags}).where(" and ".join(f"{f} is not null" for f in flags))

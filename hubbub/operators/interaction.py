@@ -191,3 +191,30 @@ def interaction_by_cve(mentions: DataFrame, edges: DataFrame, records: DataFrame
         F.count(F.lit(1)).alias("posts"), F.countDistinct("author_id").alias("authors"), F.coalesce(F.sum("hits"), F.lit(0)).alias("interactions")
     )
     return rows.join(records.select("cve_id", "known_exploited"), "cve_id", "left").withColumn("known_exploited", F.coalesce("known_exploited", F.lit(False)))
+
+
+def mention_edges(posts: DataFrame) -> DataFrame:
+    """Author to mentioned handle, with posts; a handle counts once a post."""
+    found = F.regexp_extract_all(F.col("text"), F.lit(r"(?:^|[^\w@])(@[A-Za-z0-9_.-]*[A-Za-z0-9_])"), F.lit(1))
+    rows = posts.select("author_id", F.explode(F.array_distinct(F.transform(found, F.lower))).alias("handle"))
+    return rows.groupBy("author_id", "handle").agg(F.count(F.lit(1)).alias("posts"))
+
+
+def derive_run(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges of a run whose keys are not derived yet, one for each key (the lowest edge_no)."""
+    key = edge_key(F.col("edge_type"), F.col("actor"), F.col("seed_id")).alias("key")
+    rows = edges.select(key, "edge_no").groupBy("key").agg(F.min("edge_no").alias("edge_no"))
+    return rows.join(known.select(key).distinct(), "key", "left_anti")
+
+
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    return outcomes.groupBy("run_id", "endpoint").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("success", "partial", "unavailable", "failed")])
+
+
+def negative_control(edges: DataFrame) -> DataFrame:
+    """Replies with the targets of each hour dealt anew among its replies: actors, times and target counts stay. Both
+    orders are within an hour, so no task orders more than an hour's replies."""
+    rows = edges.where("edge_type = 'reply'").withColumn("hour", F.date_trunc("hour", "event_time"))
+    natural = rows.select("hour", "edge_no", "actor", F.row_number().over(W.partitionBy("hour").orderBy("edge_no")).alias("nth"))
+    dealt = rows.select("hour", F.col("target_id").alias("new_target"), F.row_number().over(W.partitionBy("hour").orderBy(F.md5(F.col("edge_no").cast("string")), "edge_no")).alias("nth"))
+    return natural.join(dealt, ["hour", "nth"]).select("edge_no", "actor", "new_target")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hubbub.operators import evaluation as e
 from hubbub.plans.catalog import register
+from hubbub.sources.staging import staging_path
 
 
 def version(t, v):
@@ -60,3 +61,30 @@ register("gate_eval", lambda t: e.gate_eval(version(t, "v1").withColumn("stratum
 register("mann_whitney", lambda t: e.mann_whitney(t.posts.select((F.col("k") % 2 == 0).alias("side"), (F.col("like_count") + F.col("repost_count")).alias("x")), "side", "x"), """WITH v AS (SELECT k % 2 = 0 AS side, like_count + repost_count AS x FROM posts WHERE repost_count IS NOT NULL),
       r AS (SELECT side, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS r FROM v), s AS (SELECT count(*) FILTER (side) AS n_a, count(*) FILTER (NOT side) AS n_b, sum(r) FILTER (side) AS r FROM r)
       SELECT n_a, n_b, r - n_a * (n_a + 1) / 2 AS u, round(2 * (r - n_a * (n_a + 1) / 2) / (n_a * n_b) - 1, 6) AS effect FROM s""")
+
+
+def daily_predictions(t):
+    flag = F.col("is_relevant").cast("int")
+    days = t.posts.select("post_id", F.to_date("published_at").alias("day")).join(version(t, "v2").select("post_id", flag.alias("p")), "post_id")
+    return e.ppi_daily(days, version(t, "v1").where("post_id % 10 = 0").select("post_id", flag.alias("y")))
+
+
+register("ppi_daily", daily_predictions, """WITH x AS (SELECT CAST(published_at AS DATE) AS day, CAST(b.is_relevant AS INTEGER) AS p, CASE WHEN post_id % 10 = 0 THEN CAST(a.is_relevant AS INTEGER) END - CAST(b.is_relevant AS INTEGER) AS d
+      FROM posts JOIN labels a USING (post_id) JOIN labels b USING (post_id) WHERE a.label_version = 'v1' AND b.label_version = 'v2'),
+      g AS (SELECT day, count(*) AS n, count(d) AS n_labelled, avg(p) + avg(d) AS rate, 1.96::DOUBLE * sqrt(var_samp(p) / count(*) + var_samp(d) / nullif(count(d), 0)) AS half FROM x GROUP BY 1)
+      SELECT day, n, n_labelled, CASE WHEN n_labelled > 1 AND n > 1 THEN round(rate, 6) END AS rate, CASE WHEN n_labelled > 1 AND n > 1 THEN round(rate - half, 6) END AS low, CASE WHEN n_labelled > 1 AND n > 1 THEN round(rate + half, 6) END AS high FROM g""")
+register("quota_round_robin", lambda t: e.quota_round_robin(version(t, "v2").where("topic_key is not null").select(F.col("post_id").alias("unit_id"), F.col("topic_key").alias("stratum")), 50, "q"), """SELECT post_id AS unit_id, topic_key AS stratum, CAST(row_number() OVER (PARTITION BY topic_key ORDER BY md5(post_id || 'q'), post_id) AS INTEGER) AS place
+      FROM labels WHERE label_version = 'v2' AND topic_key IS NOT NULL ORDER BY place, stratum LIMIT 50""")
+register("verify_evidence", lambda t: e.verify_evidence(t.posts.where("in_reply_to is not null").select(F.col("in_reply_to").alias("uri")), t.relevant.select("uri"), "uri"), "SELECT in_reply_to AS uri, count(*) AS times FROM posts WHERE in_reply_to IS NOT NULL AND in_reply_to NOT IN (SELECT uri FROM relevant) GROUP BY 1")
+
+
+def review_round_trip(t):
+    path = staging_path(t.spark, "review")
+    filled = lambda c, n: F.when(F.col("post_id") % n > 0, F.col(c)).alias(f"true_{c}")
+    rows = t.posts.select("post_id", "text").join(version(t, "v1"), "post_id")
+    e.export_review(rows.select("post_id", filled("is_cyber", 3), filled("is_canada", 4), "text"), path)
+    back = e.load_review(t.spark, path, ["true_is_cyber", "true_is_canada"])
+    return back.select(F.col("post_id").cast("long").alias("post_id"), "true_is_cyber", "true_is_canada", "text")
+
+
+register("review_tsv", review_round_trip, "SELECT post_id, is_cyber AS true_is_cyber, is_canada AS true_is_canada, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM posts JOIN labels USING (post_id) WHERE label_version = 'v1' AND post_id % 3 > 0 AND post_id % 4 > 0")

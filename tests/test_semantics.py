@@ -3,7 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from hubbub.operators import authors, content, descriptive, metrics, nullmodel, trend
+from hubbub.operators import authors, content, descriptive, evaluation, interaction, language, metrics, nullmodel, trend, verdicts
+from hubbub.sources import payloads
+from hubbub.streaming import ingest
 
 AS_OF = "2026-09-20 00:00:00"
 
@@ -115,3 +117,59 @@ def test_upserting_twice_adds_nothing(spark):
     first = content.upsert_posts(batch.limit(0), batch, keys, "n")
     assert sorted(r.n for r in first.collect()) == [1, 3]
     assert content.upsert_posts(first, batch, keys, "n").count() == 0
+
+
+def test_top_shares_of_tied_counts_do_not_depend_on_their_order(spark):
+    rows = spark.createDataFrame([("x", f"a{i}", 2) for i in range(12)] + [("y", "b", 3)], "kind string, actor string, n long")
+    found = {r.kind: r for r in interaction.concentration(rows, "kind", "n").collect()}
+    assert (found["x"].actors, found["x"].total, found["x"].top_1, found["x"].top_5, found["x"].top_10) == (12, 24, 0.083333, 0.416667, 0.833333)
+    assert found["y"].hhi == found["y"].top_1 == found["y"].top_10 == 1.0
+
+
+def test_missing_seeds_are_neither_observed_nor_silent(spark):
+    seeds = spark.createDataFrame([(1,), (2,), (3,)], "seed_id long")
+    status = spark.createDataFrame([(1, "observed"), (2, "failed")], "seed_id long, status string")
+    counts = spark.createDataFrame([(1, 0, 4, 0, 2, 3), (2, 5, 0, 0, 0, 1)], "seed_id long, d1 long, d2 long, quotes long, reposts long, actors long")
+    found = {r.seed_id: (r.status, r.observed, r.conversation) for r in interaction.seed_facts(seeds, status, counts).collect()}
+    assert found == {1: ("observed", True, False), 2: ("failed", False, False), 3: ("missing", False, False)}
+
+
+def test_rank_test_needs_five_on_each_side(spark):
+    few = spark.createDataFrame([(True, float(i)) for i in range(4)] + [(False, 1.0)] * 9, "side boolean, x double")
+    assert evaluation.mann_whitney(few, "side", "x").count() == 0
+    apart = spark.createDataFrame([(True, 9.0)] * 5 + [(False, 1.0)] * 6 + [(True, None)], "side boolean, x double")
+    assert [tuple(r) for r in evaluation.mann_whitney(apart, "side", "x").collect()] == [(5, 6, 30.0, 1.0)]
+
+
+def test_broken_answers_are_errors_and_never_guessed(spark):
+    said = ['{"topic": "view"}', 'well "topic": "view" so', '{"topic": "sports"}', "no json", "", None]
+    rows = spark.createDataFrame(list(enumerate(said)), "post_id long, answer string")
+    found = [(r.topic, r.confidence, r.error) for r in verdicts.parse_verdict(rows, ["view"]).orderBy("post_id").collect()]
+    assert found == [("view", "low", None)] * 2 + [(None, "low", "unknown_topic")] + [(None, "low", "no_topic")] * 3
+
+
+def test_entities_stand_only_with_their_text_and_suffix(spark):
+    posts = spark.createDataFrame([(1, "Fire at ACME.org today"), (2, None)], "post_id long, text string")
+    rows = [(1, "v", "acme.org", "domain"), (1, "v", "Fire", "place"), (1, "v", "Flood", "place"), (2, "v", "Fire", "place")]
+    entities = spark.createDataFrame(rows, "post_id long, label_version string, entity string, kind string")
+    found = {(r.post_id, r.entity): r.fault for r in verdicts.validate_entities(entities, posts, ".org").collect()}
+    assert found == {(1, "acme.org"): None, (1, "Fire"): None, (1, "Flood"): "not_in_text", (2, "Fire"): "not_in_text"}
+    assert {r.entity: r.offset for r in verdicts.post_entities(entities.where("post_id = 1"), posts).collect()} == {"acme.org": 8, "Fire": 0, "Flood": -1}
+
+
+def test_phrases_of_empty_null_and_one_word_texts(spark):
+    rows = spark.createDataFrame([("",), (None,), ("one",), ("one two one two",)], "text string").select(language.words(F.col("text")).alias("w"))
+    assert [r[0] or [] for r in rows.select(F.array_distinct(language.ngrams("w", 2))).collect()] == [[], [], [], ["one two", "two one"]]
+
+
+def test_streams_resume_without_repeats(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 01:00:00"), (2, "2024-01-02 00:00:00")], "id long, t string").selectExpr("id", "CAST(t AS timestamp) AS published_at")
+    for more in (rows, rows.selectExpr("id + 1 AS id", "published_at")):
+        more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.ingest(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), ["id"], str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_bodies_that_are_not_json_give_no_rows(spark):
+    bodies = spark.createDataFrame([("<html>",), (None,), ('{"posts": []}',), ('{"thread": {"post": {"uri": "a"}}}',)], "body string")
+    assert payloads.search_posts(bodies, "body").count() == payloads.thread_edges(bodies, "body").count() == 0

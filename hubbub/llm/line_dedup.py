@@ -117,7 +117,8 @@ def line_bitmaps(docs: DataFrame, *, min_points: int = 40, min_docs: int = 5) ->
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with the text that stays, and n_lines, n_dropped as they were found."""
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "bitmap")]
-    joined = docs.select(*names, whole_text(F.col("text")).alias("text")).join(bitmaps, "doc_id", "left")
+    # one bitmap for each affected document grows with docs: it is never broadcast, so the plan is alike at every size
+    joined = docs.select(*names, whole_text(F.col("text")).alias("text")).join(bitmaps.hint("merge"), "doc_id", "left")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names), "text string", "n_lines long", "n_dropped long"])
 
     def cut(batches):

@@ -105,8 +105,9 @@ def read_warc(spark: SparkSession, path: str, token: str) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Each record with the payload length of the response that it is or refers to."""
-    originals = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.octet_length(F.col("payload").cast("binary")).cast("long").alias("original_bytes")).distinct()
-    rows = records.join(originals, "refers_to_id", "left")
-    own = F.octet_length(F.col("payload").cast("binary")).cast("long")
-    return rows.withColumn("payload_bytes", F.when(F.col("record_type") == "response", own).otherwise(F.col("original_bytes")))
+    """Each record with the payload length of the response that it is or refers to. Payloads are measured before
+    the join, which carries them only if the caller asks for them. A response joins itself, so no key is null."""
+    size = F.octet_length(F.col("payload").cast("binary")).cast("long").alias("payload_bytes")
+    responses = records.where("record_type = 'response'").select(F.col("record_id").alias("response_id"), "payload_digest", size).distinct()
+    rows = records.withColumn("response_id", F.coalesce("refers_to_id", "record_id"))
+    return rows.join(responses, ["response_id", "payload_digest"], "left").drop("response_id")

@@ -2,8 +2,8 @@
 
 Headers (id, digest, length) are shuffled by payload digest and give, for each digest, the record that stays
 the response. Every other record becomes a revisit of it, with fresh headers and no payload. Records are written
-as text whose line separator is the blank line that ends a WARC record, so Spark commits the files on any store
-and can split them again. Each record's first header line after the version carries a token drawn for the archive;
+as text whose line separator is the blank line that ends a WARC record, so Spark commits the files on any store.
+Files are gzipped, one for each writing task: a task reads a file back whole, record by record. Each record's first header line after the version carries a token drawn for the archive;
 reading splits at that line, which no payload written before the token was drawn can hold, and checks every
 record against its Content-Length.
 
@@ -78,7 +78,7 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(body.cast("binary")).cast("string")),
     )
-    rows.select(F.concat(head, F.lit(_CRLF), body).alias("value")).write.option("lineSep", _CRLF * 2).text(path)
+    rows.select(F.concat(head, F.lit(_CRLF), body).alias("value")).write.option("lineSep", _CRLF * 2).option("compression", "gzip").text(path)
     return token
 
 

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from hubbub.operators import authors, content, descriptive, evaluation, interaction, language, metrics, nullmodel, trend, verdicts
+from hubbub.operators import authors, content, descriptive, evaluation, interaction, language, metrics, nullmodel, trend, units, verdicts
 from hubbub.sources import payloads
 from hubbub.streaming import ingest
 
@@ -173,3 +173,15 @@ def test_streams_resume_without_repeats(spark, tmp_path):
 def test_bodies_that_are_not_json_give_no_rows(spark):
     bodies = spark.createDataFrame([("<html>",), (None,), ('{"posts": []}',), ('{"thread": {"post": {"uri": "a"}}}',)], "body string")
     assert payloads.search_posts(bodies, "body").count() == payloads.thread_edges(bodies, "body").count() == 0
+
+
+def test_unclear_units_count_for_neither_side(spark):
+    rows = spark.createDataFrame([("automated_feed", "substantive_reply"), ("news_media", "substantive_reply"), (None, "information_seeking"), ("news_media", "unclear"), ("x", None)], "role string, function string")
+    found = [(r.signal, r.person_signal) for r in units.human_signal(rows).collect()]
+    assert found == [(0, 0), (1, None), (1, 1), (None, None), (None, None)]
+
+
+def test_records_without_metrics_have_no_score(spark):
+    bodies = ["no json", None, "{}", '{"metrics": {"cvssMetricV31": [], "cvssMetricV2": [{"cvssData": {"baseScore": 5.0}, "baseSeverity": "MEDIUM"}]}}']
+    rows = spark.createDataFrame(list(enumerate(bodies)), "id long, body string")
+    assert [(r.version, r.score, r.severity) for r in units.best_cvss(rows, "body").orderBy("id").collect()] == [(None, None, None)] * 3 + [("2.0", 5.0, "MEDIUM")]

@@ -3,8 +3,8 @@
 Headers (id, digest, length) are shuffled by payload digest and give, for each digest, the record that stays
 the response. Every other record becomes a revisit of it, with fresh headers and no payload. Records are written
 as text whose line separator is the blank line that ends a WARC record, so Spark commits the files on any store.
-Files are gzipped, one for each writing task: a task reads a file back whole, record by record. Each record's first header line after the version carries a token drawn for the archive;
-reading splits at that line, which no payload written before the token was drawn can hold, and checks every
+Files are gzipped, one for each writing task: a task reads a file back whole, record by record. Each
+record's first header line after the version carries a token drawn for the archive; reading splits at that line, which no payload written before the token was drawn can hold, and checks every
 record against its Content-Length.
 
 A null payload is empty. A null or odd url loses its control characters. Of rows that share payload and the
@@ -44,20 +44,22 @@ def _record_id(page_id: Column) -> Column:
 
 
 def resolve_revisits(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
-    """page_id and original (the id it revisits) of the rows that are revisits."""
+    """page_id, sha256 and original (the id it revisits) of the rows that are revisits."""
     payload = whole_text(F.col("html")).cast("binary")
     heads = pages.select("page_id", F.sha1(payload).alias("sha1"), F.sha2(payload, 256).alias("sha256"), F.octet_length(payload).alias("n"))
     heads = heads.where(F.col("n") >= min_bytes)
     same = ["sha1", "sha256", "n"]
     originals = heads.groupBy(same).agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return heads.join(originals, same).where("page_id <> original").select("page_id", "original").distinct()
+    return heads.join(originals, same).where("page_id <> original").select("page_id", "sha256", "original").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "2026-01-01T00:00:00Z") -> str:
     """Write pages (page_id, url, html) as WARC/1.1 to the folder path; returns the archive's token."""
     token = uuid.uuid4().hex
     pages = pages.select("page_id", "url", whole_text(F.col("html")).alias("html"))
-    rows = pages.join(resolve_revisits(pages, min_bytes=min_bytes), "page_id", "left")
+    # the digest too: rows that share an id may differ in their payload
+    named = pages.withColumn("sha256", F.sha2(F.col("html").cast("binary"), 256))
+    rows = named.join(resolve_revisits(pages, min_bytes=min_bytes), ["page_id", "sha256"], "left")
     payload = F.col("html").cast("binary")
     size, again = F.octet_length(payload), F.col("original").isNotNull()
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "")

@@ -282,3 +282,10 @@ def test_empty_tables_and_clashing_columns(spark, odd):
     assert sphere_filters.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     pages, path = spark.createDataFrame([], "page_id long, url string, html string"), fresh_path(spark, "warc")
     assert warc.read_warc(spark, path, warc.write_warc(pages, path)).count() == 0
+
+
+def test_warc_keeps_each_payload_of_a_repeated_id(spark):
+    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "yy"), (2, "u", "x")], "page_id long, url string, html string")
+    path = fresh_path(spark, "warc")
+    rows = warc.resolve(warc.read_warc(spark, path, warc.write_warc(pages, path))).collect()
+    assert sorted((r.page_id, r.record_type, r.payload_bytes, r.refers_to or 0) for r in rows) == [(1, "response", 2, 0), (1, "revisit", 1, 2), (2, "response", 1, 0)]

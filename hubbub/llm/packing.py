@@ -3,9 +3,10 @@
 A document's full windows are sequences of their own. Of the remaining lengths each task keeps a
 histogram. Seeded by the longest, a subset-sum search over the histogram, a bitset of reachable sums, picks
 the multiset that comes closest to the capacity; backtracking over the stored bitsets gives how many
-of each length, and the pattern is used as often as the counts allow. Remainders that no multiset completes
-wait for the next block. What is left at the end of a task is laid end to end and cut, its last window at
-powers of two, so that no sequence needs padding.
+of each length, and the pattern is used as often as the counts allow. A length that no multiset completes is set
+aside and the search goes on with the next longest, until none is left. What was set aside waits for the next block;
+if that is half a block or more, it is laid end to end and cut into whole windows. What is left at the end
+of a task is cut too, its last window at powers of two, so that no sequence needs padding.
 
 Tasks hold at most one block of ids and work alone: nothing is shuffled, whatever the sizes of documents or
 sources. Nulls and empty texts are the end id alone. Equal rows are packed one by one. An empty table
@@ -78,12 +79,14 @@ class _Packer:
             self.held.setdefault(n % size, []).append((doc_id, n - n % size, ids[4 * (n - n % size) :], n))
 
     def fill(self) -> None:
-        """Complete windows as long as some multiset fills one."""
+        """Complete windows, longest seed first. A seed that cannot be filled is in no full window of what is left, as
+        all shorter lengths were tried with it; so its length leaves the search and stays in held."""
         counts = {k: len(v) for k, v in self.held.items()}
         while counts:
             chosen, slack = closest_fill(counts, self.capacity)
             if slack:
-                break
+                del counts[max(counts)]
+                continue
             for _ in range(min(counts[x] // k for x, k in chosen.items())):
                 offset = 0
                 for length, k in chosen.items():
@@ -95,15 +98,20 @@ class _Packer:
                 if not counts[length]:
                     del counts[length], self.held[length]
 
-    def cut(self) -> None:
-        """Lay the rest end to end and cut it at the capacity, the last window at powers of two."""
+    def cut(self, last: bool = True) -> None:
+        """Lay the rest end to end and cut it at the capacity, the last window at powers of two. If more is to
+        come, what is short of a window is held."""
         rest = [part for length in sorted(self.held, reverse=True) for part in self.held[length]]
         left = sum(len(part[2]) // 4 for part in rest)
         room, offset = 0, 0
+        self.held = {}
         for part in rest:
             a, n = 0, len(part[2]) // 4
             while a < n:
                 if not room:
+                    if left < self.capacity and not last:
+                        self.held.setdefault(n - a, []).append((part[0], part[1] + a, part[2][4 * a :], part[3]))
+                        break
                     room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
                     left -= room
                     offset = 0
@@ -113,7 +121,6 @@ class _Packer:
                 a = b
                 if not room:
                     self.sequence += 1
-        self.held = {}
 
 
 def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, block_tokens: int = 1 << 22) -> DataFrame:
@@ -141,8 +148,9 @@ def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int = 1, capacity: int
                 held += len(ids) // 4
                 if held >= block_tokens:
                     packer.fill()
+                    if sum(k * len(v) for k, v in packer.held.items()) >= block_tokens // 2:
+                        packer.cut(last=False)
                     held = sum(k * len(v) for k, v in packer.held.items())
-                    held = held if held < block_tokens // 2 else 0
                     yield from done()
         packer.fill()
         packer.cut()

@@ -30,10 +30,21 @@ def observed(posts: DataFrame, as_of: str, w: int) -> DataFrame:
 
 def author_shift(posts: DataFrame, as_of: str, w: int, iterations: int) -> DataFrame:
     """iteration, topic, delta. Each task sums its own authors; only (iteration, topic) sums are shuffled."""
+    return _shifted(cells(posts, as_of, w), w, iterations)
+
+
+def _shifted(rows: DataFrame, w: int, iterations: int) -> DataFrame:
     shift = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("iteration").cast("string"), "author_id")), 1, 8), 16, 10).cast("long") % (2 * w)
-    rows = cells(posts, as_of, w).withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
-    side = F.when((F.col("day") + shift) % (2 * w) >= w, F.col("n")).otherwise(-F.col("n"))
-    return rows.groupBy("iteration", "topic").agg(F.sum(side).alias("delta"))
+    # the number of partitions is given: the few cells would be merged into one task, which makes all draws
+    own = rows.repartition(_tasks(rows), "author_id").groupBy("author_id").agg(F.collect_list(F.struct("topic", "day", "n")).alias("cells"))
+    drawn = own.withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long")))).withColumn("shift", shift)
+    drawn = drawn.select("iteration", "shift", F.inline("cells"))
+    side = F.when((F.col("day") + F.col("shift")) % (2 * w) >= w, F.col("n")).otherwise(-F.col("n"))
+    return drawn.groupBy("iteration", "topic").agg(F.sum(side).alias("delta"))
+
+
+def _tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def post_permutation(posts: DataFrame, as_of: str, w: int, iterations: int, seed: int = 1) -> DataFrame:
@@ -52,7 +63,7 @@ def post_permutation(posts: DataFrame, as_of: str, w: int, iterations: int, seed
 
     topics = cells(posts, as_of, w).groupBy("topic").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("day") >= w, F.col("n")).otherwise(0)).alias("c"))
     totals = topics.agg(F.sort_array(F.collect_list(F.struct("topic", "n"))).alias("topics"), F.sum("c").alias("n_cur")).where("n_cur is not null")
-    rows = totals.withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
+    rows = posts.sparkSession.range(0, iterations, 1, _tasks(posts)).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(totals))
     return rows.select("iteration", "topics", "n_cur").mapInArrow(draw, "iteration long, topic string, delta long")
 
 
@@ -73,9 +84,9 @@ def summary(seen: DataFrame, drawn: DataFrame) -> DataFrame:
 
 def power_scale(posts: DataFrame, as_of: str, w: int, iterations: int, scales: tuple[int, ...]) -> DataFrame:
     """Copies of the author pool: how the scaled delta compares with the null as the corpus grows."""
-    out = None
+    out, own, seen = None, cells(posts, as_of, w), observed(posts, as_of, w)
     for k in scales:
-        copies = posts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("author_id", F.concat_ws("#", "author_id", F.col("copy").cast("string")))
-        row = summary(observed(copies, as_of, w), author_shift(copies, as_of, w, iterations)).select(F.lit(k).alias("scale"), "topic", "observed", "max_null_p95", (F.abs("observed") > F.col("max_null_p95")).alias("above"))
+        copies = own.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("author_id", F.concat_ws("#", "author_id", F.col("copy").cast("string")))
+        row = summary(seen.withColumn("delta", k * F.col("delta")), _shifted(copies, w, iterations)).select(F.lit(k).alias("scale"), "topic", "observed", "max_null_p95", (F.abs("observed") > F.col("max_null_p95")).alias("above"))
         out = row if out is None else out.unionByName(row)
     return out

@@ -112,8 +112,12 @@ register("null_summary", lambda t: nullmodel.summary(nullmodel.observed(t.releva
         round((count(*) FILTER (abs(d.delta) >= abs(o.delta)) + 1) / (count(*) + 1), 6) AS p_raw FROM obs o JOIN drawn d USING (topic) GROUP BY o.topic, o.delta),
       f AS (SELECT o.topic, round((count(*) FILTER (m >= abs(o.delta)) + 1) / (count(*) + 1), 6) AS p_fwer FROM obs o, mx GROUP BY o.topic)
       SELECT s.*, p_fwer, round(max_null_p95, 6) AS max_null_p95, CASE WHEN p_fwer <= 0.05 THEN 'signal' WHEN p_raw <= 0.05 THEN 'weak' ELSE 'noise' END AS verdict FROM s JOIN f USING (topic), p95""")
-register("null_post_perm", lambda t: nullmodel.post_permutation(t.relevant, AS_OF, W, 40))
-register("power_scale", lambda t: nullmodel.power_scale(t.relevant, AS_OF, W, 20, (1, 2, 4)))
+# the whole tests, without twins as SQL is too slow; the two above repeat the first 40 draws in SQL
+DRAWS = 2000
+register("null_author_shift_2000", lambda t: nullmodel.author_shift(t.relevant, AS_OF, W, DRAWS))
+register("null_summary_2000", lambda t: nullmodel.summary(nullmodel.observed(t.relevant, AS_OF, W), nullmodel.author_shift(t.relevant, AS_OF, W, DRAWS)))
+register("null_post_perm", lambda t: nullmodel.post_permutation(t.relevant, AS_OF, W, DRAWS))
+register("power_scale", lambda t: nullmodel.power_scale(t.relevant, AS_OF, W, DRAWS, (1, 2, 4, 8, 16)))
 
 # daily series
 _DAILY = "td AS (SELECT topic, CAST(published_at AS DATE) AS day, count(*) AS n FROM relevant GROUP BY ALL), span AS (SELECT min(day) AS a, max(day) AS b FROM td), grid AS (SELECT topic, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT topic FROM td), span), filled AS (SELECT topic, day, coalesce(n, 0) AS n FROM grid LEFT JOIN td USING (topic, day))"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hubbub.operators import authors, content, descriptive, evaluation, interaction, language, metrics, nullmodel, trend, units, verdicts
 from hubbub.sources import payloads
+from hubbub.plans import catalog
 from hubbub.streaming import ingest
 
 AS_OF = "2026-09-20 00:00:00"
@@ -79,6 +80,17 @@ def test_p_values_are_never_zero_and_fwer_is_no_smaller(spark):
     assert drawn.exceptAll(again).count() == 0
 
 
+def test_registered_tests_make_all_draws_in_many_tasks(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    whole, first = (catalog.QUERIES[name](spark, sf_dir) for name in ("null_author_shift_2000", "null_author_shift"))
+    posted = catalog.QUERIES["null_post_perm"](spark, sf_dir)
+    assert whole.select("iteration").distinct().count() == posted.select("iteration").distinct().count() == 2000
+    assert posted.select(F.spark_partition_id()).distinct().count() > 1
+    assert whole.where("iteration < 40").exceptAll(first).count() == first.exceptAll(whole).count() == 0
+    assert min(r.p_raw for r in catalog.QUERIES["null_summary_2000"](spark, sf_dir).collect()) < 1
+    assert {r.scale for r in catalog.QUERIES["power_scale"](spark, sf_dir).collect()} == {1, 2, 4, 8, 16}
+
+
 def test_post_permutation_is_blind_on_one_topic(spark):
     rows = posts(spark, [("x", "a", 1)] * 6 + [("x", "a", 9)] * 2)
     assert {r.delta for r in nullmodel.post_permutation(rows, AS_OF, 7, 10).collect()} == {4}

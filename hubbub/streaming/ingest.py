@@ -24,16 +24,18 @@ def repaired(stream: DataFrame, created: str, indexed: str) -> DataFrame:
     return resolve_published_at(stream.withColumns(clocks))
 
 
-def ingest(stream: DataFrame, key: list[str], path: str, checkpoint: str, delay: str = "2 days") -> None:
-    """Append each key's first row; repeats that come within the delay are dropped, so the state stays bounded."""
-    rows = stream.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(key)
+def ingest(stream: DataFrame, key: list[str], path: str, checkpoint: str, delay: str | None = "2 days") -> None:
+    """Append each key's first row. With a delay the state stays bounded, and every row that comes later than that is
+    dropped, first or not. Without one no row is ever late; the state holds every key."""
+    rows = stream.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(key) if delay else stream.dropDuplicates(key)
     rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def window_counts(stream: DataFrame, width: str, slide: str, by: str, path: str, checkpoint: str, delay: str = "2 days") -> None:
+def window_counts(stream: DataFrame, width: str, slide: str, by: str, path: str, checkpoint: str, delay: str | None = "2 days") -> None:
     """Counts of sliding or tumbling windows. Each batch writes the windows that it has changed under its own number,
-    so a repeated batch overwrites itself."""
-    counts = stream.withWatermark("published_at", delay).groupBy(F.window("published_at", width, slide), by).agg(F.count(F.lit(1)).alias("n"))
+    so a repeated batch overwrites itself. Without a delay every window stays open and no row is left out."""
+    timed = stream.withWatermark("published_at", delay) if delay else stream
+    counts = timed.groupBy(F.window("published_at", width, slide), by).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), by, "n")
     each = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/of={number}")
     counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
@@ -43,13 +45,15 @@ def latest_counts(spark: SparkSession, path: str, by: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("start", "end", by).agg(F.max_by("n", "batch").alias("n"))
 
 
-def run_ingest(spark: SparkSession, stream: DataFrame, key: list[str], delay: str = "2 days") -> DataFrame:
+def run_ingest(spark: SparkSession, stream: DataFrame, key: list[str], delay: str | None = None) -> DataFrame:
+    """A backfill: files come in any order of event time, so by default nothing is late."""
     out = staging_path(spark, "ingest")
     ingest(stream, key, f"{out}/rows", f"{out}/checkpoint", delay)
     return spark.read.parquet(f"{out}/rows")
 
 
-def run_windows(spark: SparkSession, stream: DataFrame, width: str, slide: str, by: str, delay: str = "2 days") -> DataFrame:
+def run_windows(spark: SparkSession, stream: DataFrame, width: str, slide: str, by: str, delay: str | None = None) -> DataFrame:
+    """A backfill, as run_ingest."""
     out = staging_path(spark, "windows")
     window_counts(stream, width, slide, by, f"{out}/counts", f"{out}/checkpoint", delay)
     return latest_counts(spark, f"{out}/counts", by)

@@ -1,5 +1,7 @@
 import datetime as dt
+import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +184,21 @@ def test_streams_resume_without_repeats(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
 
 
+def test_backfills_keep_all_rows_of_many_files_in_any_order_of_time(spark, tmp_path):
+    rows = pq.read_table("/root/testdata/sf0.001/events.parquet").sort_by([("ts", "descending")])
+    (tmp_path / "events.parquet").mkdir()
+    step = len(rows) // 300
+    for i, at in enumerate(range(0, len(rows), step)):  # over 200 files are three batches, and the newest rows come first
+        path = tmp_path / "events.parquet" / f"{i:03}.parquet"
+        pq.write_table(rows.slice(at, step), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    assert i > 200
+    out = lambda name: catalog.QUERIES[name](spark, str(tmp_path))
+    assert out("stream_ingest").count() == out("stream_ingest").select("event_id").distinct().count() == len(rows)
+    for name, times in (("stream_late_repair", 1), ("stream_topic_windows", 1), ("stream_sliding_windows", 2)):
+        assert out(name).agg(F.sum("n")).first()[0] == times * len(rows)
+
+
 def test_bodies_that_are_not_json_give_no_rows(spark):
     bodies = spark.createDataFrame([("<html>",), (None,), ('{"posts": []}',), ('{"thread": {"post": {"uri": "a"}}}',)], "body string")
     assert payloads.search_posts(bodies, "body").count() == payloads.thread_edges(bodies, "body").count() == 0

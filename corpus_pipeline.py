@@ -1,7 +1,9 @@
 """From raw documents to packed sequences: five stages, each written as Parquet and read by the next.
 
 Null and empty texts are scored like others; what stays of them packs as the end id alone. Of repeated rows of one
-doc_id one stays from the near-duplicate stage on. Empty tables give no pieces. Further columns of documents
+doc_id one stays from the near-duplicate stage on. A row with a null doc_id is a document of its own, which near
+duplicates and mixing see under a number above all ids and return with null; that number, and so the draw of the mix,
+may differ between runs. Empty tables give no pieces. Further columns of documents
 pass through every stage but the last.
 """
 
@@ -18,6 +20,19 @@ from hubbub.llm.common import stage
 MIN_SCORE = 0.3
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """docs with a number above all ids for each null doc_id, and the largest id; None if there is no null."""
+    if docs.where("doc_id is null").isEmpty():
+        return docs, None
+    most = docs.agg(F.max("doc_id")).first()[0] or 0
+    number = F.lit(most + 1).cast("long") + F.monotonically_increasing_id()
+    return stage(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), number)), "numbered"), most
+
+
+def _unnumbered(rows: DataFrame, most: int | None) -> DataFrame:
+    return rows if most is None else rows.withColumn("doc_id", F.when(F.col("doc_id") <= most, F.col("doc_id")))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality.fit(docs, labels.where(quality.fold(F.col("doc_id")) != 0))
@@ -31,17 +46,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shingles of five words, similarity 0.8 or more."""
+    docs, most = _numbered(docs)
     plan = setsketch.Plan(width=5, percent=80, bands=32, rows=5)
     found = setsketch.near_duplicates(docs, plan)
     kept = found.where("doc_id = component").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _unnumbered(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]), most)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes."""
+    docs, most = _numbered(docs)
     copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
     rows = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(docs.columns)
+    return _unnumbered(rows.select(docs.columns), most)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

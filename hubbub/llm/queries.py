@@ -64,7 +64,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     token = warc.write_warc(_table(spark, sf_dir, "pages"), path, min_bytes=0)
     rows = warc.resolve(warc.read_warc(spark, path, token))
-    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    broken = F.raise_error(F.lit("a record of the archive is not whole")).cast("long")
+    page_id = F.when(F.coalesce("whole", F.lit(False)), F.col("page_id")).otherwise(broken)
+    return rows.select(page_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:

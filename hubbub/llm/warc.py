@@ -7,6 +7,8 @@ Files are gzipped, one for each writing task: a task reads a file back whole, re
 record's first header line after the version carries a token drawn for the archive; reading splits at that line, which no payload written before the token was drawn can hold, and checks every
 record against its Content-Length.
 
+A null page_id is no key: its record has no WARC-Page-ID, an id named by its payload, and reads back with null. It
+revisits the payload's largest id, or is a response if no row with an id shares the payload.
 A null payload is empty. A null or odd url loses its control characters. Of rows that share payload and the
 largest id, all are responses. Payloads below min_bytes are never revisited. An empty table writes an archive
 without records. Digests are SHA-1 as the format wants it; rows are matched by SHA-1, SHA-256 and length.
@@ -37,7 +39,7 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def _record_id(page_id: Column) -> Column:
-    """A name-based urn that is the same in every run."""
+    """A name-based urn that is the same in every run. page_id: or what names a record without one."""
     h = F.md5(F.concat(F.lit("record:"), page_id.cast("string")))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
@@ -50,7 +52,7 @@ def resolve_revisits(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     heads = heads.where(F.col("n") >= min_bytes)
     same = ["sha1", "sha256", "n"]
     originals = heads.groupBy(same).agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return heads.join(originals, same).where("page_id <> original").select("page_id", "sha256", "original").distinct()
+    return heads.join(originals, same).where("original is not null and not page_id <=> original").select("page_id", "sha256", "original").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "2026-01-01T00:00:00Z") -> str:
@@ -59,7 +61,8 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "
     pages = pages.select("page_id", "url", whole_text(F.col("html")).alias("html"))
     # the digest too: rows that share an id may differ in their payload
     named = pages.withColumn("sha256", F.sha2(F.col("html").cast("binary"), 256))
-    rows = named.join(resolve_revisits(pages, min_bytes=min_bytes), ["page_id", "sha256"], "left")
+    again = resolve_revisits(pages, min_bytes=min_bytes).withColumnsRenamed({"page_id": "of", "sha256": "digest"})
+    rows = named.join(again, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("sha256") == F.col("digest")), "left")
     payload = F.col("html").cast("binary")
     size, again = F.octet_length(payload), F.col("original").isNotNull()
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "")
@@ -69,8 +72,8 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "
     head = F.concat(
         F.lit(f"WARC/1.1{_CRLF}WARC-Archive-Token: {token}{_CRLF}"),
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"))),
-        line("WARC-Page-ID", F.col("page_id").cast("string")),
+        line("WARC-Record-ID", _record_id(F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("null:"), "sha256")))),
+        F.coalesce(line("WARC-Page-ID", F.col("page_id").cast("string")), F.lit("")),
         line("WARC-Target-URI", url),
         line("WARC-Date", F.lit(date)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(payload))),

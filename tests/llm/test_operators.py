@@ -305,3 +305,21 @@ def test_warc_keeps_each_payload_of_a_repeated_id(spark):
     path = fresh_path(spark, "warc")
     rows = warc.resolve(warc.read_warc(spark, path, warc.write_warc(pages, path))).collect()
     assert sorted((r.page_id, r.record_type, r.payload_bytes, r.refers_to or 0) for r in rows) == [(1, "response", 2, 0), (1, "revisit", 1, 2), (2, "response", 1, 0)]
+
+
+def test_warc_keeps_pages_without_an_id(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x"), (None, "u", "x"), (None, "u", "yy"), (None, None, None), (3, "u", "z")], "page_id long, url string, html string")
+    path = fresh_path(spark, "warc")
+    records = warc.read_warc(spark, path, warc.write_warc(pages.coalesce(1), path))
+    assert all(r.whole for r in records.collect()) and records.select("record_id").distinct().count() == 5
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    for rows in (warc.resolve(records), queries.op8_warc(spark, str(tmp_path))):
+        got = sorted((r.page_id or 0, r.record_type, r.payload_bytes, r.refers_to or 0) for r in rows.collect())
+        assert got == [(0, "response", 0, 0), (0, "response", 2, 0), (0, "revisit", 1, 1), (1, "response", 1, 0), (3, "response", 1, 0)]
+
+
+def test_op8_fails_when_a_record_is_not_whole(spark, monkeypatch):
+    read = warc.read_warc
+    monkeypatch.setattr(warc, "read_warc", lambda *a: read(*a).withColumn("whole", F.col("page_id") % 7 != 3))
+    with pytest.raises(Exception, match="not whole"):
+        queries.op8_warc(spark, SF).collect()

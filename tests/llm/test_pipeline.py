@@ -23,3 +23,15 @@ def test_stages_against_brute_force(spark):
 def test_labels_of_held_out_rows_are_not_learned(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").selectExpr("doc_id", "quality AS label")
     assert labels.where(quality.fold(labels.doc_id) == 0).count() > 0
+
+
+def test_documents_without_an_id_stay(spark):
+    rows = [(i if i % 3 else None, f"text {i} " + " ".join(f"w{i}x{k}" for k in range(30)), "en", "s", 100) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(p.STAGES)
+    for name in ("line_dedup", "near_dedup"):
+        docs = stages[name](spark, docs, SF)
+        assert sorted(r.text for r in docs.collect()) == sorted(r[1] for r in rows)
+        assert docs.where("doc_id is null").count() == 10
+    mixed = stages["mixing"](spark, docs, SF)
+    assert mixed.select("text").distinct().count() == 30 and mixed.where("doc_id is null").select("text").distinct().count() == 10

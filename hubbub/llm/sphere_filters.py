@@ -12,8 +12,9 @@ block. Equal vectors are folded into one with a weight. The threshold follows th
 keep about `bucket` members, so work grows in proportion, while a pair at the limit still shares several of
 its filters. Recall is measured against brute force in the tests.
 
-Vectors that are null, empty, zero, hold null or non-finite components, or have another length than the longest
-common one link with nothing. Repeated rows link with each other. Empty tables give no rows. Labels and
+Vectors of each length are searched by a code of their own, so all of equal length are compared, and vectors of
+different lengths never link. A length with few vectors, or a short one, has one filter that holds them all. Vectors that
+are null, empty, zero, or hold null or non-finite components link with nothing. Repeated rows link with each other. Empty tables give no rows. Labels and
 other columns are not read.
 """
 
@@ -57,6 +58,16 @@ class Filters:
         """Directions in each block's code."""
         return math.ceil(math.sqrt(self.per_vector / self.codes / self.tail))
 
+    @property
+    def single(self) -> bool:
+        """One filter holds all vectors: there are few, or the length is too short for caps to tell them apart."""
+        return self.count <= 2 * self.bucket or self.dim <= 8
+
+    @property
+    def numbers(self) -> int:
+        """Numbers that the filters take up."""
+        return 1 if self.single else self.codes * self.size**2
+
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
     n, h = x.shape[1], 1
@@ -169,22 +180,32 @@ def near_vectors(table: DataFrame, *, vector_id: str = "vec_id", vector: str = "
     good = rows.where("key is not null")
     reps = good.groupBy("key").agg(F.min(F.struct("id", "vector")).alias("rep"), F.count(F.lit(1)).alias("weight"))
     reps = stage(reps.select("key", F.col("rep.id").alias("id"), F.col("rep.vector").alias("vector"), "weight"), "distinct-vectors")
-    count, dim = reps.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    code = Filters(dim or 2, count)
+    lengths = reps.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()
+    plans, first = {}, 0  # length -> its filters and the number of the first one
+    for dim, n in lengths:
+        plans[dim] = Filters(dim, n), first
+        first += plans[dim][0].numbers
 
     def listed(batches):
-        coder = FilterCode(code)
+        coders = {}
         for batch in batches:
-            lists = batch["vector"].to_pylist()
-            unit = np.zeros((len(lists), code.dim))
+            lists, found = batch["vector"].to_pylist(), {}
             for at, v in enumerate(lists):
-                if len(v) == code.dim:
-                    unit[at] = np.array(v) / np.linalg.norm(v)
-            filters = pa.array([f.tolist() for f in coder.filters(unit)], pa.list_(pa.int64())) if len(lists) else pa.array([], pa.list_(pa.int64()))
+                found.setdefault(len(v), []).append(at)
+            filters = [[]] * len(lists)
+            for dim, places in found.items():
+                plan, base = plans[dim]
+                if plan.single:
+                    rows = [np.zeros(1, np.int64)] * len(places)
+                else:
+                    coder = coders.get(dim) or coders.setdefault(dim, FilterCode(plan))
+                    rows = coder.filters(np.stack([np.array(lists[at]) / np.linalg.norm(lists[at]) for at in places]))
+                for at, f in zip(places, rows):
+                    filters[at] = (f + base).tolist()
+            filters = pa.array(filters, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch["id"], batch["vector"], batch["weight"], filters], ["id", "vector", "weight", "filters"])
 
-    listed_rows = reps.select("id", "vector", "weight").where(F.size("vector") == code.dim)
-    listed_rows = stage(listed_rows.mapInArrow(listed, "id long, vector array<double>, weight long, filters array<long>"), "filters")
+    listed_rows = stage(reps.select("id", "vector", "weight").mapInArrow(listed, "id long, vector array<double>, weight long, filters array<long>"), "filters")
     thin = listed_rows.select("id", F.explode("filters").alias("filter"))
     sizes = thin.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     placed = thin.join(sizes, "filter").join(listed_rows, "id").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))

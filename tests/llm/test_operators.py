@@ -182,6 +182,17 @@ def test_vectors_link_as_brute_force_with_a_large_group_and_bad_rows(spark):
     assert all(out[i].n_links == 0 and out[i].component == i for i in range(5000, 5005))
 
 
+def test_vectors_of_each_length_link_among_themselves(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(400, 64))
+    near = base[:40] + rng.normal(size=(40, 64)) * 0.1
+    short = rng.normal(size=(3, 20))
+    vectors = [*base, *near, *short, *(short + 0.01), rng.normal(size=65)]
+    out = {r.id: r for r in sphere_filters.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect()}
+    assert [out[i].n_links for i in range(40)] == [1] * 40 and [out[400 + i].component for i in range(40)] == list(range(40))
+    assert [out[443 + i].component for i in range(3)] == [440, 441, 442] and out[446].n_links == 0
+
+
 # 6
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"

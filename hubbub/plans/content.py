@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from hubbub.operators import content as c
 from hubbub.operators.descriptive import top
 from hubbub.operators.trend import in_window
-from hubbub.plans.adapters import AS_OF
-from hubbub.plans.catalog import register
+from hubbub.plans.adapters import AS_OF, RECORDS_CUT
+from hubbub.plans.catalog import BUILDS, ORACLES, register
 from hubbub.plans.signals import _CUR, FLAGGED_SQL, flagged
 
 _URLS = r"""regexp_extract_all(text, '(https?://[^\s<>"'']+)', 1)"""
@@ -83,6 +83,20 @@ register("cve_posts", lambda t: top(c.extract_cves(t.posts).where("cve_id = 'CVE
 register("related_cves", lambda t: c.extract_cves(t.relevant).join(t.relevant.select("post_id", "topic"), "post_id").groupBy("topic", "cve_id").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_CV} SELECT topic, cve_id, count(*) AS posts FROM mention JOIN relevant USING (post_id) GROUP BY 1, 2")
 register("kev_concentration", lambda t: c.extract_cves(t.posts).join(t.cve_records, "cve_id", "left").agg(F.round(F.countDistinct(F.when(F.col("known_exploited"), F.col("cve_id"))) / F.countDistinct("cve_id"), 6).alias("of_cves"), F.round(F.count_if("known_exploited") / F.count(F.lit(1)), 6).alias("of_mentions")), f"WITH {_CV} SELECT round(count(DISTINCT cve_id) FILTER (known_exploited) / count(DISTINCT cve_id), 6) AS of_cves, round(count(*) FILTER (known_exploited) / count(*), 6) AS of_mentions FROM mention LEFT JOIN cve_records USING (cve_id)")
 
+# over all parts as records, whatever their number; the twins are the SQL above without the cut
+for _name in ("lookup_cve", "enrich_queue", "top_cves", "kev_concentration"):
+    register(f"{_name}_all", lambda t, build=BUILDS[_name]: build(t.with_all_records()))
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(RECORDS_CUT, "")
+
+
+def kev_list(t):
+    """Every third part names an id; about half of these are records."""
+    return t.given("part").where("p_partkey % 3 = 0").select(F.concat(F.lit("CVE-2024-"), (1000 + 2 * F.col("p_partkey")).cast("string")).alias("cve_id"), F.lit("2024-01-05").cast("date").alias("kev_date"))
+
+
+register("merge_kev_all", lambda t: c.merge_kev(t.with_all_records().cve_records, kev_list(t)), "WITH kv AS (SELECT 'CVE-2024-' || (1000 + 2 * p_partkey) AS cve_id, DATE '2024-01-05' AS kev_date FROM part WHERE p_partkey % 3 = 0) SELECT coalesce(r.cve_id, k.cve_id) AS cve_id, cvss, CASE WHEN k.cve_id IS NOT NULL THEN true ELSE known_exploited END AS known_exploited, kev_date FROM cve_records r FULL JOIN kv k ON r.cve_id = k.cve_id")
+ORACLES["merge_kev_all"] = ORACLES["merge_kev_all"].replace(RECORDS_CUT, "")
+
 
 def cve_vector(t):
     m = c.extract_cves(t.posts).join(t.posts.select("post_id", F.to_date("published_at").alias("day")), "post_id").groupBy("cve_id", "day").agg(F.count(F.lit(1)).alias("n"))

@@ -119,6 +119,13 @@ def test_cve_identifiers(spark, text, found):
     assert [(r.cve_id, r.char_start) for r in content.extract_cves(rows).collect()] == found
 
 
+def test_records_grow_with_the_parts(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        parts = spark.read.parquet(f"/root/testdata/{sf}/part.parquet").count()
+        assert catalog.QUERIES["lookup_cve_all"](spark, f"/root/testdata/{sf}").count() == parts
+        assert catalog.QUERIES["merge_kev_all"](spark, f"/root/testdata/{sf}").where("cvss is not null").count() == parts
+
+
 def test_post_times(spark):
     texts = ["2026-09-01T10:00:00Z", "2026-09-01T10:00:00.123456789Z", "2026-09-01T12:00:00+02:00", "2026-09-01T10:00:00", "Tue, 01 Sep 2026 10:00:00 +0000", "soon"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(content.parse_post_time(F.col("t")).alias("x")).collect()

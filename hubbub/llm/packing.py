@@ -3,14 +3,16 @@
 A document's full windows are sequences of their own. Of the remaining lengths each task keeps a
 histogram. Seeded by the longest, a subset-sum search over the histogram, a bitset of reachable sums, picks
 the multiset that comes closest to the capacity; backtracking over the stored bitsets gives how many
-of each length, and the pattern is used as often as the counts allow. A length that no multiset completes is set
-aside and the search goes on with the next longest, until none is left. What was set aside waits for the next block;
-if that is half a block or more, it is laid end to end and cut into whole windows. What is left at the end
-of a task is cut too, its last window at powers of two, so that no sequence needs padding.
-
-Tasks hold at most one block of ids and work alone: nothing is shuffled, whatever the sizes of documents or
-sources. Nulls and empty texts are the end id alone. Equal rows are packed one by one. An empty table
-gives no pieces. Columns other than doc_id and text are not read.
+of each length. A multiset without slack is used as often as the counts allow. A seed that no multiset completes is
+set aside and the search goes on with the next longest; what was set aside waits for the next block. When half a
+block waits, and at the end of a task, the closest multiset is used with its slack: one more remainder is cut to
+fill it, and what is left of that goes back to the histogram. When everything left is shorter than a window, the
+same search fills sequences of powers of two, so no sequence needs padding. Each piece tells how it was placed: whole
+(a full window of its document), search (a remainder in a multiset that was found), cut (what fills a slack).
+
+A task holds at most one block of remaining ids beside the document at hand and works alone: nothing is shuffled,
+whatever the sizes of documents or sources. Nulls and empty texts are the end id alone. Equal rows are packed one by
+one. An empty table gives no pieces. Columns other than doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 from hubbub.llm.common import whole_text
 from hubbub.llm.tokens import word_encoder
 
-PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, placed string"
 _PIECE = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
-    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
+    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("placed", pa.string()),
 ])
 
 
@@ -57,30 +59,50 @@ def closest_fill(counts: dict[int, int], capacity: int) -> tuple[dict[int, int],
 
 
 class _Packer:
-    """Pieces of one task. held: length -> remainders (doc_id, start, ids, doc_tokens)."""
+    """Pieces of one task. held: length -> remainders (doc_id, start, ids, doc_tokens), tokens of them in all."""
 
     def __init__(self, capacity: int, first_sequence: int):
         self.capacity, self.sequence = capacity, first_sequence
         self.held: dict[int, list[tuple]] = {}
+        self.tokens = 0
         self.out: list[tuple] = []
 
-    def _put(self, part: tuple, offset: int, a: int = 0, b: int | None = None) -> int:
+    def _put(self, part: tuple, offset: int, how: str) -> int:
         doc_id, start, ids, doc_tokens = part
-        b = len(ids) // 4 if b is None else b
-        self.out.append((doc_id, start + a, b - a, ids[4 * a : 4 * b], doc_tokens, self.sequence, offset))
-        return offset + b - a
+        n = len(ids) // 4
+        self.out.append((doc_id, start, n, ids, doc_tokens, self.sequence, offset, how))
+        return offset + n
+
+    def _hold(self, part: tuple) -> None:
+        n = len(part[2]) // 4
+        self.held.setdefault(n, []).append(part)
+        self.tokens += n
+
+    def _take(self, length: int) -> tuple:
+        part = self.held[length].pop()
+        if not self.held[length]:
+            del self.held[length]
+        self.tokens -= length
+        return part
+
+    def _window(self, chosen: dict[int, int]) -> int:
+        offset = 0
+        for length, k in chosen.items():
+            for _ in range(k):
+                offset = self._put(self._take(length), offset, "search")
+        return offset
 
     def add(self, doc_id: int, ids: bytes) -> None:
         n, size = len(ids) // 4, self.capacity
         for start in range(0, n - n % size, size):
-            self._put((doc_id, start, ids[4 * start : 4 * (start + size)], n), 0)
+            self._put((doc_id, start, ids[4 * start : 4 * (start + size)], n), 0, "whole")
             self.sequence += 1
         if n % size:
-            self.held.setdefault(n % size, []).append((doc_id, n - n % size, ids[4 * (n - n % size) :], n))
+            self._hold((doc_id, n - n % size, ids[4 * (n - n % size) :], n))
 
     def fill(self) -> None:
-        """Complete windows, longest seed first. A seed that cannot be filled is in no full window of what is left, as
-        all shorter lengths were tried with it; so its length leaves the search and stays in held."""
+        """Windows without slack, longest seed first. A seed that cannot be completed is in no full window of what is
+        left, as all shorter lengths were tried with it; so its length leaves the search and stays in held."""
         counts = {k: len(v) for k, v in self.held.items()}
         while counts:
             chosen, slack = closest_fill(counts, self.capacity)
@@ -88,39 +110,35 @@ class _Packer:
                 del counts[max(counts)]
                 continue
             for _ in range(min(counts[x] // k for x, k in chosen.items())):
-                offset = 0
-                for length, k in chosen.items():
-                    for _ in range(k):
-                        offset = self._put(self.held[length].pop(), offset)
+                self._window(chosen)
                 self.sequence += 1
             for length in chosen:
-                counts[length] = len(self.held[length])
+                counts[length] = len(self.held.get(length, ()))
                 if not counts[length]:
-                    del counts[length], self.held[length]
-
-    def cut(self, last: bool = True) -> None:
-        """Lay the rest end to end and cut it at the capacity, the last window at powers of two. If more is to
-        come, what is short of a window is held."""
-        rest = [part for length in sorted(self.held, reverse=True) for part in self.held[length]]
-        left = sum(len(part[2]) // 4 for part in rest)
-        room, offset = 0, 0
-        self.held = {}
-        for part in rest:
-            a, n = 0, len(part[2]) // 4
-            while a < n:
-                if not room:
-                    if left < self.capacity and not last:
-                        self.held.setdefault(n - a, []).append((part[0], part[1] + a, part[2][4 * a :], part[3]))
-                        break
-                    room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-                    left -= room
-                    offset = 0
-                b = min(n, a + room)
-                offset = self._put(part, offset, a, b)
-                room -= b - a
-                a = b
-                if not room:
-                    self.sequence += 1
+                    del counts[length]
+
+    def _close(self, size: int) -> None:
+        """One sequence of size tokens, of which so many are held: the closest multiset, a remainder cut to fill its
+        slack. Every remainder outside the multiset is longer than that slack."""
+        counts = {k: len(v) for k, v in self.held.items() if k <= size}
+        chosen, slack = closest_fill(counts, size) if counts else ({}, size)
+        offset = self._window(chosen)
+        if slack:
+            doc_id, start, ids, doc_tokens = self._take(max(self.held))
+            self._put((doc_id, start, ids[: 4 * slack], doc_tokens), offset, "cut")
+            self._hold((doc_id, start + slack, ids[4 * slack :], doc_tokens))
+        self.sequence += 1
+
+    def settle(self, most: int) -> None:
+        """The closest windows until at most `most` tokens or less than a window are held."""
+        while self.tokens > most and self.tokens >= self.capacity:
+            self._close(self.capacity)
+
+    def finish(self) -> None:
+        """Everything: what is shorter than a window goes to sequences of powers of two."""
+        self.settle(0)
+        while self.tokens:
+            self._close(1 << (self.tokens.bit_length() - 1))
 
 
 def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, block_tokens: int = 1 << 22) -> DataFrame:
@@ -132,28 +150,25 @@ def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int = 1, capacity: int
 
     def pieces(batches):
         encoder, end = word_encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
-        packer, held = _Packer(capacity, TaskContext.get().partitionId() << 36), 0
+        packer = _Packer(capacity, TaskContext.get().partitionId() << 36)
 
         def done():
             rows, packer.out = packer.out, []
-            for i in range(0, len(rows), 4096):
-                columns = zip(*rows[i : i + 4096])
+            for i in range(0, len(rows), 1024):
+                columns = zip(*rows[i : i + 1024])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE)], schema=_PIECE)
 
         for batch in batches:
             doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
             for doc_id, text in zip(doc_ids, texts):
-                ids = encoder.encode([text])[0] + end
-                packer.add(doc_id, ids)
-                held += len(ids) // 4
-                if held >= block_tokens:
+                packer.add(doc_id, encoder.encode([text])[0] + end)
+                if packer.tokens >= block_tokens:
                     packer.fill()
-                    if sum(k * len(v) for k, v in packer.held.items()) >= block_tokens // 2:
-                        packer.cut(last=False)
-                    held = sum(k * len(v) for k, v in packer.held.items())
+                    packer.settle(block_tokens // 2)
+                if len(packer.out) >= 1024:
                     yield from done()
         packer.fill()
-        packer.cut()
+        packer.finish()
         yield from done()
 
     rows = docs.select("doc_id", whole_text(F.col("text")).alias("text"))

@@ -149,22 +149,6 @@ def test_closest_fill_equals_brute_force():
         assert all(k <= counts[x] for x, k in chosen.items()) and max(items) in chosen
 
 
-@pytest.mark.parametrize("stuck", [2047, 2046])
-def test_a_length_without_partner_does_not_stop_the_search(stuck):
-    rng = random.Random(5)
-    lengths = [stuck, *(rng.randint(3, 1500) for _ in range(3000))]
-    packer = packing._Packer(2048, 0)
-    for i, n in enumerate(lengths):
-        packer.add(i, bytes(4 * n))
-    packer.fill()
-    found = packer.sequence
-    assert [n for n in packer.held if n >= stuck] == [stuck] and all(p[2] == p[4] for p in packer.out)
-    packer.cut(last=False)
-    assert sum(n * len(v) for n, v in packer.held.items()) < 2048
-    packer.cut()
-    assert found > 0.9 * packer.sequence and sum(p[2] for p in packer.out) == sum(lengths)
-
-
 # 4
 def test_vectors_link_as_brute_force_with_a_large_group_and_bad_rows(spark):
     rng = np.random.default_rng(4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubbub.llm.common import stage
+from hubbub.llm.common import discard, stage
 
 
 def _sum_of(edges: DataFrame) -> tuple:
@@ -17,8 +17,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) of every node that has an edge (u, v).
 
     Alternates two steps until nothing changes: every node hands its larger neighbours its smallest one, then
-    its smaller neighbours. Minima are combined before the shuffle and joined back, so a node with very
-    many neighbours is split like any skewed join key. Each round is staged, so no lineage grows."""
+    its smaller neighbours. Minima are combined before the shuffle, staged and joined back as a plain table, so Spark
+    splits a node with very many neighbours like any skewed join key. Each round is staged, so no lineage grows;
+    the tables of a round go once the next one is written. Null ends have no edge; repeated edges count once."""
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     now = stage(now, "edges")
     before = _sum_of(now)
@@ -27,11 +28,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stage(least, "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        large = stage(large.where("u > v").distinct(), "large")
+        lower = stage(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        small = large.join(lower, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, now = now, stage(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old, least, large, lower)
         after = _sum_of(now)
         if after == before:
             break

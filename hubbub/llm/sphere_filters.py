@@ -6,16 +6,21 @@ belongs to every direction whose inner product exceeds a threshold. They are lis
 others: a block's directions that cannot reach the threshold with the best of the other block are skipped. Vectors
 that share a filter are joined on it and verified by their exact cosine in double precision.
 
+The threshold follows the number of vectors: filters keep about `bucket` members. It comes from the exact measure of
+spherical caps, and the number of directions from the exact chance that two vectors at the limit share a cap, so
+that such a pair shares `expected` filters at every size. Simulated recall at the limit, for 1e3 to 1e9 vectors, is in
+the tests; against brute force it is measured there too.
+
 A pair is counted in the first filter that both share, so links need no distinct over pairs; inside
 a filter blocks of bounded size meet each other, and only each vector's count and a spanning forest leave a
-block. Equal vectors are folded into one with a weight. The threshold follows the number of vectors: filters
-keep about `bucket` members, so work grows in proportion, while a pair at the limit still shares several of
-its filters. Recall is measured against brute force in the tests.
+block. Equal vectors are folded into one with a weight and known by a number of its own, not by its id. A vector
+travels to each of its filters as bytes of the precision that it has in the table.
 
 Vectors of each length are searched by a code of their own, so all of equal length are compared, and vectors of
-different lengths never link. A length with few vectors, or a short one, has one filter that holds them all. Vectors that
-are null, empty, zero, or hold null or non-finite components link with nothing. Repeated rows link with each other. Empty tables give no rows. Labels and
-other columns are not read.
+different lengths never link. A length with few vectors has one filter that holds them all. Vectors that
+are null, empty, zero, or hold null or non-finite components link with nothing. Repeated rows link with each other.
+Rows that share an id but not the vector are vectors of their own: each gets its own links and the smallest id of its
+own component. Empty tables give no rows. Labels and other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
-from statistics import NormalDist
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -34,34 +39,74 @@ from pyspark.sql import functions as F
 from hubbub.llm.common import stage
 from hubbub.llm.components import connected_components
 
+_EDGES = pd.DataFrame({"u": [], "v": [], "n": []}, dtype="int64")
+
+
+def _caps(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles and the share of the sphere within each of them of a point."""
+    angle = np.linspace(0, math.pi, 8001)
+    density = np.sin(angle) ** (dim - 2)
+    grown = np.concatenate([[0.0], np.cumsum((density[1:] + density[:-1]) / 2)])
+    return angle, grown / grown[-1]
+
+
+def cap_level(dim: int, tail: float) -> float:
+    """The inner product that a share `tail` of the sphere exceeds."""
+    angle, share = _caps(dim)
+    return math.cos(np.interp(math.log(tail), np.log(np.maximum(share, 1e-300)), angle))
+
+
+def cap_shared(dim: int, tail: float, cosine: float) -> float:
+    """The chance that y is in a cap of that share if x is, for a pair at that cosine."""
+    level = cap_level(dim, tail)
+    angle = np.linspace(0, math.acos(level), 801)[1:]
+    weight = np.sin(angle) ** (dim - 2)
+    beyond = (level - cosine * np.cos(angle)) / (math.sqrt(1 - cosine * cosine) * np.sin(angle))
+    other, share = _caps(dim - 1)
+    return float(weight @ np.interp(np.arccos(np.clip(beyond, -1, 1)), other, share) / weight.sum())
+
 
 @dataclass(frozen=True)
 class Filters:
+    """dim: length of the vectors, of which there are count. limit: the cosine at which a pair shares `expected`
+    filters on average. Rare filters would need very many: beyond `most` a vector, filters are made larger."""
+
     dim: int
-    count: int  # vectors
-    bucket: int = 128
-    codes: int = 16
+    count: int
+    limit: float = 0.9
+    bucket: int = 1024
+    codes: int = 32
+    expected: float = 9.0
+    most: int = 80
     seed: int = 5
 
     @property
-    def tail(self) -> float:
-        """Share of all vectors in a filter."""
-        return min(0.02, self.bucket / max(1, self.count))
+    def width(self) -> int:
+        """Dimensions after zeros are added: short vectors get enough for two blocks of many directions."""
+        return max(16, 1 << math.ceil(math.log2(max(2, self.dim))))
 
-    @property
-    def per_vector(self) -> float:
-        """Filters that a vector is in on average: more as filters become rarer."""
-        return 36 + 6 * max(0.0, math.log2(0.005 / self.tail))
+    @cached_property
+    def shape(self) -> tuple[int, float]:
+        """Directions in each block's code and the share of all vectors in a filter."""
+        tail = min(0.04, self.bucket / max(1, self.count))
+        while self.expected / cap_shared(self.width, tail, self.limit) > self.most:
+            tail *= 1.25
+        size = math.ceil(math.sqrt(self.expected / cap_shared(self.width, tail, self.limit) / self.codes / tail))
+        low, high = tail / 4, tail * 2
+        for _ in range(30):  # the level at which so many directions give `expected`
+            mid = math.sqrt(low * high)
+            enough = self.codes * size**2 * mid * cap_shared(self.width, mid, self.limit) >= self.expected
+            low, high = (low, mid) if enough else (mid, high)
+        return size, high
 
     @property
     def size(self) -> int:
-        """Directions in each block's code."""
-        return math.ceil(math.sqrt(self.per_vector / self.codes / self.tail))
+        return self.shape[0]
 
     @property
     def single(self) -> bool:
-        """One filter holds all vectors: there are few, or the length is too short for caps to tell them apart."""
-        return self.count <= 2 * self.bucket or self.dim <= 8
+        """One filter holds all vectors."""
+        return self.count <= self.bucket
 
     @property
     def numbers(self) -> int:
@@ -80,9 +125,8 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 
 class FilterCode:
     def __init__(self, plan: Filters):
-        self.plan = plan
-        self.width = max(2, 1 << math.ceil(math.log2(max(2, plan.dim))))
-        self.level = NormalDist().inv_cdf(1 - plan.tail) / math.sqrt(self.width) * math.sqrt(2)
+        self.plan, self.width = plan, plan.width
+        self.level = cap_level(self.width, plan.shape[1]) * math.sqrt(2)
         self.codes = []
         for k in range(plan.codes):
             rng = np.random.default_rng((plan.seed, k))
@@ -95,67 +139,88 @@ class FilterCode:
         """For each row the sorted numbers of its filters."""
         x = np.zeros((len(unit), self.width))
         x[:, : unit.shape[1]] = unit
-        # a dimension that was filled up concentrates the vector; compare it with as much of each direction
-        rows, numbers = [], []
+        rows, numbers, half, size = [], [], self.width // 2, self.plan.size
+        at_once = max(1, (1 << 22) // size)
         for k, (signs, moved, code) in enumerate(self.codes):
             y = _hadamard(_hadamard(x * signs[0])[:, moved] * signs[1])
-            half = self.width // 2
             a, b = y[:, :half] @ code[0].T, y[:, half:] @ code[1].T
             row, i = np.nonzero(a >= self.level - b.max(1)[:, None])
-            at, j = np.nonzero(a[row, i][:, None] + b[row] >= self.level)
-            rows.append(row[at])
-            numbers.append((k * self.plan.size + i[at]) * self.plan.size + j)
-        row, number = np.concatenate(rows), np.concatenate(numbers)
+            for low in range(0, len(row), at_once):
+                r, part = row[low : low + at_once], i[low : low + at_once]
+                at, j = np.nonzero(a[r, part][:, None] + b[r] >= self.level)
+                rows.append(r[at])
+                numbers.append((k * size + part[at]) * size + j)
+        row, number = np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *numbers])
         order = np.lexsort((number, row))
         return np.split(number[order], np.searchsorted(row[order], np.arange(1, len(unit))))
 
 
 def _units(table: DataFrame, vector_id: str, vector: str) -> DataFrame:
-    """id, key (of the components; null if the vector links with nothing) and the vector."""
+    """id, key (of the components; null if the vector links with nothing), dim and the vector's bytes."""
+    dtype = "<f4" if table.select(F.col(vector)).schema[0].dataType.simpleString() == "array<float>" else "<f8"
 
     def check(batches):
         for batch in batches:
-            keys, vectors = [], []
+            keys, dims, vectors = [], [], []
             for v in batch["vector"].to_pylist():
-                x = np.array([np.nan] if not v or None in v else v, np.float64)
+                x = np.array([np.nan] if not v or None in v else v, np.float64) + 0.0  # no negative zero
                 good = bool(np.isfinite(x).all() and x.any())
-                keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest() if good else None)
-                vectors.append(x if good else None)
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(keys, pa.binary()), pa.array(vectors, pa.list_(pa.float64()))], ["id", "key", "vector"])
+                keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if good else None)
+                dims.append(len(x) if good else None)
+                vectors.append(x.astype(dtype).tobytes() if good else None)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(vectors, pa.binary())], ["id", "key", "dim", "vector"])
+
+    kind = "array<float>" if dtype == "<f4" else "array<double>"
+    rows = table.select(F.col(vector_id).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector"))
+    return rows.mapInArrow(check, "id long, key binary, dim int, vector binary")
+
 
-    rows = table.select(F.col(vector_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    return rows.mapInArrow(check, "id long, key binary, vector array<double>")
+def _matrix(vectors, dim: int) -> np.ndarray:
+    """Unit rows from the vectors' bytes."""
+    raw = b"".join(vectors)
+    x = np.frombuffer(raw, "<f4" if len(raw) == 4 * dim * len(vectors) else "<f8").reshape(-1, dim).astype(float)
+    x = x / np.abs(x).max(1, keepdims=True)  # so that no square overflows
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _meet_before(a: pd.DataFrame, b: pd.DataFrame, close: np.ndarray) -> np.ndarray:
+    """Which pairs share one of the filters in `before`; only rows with a close pair are looked at."""
+    met = np.zeros(close.shape, bool)
+    owners = []
+    for side, axis in ((a, 1), (b, 0)):
+        rows = np.flatnonzero(close.any(axis))
+        lists = [np.asarray(side.before.iat[r], np.int64) for r in rows]
+        number = np.concatenate([np.zeros(0, np.int64), *lists])
+        order = np.argsort(number, kind="stable")
+        owners.append((number[order], np.repeat(rows, [len(x) for x in lists])[order]))
+    (fa, ra), (fb, rb) = owners
+    both = np.intersect1d(fa, fb)
+    spans = [np.searchsorted(f, both, side) for f in (fa, fb) for side in ("left", "right")]
+    for a0, a1, b0, b1 in zip(*spans):
+        met[np.ix_(ra[a0:a1], rb[b0:b1])] = True
+    return met
 
 
 def _verify(limit: float):
     def verify(cell: pd.DataFrame) -> pd.DataFrame:
-        here = int(cell["filter"].iloc[0])
-        own_block = int(cell.low.iloc[0]) == int(cell.high.iloc[0])
+        own_block = int(cell.low.iat[0]) == int(cell.high.iat[0])
         a = cell[cell.own == cell.low]
         b = a if own_block else cell[cell.own == cell.high]
         if not len(a) or not len(b):
-            return pd.DataFrame({"u": [], "v": [], "n": []}, dtype="int64")
-        unit = lambda t: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.stack(t.vector.to_numpy()))
-        close = unit(a) @ unit(b).T >= limit
+            return _EDGES
+        dim = int(cell.dim.iat[0])
+        close = _matrix(a.vector.to_list(), dim) @ _matrix(b.vector.to_list(), dim).T >= limit
         if own_block:
             np.fill_diagonal(close, False)
+        if not close.any():
+            return _EDGES
+        close &= ~_meet_before(a, b, close)
         i, j = np.nonzero(close)
-        if not len(i):
-            return pd.DataFrame({"u": [], "v": [], "n": []}, dtype="int64")
-        width = max(map(len, cell.filters))
-        lists = [np.array([np.pad(f[f < here], (0, width), constant_values=fill)[:width] for f in t.filters]) for t, fill in ((a, -1), (b, -2))]
-        first = np.ones(len(i), bool)
-        for at in range(0, len(i), 8192):
-            x, y = lists[0][i[at : at + 8192]], lists[1][j[at : at + 8192]]
-            shared = np.zeros(len(x), bool)
-            for c in range(width):
-                shared |= (x == y[:, c : c + 1]).any(1)
-            first[at : at + 8192] = ~shared
-        ids_a, ids_b, weight_a, weight_b = a.id.to_numpy(), b.id.to_numpy(), a.weight.to_numpy(), b.weight.to_numpy()
-        links_a = np.bincount(i[first], weight_b[j[first]], len(a)).astype("int64")
-        links_b = np.zeros(len(b), "int64") if own_block else np.bincount(j[first], weight_a[i[first]], len(b)).astype("int64")
-        # a spanning forest: labels fall to the smallest id that is reached within the block
-        nodes, at = np.unique(np.concatenate([ids_a[i], ids_b[j]]), return_inverse=True)
+        nodes_a, nodes_b, weight_a, weight_b = a.node.to_numpy(), b.node.to_numpy(), a.weight.to_numpy(), b.weight.to_numpy()
+        links_a = close @ weight_b
+        links_b = np.zeros(len(b), "int64") if own_block else weight_a @ close
+        # a spanning forest: labels fall to the smallest node that is reached within the block
+        nodes, at = np.unique(np.concatenate([nodes_a[i], nodes_b[j]]), return_inverse=True)
         p, q, label = at[: len(i)], at[len(i) :], np.arange(len(nodes))
         while True:
             new = label.copy()
@@ -166,7 +231,7 @@ def _verify(limit: float):
                 break
             label = new
         tree = label != np.arange(len(nodes))
-        counts = pd.DataFrame({"u": np.concatenate([ids_a, ids_b]), "n": np.concatenate([links_a, links_b])})
+        counts = pd.DataFrame({"u": np.concatenate([nodes_a, nodes_b]), "n": np.concatenate([links_a, links_b])})
         counts = counts[counts.n > 0].assign(v=-1)
         edges = pd.DataFrame({"u": nodes[tree], "v": nodes[label[tree]], "n": -1})
         return pd.concat([counts, edges])[["u", "v", "n"]].astype("int64")
@@ -174,50 +239,55 @@ def _verify(limit: float):
     return verify
 
 
-def near_vectors(table: DataFrame, *, vector_id: str = "vec_id", vector: str = "embedding", limit: float = 0.9, block: int = 512) -> DataFrame:
+def near_vectors(table: DataFrame, *, vector_id: str = "vec_id", vector: str = "embedding", limit: float = 0.9, block: int = 2048) -> DataFrame:
     """id, n_links, component of each row of table."""
     rows = stage(_units(table, vector_id, vector), "vectors")
     good = rows.where("key is not null")
-    reps = good.groupBy("key").agg(F.min(F.struct("id", "vector")).alias("rep"), F.count(F.lit(1)).alias("weight"))
-    reps = stage(reps.select("key", F.col("rep.id").alias("id"), F.col("rep.vector").alias("vector"), "weight"), "distinct-vectors")
-    lengths = reps.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()
+    reps = good.groupBy("key").agg(F.min(F.struct("id", "dim", "vector")).alias("rep"), F.count(F.lit(1)).alias("weight"))
+    reps = stage(reps.select(F.monotonically_increasing_id().alias("node"), "key", "rep.*", "weight"), "distinct-vectors")
+    lengths = reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()
     plans, first = {}, 0  # length -> its filters and the number of the first one
     for dim, n in lengths:
-        plans[dim] = Filters(dim, n), first
+        plans[dim] = Filters(dim, n, limit), first
         first += plans[dim][0].numbers
 
     def listed(batches):
         coders = {}
         for batch in batches:
-            lists, found = batch["vector"].to_pylist(), {}
-            for at, v in enumerate(lists):
-                found.setdefault(len(v), []).append(at)
-            filters = [[]] * len(lists)
-            for dim, places in found.items():
+            dims, vectors, filters = batch["dim"].to_numpy(), batch["vector"].to_pylist(), [[]] * batch.num_rows
+            for dim in np.unique(dims).tolist():
                 plan, base = plans[dim]
-                if plan.single:
-                    rows = [np.zeros(1, np.int64)] * len(places)
-                else:
-                    coder = coders.get(dim) or coders.setdefault(dim, FilterCode(plan))
-                    rows = coder.filters(np.stack([np.array(lists[at]) / np.linalg.norm(lists[at]) for at in places]))
-                for at, f in zip(places, rows):
-                    filters[at] = (f + base).tolist()
-            filters = pa.array(filters, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["vector"], batch["weight"], filters], ["id", "vector", "weight", "filters"])
-
-    listed_rows = stage(reps.select("id", "vector", "weight").mapInArrow(listed, "id long, vector array<double>, weight long, filters array<long>"), "filters")
-    thin = listed_rows.select("id", F.explode("filters").alias("filter"))
-    sizes = thin.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = thin.join(sizes, "filter").join(listed_rows, "id").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+                places = np.flatnonzero(dims == dim)
+                for low in range(0, len(places), 1024):
+                    part = places[low : low + 1024]
+                    if plan.single:
+                        found = [np.zeros(1, np.int64)] * len(part)
+                    else:
+                        if dim not in coders:
+                            coders[dim] = FilterCode(plan)
+                        found = coders[dim].filters(_matrix([vectors[at] for at in part], dim))
+                    for at, f in zip(part, found):
+                        filters[at] = (f + base).tolist()
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["dim"], batch["vector"], batch["weight"], pa.array(filters, pa.list_(pa.int64()))], ["node", "dim", "vector", "weight", "filters"])
+
+    listed_rows = reps.select("node", "dim", "vector", "weight").mapInArrow(listed, "node long, dim int, vector binary, weight long, filters array<long>")
+    listed_rows = stage(listed_rows, "filters")
+    sizes = listed_rows.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    thin = listed_rows.select("node", F.explode("filters").alias("filter")).join(sizes, "filter")
+    placed = thin.join(listed_rows, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    before = F.filter("filters", lambda f: f < F.col("filter"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("before", before)
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("n", "blocks", "other")
+    cells = cells.select("filter", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "dim", "weight", "vector", "before")
     found = stage(cells.groupBy("filter", "low", "high").applyInPandas(_verify(limit), "u long, v long, n long"), "near-vectors")
 
-    links = found.where("n > 0").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
-    components = connected_components(found.where("n < 0").select("u", "v")).withColumnRenamed("node", "id")
-    merged = reps.select("key", "id", "weight").join(links, "id", "left").join(components, "id", "left")
-    merged = merged.select(F.col("key").alias("of"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    links = found.where("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    components = connected_components(found.where("n < 0").select("u", "v"))
+    merged = reps.select("key", "id", "node", "weight").join(links, "node", "left").join(components, "node", "left")
+    merged = merged.withColumn("component", F.coalesce("component", "node"))
+    least = merged.groupBy("component").agg(F.min("id").alias("least"))
+    merged = merged.join(least, "component").select(F.col("key").alias("of"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "least")
+    # a vector that links with nothing has a key of its own, so that these do not meet in one task
     own = F.coalesce("key", F.concat(F.lit("none"), F.col("id").cast("string")).cast("binary"))
     out = rows.select("id", own.alias("of")).join(merged, "of", "left")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "id").alias("component"))

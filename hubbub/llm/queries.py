@@ -135,9 +135,16 @@ ORACLE_SQL = {
              t AS (SELECT source, source_size, CASE WHEN full_up THEN most ELSE cut * weight END AS target FROM g),
              r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS certain FROM t),
              e AS (SELECT *, target - certain * source_size AS remaining FROM r),
-             x AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.certain, e.remaining,
-                          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY u, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-                   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+             k AS (SELECT source, length(bin(size)) AS k, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY 1, 2),
+             h AS (SELECT k.source, k, CAST(coalesce(sum(words) OVER (PARTITION BY k.source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS above,
+                          CAST(sum(words * k) OVER (PARTITION BY k.source ORDER BY k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS below, remaining
+                   FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+             c AS (SELECT source, arg_max(slope, k) AS slope FROM (SELECT source, k, CASE WHEN below > 0 THEN (remaining - above) / below ELSE 0 END AS slope FROM h)
+                   WHERE slope * k < 1 GROUP BY source),
+             q AS (SELECT d.*, e.source_size, e.target, e.certain, e.remaining, least(1.0::DOUBLE, coalesce(c.slope, 0) * length(bin(d.size))) AS p
+                   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+             x AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY (u * (1 - p)) / (u * (1 - p) + p * (1 - u)), doc_id, size
+                                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
         SELECT doc_id, size, source_size, target,
                CAST(size * (certain + CASE WHEN remaining > 0 AND before + size / 2.0::DOUBLE <= remaining THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x""",
     "op8_warc": r"""

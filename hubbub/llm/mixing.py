@@ -74,7 +74,7 @@ def _edge(parts: DataFrame, plan: DataFrame, at: str) -> DataFrame:
     """of (the source), the part `at` in which its words left run out, and the words before that."""
     so_far = W.partitionBy("source").orderBy(at)
     rows = parts.withColumn("after", F.col("base") + F.sum("words").over(so_far)).withColumn("before", F.col("after") - F.col("words"))
-    rows = rows.join(plan.select(F.col("source").alias("of"), "left"), F.col("source").eqNullSafe(F.col("of"))).where("after > left")
+    rows = rows.join(plan.select(F.col("source").alias("of"), "left"), F.col("source").eqNullSafe(F.col("of"))).where("left > 0 and after > left")
     edge = rows.groupBy("source").agg(F.min(F.struct(at, "before")).alias("edge"))
     return edge.select(F.col("source").alias("of"), F.col(f"edge.{at}").alias(f"edge_{at}"), F.col("edge.before").alias(f"{at}_before"))
 

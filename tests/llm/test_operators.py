@@ -82,6 +82,16 @@ def test_exact_duplicates_with_nulls_ties_and_digest_collisions(spark, weak):
     assert sorted(r.doc_id for r in out if r.kept) == [2, 3, 5, 7, 8]
 
 
+@pytest.mark.parametrize("few", [0, 3, 100])
+def test_exact_duplicates_of_a_hot_text_by_broadcast_and_by_shuffle(spark, few):
+    path = fresh_path(spark, "docs")
+    texts = ["hot text " + " " * (i == 77) for i in range(1500)] + [f"pair {i % 20}" for i in range(40)] + ["alone", "none"]
+    documents(spark, texts).withColumn("digest", F.lit("clash")).withColumn("n", F.lit(1)).write.parquet(path)
+    out = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(spark, path, few=max(1, few)).collect()}
+    assert all(out[i] == (77, 1500) for i in range(1500)) and out[1540] == (1540, 1)
+    assert all(out[1500 + i] == (1500 + i % 20, 2) for i in range(40))
+
+
 def test_exact_duplicates_state_grows_with_new_files(spark):
     path, state = fresh_path(spark, "docs"), fresh_path(spark, "state")
     documents(spark, ["a", "b"]).write.parquet(path)

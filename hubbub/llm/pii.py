@@ -3,11 +3,12 @@
 Regular expressions propose spans. A validator confirms them: parts of at most 255 for addresses, Luhn for
 cards, mod-97 for IBANs, digit counts for phones. Words near a span then raise or lower its score. Base kinds
 (email, ip, card, phone) keep every confirmed span, whatever its score; of the kinds in ADDED a span
-stays only if its score reaches min_score, so bare numbers count only beside a word that names them.
+stays only if its score reaches min_score, so bare numbers count only beside a word that names them. Scores are
+returned with the spans, so that a caller may set a limit of their own.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows are treated one by one, so
 repeated rows, ties and hot sources change nothing; every search is linear in the length of the text.
-An empty table gives no rows. Other columns pass through.
+An empty table gives no rows. Other columns pass through, but for one of the name `into`, which is replaced.
 """
 
 from __future__ import annotations
@@ -29,9 +30,20 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+").match
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}").finditer
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])").finditer
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})").finditer
+_IBAN_END = re.compile(r"(?![A-Za-z0-9])").match
 _ID = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])").finditer
 
+# How long an account number is in each country.
+_IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
 #: Confidence that form and checksum give alone, and the words that change it.
 _FORM = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.8, "id_number": 0.3}
 _NEAR = {
@@ -53,7 +65,22 @@ def luhn(digits: str) -> bool:
 
 def mod97(code: str) -> bool:
     moved = code[4:] + code[:4]
-    return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+    return len(code) > 4 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+def _iban_end(text: str, start: int) -> int | None:
+    """Where the account number that starts there ends: as many characters as its country has, single spaces between."""
+    left, at = _IBAN_LENGTH.get(text[start : start + 2], 0), start
+    if not left:
+        return None
+    while left:
+        if at > start and text[at : at + 1] == " ":
+            at += 1
+        c = text[at : at + 1]
+        if not ("A" <= c <= "Z" or "0" <= c <= "9"):
+            return None
+        at, left = at + 1, left - 1
+    return at if _IBAN_END(text, at) else None
 
 
 def _emails(text: str):
@@ -94,8 +121,9 @@ def _proposed(text: str):
             if 10 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
     for m in _IBAN(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", m.start(), m.end()
+        end = _iban_end(text, m.start())
+        if end and mod97(text[m.start() : end].replace(" ", "")):
+            yield "iban", m.start(), end
     for m in _ID(text):
         yield "id_number", m.start(), m.end()
 

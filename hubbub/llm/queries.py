@@ -21,7 +21,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
     n = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = map(n, pii.BASE)
-    return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores")
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"), scores)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ a temperature fitted on labelled documents kept apart makes the scores probabili
 The fit takes at most max_labelled labelled rows, those with the smallest hashes of doc_id; the vectors take every
 document. Only the text enters a score. Null and empty texts are the zero vector and get a score too. Without both
 labels the score is the share of label 1, or 0.5. Equal texts get equal scores, wherever they are. Repeated label
-rows count once, the larger label wins. Empty tables give no rows. Columns other than doc_id and text are not read.
+rows count once, the larger label wins; rows with a null doc_id or another label do not. Empty tables give no rows.
+Columns other than doc_id and text are not read; score passes them through, but for one of the score column's name,
+which it replaces (`into` names the column).
 """
 
 from __future__ import annotations
@@ -42,23 +44,41 @@ _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_LONG = 64  # bytes of a word that count; the rest of a longer one does not
-_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_LONG - 1, _STEP)]))
+_SLICE = 1 << 20
+_powers = np.ones(1, np.uint64)
+
+
+def _power(n: int) -> np.ndarray:
+    """The first n powers of _STEP, as many as the longest word so far needs."""
+    global _powers
+    while len(_powers) < n:
+        _powers = np.concatenate([_powers, _powers * (_powers[-1:] * _STEP)])
+    return _powers[:n]
 
 
 def word_buckets(text: str, buckets: int) -> np.ndarray:
-    """The bucket of each word, in order; A-Z lower-cased."""
-    raw = np.frombuffer(text.encode().lower(), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64)
-    kind = _CLASS[raw]
-    starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
-    gaps = np.diff(np.append(starts, len(raw)))
-    place = np.arange(len(raw)) - np.repeat(starts, gaps)
-    values = np.where(place < _LONG, _BYTE[raw] * _POWERS[np.minimum(place, _LONG - 1)], np.uint64(0))
-    h = np.add.reduceat(values, starts)[kind[starts] > 0]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
+    """The bucket of each word, in order; A-Z lower-cased. All bytes of a word count. Long texts are taken in slices that
+    end between words; a word longer than a slice is taken whole."""
+    raw, at, out = np.frombuffer(text.encode().lower(), np.uint8), 0, []
+    while at < len(raw):
+        end = min(len(raw), at + _SLICE)
+        while end < len(raw):
+            kind = _CLASS[raw[at : end + 1]]
+            cuts = np.flatnonzero(kind[1:] != kind[:-1])
+            if len(cuts):
+                end = at + int(cuts[-1]) + 1
+                break
+            end = min(len(raw), end + _SLICE)
+        part, at = raw[at:end], end
+        kind = _CLASS[part]
+        starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+        gaps = np.diff(np.append(starts, len(part)))
+        place = np.arange(len(part)) - np.repeat(starts, gaps)
+        words = kind[starts] > 0
+        h = np.add.reduceat(np.where(kind > 0, _BYTE[part] * _power(int(gaps.max()))[place], np.uint64(0)), starts)[words]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(((h ^ (h >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 class Index:
@@ -203,16 +223,16 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column score."""
-    names = [c for c in docs.columns if c not in ("text", "score")]
+def score(docs: DataFrame, model: Model, *, into: str = "score") -> DataFrame:
+    """docs with the score column `into`."""
+    names = [c for c in docs.columns if c not in ("text", into)]
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
         for batch in batches:
             x = np.array([shared.value.pooled(t or "") for t in batch["text"].to_pylist()]).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), batch["text"], pa.array(shared.value.scores(x))], [*names, "text", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), batch["text"], pa.array(shared.value.scores(x))], [*names, "text", into])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "text string", "score double"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "text string", f"`{into}` double"])
     return docs.select(*(F.col(f"`{c}`") for c in names), "text").mapInArrow(scored, schema)

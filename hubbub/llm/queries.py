@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hubbub.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, setsketch, sphere_filters, token_codes, warc
-from hubbub.llm.common import fresh_path
+from hubbub.llm.common import fresh_path, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -62,12 +62,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "warc")
-    token = warc.write_warc(_table(spark, sf_dir, "pages"), path, min_bytes=0)
-    rows = warc.resolve(warc.read_warc(spark, path, token))
-    broken = F.raise_error(F.lit("a record of the archive is not whole")).cast("long")
-    page_id = F.when(F.coalesce("whole", F.lit(False)), F.col("page_id")).otherwise(broken)
-    return rows.select(page_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Fails if the archive that is read back lacks records or holds others."""
+    path, pages = fresh_path(spark, "warc"), _table(spark, sf_dir, "pages")
+    warc.write_warc(pages, path, min_bytes=0)
+    records = stage(warc.read_warc(spark, path, payloads=False).drop("payload"), "warc-headers")
+    if (found := records.count()) != (wanted := pages.count()):
+        raise ValueError(f"the archive has {found} records for {wanted} pages")
+    return warc.resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:

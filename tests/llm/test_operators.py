@@ -214,19 +214,6 @@ def test_mix_reaches_targets_with_a_bound_on_copies(spark):
     assert {r.copies for r in rows} <= {0, 1, 2}
 
 
-# 8
-def test_warc_reads_back_any_payload(spark):
-    html = [None, "", "x\r\n\r\ny", "WARC/1.1\r\nWARC-Type: response\r\n\r\n", "é" * 10, "é" * 10, "", "\r\n\r\n", LONG]
-    pages = spark.createDataFrame([(i, "http://a/\r\nX: y" if i else None, h) for i, h in enumerate(html)], "page_id long, url string, html string")
-    path = fresh_path(spark, "warc")
-    token = warc.write_warc(pages, path)
-    out = {r.page_id: r for r in warc.resolve(warc.read_warc(spark, path, token)).collect()}
-    assert all(r.whole for r in out.values()) and len(out) == len(html)
-    assert {i: r.refers_to for i, r in out.items()} == {0: 6, 1: 6, 2: None, 3: None, 4: 5, 5: None, 6: None, 7: None, 8: None}
-    assert all(out[i].payload == (h or "") for i, h in enumerate(html) if out[i].record_type == "response")
-    assert all(r.payload_bytes == len((html[i] or "").encode()) for i, r in out.items())
-
-
 # 9
 def brute_components(texts, width, percent):
     sets = []
@@ -302,29 +289,5 @@ def test_empty_tables_and_clashing_columns(spark, odd):
         assert exact_dedup.exact_duplicates(spark, path).count() == n
     assert sphere_filters.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     pages, path = spark.createDataFrame([], "page_id long, url string, html string"), fresh_path(spark, "warc")
-    assert warc.read_warc(spark, path, warc.write_warc(pages, path)).count() == 0
-
-
-def test_warc_keeps_each_payload_of_a_repeated_id(spark):
-    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "yy"), (2, "u", "x")], "page_id long, url string, html string")
-    path = fresh_path(spark, "warc")
-    rows = warc.resolve(warc.read_warc(spark, path, warc.write_warc(pages, path))).collect()
-    assert sorted((r.page_id, r.record_type, r.payload_bytes, r.refers_to or 0) for r in rows) == [(1, "response", 2, 0), (1, "revisit", 1, 2), (2, "response", 1, 0)]
-
-
-def test_warc_keeps_pages_without_an_id(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "u", "x"), (None, "u", "x"), (None, "u", "yy"), (None, None, None), (3, "u", "z")], "page_id long, url string, html string")
-    path = fresh_path(spark, "warc")
-    records = warc.read_warc(spark, path, warc.write_warc(pages.coalesce(1), path))
-    assert all(r.whole for r in records.collect()) and records.select("record_id").distinct().count() == 5
-    pages.write.parquet(str(tmp_path / "pages.parquet"))
-    for rows in (warc.resolve(records), queries.op8_warc(spark, str(tmp_path))):
-        got = sorted((r.page_id or 0, r.record_type, r.payload_bytes, r.refers_to or 0) for r in rows.collect())
-        assert got == [(0, "response", 0, 0), (0, "response", 2, 0), (0, "revisit", 1, 1), (1, "response", 1, 0), (3, "response", 1, 0)]
-
-
-def test_op8_fails_when_a_record_is_not_whole(spark, monkeypatch):
-    read = warc.read_warc
-    monkeypatch.setattr(warc, "read_warc", lambda *a: read(*a).withColumn("whole", F.col("page_id") % 7 != 3))
-    with pytest.raises(Exception, match="not whole"):
-        queries.op8_warc(spark, SF).collect()
+    warc.write_warc(pages, path)
+    assert warc.read_warc(spark, path).count() == 0

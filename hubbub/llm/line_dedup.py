@@ -10,7 +10,7 @@ each document that loses some, never text.
 A line's key is the line without blanks at its ends and with A-Z lower-cased. Null and empty texts are one empty
 line and lose nothing. Lines that repeat within one document count once. Rows with equal doc_id count as one
 document and lose lines together. Empty tables give no rows. Columns other than doc_id and text are not read
-by the search; apply_bitmaps passes them through.
+by the search; apply_bitmaps passes them through, but for those named like its two counts, which it replaces.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from hubbub.llm.common import BLANKS, n_partitions, stage, whole_text
+from hubbub.llm.common import BLANKS, col, free_name, n_partitions, stage, whole_text
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -114,26 +115,28 @@ def line_bitmaps(docs: DataFrame, *, min_points: int = 40, min_docs: int = 5) ->
     return lines.mapInArrow(bitmaps, "doc_id long, bitmap binary")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the text that stays, and n_lines, n_dropped as they were found."""
-    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "bitmap")]
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, into: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with the text that stays, and the numbers of lines and of dropped lines in the columns `into`."""
+    kept = [f for f in docs.schema.fields if f.name not in ("text", *into)]
+    names, bitmap, key = [f.name for f in kept], free_name(docs, "bitmap"), free_name(docs, "of")
     # one bitmap for each affected document grows with docs: it is never broadcast, so the plan is alike at every size
-    joined = docs.select(*names, whole_text(F.col("text")).alias("text")).join(bitmaps.hint("merge"), "doc_id", "left")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names), "text string", "n_lines long", "n_dropped long"])
+    found = bitmaps.select(F.col("doc_id").alias(key), F.col("bitmap").alias(bitmap)).hint("merge")
+    joined = docs.select(*map(col, names), whole_text(F.col("text")).alias("text")).join(found, col("doc_id") == col(key), "left")
+    schema = StructType([*kept, StructField("text", StringType()), *(StructField(n, LongType()) for n in into)])
 
     def cut(batches):
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, bitmap in zip(batch["text"].to_pylist(), batch["bitmap"].to_pylist()):
+            for text, bits in zip(batch["text"].to_pylist(), batch[bitmap].to_pylist()):
                 n, dropped = text.count("\n") + 1, 0
-                if bitmap is not None:
-                    keep = keeps(bitmap, n).tolist()
+                if bits is not None:
+                    keep = keeps(bits, n).tolist()
                     dropped = n - sum(keep)
                     text = "\n".join([x for x, k in zip(text.split("\n"), keep) if k])
                 texts.append(text)
                 n_lines.append(n)
                 n_dropped.append(dropped)
             columns = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "text", *into])
 
-    return joined.select(*names, "text", "bitmap").mapInArrow(cut, schema)
+    return joined.select(*map(col, names), "text", col(bitmap)).mapInArrow(cut, schema)

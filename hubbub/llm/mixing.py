@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hubbub.llm.common import stage, unbroken_words
+from hubbub.llm.common import stage, unbroken_words, whole_text
 
 BINS = 1 << 12
 #: Sources up to this number are broadcast; more are joined by a shuffle.
@@ -80,11 +80,13 @@ def _edge(parts: DataFrame, plan: DataFrame, at: str) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_copies: int = 2, seed: int = 7
+    docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_copies: int = 2, seed: int = 7, with_hash: bool = False
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies of each row of docs (doc_id, text, source)."""
+    """doc_id, source, size, source_size, target and copies of each row of docs (doc_id, text, source); with_hash adds
+    text_hash, the xxhash64 of the text, which tells rows of one doc_id apart."""
     known = F.col("source").eqNullSafe(F.col("of"))
-    rows = docs.select("doc_id", "source", unbroken_words(F.col("text")).alias("size"))
+    extra = [F.xxhash64(whole_text(F.col("text"))).alias("text_hash")] if with_hash else []
+    rows = docs.select("doc_id", "source", unbroken_words(F.col("text")).alias("size"), *extra)
     rows = rows.withColumn("u", uniform(F.col("doc_id"), seed)).withColumn("k", F.length(F.bin("size")))
     rows = stage(rows, "sizes")
 
@@ -118,4 +120,4 @@ def mix(
     before = F.col("part_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     last = ranked.where(in_edge).withColumn("more", F.when(before + F.col("size") / 2 <= F.col("left"), 1).otherwise(0))
     both = usual.unionByName(last)
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("certain") + F.col("more")).cast("int").alias("copies"))
+    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("certain") + F.col("more")).cast("int").alias("copies"), *(["text_hash"] if with_hash else []))

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from hubbub.llm.common import stage, whole_text
+from hubbub.llm.common import col, stage, whole_text
 
 
 @dataclass(frozen=True)
@@ -225,8 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 def score(docs: DataFrame, model: Model, *, into: str = "score") -> DataFrame:
     """docs with the score column `into`."""
-    names = [c for c in docs.columns if c not in ("text", into)]
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kept = [f for f in docs.schema.fields if f.name not in ("text", into)]
+    names = [f.name for f in kept]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
@@ -234,5 +235,5 @@ def score(docs: DataFrame, model: Model, *, into: str = "score") -> DataFrame:
             x = np.array([shared.value.pooled(t or "") for t in batch["text"].to_pylist()]).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), batch["text"], pa.array(shared.value.scores(x))], [*names, "text", into])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "text string", f"`{into}` double"])
-    return docs.select(*(F.col(f"`{c}`") for c in names), "text").mapInArrow(scored, schema)
+    schema = StructType([*kept, StructField("text", StringType()), StructField(into, DoubleType())])
+    return docs.select(*map(col, names), "text").mapInArrow(scored, schema)

@@ -7,15 +7,19 @@ compared jointly: with D+, D- and D0 registers larger, smaller and equal and bot
 likelihood of J has a maximum; a pair goes on only if J at the threshold or above is not too unlikely. Every
 pair that goes on is confirmed on its full shingle sets.
 
-Documents with equal sets are first folded into one representative, so a group of copies costs a row for each task.
-Documents that buckets chain together form a group, in which each document occurs once however many buckets it
-shares. A group meets itself in blocks of bounded size, so no group is held by one task; a block tries its likely pairs
-from the most alike on and skips those it has joined already, and only a spanning forest of confirmed links leaves it.
+Documents with equal sets are first folded into one representative, known by a number of its own, so a group of copies
+costs a row for each task. Representatives that buckets chain together form a group, in which each occurs once however
+many buckets it shares. A group is dealt into blocks of bounded size. First each block meets itself and the group's
+hub; that joins nearly all of a template's copies at a cost in proportion to their number. What is not yet in the group's
+largest class then meets everything outside its own class, block against block, so no link is lost, no group is held
+by one task, and members of the largest class never meet each other again. A block tries each row's likely partners from the most
+alike on and skips those it has joined already; only a spanning forest of confirmed links leaves it.
 
 Words are runs of non-blank characters with A-Z lower-cased; shingles are held as 64-bit hashes of their words.
 A document with fewer words than a shingle is one shingle; one without words (or null) has none and links
-with nothing. Repeated rows fold into one representative. Empty
-tables give no rows. Columns other than doc_id and text are not read.
+with nothing. Repeated rows fold into one representative. Rows that share a doc_id but not the text are documents
+of their own; each gets the smallest doc_id of its own class. A null doc_id is no number, so a class has one only if
+all of its rows do. Empty tables give no rows. Columns other than doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -163,7 +167,7 @@ def likely(larger: np.ndarray, equal: np.ndarray, registers: int, n_u: np.ndarra
 
 
 def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if empty), registers and band keys."""
+    """doc_id, text_hash, n_shingles, digest (of the set; null if empty), registers and band keys."""
 
     def sketch(batches):
         sketcher = Sketcher(plan)
@@ -181,21 +185,37 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
                     digests.append(None)
                     registers.append(None)
                     keys.append(None)
-            columns = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "registers", "keys"])
+            columns = [batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "digest", "registers", "keys"])
 
-    rows = docs.select("doc_id", whole_text(F.col("text")).alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, registers binary, keys array<long>")
+    return _texts(docs).mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, digest binary, registers binary, keys array<long>")
 
 
-def _sets(docs: DataFrame, plan: Plan) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    text = whole_text(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
+    """node and shingles of each wanted representative (doc_id, text_hash, node, digest)."""
+
     def sets(batches):
+        seen = set()  # a row that is repeated very often leaves a task once
         for batch in batches:
-            found = [shingle_set(t, plan.width).view(np.int64) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            nodes, found = [], []
+            for text, node, digest in zip(*(batch[c].to_pylist() for c in ("text", "node", "digest"))):
+                if node in seen:
+                    continue
+                shingles = shingle_set(text, plan.width)
+                if hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() == digest:
+                    seen.add(node)
+                    nodes.append(node)
+                    found.append(shingles.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    rows = docs.select("doc_id", whole_text(F.col("text")).alias("text"))
-    return rows.mapInArrow(sets, "doc_id long, shingles array<long>")
+    wanted = wanted.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"), "node", "digest")
+    rows = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash")))
+    return rows.select("text", "node", "digest").mapInArrow(sets, "node long, shingles array<long>")
 
 
 def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -221,93 +241,110 @@ def _shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(a: pd.DataFrame, b: pd.DataFrame, same: bool, plan: Plan) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks (or within one)."""
+    """A spanning forest of the links between two blocks (or within one) that join different labels."""
     ra, rb = (np.frombuffer(b"".join(x.registers), np.uint16).reshape(len(x), plan.registers) for x in (a, b))
     na, nb = a.n_shingles.to_numpy().astype(float), b.n_shingles.to_numpy().astype(float)
-    left, right, score = [], [], []
+    ids_a, ids_b, sets_a, sets_b = a.node.to_numpy(), b.node.to_numpy(), list(a.shingles), list(b.shingles)
+    label = a.label.to_numpy() if same else np.concatenate([a.label.to_numpy(), b.label.to_numpy()])
+    label, shift = label.copy(), 0 if same else len(a)
+    counts, tested, out = None, 0, []
     for i in range(len(a)):
         equal = (ra[i] == rb).sum(1)
-        j = np.flatnonzero(equal * 100 >= plan.registers * (plan.percent - 30))
-        j = j[j > i] if same else j
-        if len(j):
-            larger = (ra[i] > rb[j]).sum(1)
-            ok = likely(larger, equal[j], plan.registers, np.full(len(j), na[i]), nb[j], plan)
-            left.append(np.full(ok.sum(), i))
-            right.append(j[ok])
-            score.append(equal[j[ok]])
-    if not left:
-        return []
-    left, right, score = map(np.concatenate, (left, right, score))
-    ids_a, ids_b = a.doc_id.to_numpy(), b.doc_id.to_numpy()
-    root = {int(x): int(x) for x in (*ids_a, *ids_b)}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    sets_a, sets_b = list(a.shingles), list(b.shingles)
-    counts, tested, out = None, 0, []
-    for k in np.argsort(-score, kind="stable"):
-        i, j = left[k], right[k]
-        u, v = find(int(ids_a[i])), find(int(ids_b[j]))
-        if u == v:
+        near = (equal * 100 >= plan.registers * (plan.percent - 30)) & (label[shift:] != label[i])
+        near[: i + 1 if same else 0] = False
+        j = np.flatnonzero(near)
+        if not len(j):
             continue
-        tested += 1
-        if tested == 2000:
-            counts = _shared_counts(sets_a, sets_b)
-        both = int(counts[i, j]) if counts is not None else len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True))
-        if 100 * both >= plan.percent * (na[i] + nb[j] - both):
-            root[max(u, v)] = min(u, v)
-            out.append((int(ids_a[i]), int(ids_b[j])))
+        larger = (ra[i] > rb[j]).sum(1)
+        j = j[likely(larger, equal[j], plan.registers, np.full(len(j), na[i]), nb[j], plan)]
+        for k in j[np.argsort(-equal[j], kind="stable")]:
+            if label[i] == label[shift + k]:
+                continue
+            tested += 1
+            if tested == 2000:
+                counts = _shared_counts(sets_a, sets_b)
+            both = int(counts[i, k]) if counts is not None else len(np.intersect1d(sets_a[i], sets_b[k], assume_unique=True))
+            if 100 * both >= plan.percent * (na[i] + nb[k] - both):
+                old, new = sorted((label[i], label[shift + k]), reverse=True)
+                label[label == old] = new
+                out.append((int(ids_a[i]), int(ids_b[k])))
     return out
 
 
-def _confirmed(members: DataFrame, plan: Plan) -> DataFrame:
-    """members: doc_id, group, n (members of the group), n_shingles, registers, shingles. Links (u, v) that hold each
-    group's classes together; a group meets itself block against block."""
+def _compare(cells: DataFrame, plan: Plan) -> DataFrame:
+    """Links (u, v) found in cells (group, low, high): rows of block `low` meet those of block `high`."""
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.drop_duplicates("doc_id")
+        cell = cell.drop_duplicates("node")
         same = int(cell.low.iloc[0]) == int(cell.high.iloc[0])
-        a = cell[cell.own == cell.low]
+        a = cell if same else cell[cell.own == cell.low]
         b = a if same else cell[cell.own == cell.high]
         return pd.DataFrame(_links(a, b, same, plan) if len(a) and len(b) else [], columns=["u", "v"], dtype="int64")
 
-    rows = members.withColumn("blocks", F.ceil(F.col("n") / plan.block).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "n", "blocks")
     return cells.groupBy("group", "low", "high").applyInPandas(compare, "u long, v long")
 
 
+def _within_blocks(members: DataFrame, plan: Plan) -> DataFrame:
+    """Each block of a group against itself and the hub, which is the group's smallest node."""
+    blocks = F.ceil(F.col("n") / plan.block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    places = F.when(F.col("node") == F.col("group"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    cells = members.withColumn("own", F.explode(places)).withColumn("label", F.col("node"))
+    return _compare(cells.withColumn("low", F.col("own")).withColumn("high", F.col("own")), plan)
+
+
+def _between_classes(members: DataFrame, plan: Plan) -> DataFrame:
+    """members with label, the class that each is in so far: what is outside a group's largest class against all that is in
+    other classes. Blocks of the others are numbered first, those of the largest class after them."""
+    sizes = members.groupBy("group", "label").agg(F.count(F.lit(1)).alias("size"))
+    top = sizes.groupBy("group").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("n")).where("n > top.size")
+    top = stage(top.select("group", F.col("top.label").alias("most"), *(F.ceil(x / plan.block).cast("int").alias(name) for name, x in (
+        ("few_blocks", F.col("n") - F.col("top.size")), ("most_blocks", F.col("top.size"))
+    ))), "classes")
+    rows, most = members.join(top, "group"), F.col("label") == F.col("most")
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = rows.withColumn("own", F.when(most, F.col("few_blocks") + at(F.col("most_blocks"))).otherwise(at(F.col("few_blocks"))))
+    last = F.when(most, F.col("few_blocks")).otherwise(F.col("few_blocks") + F.col("most_blocks")) - 1
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return _compare(cells.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "most", "few_blocks", "most_blocks"), plan)
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """doc_id, n_shingles, component (the smallest doc_id reachable) for each row of docs (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, component (the smallest doc_id reachable) and first for each row of docs (doc_id,
+    text). first: true for the rows of one doc_id and text of each class, those of its smallest doc_id."""
     sketched = stage(sketches(docs, plan), "sketches")
-    parts = ["doc_id", "n_shingles", "registers", "keys"]
-    reps = sketched.where("digest is not null").groupBy("digest").agg(F.min(F.struct(*parts)).alias("rep")).select("digest", "rep.*")
-    reps = stage(reps, "representatives")
-
-    banded = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    banded = banded.select(F.xxhash64("band", "key").alias("bucket"), "doc_id")
-    mark = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("mark")
-    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub"), mark).where("n > 1")
+    parts = ["doc_id", "text_hash", "n_shingles", "registers", "keys"]
+    reps = sketched.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *parts)).alias("rep"))
+    reps = stage(reps.select(F.monotonically_increasing_id().alias("node"), "digest", *(f"rep.{c}" for c in parts)), "representatives")
+
+    banded = reps.select("node", F.posexplode("keys").alias("band", "key"))
+    banded = banded.select(F.xxhash64("band", "key").alias("bucket"), "node")
+    mark = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")
+    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"), mark).where("n > 1")
     # buckets of other bands with the same members add nothing
-    buckets = buckets.groupBy("n", "hub", "mark").agg(F.min("bucket").alias("bucket"))
-    members = stage(banded.join(buckets.select("bucket", "n", "hub"), "bucket"), "members")
-
-    hubs = members.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"))
-    groups = connected_components(hubs).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    groups = stage(groups.join(sizes, "group"), "groups")
-    sets = stage(_sets(docs.join(groups.select("doc_id"), "doc_id"), plan), "shingle-sets")
-    drawn = reps.select("doc_id", "n_shingles", "registers").join(groups, "doc_id").join(sets, "doc_id")
-    found = connected_components(stage(_confirmed(drawn, plan), "links"))
-
-    placed = reps.select("digest", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select(F.col("digest").alias("of"), F.coalesce("component", "doc_id").alias("component"))
+    buckets = stage(buckets.groupBy("n", "hub", "mark").agg(F.min("bucket").alias("bucket")), "buckets")
+    hubs = banded.join(buckets.select("bucket", "hub"), "bucket").where("node <> hub")
+    groups = connected_components(hubs.select(F.col("hub").alias("u"), F.col("node").alias("v"))).withColumnRenamed("component", "group")
+    sizes = stage(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    groups = groups.join(sizes, "group").join(reps.drop("keys"), "node")
+    groups = stage(groups, "groups")
+    sets = stage(_sets(docs, groups, plan), "shingle-sets")
+    drawn = groups.select("node", "group", "n", "n_shingles", "registers").join(sets, "node")
+    links = stage(_within_blocks(drawn, plan), "links")
+    found = connected_components(links)
+    large = F.col("n") > plan.block
+    if not sizes.where(large).isEmpty():
+        members = drawn.where(large).join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        found = connected_components(links.unionByName(stage(_between_classes(members, plan), "links")))
+
+    own_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    joined = found.join(reps.select("node", own_id.alias("id")), "node")
+    least = stage(joined.groupBy("component").agg(F.min("id").alias("least")), "least")
+    named = joined.join(least, "component").select("node", "least")
+    placed = reps.join(named, "node", "left").select(F.col("digest").alias("of"), F.coalesce("least", own_id).alias("least"))
     # a document without shingles has a key of its own, so that these do not meet in one task
-    own = F.coalesce("digest", F.concat(F.lit("none"), F.col("doc_id").cast("string")).cast("binary"))
-    rows = sketched.select("doc_id", "n_shingles", own.alias("of")).join(placed, "of", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    own = F.coalesce("digest", F.concat(F.lit("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    rows = sketched.select("doc_id", "text_hash", "n_shingles", own.alias("of")).join(placed, "of", "left")
+    first = F.col("least").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash")))
+    component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component"), first.alias("first"))

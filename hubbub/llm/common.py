@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The contract's white space, as characters.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -63,6 +64,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def plain_names(df: DataFrame, without: tuple[str, ...]) -> tuple[list, StructType, list[str]]:
+    """df's columns but for `without` under the names c0, c1 and so on, their schema, and their own names. mapInArrow
+    resolves names itself and takes a dot for a field of a struct."""
+    kept = [f for f in df.schema.fields if f.name not in without]
+    columns = [col(f.name).alias(f"c{i}") for i, f in enumerate(kept)]
+    return columns, StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)]), [f.name for f in kept]
+
+
 def tables(sf_dir: str):
     """name -> DataFrame over a folder of <name>.parquet tables."""
     spark = SparkSession.active()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from hubbub.llm.common import BLANKS, col, free_name, n_partitions, stage, whole_text
+from hubbub.llm.common import BLANKS, n_partitions, plain_names, stage, whole_text
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -117,26 +117,25 @@ def line_bitmaps(docs: DataFrame, *, min_points: int = 40, min_docs: int = 5) ->
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, into: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """docs with the text that stays, and the numbers of lines and of dropped lines in the columns `into`."""
-    kept = [f for f in docs.schema.fields if f.name not in ("text", *into)]
-    names, bitmap, key = [f.name for f in kept], free_name(docs, "bitmap"), free_name(docs, "of")
+    columns, schema, names = plain_names(docs, ("text", *into))
     # one bitmap for each affected document grows with docs: it is never broadcast, so the plan is alike at every size
-    found = bitmaps.select(F.col("doc_id").alias(key), F.col("bitmap").alias(bitmap)).hint("merge")
-    joined = docs.select(*map(col, names), whole_text(F.col("text")).alias("text")).join(found, col("doc_id") == col(key), "left")
-    schema = StructType([*kept, StructField("text", StringType()), *(StructField(n, LongType()) for n in into)])
+    rows = docs.select(*columns, F.col("doc_id").alias("own"), whole_text(F.col("text")).alias("text"))
+    joined = rows.join(bitmaps.select(F.col("doc_id").alias("of"), "bitmap").hint("merge"), F.col("own") == F.col("of"), "left")
+    schema = StructType([*schema, StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
     def cut(batches):
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, bits in zip(batch["text"].to_pylist(), batch[bitmap].to_pylist()):
+            for text, bitmap in zip(batch["text"].to_pylist(), batch["bitmap"].to_pylist()):
                 n, dropped = text.count("\n") + 1, 0
-                if bits is not None:
-                    keep = keeps(bits, n).tolist()
+                if bitmap is not None:
+                    keep = keeps(bitmap, n).tolist()
                     dropped = n - sum(keep)
                     text = "\n".join([x for x, k in zip(text.split("\n"), keep) if k])
                 texts.append(text)
                 n_lines.append(n)
                 n_dropped.append(dropped)
-            columns = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "text", *into])
+            found = [pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *found], schema.names)
 
-    return joined.select(*map(col, names), "text", col(bitmap)).mapInArrow(cut, schema)
+    return joined.select(*schema.names[: len(names)], "text", "bitmap").mapInArrow(cut, schema).toDF(*names, "text", *into)

@@ -18,8 +18,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from hubbub.llm.common import whole_text
+from hubbub.llm.common import col, plain_names, whole_text
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "id_number")
@@ -145,17 +146,15 @@ _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), (
 
 def find_pii(docs: DataFrame, *, text: str = "text", into: str = "pii", window: int = 40, min_score: float = 0.5) -> DataFrame:
     """docs without the text column and with the array column `into` of kind, start, end and score."""
-    kept = [f for f in docs.schema.fields if f.name not in (text, into)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{into}` {SPANS}"])
+    columns, schema, names = plain_names(docs, (text, into))
 
     def spans(batches):
         for batch in batches:
-            found = [[dict(zip(("kind", "start", "end", "score"), s)) for s in find_spans(t, window, min_score)] for t in batch[text].to_pylist()]
-            columns = [batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _SPAN_TYPE)], [*(f.name for f in kept), into])
+            found = [[dict(zip(("kind", "start", "end", "score"), s)) for s in find_spans(t, window, min_score)] for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _SPAN_TYPE)], [*schema.names[:-1], "spans"])
 
-    rows = docs.select(*(F.col(f"`{f.name}`") for f in kept), whole_text(F.col(text)).alias(text))
-    return rows.mapInArrow(spans, schema)
+    schema = StructType([*schema, StructField("spans", StructType.fromDDL(f"x {SPANS}")[0].dataType)])
+    return docs.select(*columns, whole_text(col(text)).alias("text")).mapInArrow(spans, schema).toDF(*names, into)
 
 
 def span_list(spans) -> F.Column:

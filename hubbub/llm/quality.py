@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructType
 
-from hubbub.llm.common import col, stage, whole_text
+from hubbub.llm.common import plain_names, stage, whole_text
 
 
 @dataclass(frozen=True)
@@ -226,14 +226,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 def score(docs: DataFrame, model: Model, *, into: str = "score") -> DataFrame:
     """docs with the score column `into`."""
-    kept = [f for f in docs.schema.fields if f.name not in ("text", into)]
-    names = [f.name for f in kept]
+    columns, schema, names = plain_names(docs, ("text", into))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
         for batch in batches:
             x = np.array([shared.value.pooled(t or "") for t in batch["text"].to_pylist()]).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), batch["text"], pa.array(shared.value.scores(x))], [*names, "text", into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(x))], [*batch.schema.names, "score"])
 
-    schema = StructType([*kept, StructField("text", StringType()), StructField(into, DoubleType())])
-    return docs.select(*map(col, names), "text").mapInArrow(scored, schema)
+    rows = docs.select(*columns, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(scored, StructType([*schema, *rows.schema.fields[-1:]]).add("score", DoubleType())).toDF(*names, "text", into)

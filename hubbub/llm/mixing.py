@@ -5,8 +5,9 @@ the excess shared again by weight until no target is above. With r = target / si
 gets floor(r) certain copies. The words left are drawn with unequal inclusion probabilities: p = min(1, c k), k the
 number of binary digits of a document's size, so a page of a thousand words is taken more readily than a line of three,
 and c such that the expected words are the words left. Documents are ranked by their random odds over their inclusion
-odds, q = (u / (1 - u)) / (p / (1 - p)), held as q / (1 + q), which has the same order and lies in [0, 1]; those with
-p = 1 come first. They are taken in that order until the words left are filled.
+odds, q = (u / (1 - u)) / (p / (1 - p)); those with p = 1 come first. They are taken in that order until the words left
+are filled. The rank is held as qo / (1 + qo), o the odds of the source's mean p: the same order in [0, 1], spread evenly
+also where all p are near 0 or 1.
 
 The rank where a source is full is found from word counts for 4,096 bins of the rank and then for 4,096 parts of
 the bin in which it fills up, so no source, however large, is ordered in one task: only that part is. c comes from
@@ -100,7 +101,9 @@ def mix(
     plan = stage(targets.join(inclusion_slopes(classes, targets), known, "left").drop("of").fillna(0.0, ["slope"]), "plan")
 
     u, p = F.col("u"), F.least(F.lit(1.0), F.col("slope") * F.col("k"))
-    rank = (u * (1 - p)) / (u * (1 - p) + p * (1 - u))
+    mean = F.col("left") / F.col("source_size")
+    rank = (u * (1 - p) * mean) / (u * (1 - p) * mean + p * (1 - u) * (1 - mean))
+    rank = F.when(F.col("left") > 0, rank).otherwise(u)
     part = F.least(F.floor(F.col("rank") * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("int")
     ranked = rows.join(small(plan.withColumnRenamed("source", "of")), known).drop("of").withColumn("rank", rank)
     ranked = ranked.withColumn("part", part).withColumn("bin", F.shiftright("part", 12))

@@ -143,9 +143,9 @@ ORACLE_SQL = {
                    FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
              c AS (SELECT source, arg_max(slope, k) AS slope FROM (SELECT source, k, CASE WHEN below > 0 THEN (remaining - above) / below ELSE 0 END AS slope FROM h)
                    WHERE slope * k < 1 GROUP BY source),
-             q AS (SELECT d.*, e.source_size, e.target, e.certain, e.remaining, least(1.0::DOUBLE, coalesce(c.slope, 0) * length(bin(d.size))) AS p
+             q AS (SELECT d.*, e.source_size, e.target, e.certain, e.remaining, least(1.0::DOUBLE, coalesce(c.slope, 0) * length(bin(d.size))) AS p, e.remaining / e.source_size AS mean
                    FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source),
-             x AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY (u * (1 - p)) / (u * (1 - p) + p * (1 - u)), doc_id, size
+             x AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN remaining > 0 THEN (u * (1 - p) * mean) / (u * (1 - p) * mean + p * (1 - u) * (1 - mean)) ELSE u END, doc_id, size
                                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
         SELECT doc_id, size, source_size, target,
                CAST(size * (certain + CASE WHEN remaining > 0 AND before + size / 2.0::DOUBLE <= remaining THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x""",

@@ -79,14 +79,24 @@ def profile_tier(n_posts: Column) -> Column:
     return F.when(n_posts >= 5, "established").when(n_posts >= 3, "provisional").otherwise("single")
 
 
+# The type of each function with an audience and without one.
+TYPES = {
+    "incident_feed": ("intel_feed_amplified", "intel_feed_raw"),
+    "promotion": ("promotion_reaching", "promotion_unheard"),
+    "news_media": ("news_with_reach", "news_syndicated"),
+    "individual": ("organic_attention", "individual_unheard"),
+    "org_other": ("org_reaching", "org_unheard"),
+}
+PATTERNS = ("incident_feed", "promotion")
+
+
 def derive_actor_type(function: Column, audience: Column, n_posts: Column, floor: int = 3) -> Column:
-    """A feed or aggregator needs `floor` posts before its pattern counts."""
-    pattern = function.isin("feed", "aggregator")
-    return (
-        F.when(function.isNull(), "unclassified").when(pattern & (n_posts < floor), "unclassified")
-        .when(pattern & (audience == "unheard"), "automated_feed").when(pattern, "curated_feed")
-        .when((function == "reporting") & (audience == "engaged"), "news_voice").when(function == "reporting", "news_source").otherwise("participant")
-    )
+    """unclassified if either side is unknown, or if a feed or promotion has fewer than `floor` posts to show its pattern."""
+    unknown = ~F.coalesce(function.isin(*TYPES), F.lit(False)) | (F.coalesce(audience, F.lit("unknown")) == "unknown")
+    out = F.when(unknown | function.isin(*PATTERNS) & (n_posts < floor), "unclassified")
+    for name, (engaged, unheard) in TYPES.items():
+        out = out.when((function == name) & (audience == "engaged"), engaged).when(function == name, unheard)
+    return out
 
 
 def build_profiles(audience: DataFrame, functions: DataFrame, version: str) -> DataFrame:
@@ -96,14 +106,19 @@ def build_profiles(audience: DataFrame, functions: DataFrame, version: str) -> D
     return rows.select("author_id", "n_posts", "audience", "function", kind.alias("actor_type"), profile_tier(F.col("n_posts")).alias("tier"), confidence.alias("confidence"), F.lit(version).alias("profile_version"))
 
 
-DROPPED = {"attention": ["automated_feed"], "events": ["automated_feed", "curated_feed"], "all": ["automated_feed", "curated_feed", "news_source"]}
-ECOSYSTEM = ["news_voice", "news_source", "participant"]
+_FEEDS, _PROMOTION, _ORGS = TYPES["incident_feed"], TYPES["promotion"], TYPES["org_other"]
+#: What each question leaves out: attention is neither feeds nor promotion, events come from feeds too.
+DROPPED = {"attention": (*_FEEDS, *_PROMOTION), "events": _PROMOTION, "all": ()}
+#: The one question that keeps only listed types.
+KEPT = {"ecosystem": (*_PROMOTION, *_ORGS)}
 
 
 def mode_exclusion(profiles: DataFrame, mode: str) -> DataFrame:
     """Authors to leave out. unclassified stays in attention, events and all; ecosystem keeps only its listed types."""
+    if mode not in DROPPED and mode not in KEPT:
+        raise ValueError(f"unknown mode {mode!r}; one of {sorted((*DROPPED, *KEPT))}")
     kind = F.coalesce("actor_type", F.lit("unclassified"))
-    out = ~kind.isin(ECOSYSTEM) if mode == "ecosystem" else kind.isin(DROPPED[mode])
+    out = ~kind.isin(*KEPT[mode]) if mode in KEPT else kind.isin(*DROPPED[mode])
     return profiles.where(out).select("author_id", "actor_type")
 
 
@@ -127,11 +142,3 @@ def author_text_sample(posts: DataFrame, n: int = 8, cut: int = 280) -> DataFram
     for keys in (("author_id", "day"), ("author_id",)):
         rows = rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
     return rows.select("author_id", "post_id", "place", "sample")
-
-
-def actor_concentration(activity: DataFrame, by: list[str]) -> DataFrame:
-    """activity: `by`, actor, n. HHI, shares of the first 1, 5 and 10, and how many there are."""
-    place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "actor"))
-    rows = activity.withColumn("place", place).withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(*by)))
-    top = lambda k: F.round(F.sum(F.when(F.col("place") <= k, F.col("share")).otherwise(0.0)), 6).alias(f"top{k}")
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("actors"), F.round(F.sum(F.col("share") * F.col("share")), 6).alias("hhi"), top(1), top(5), top(10))

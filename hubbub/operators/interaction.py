@@ -21,6 +21,12 @@ def latest_outcome(outcomes: DataFrame) -> DataFrame:
     return rows.where("nth = 1").select("seed_id", "endpoint", "run_id", "outcome")
 
 
+def adopted_edges(edges: DataFrame, latest: DataFrame) -> DataFrame:
+    """The edges of the run that each seed's thread was taken from, so that repeated runs do not count twice."""
+    run = latest.where("endpoint = 'thread'").select("seed_id", "run_id")
+    return edges.join(run, ["seed_id", "run_id"], "left_semi")
+
+
 def seed_metrics(edges: DataFrame) -> DataFrame:
     kind = F.col("edge_type")
     return edges.groupBy("seed_id").agg(
@@ -66,10 +72,11 @@ def _share(hits: str, n: str) -> Column:
 
 
 def csr_population(facts: DataFrame, populations: dict[str, Column]) -> DataFrame:
-    """Status counts and conversation share of overlapping populations, in one pass."""
+    """Status counts, conversation share and observed seeds with each kind of interaction, of overlapping populations in one pass."""
     member = F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in populations.items()]))
     rows = facts.withColumn("population", F.explode(member)).groupBy("population").agg(
-        F.count(F.lit(1)).alias("seeds"), *[F.count_if(F.col("status") == s).alias(s) for s in ("observed", "unavailable", "failed", "missing")], F.count_if("conversation").alias("conversations")
+        F.count(F.lit(1)).alias("seeds"), *[F.count_if(F.col("status") == s).alias(s) for s in ("observed", "unavailable", "failed", "missing")], F.count_if("conversation").alias("conversations"),
+        *[F.count_if(F.col("observed") & (F.col(c) > 0)).alias(f"with_{c}") for c in ("d1", "quotes", "reposts")],
     )
     return rows.withColumn("csr", _share("conversations", "observed"))
 

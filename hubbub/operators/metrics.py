@@ -76,8 +76,9 @@ def candidate_rule(compared: DataFrame, min_posts: int, min_growth: float, min_a
 
 
 def informative_users(posts: DataFrame, topic: str = "error") -> DataFrame:
-    """Mean daily share of event posts, weighted by the logarithm of followers (here ten for each unit of the id)."""
-    daily = posts.groupBy("author_id", F.to_date("published_at").alias("day")).agg(F.count(F.lit(1)).alias("posts"), F.count_if(F.col("topic") == topic).alias("event_posts"))
-    rows = daily.groupBy("author_id").agg(F.avg(F.col("event_posts") / F.col("posts")).alias("m"))
-    followers = F.substring("author_id", 2, 20).cast("long") * 10
-    return rows.select("author_id", F.round("m", 6).alias("mean_share"), F.round(F.col("m") * F.ln(followers + 1), 6).alias("score"))
+    """Mean daily share of event posts, weighted by the logarithm of the most followers that an author's posts tell of."""
+    daily = posts.groupBy("author_id", F.to_date("published_at").alias("day")).agg(
+        F.count(F.lit(1)).alias("posts"), F.count_if(F.col("topic") == topic).alias("event_posts"), F.max("followers").alias("followers")
+    )
+    rows = daily.groupBy("author_id").agg(F.avg(F.col("event_posts") / F.col("posts")).alias("m"), F.max("followers").alias("followers"))
+    return rows.select("author_id", F.round("m", 6).alias("mean_share"), F.round(F.col("m") * F.ln(F.col("followers") + 1), 6).alias("score"))

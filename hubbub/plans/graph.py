@@ -8,28 +8,35 @@ from hubbub.operators import interaction as i
 from hubbub.plans.catalog import register
 
 _LO = "lo AS (SELECT seed_id, endpoint, coalesce(max(run_id) FILTER (outcome <> 'failed'), min(run_id)) AS run_id FROM outcomes GROUP BY 1, 2), la AS (SELECT o.seed_id, o.endpoint, o.run_id, o.outcome FROM outcomes o JOIN lo USING (seed_id, endpoint, run_id))"
-_ME = "me AS (SELECT seed_id, count(*) FILTER (edge_type = 'reply' AND depth = 1) AS d1, count(*) FILTER (edge_type = 'reply' AND depth = 2) AS d2, count(*) FILTER (edge_type = 'quote') AS quotes, count(*) FILTER (edge_type = 'repost') AS reposts, count(DISTINCT actor) AS actors FROM edges GROUP BY 1)"
+_ME = "ae AS (SELECT e.* FROM edges e JOIN la ON la.seed_id = e.seed_id AND la.run_id = e.run_id AND la.endpoint = 'thread'), me AS (SELECT seed_id, count(*) FILTER (edge_type = 'reply' AND depth = 1) AS d1, count(*) FILTER (edge_type = 'reply' AND depth = 2) AS d2, count(*) FILTER (edge_type = 'quote') AS quotes, count(*) FILTER (edge_type = 'repost') AS reposts, count(DISTINCT actor) AS actors FROM ae GROUP BY 1)"
 _SS = f"{_LO}, ss AS (SELECT seed_id, CASE WHEN count(*) FILTER (outcome IN ('success', 'partial')) = 2 THEN 'observed' WHEN bool_or(outcome = 'unavailable') THEN 'unavailable' WHEN bool_or(outcome = 'failed') THEN 'failed' ELSE 'missing' END AS status FROM la GROUP BY 1)"
+
+
+def adopted(t):
+    return i.adopted_edges(t.edges, i.latest_outcome(t.outcomes))
+
+
+register("adopted_edges", lambda t: adopted(t).select("edge_no", "seed_id", "run_id"), f"WITH {_LO}, {_ME} SELECT edge_no, seed_id, run_id FROM ae")
 register("edge_key", lambda t: t.edges.select("edge_no", i.edge_key(F.col("edge_type"), F.col("actor"), F.when(F.col("target_id") % 5 > 0, F.col("target_id"))).alias("key")), "SELECT edge_no, substr(sha256(edge_type || '|' || actor || '|' || CASE WHEN target_id % 5 > 0 THEN CAST(target_id AS VARCHAR) ELSE 'None' END), 1, 32) AS key FROM edges")
 register("latest_outcome", lambda t: i.latest_outcome(t.outcomes), f"WITH {_LO} SELECT * FROM la")
-register("seed_metrics", lambda t: i.seed_metrics(t.edges), f"WITH {_ME} SELECT * FROM me")
+register("seed_metrics", lambda t: i.seed_metrics(adopted(t)), f"WITH {_LO}, {_ME} SELECT * FROM me")
 register("seed_status", lambda t: i.seed_status(i.latest_outcome(t.outcomes)), f"WITH {_SS} SELECT * FROM ss")
 for _by in ("topic_key", "actor_type", "has_cve", "in_main"):
-    register(f"csr_by_{_by}", lambda t, by=_by: i.csr(t.seeds, i.seed_status(i.latest_outcome(t.outcomes)), i.seed_metrics(t.edges), by), f"""WITH {_SS}, {_ME}, j AS (SELECT s.{_by}, status = 'observed' AS seen, coalesce(d1, 0) + coalesce(quotes, 0) > 0 AS talk FROM seeds s LEFT JOIN ss USING (seed_id) LEFT JOIN me USING (seed_id))
+    register(f"csr_by_{_by}", lambda t, by=_by: i.csr(t.seeds, i.seed_status(i.latest_outcome(t.outcomes)), i.seed_metrics(adopted(t)), by), f"""WITH {_SS}, {_ME}, j AS (SELECT s.{_by}, status = 'observed' AS seen, coalesce(d1, 0) + coalesce(quotes, 0) > 0 AS talk FROM seeds s LEFT JOIN ss USING (seed_id) LEFT JOIN me USING (seed_id))
       SELECT {_by}, count(*) AS seeds, count(*) FILTER (seen) AS observed, count(*) FILTER (seen AND talk) AS conversations, round(count(*) FILTER (seen AND talk) / nullif(count(*) FILTER (seen), 0), 6) AS csr FROM j GROUP BY 1""")
 register("actor_reply_graph", lambda t: i.actor_reply_graph(t.edges, t.posts.select(F.col("post_id").alias("target_id"), F.col("author_id").alias("author"))), "WITH g AS (SELECT actor AS src, author_id AS dst, count(*) AS weight FROM edges JOIN posts ON post_id = target_id WHERE edge_type = 'reply' GROUP BY 1, 2) SELECT src, dst, weight, EXISTS (SELECT 1 FROM g h WHERE h.src = g.dst AND h.dst = g.src) AS mutual FROM g")
 register("corpus_reply_edges", lambda t: t.posts.where("in_reply_to is not null").select(F.col("post_id").alias("reply"), F.col("in_reply_to").alias("uri")).join(t.posts.select("uri", F.col("post_id").alias("parent")), "uri").select("reply", "parent"), "SELECT a.post_id AS reply, b.post_id AS parent FROM posts a JOIN posts b ON a.in_reply_to = b.uri")
 
 
 def facts(t):
-    return i.seed_facts(t.seeds, i.seed_status(i.latest_outcome(t.outcomes)), i.seed_metrics(t.edges))
+    return i.seed_facts(t.seeds, i.seed_status(i.latest_outcome(t.outcomes)), i.seed_metrics(adopted(t)))
 
 
 _FA = f"""{_SS}, {_ME}, fa AS (SELECT s.*, coalesce(status, 'missing') AS status, coalesce(d1, 0) AS d1, coalesce(d2, 0) AS d2, coalesce(quotes, 0) AS quotes, coalesce(reposts, 0) AS reposts,
       coalesce(status = 'observed', false) AS observed, coalesce(status = 'observed', false) AND coalesce(d1, 0) + coalesce(quotes, 0) > 0 AS conversation FROM seeds s LEFT JOIN ss USING (seed_id) LEFT JOIN me USING (seed_id))"""
 _CSR = "count(*) FILTER (conversation) AS conversations, round(count(*) FILTER (conversation) / nullif(count(*) FILTER (observed), 0), 6) AS csr"
 register("csr_population", lambda t: i.csr_population(facts(t), {"all": F.lit(True), "main": F.col("in_main"), "legacy": F.col("in_legacy")}), f"""WITH {_FA}, p AS (SELECT 'all' AS population, * FROM fa UNION ALL SELECT 'main', * FROM fa WHERE in_main UNION ALL SELECT 'legacy', * FROM fa WHERE in_legacy)
-      SELECT population, count(*) AS seeds, count(*) FILTER (status = 'observed') AS observed, count(*) FILTER (status = 'unavailable') AS unavailable, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'missing') AS missing, {_CSR.replace('observed)', "p.observed)")} FROM p GROUP BY 1""")
+      SELECT population, count(*) AS seeds, count(*) FILTER (status = 'observed') AS observed, count(*) FILTER (status = 'unavailable') AS unavailable, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'missing') AS missing, {_CSR.replace('observed)', "p.observed)")}, count(*) FILTER (p.observed AND d1 > 0) AS with_d1, count(*) FILTER (p.observed AND quotes > 0) AS with_quotes, count(*) FILTER (p.observed AND reposts > 0) AS with_reposts FROM p GROUP BY 1""")
 register("csr_depth", lambda t: i.csr_depth(facts(t)), f"WITH {_FA} SELECT count(*) AS observed, count(*) FILTER (d1 > 0) AS with_d1, count(*) FILTER (d2 > 0) AS with_d2, round(count(*) FILTER (d1 > 0) / count(*), 6) AS share_d1, round(count(*) FILTER (d2 > 0) / count(*), 6) AS share_d2 FROM fa WHERE observed")
 register("csr_weighted", lambda t: i.csr_weighted(facts(t), "actor_type"), f"WITH {_FA}, g AS (SELECT actor_type, count(*) AS n, count(*) FILTER (observed) AS seen, count(*) FILTER (conversation) AS talk FROM fa GROUP BY 1) SELECT round(sum(n * talk / seen) / sum(n), 6) AS csr_weighted FROM g WHERE seen > 0")
 register("seed_distribution", lambda t: i.seed_distribution(facts(t), ["d1", "d2", "quotes", "reposts"]), f"""WITH {_FA}, m AS (SELECT unnest(['d1', 'd2', 'quotes', 'reposts']) AS measure, unnest([d1, d2, quotes, reposts]) AS x FROM fa WHERE observed)
@@ -55,7 +62,7 @@ register("sensors_by_topic", lambda t: i.sensors_by_topic(facts(t)), f"""WITH {_
       row_number() OVER (ORDER BY s_interaction DESC, topic_key) AS rank_interaction, round(s_interaction / s_post, 6) AS per_post FROM se""")
 register("spearman_topics", lambda t: i.spearman(i.sensors_by_topic(facts(t)), "s_post", "s_interaction"), f"""WITH {_FA}, {_SENSOR}, r AS (SELECT rank() OVER (ORDER BY s_post) + (count(*) OVER (PARTITION BY s_post) - 1) / 2 AS x, rank() OVER (ORDER BY s_interaction) + (count(*) OVER (PARTITION BY s_interaction) - 1) / 2 AS y FROM se)
       SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM r""")
-register("csr_strict", lambda t: i.csr(t.seeds, i.seed_status(i.latest_outcome(t.outcomes).where("outcome <> 'partial'")), i.seed_metrics(t.edges), "topic_key"), f"""WITH {_LO}, ok AS (SELECT seed_id FROM la WHERE outcome = 'success' GROUP BY 1 HAVING count(*) = 2), {_ME}
+register("csr_strict", lambda t: i.csr(t.seeds, i.seed_status(i.latest_outcome(t.outcomes).where("outcome <> 'partial'")), i.seed_metrics(adopted(t)), "topic_key"), f"""WITH {_LO}, ok AS (SELECT seed_id FROM la WHERE outcome = 'success' GROUP BY 1 HAVING count(*) = 2), {_ME}
       SELECT topic_key, count(*) AS seeds, count(ok.seed_id) AS observed, count(*) FILTER (ok.seed_id IS NOT NULL AND coalesce(d1, 0) + coalesce(quotes, 0) > 0) AS conversations,
       round(count(*) FILTER (ok.seed_id IS NOT NULL AND coalesce(d1, 0) + coalesce(quotes, 0) > 0) / nullif(count(ok.seed_id), 0), 6) AS csr FROM seeds LEFT JOIN ok USING (seed_id) LEFT JOIN me USING (seed_id) GROUP BY 1""")
 register("run_rollup", lambda t: i.run_rollup(t.outcomes), """WITH w AS (SELECT run_id, seed_id, max(CASE outcome WHEN 'failed' THEN 3 WHEN 'unavailable' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END) AS w FROM outcomes GROUP BY 1, 2)

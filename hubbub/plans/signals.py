@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hubbub.operators import authors, metrics, nullmodel, trend
+from hubbub.operators import authors, interaction, metrics, nullmodel, trend
 from hubbub.plans.adapters import AS_OF
 from hubbub.plans.catalog import register
 
@@ -22,10 +22,15 @@ AUDIENCE_SQL = """aud AS (SELECT author_id, count(*) AS n_posts, count(*) FILTER
       round(avg(like_count + repost_count) FILTER (collected_at - published_at >= INTERVAL 24 HOUR), 6) AS mean_engagement FROM posts GROUP BY author_id),
     audience AS (SELECT *, CASE WHEN n_settled = 0 THEN 'unknown' WHEN mean_engagement >= 1 THEN 'engaged' ELSE 'unheard' END AS audience FROM aud)"""
 PROFILES_SQL = AUDIENCE_SQL + """,
-    fn AS (SELECT DISTINCT author_id, CASE CAST(substr(author_id, 2) AS BIGINT) % 4 WHEN 0 THEN 'feed' WHEN 1 THEN 'reporting' WHEN 2 THEN 'discussion' END AS function FROM posts),
-    prof AS (SELECT author_id, n_posts, audience, function, CASE WHEN function IS NULL THEN 'unclassified' WHEN function = 'feed' AND n_posts < 3 THEN 'unclassified'
-        WHEN function = 'feed' AND audience = 'unheard' THEN 'automated_feed' WHEN function = 'feed' THEN 'curated_feed' WHEN function = 'reporting' AND audience = 'engaged' THEN 'news_voice'
-        WHEN function = 'reporting' THEN 'news_source' ELSE 'participant' END AS actor_type, CASE WHEN n_posts >= 5 THEN 'established' WHEN n_posts >= 3 THEN 'provisional' ELSE 'single' END AS tier,
+    fn AS (SELECT DISTINCT author_id, CASE CAST(substr(author_id, 2) AS BIGINT) % 6 WHEN 0 THEN 'incident_feed' WHEN 1 THEN 'news_media' WHEN 2 THEN 'promotion'
+        WHEN 3 THEN 'individual' WHEN 4 THEN 'org_other' END AS function FROM posts),
+    prof AS (SELECT author_id, n_posts, audience, function,
+        CASE WHEN function IS NULL OR audience = 'unknown' OR (function IN ('incident_feed', 'promotion') AND n_posts < 3) THEN 'unclassified'
+          WHEN audience = 'engaged' THEN CASE function WHEN 'incident_feed' THEN 'intel_feed_amplified' WHEN 'promotion' THEN 'promotion_reaching' WHEN 'news_media' THEN 'news_with_reach'
+            WHEN 'individual' THEN 'organic_attention' ELSE 'org_reaching' END
+          ELSE CASE function WHEN 'incident_feed' THEN 'intel_feed_raw' WHEN 'promotion' THEN 'promotion_unheard' WHEN 'news_media' THEN 'news_syndicated'
+            WHEN 'individual' THEN 'individual_unheard' ELSE 'org_unheard' END END AS actor_type,
+        CASE WHEN n_posts >= 5 THEN 'established' WHEN n_posts >= 3 THEN 'provisional' ELSE 'single' END AS tier,
         CASE WHEN n_posts >= 5 THEN 0.9 WHEN n_posts >= 3 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence, 'p1' AS profile_version FROM audience JOIN fn USING (author_id))"""
 
 
@@ -45,8 +50,9 @@ def flagged(t):
 
 
 def functions(t):
-    n = F.substring("author_id", 2, 20).cast("long") % 4
-    return t.posts.select("author_id").distinct().withColumn("function", F.when(n == 0, "feed").when(n == 1, "reporting").when(n == 2, "discussion"))
+    names = F.array(*map(F.lit, ("incident_feed", "news_media", "promotion", "individual", "org_other")))
+    n = (F.substring("author_id", 2, 20).cast("long") % 6).cast("int")
+    return t.posts.select("author_id").distinct().withColumn("function", F.get(names, n))
 
 
 def profiles(t):
@@ -88,16 +94,26 @@ register("profile_tier", lambda t: authors.measure_audience(t.posts).groupBy(aut
 register("build_profiles", profiles, f"WITH {PROFILES_SQL} SELECT * FROM prof")
 register("derive_actor_type", lambda t: profiles(t).groupBy("function", "audience", "actor_type").agg(F.count(F.lit(1)).alias("authors")), f"WITH {PROFILES_SQL} SELECT function, audience, actor_type, count(*) AS authors FROM prof GROUP BY ALL")
 register("profile_coverage", lambda t: authors.profile_coverage(profiles(t)), f"WITH {PROFILES_SQL} SELECT tier, CAST(sum(n_posts) AS BIGINT) AS posts, count(*) AS authors, round(coalesce(sum(n_posts) FILTER (actor_type <> 'unclassified'), 0) / sum(n_posts), 6) AS classified_share FROM prof GROUP BY tier")
-for _mode, _cond in {"attention": "actor_type IN ('automated_feed')", "events": "actor_type IN ('automated_feed', 'curated_feed')", "all": "actor_type IN ('automated_feed', 'curated_feed', 'news_source')", "ecosystem": "actor_type NOT IN ('news_voice', 'news_source', 'participant')"}.items():
+_LEFT_OUT = {
+    "attention": "actor_type IN ('intel_feed_raw', 'intel_feed_amplified', 'promotion_unheard', 'promotion_reaching')",
+    "events": "actor_type IN ('promotion_unheard', 'promotion_reaching')",
+    "all": "false",
+    "ecosystem": "actor_type NOT IN ('promotion_unheard', 'promotion_reaching', 'org_reaching', 'org_unheard')",
+}
+for _mode, _cond in _LEFT_OUT.items():
     register(f"actor_mode_exclusion_{_mode}", lambda t, m=_mode: authors.mode_exclusion(profiles(t), m), f"WITH {PROFILES_SQL} SELECT author_id, actor_type FROM prof WHERE {_cond}")
 register("author_strata", lambda t: authors.author_strata(t.posts), """WITH s AS (SELECT author_id, count(*) AS n, round(avg(coalesce(like_count, 0) + coalesce(repost_count, 0)), 6) AS mean_engagement FROM posts GROUP BY author_id)
       SELECT *, CASE WHEN n >= 50 AND mean_engagement < 0.5 THEN 'feed' ELSE 'other' END AS stratum FROM s""")
 register("author_text_sample", lambda t: authors.author_text_sample(t.posts), r"""WITH s AS (SELECT author_id, post_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM posts),
       r AS (SELECT author_id, post_id, substr(x, 1, 280) AS sample, row_number() OVER (PARTITION BY author_id ORDER BY length(x) DESC, post_id) AS place FROM s) SELECT author_id, post_id, place, sample FROM r WHERE place <= 8""")
-register("author_distribution", lambda t: authors.actor_concentration(t.relevant.groupBy("topic", F.col("author_id").alias("actor")).agg(F.count(F.lit(1)).alias("n")), ["topic"]), """WITH a AS (SELECT topic, author_id AS actor, count(*) AS n FROM relevant GROUP BY ALL),
-      s AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, actor) AS place, n / CAST(sum(n) OVER (PARTITION BY topic) AS BIGINT) AS share FROM a)
-      SELECT topic, count(*) AS actors, round(sum(share * share), 6) AS hhi, round(sum(share) FILTER (place <= 1), 6) AS top1, round(sum(share) FILTER (place <= 5), 6) AS top5, round(sum(share) FILTER (place <= 10), 6) AS top10 FROM s GROUP BY topic""")
-register("informative_users", lambda t: metrics.informative_users(t.relevant), """WITH d AS (SELECT author_id, CAST(published_at AS DATE) AS day, count(*) AS posts, count(*) FILTER (topic = 'error') AS event_posts FROM relevant GROUP BY ALL),
+register(
+    "author_distribution",
+    lambda t: interaction.concentration(t.relevant.groupBy("topic", "author_id").agg(F.count(F.lit(1)).alias("n")), "topic", "n"),
+    """WITH a AS (SELECT topic, author_id, count(*) AS n FROM relevant GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC) AS place FROM a)
+      SELECT topic, count(*) AS actors, CAST(sum(n) AS BIGINT) AS total, round(sum(n * n) / (sum(n) * sum(n)), 6) AS hhi, round(sum(n) FILTER (place <= 1) / sum(n), 6) AS top_1,
+        round(sum(n) FILTER (place <= 5) / sum(n), 6) AS top_5, round(sum(n) FILTER (place <= 10) / sum(n), 6) AS top_10 FROM s GROUP BY topic""",
+)
+register("informative_users", lambda t: metrics.informative_users(t.relevant.withColumn("followers", F.substring("author_id", 2, 20).cast("long") * 10)), """WITH d AS (SELECT author_id, CAST(published_at AS DATE) AS day, count(*) AS posts, count(*) FILTER (topic = 'error') AS event_posts FROM relevant GROUP BY ALL),
       m AS (SELECT author_id, avg(event_posts / posts) AS mean_share FROM d GROUP BY author_id) SELECT author_id, round(mean_share, 6) AS mean_share, round(mean_share * ln(CAST(substr(author_id, 2) AS BIGINT) * 10 + 1), 6) AS score FROM m""")
 
 # null model: the shift of (iteration, author) is a hash, so the SQL twin repeats every draw

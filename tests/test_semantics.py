@@ -67,10 +67,29 @@ def test_missing_counts_leave_averages_but_are_zero_in_strata(spark):
     assert authors.author_strata(rows).first().mean_engagement == 6.5
 
 
-def test_unclassified_stays_but_not_in_ecosystem(spark):
-    rows = spark.createDataFrame([("a", None), ("b", "automated_feed"), ("c", "participant")], "author_id string, actor_type string")
-    out = {m: {r.author_id for r in authors.mode_exclusion(rows, m).collect()} for m in ("attention", "events", "all", "ecosystem")}
-    assert out == {"attention": {"b"}, "events": {"b"}, "all": {"b"}, "ecosystem": {"a", "b"}}
+def test_modes_leave_out_what_each_question_is_not_about(spark):
+    kinds = [None, "unclassified", "intel_feed_raw", "intel_feed_amplified", "promotion_unheard", "promotion_reaching", "org_reaching", "news_syndicated", "organic_attention"]
+    rows = spark.createDataFrame([(str(i), k) for i, k in enumerate(kinds)], "author_id string, actor_type string")
+    out = {m: {int(r.author_id) for r in authors.mode_exclusion(rows, m).collect()} for m in ("attention", "events", "all", "ecosystem")}
+    assert out == {"attention": {2, 3, 4, 5}, "events": {4, 5}, "all": set(), "ecosystem": {0, 1, 2, 3, 7, 8}}
+    with pytest.raises(ValueError):
+        authors.mode_exclusion(rows, "other")
+
+
+def test_actor_types(spark):
+    rows = [
+        ("incident_feed", "engaged", 5, "intel_feed_amplified"), ("incident_feed", "unheard", 3, "intel_feed_raw"), ("incident_feed", "unheard", 2, "unclassified"), ("promotion", "engaged", 2, "unclassified"),
+        ("incident_feed", "unknown", 9, "unclassified"), ("unknown", "engaged", 9, "unclassified"), (None, "engaged", 9, "unclassified"), ("individual", "unknown", 9, "unclassified"),
+        ("promotion", "unheard", 3, "promotion_unheard"), ("news_media", "engaged", 1, "news_with_reach"), ("individual", "unheard", 1, "individual_unheard"), ("org_other", "engaged", 1, "org_reaching"),
+    ]
+    found = spark.createDataFrame(rows, "f string, a string, n long, want string").select("want", authors.derive_actor_type(F.col("f"), F.col("a"), F.col("n")).alias("got"))
+    assert all(r.want == r.got for r in found.collect())
+
+
+def test_only_edges_of_the_adopted_run_count(spark):
+    latest = spark.createDataFrame([(1, "thread", 2), (1, "quotes", 0), (2, "thread", 0)], "seed_id long, endpoint string, run_id long")
+    edges = spark.createDataFrame([(1, r, "a", "reply", 1) for r in (0, 1, 2)] + [(2, 1, "a", "reply", 1), (3, 0, "a", "reply", 1)], "seed_id long, run_id long, actor string, edge_type string, depth int")
+    assert [(r.seed_id, r.d1) for r in interaction.seed_metrics(interaction.adopted_edges(edges, latest)).collect()] == [(1, 1)]
 
 
 def test_p_values_are_never_zero_and_fwer_is_no_smaller(spark):

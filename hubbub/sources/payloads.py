@@ -1,9 +1,13 @@
-"""Collected JSON bodies as rows: search pages and reply threads."""
+"""Collected JSON bodies as rows: search pages, reply threads, quotes and reposts; and checks of what was stored."""
 
 from __future__ import annotations
 
+import gzip
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 _AUTHOR = "struct<did: string, handle: string>"
 SEARCH_PAGE = f"""posts array<struct<uri: string, author: {_AUTHOR}, record: struct<createdAt: string, text: string, langs: array<string>, reply: struct<parent: struct<uri: string>>>,
@@ -31,3 +35,72 @@ def thread_edges(threads: DataFrame, body: str) -> DataFrame:
     second = first.select(F.col("r.post.uri").alias("target"), F.explode("r.replies").alias("r"))
     edge = lambda d, n, deeper: d.select(F.col("r.post.uri").alias("source"), "target", F.col("r.post.author.did").alias("actor"), F.lit(n).alias("depth"), deeper.alias("deeper"))
     return edge(first, 1, F.lit(False)).unionByName(edge(second, 2, F.coalesce(F.size("r.replies") > 0, F.lit(False))))
+
+
+_EMBED = "struct<record: struct<uri: string, record: struct<uri: string>>>"
+QUOTES = f"posts array<struct<uri: string, author: {_AUTHOR}, record: struct<createdAt: string, embed: {_EMBED}>, indexedAt: string>>"
+REPOSTS = f"repostedBy array<{_AUTHOR}>"
+_BELOW = "struct<`$type`: string>"
+GAP = f"thread struct<post: struct<replyCount: bigint>, replies: array<struct<`$type`: string, replies: array<{_BELOW}>>>>"
+
+
+def quote_edges(pages: DataFrame, body: str, seed_uri: str) -> DataFrame:
+    """An edge for each quoting post of a page, with whether what it embeds, directly or within another record, is the seed."""
+    rows = pages.select(F.col(seed_uri).alias("target"), F.explode(F.from_json(body, QUOTES)["posts"]).alias("q")).select("target", "q.*")
+    quoted = F.coalesce("record.embed.record.uri", "record.embed.record.record.uri")
+    time = F.coalesce(F.try_to_timestamp("record.createdAt"), F.try_to_timestamp("indexedAt"))
+    return rows.select(F.col("uri").alias("source"), "target", F.col("author.did").alias("actor"), time.alias("event_time"), F.coalesce(quoted == F.col("target"), F.lit(False)).alias("consistent"))
+
+
+def repost_edges(pages: DataFrame, body: str, seed_uri: str) -> DataFrame:
+    """An edge for each account of a page. Reposts have neither a post of their own nor a time."""
+    rows = pages.select(F.col(seed_uri).alias("target"), F.explode(F.from_json(body, REPOSTS)["repostedBy"]).alias("a"))
+    none = F.lit(None)
+    return rows.select(none.cast("string").alias("source"), "target", F.col("a.did").alias("actor"), F.col("a.handle").alias("handle"), none.cast("timestamp").alias("event_time"))
+
+
+def thread_gap(threads: DataFrame, body: str, key: str) -> DataFrame:
+    """What a thread's post says of its replies beside what came: nodes of two levels, how many are no readable post, and
+    whether direct replies are short of the count."""
+    t = threads.select(key, F.from_json(body, GAP)["thread"].alias("t"))
+    below = F.flatten(F.transform(F.col("replies"), lambda r: F.coalesce(r["replies"], F.array())))
+    kinds = F.concat(F.transform("replies", lambda r: r["$type"]), F.transform("below", lambda r: r["$type"]))
+    rows = t.withColumn("replies", F.col("t.replies")).where("t is not null")
+    rows = rows.withColumn("below", F.coalesce(below, F.array().cast(f"array<{_BELOW}>"))).withColumn("kinds", F.coalesce(kinds, F.array().cast("array<string>")))
+    count = F.coalesce("t.post.replyCount", F.lit(0)).cast("long")
+    direct = F.greatest(F.coalesce(F.size("replies"), F.lit(0)), F.lit(0)).cast("long")
+    unread = F.size(F.filter("kinds", lambda k: ~F.coalesce(k.endswith("#threadViewPost"), F.lit(False)))).cast("long")
+    return rows.select(
+        key, count.alias("reply_count"), direct.alias("returned_depth1"), F.size("below").cast("long").alias("returned_depth2"), F.size("kinds").cast("long").alias("returned_nodes"),
+        unread.alias("unread_nodes"), (direct < count).alias("partial"),
+    )
+
+
+def check_bodies(snapshots: DataFrame, packed: str, digest: str, payload: str) -> DataFrame:
+    """One row: bodies read, those whose digest is not the stored one, and those that are not the stored JSON, whatever the
+    order of its names. Only unpacking needs Python."""
+
+    def unpack(batches):
+        for batch in batches:
+            bodies = [gzip.decompress(b) for b in batch["packed"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary()), batch["digest"], batch["payload"]], ["body", "digest", "payload"])
+
+    rows = snapshots.where(F.col(packed).isNotNull()).select(F.col(packed).alias("packed"), F.col(digest).alias("digest"), F.col(payload).alias("payload"))
+    rows = rows.mapInArrow(unpack, "body binary, digest string, payload string")
+    same = F.to_json(F.try_parse_json(F.col("body").cast("string"))) == F.to_json(F.try_parse_json("payload"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("checked"), F.count_if(~F.coalesce(F.sha2("body", 256) == F.col("digest"), F.lit(False))).alias("digest_mismatch"),
+        F.count_if(~F.coalesce(same, F.lit(False))).alias("json_mismatch"),
+    )
+
+
+def pack_bodies(bodies: DataFrame, body: str) -> DataFrame:
+    """bodies with the gzipped body `packed` and its digest, as collectors store them."""
+
+    def pack(batches):
+        for batch in batches:
+            packed = [None if b is None else gzip.compress(b.encode(), mtime=0) for b in batch[body].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], [*batch.schema.names, "packed"])
+
+    rows = bodies.mapInArrow(pack, StructType([*bodies.schema.fields, StructField("packed", BinaryType())]))
+    return rows.withColumn("digest", F.sha2(F.col(body).cast("binary"), 256))

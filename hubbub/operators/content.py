@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hubbub.operators.events import rarest_key
+
 _URL = r"https?://[^\s<>\"']+"
 
 
@@ -91,14 +93,6 @@ def merge_kev(records: DataFrame, kev: DataFrame) -> DataFrame:
     return rows.select("cve_id", "cvss", F.coalesce("listed", "known_exploited").alias("known_exploited"), F.col("kev_date"))
 
 
-def best_cvss(metrics: DataFrame) -> DataFrame:
-    """metrics: cve_id and arrays v31, v30, v2 of (score, severity); v2 has its severity beside the score."""
-    first = lambda c: F.get(c, F.lit(0))
-    best = F.coalesce(first(F.col("v31")), first(F.col("v30")), first(F.col("v2")))
-    version = F.when(F.size("v31") > 0, "3.1").when(F.size("v30") > 0, "3.0").when(F.size("v2") > 0, "2.0")
-    return metrics.select("cve_id", best["score"].alias("cvss"), best["severity"].alias("severity"), version.alias("version"))
-
-
 def top_cves(mentions: DataFrame, posts: DataFrame, records: DataFrame, k: int) -> DataFrame:
     """Score and exploitation stay separate columns."""
     rows = mentions.select("post_id", "cve_id").distinct().join(posts.select("post_id", "source_key", "published_at"), "post_id")
@@ -141,14 +135,15 @@ def usable_entity(entities: DataFrame, home: str) -> DataFrame:
 def match_events(posts: DataFrame, entities: DataFrame, before: int, after: int) -> DataFrame:
     """post_id, event_id, delta of posts that name an entity within [-before, after] days of its event.
 
-    entities: event_id, canonical, at. Posts and entities meet on the entity's last word, then the whole name is verified:
-    no text is compared with every entity."""
-    words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", " ")), " "))
-    tokens = posts.select("post_id", F.col("published_at"), F.trim(F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", " ")).alias("flat"), F.explode(words).alias("token"))
-    keyed = entities.select("event_id", "canonical", "at", F.element_at(F.split("canonical", " "), -1).alias("token"))
-    hits = tokens.join(keyed, "token").where(F.concat(F.lit(" "), "flat", F.lit(" ")).contains(F.concat(F.lit(" "), "canonical", F.lit(" "))))
+    entities: event_id, canonical, at. Posts and entities meet on the entity's rarest word. Only ids and times travel there; the
+    text is fetched for hits within the days and the whole name is verified in it."""
+    flat = F.trim(F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", " "))
+    tokens = posts.select("post_id", "published_at", F.explode(F.array_distinct(F.split(flat, " "))).alias("token"))
+    keyed = rarest_key(entities.select("event_id", "canonical", "at").distinct(), F.split("canonical", " "))
     delta = F.floor((F.unix_micros(F.col("published_at").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))) / 86400000000)
-    return hits.withColumn("delta", delta).where(F.col("delta").between(-before, after)).select("post_id", "event_id", "delta").distinct()
+    near = tokens.join(keyed, "token").withColumn("delta", delta).where(F.col("delta").between(-before, after))
+    hits = near.select("post_id", "event_id", "canonical", "delta").join(posts.select("post_id", F.concat(F.lit(" "), flat, F.lit(" ")).alias("flat")), "post_id")
+    return hits.where(F.col("flat").contains(F.concat(F.lit(" "), "canonical", F.lit(" ")))).select("post_id", "event_id", "delta").distinct()
 
 
 def nearest_event(matches: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hubbub.plans.adapters import Tables
 from hubbub.plans.catalog import register
 from hubbub.streaming import ingest as s
 
@@ -25,3 +26,14 @@ register("stream_ingest", lambda t: s.run_ingest(t.spark, repeated(t), ["event_i
 register("stream_topic_windows", lambda t: s.run_windows(t.spark, clocks(t), "1 day", "1 day", "event_type").select(F.to_date("start").alias("day"), "event_type", "n"), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 register("stream_sliding_windows", lambda t: s.run_windows(t.spark, clocks(t), "2 days", "1 day", "event_type").select(F.to_date("start").alias("day"), "event_type", "n"), """SELECT CAST(ts AS DATE) - CAST(x AS INTEGER) AS day, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS x) GROUP BY 1, 2""")
 register("stream_late_repair", lambda t: s.run_ingest(t.spark, clocks(t), ["event_id"]).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("published_at") == F.col("indexed_at")).alias("indexed")), "SELECT CASE event_id % 50 WHEN 0 THEN 'future_createdAt' WHEN 1 THEN 'backdated_createdAt' END AS reason, count(*) AS n, count(*) AS indexed FROM events GROUP BY 1")
+
+
+def post_stream(t):
+    """The adapted posts over the events as a stream."""
+    own = Tables(t.spark, t.sf_dir)
+    own._made["events"] = s.read_stream(t.spark, f"{t.sf_dir}/events.parquet")
+    return own.posts
+
+
+register("stream_settled_engagement", lambda t: s.run_settled(t.spark, post_stream(t), "author_id"), """SELECT author_id, count(*) AS n_settled, CAST(sum(like_count + repost_count) AS BIGINT) AS engagement,
+      count(*) FILTER (like_count + repost_count = 0) AS n_zero FROM posts WHERE collected_at - published_at >= INTERVAL 24 HOUR AND like_count + repost_count IS NOT NULL GROUP BY 1""")

@@ -57,3 +57,23 @@ def run_windows(spark: SparkSession, stream: DataFrame, width: str, slide: str,
     out = staging_path(spark, "windows")
     window_counts(stream, width, slide, by, f"{out}/counts", f"{out}/checkpoint", delay)
     return latest_counts(spark, f"{out}/counts", by)
+
+
+def settled_engagement(stream: DataFrame, by: str, path: str, checkpoint: str, hours: int = 24) -> None:
+    """Posts, engagement and posts without any of each `by`, of rows that were collected at least so long after they were
+    published. A row is looked at when it is collected, so nothing waits and the state is one row for each `by`."""
+    engagement = F.col("like_count") + F.col("repost_count")
+    settled = F.col("collected_at") - F.col("published_at") >= F.make_dt_interval(F.lit(0), F.lit(hours))
+    counts = stream.where(settled & engagement.isNotNull()).groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_settled"), F.sum(engagement).alias("engagement"), F.count_if(engagement == 0).alias("n_zero")
+    )
+    each = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/of={number}")
+    counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_settled(spark: SparkSession, stream: DataFrame, by: str, hours: int = 24) -> DataFrame:
+    """A backfill: the last counts of each `by`."""
+    out = staging_path(spark, "settled")
+    settled_engagement(stream, by, f"{out}/counts", f"{out}/checkpoint", hours)
+    last = F.max_by(F.struct("n_settled", "engagement", "n_zero"), "batch").alias("c")
+    return spark.read.parquet(f"{out}/counts").groupBy(by).agg(last).select(by, "c.*")

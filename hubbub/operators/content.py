@@ -146,6 +146,30 @@ def match_events(posts: DataFrame, entities: DataFrame, before: int, after: int)
     return hits.where(F.col("flat").contains(F.concat(F.lit(" "), "canonical", F.lit(" ")))).select("post_id", "event_id", "delta").distinct()
 
 
+def event_sets(matches: DataFrame, home: str, before: int = 2, after: int = 30) -> DataFrame:
+    """post_id, label, event_id, delta of posts that name an entity. matches: post_id, event_id, country, delta at any distance.
+    positive: a home event within the days, with the nearest one; out_of_window: home events at other times alone; negative:
+    foreign events alone."""
+    own, near = F.col("country") == home, F.col("delta").between(-before, after)
+    best = F.min_by(F.when(own & near, F.struct("event_id", "delta")), F.when(own & near, F.struct(F.abs("delta"), "event_id"))).alias("e")
+    rows = matches.groupBy("post_id").agg(F.bool_or(own).alias("own"), F.bool_or(own & near).alias("near"), best)
+    label = F.when(F.col("near"), "positive").when(F.col("own"), "out_of_window").otherwise("negative")
+    return rows.select("post_id", label.alias("label"), F.col("e.event_id").alias("event_id"), F.col("e.delta").alias("delta"))
+
+
+def enrich_queue(mentions: DataFrame, relevant: DataFrame, records: DataFrame, known: DataFrame, min_posts: int = 2) -> DataFrame:
+    """Identifiers to look up: not known yet, and in a relevant post, known exploited, or in min_posts posts. tier gives the order:
+    relevant ones first, exploited ones first among equals, then by posts.
+
+    mentions: cve_id, post_id. relevant: post_id. records: cve_id, known_exploited. known: cve_id."""
+    seen = relevant.select("post_id").distinct().withColumn("seen", F.lit(True))
+    rows = mentions.join(seen, "post_id", "left").groupBy("cve_id").agg(F.countDistinct("post_id").alias("posts"), F.bool_or(F.coalesce("seen", F.lit(False))).alias("in_relevant"))
+    rows = rows.join(records.select("cve_id", "known_exploited"), "cve_id", "left").withColumn("kev", F.coalesce("known_exploited", F.lit(False)))
+    rows = rows.where(F.col("in_relevant") | F.col("kev") | (F.col("posts") >= min_posts)).join(known.select("cve_id"), "cve_id", "left_anti")
+    tier = F.when(F.col("in_relevant") & F.col("kev"), 1).when(F.col("in_relevant"), 2).when(F.col("kev"), 3).otherwise(4)
+    return rows.select("cve_id", "posts", "kev", "in_relevant", tier.alias("tier"))
+
+
 def nearest_event(matches: DataFrame) -> DataFrame:
     """Of equal distances the earlier id."""
     return matches.groupBy("post_id").agg(F.min_by(F.struct("event_id", "delta"), F.struct(F.abs("delta"), "event_id")).alias("e")).select("post_id", "e.event_id", "e.delta")

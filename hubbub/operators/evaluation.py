@@ -92,15 +92,40 @@ def gate_eval(truth: DataFrame, labels: DataFrame, flag: str) -> DataFrame:
     return out.select("*", F.round(F.try_divide("hits", "positives"), 6).alias("recall"), F.round(F.try_divide("passed", "negatives"), 6).alias("specificity"))
 
 
-def mann_whitney(values: DataFrame, group: str, x: str) -> DataFrame:
-    """values: two groups (a boolean column) of numbers. U of the true group by average ranks, from the histogram of
-    the values, so that rows are never ordered; rank-biserial effect. No row if a side has fewer than five."""
-    h = values.where(F.col(x).isNotNull()).groupBy(x).agg(F.count_if(F.col(group)).alias("a"), F.count_if(~F.col(group)).alias("b"))
-    below = F.coalesce(F.sum(F.col("a") + F.col("b")).over(W.orderBy(x).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    h = h.withColumn("rank", below + (F.col("a") + F.col("b") + 1) / 2)
-    rows = h.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * F.col("rank")).alias("r"))
+def two_sided(z: Column) -> Column:
+    """The chance of a normal value at least as far out as |z|, by a rational approximation with an error below 2e-7."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * x)
+    terms = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)  # fixed values of the approximation
+    tail = F.lit(terms[-1])
+    for k in terms[-2::-1]:
+        tail = tail * t + F.lit(k)
+    return tail * t * F.exp(-x * x)
+
+
+def mann_whitney(values: DataFrame, side: str, x: str, by: list[str] | None = None) -> DataFrame:
+    """values: two sides (a boolean column) of numbers, within each group of `by`. U of the true side by average ranks, from the
+    histogram of the values, so that rows are never ordered; both medians (the upper one of two), the rank-biserial effect 1 - 2U / ab
+    and the two-sided p of the normal approximation with corrections for ties and continuity. No row if a side has fewer than
+    five; p is 1 if all values are equal."""
+    by = by or []
+    h = values.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
+    before = W.partitionBy(*by).orderBy(x).rowsBetween(W.unboundedPreceding, -1)
+    sums = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    whole = W.partitionBy(*by)
+    h = h.select("*", *(sums(c).alias(f"before_{c}") for c in "ab"), *(F.sum(c).over(whole).alias(f"n_{c}") for c in "ab"))
+    t = F.col("a") + F.col("b")
+    h = h.withColumn("rank", F.col("before_a") + F.col("before_b") + (t + 1) / 2)
+    middle = lambda c: F.min(F.when(F.col(f"before_{c}") + F.col(c) > F.floor(F.col(f"n_{c}") / 2), F.col(x))).alias(f"median_{c}")
+    rows = h.groupBy(*by).agg(
+        F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), middle("a"), middle("b"), F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum((t * t * t - t).cast("double")).alias("ties")
+    )
+    n, pairs = F.col("n_a") + F.col("n_b"), F.col("n_a") * F.col("n_b")
     u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2
-    return rows.where("n_a >= 5 and n_b >= 5").select("n_a", "n_b", u.alias("u"), F.round(2 * u / (F.col("n_a") * F.col("n_b")) - 1, 6).alias("effect"))
+    spread = F.sqrt(pairs / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    z = F.when(spread > 0, F.greatest(F.abs(u - pairs / 2) - 0.5, F.lit(0.0)) / spread).otherwise(0.0)
+    rows = rows.where("n_a >= 5 and n_b >= 5")
+    return rows.select(*by, "n_a", "n_b", "median_a", "median_b", u.alias("u"), F.round(1 - 2 * u / pairs, 6).alias("effect"), F.round(F.least(two_sided(z), F.lit(1.0)), 6).alias("p"))
 
 
 def ppi_daily(predicted: DataFrame, labelled: DataFrame, z: float = 1.96) -> DataFrame:

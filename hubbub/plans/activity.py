@@ -50,7 +50,10 @@ register("compare_periods", lambda t: d.compare_periods(t.relevant, AS_OF, 7), f
 register("topic_by_source", lambda t: d.counts_by(t.relevant, "topic", "source_key"), "SELECT topic, source_key, count(*) AS posts, count(DISTINCT author_id) AS authors FROM relevant GROUP BY 1, 2")
 _SCORE = "coalesce(like_count, 0) + 2 * coalesce(repost_count, 0) + coalesce(reply_count, 0)"
 register("representative_posts", lambda t: d.representative_posts(t.relevant), f"WITH s AS (SELECT topic, post_id, author_id, {_SCORE} AS engagement, row_number() OVER (PARTITION BY topic ORDER BY {_SCORE} DESC, post_id) AS place FROM relevant WHERE NOT low_info) SELECT topic, post_id, author_id, engagement, place FROM s WHERE place <= 5")
-register("diverse_posts", lambda t: d.diverse_posts(t.relevant))
+register("diverse_posts", lambda t: d.diverse_posts(t.relevant), """WITH s AS (SELECT topic, post_id, author_id, coalesce(like_count, 0) + 2 * coalesce(repost_count, 0) + coalesce(reply_count, 0) AS engagement FROM relevant WHERE NOT low_info),
+      a AS (SELECT *, row_number() OVER (PARTITION BY topic, author_id ORDER BY engagement DESC, post_id) AS nth FROM s),
+      b AS (SELECT *, nth = 1 AND row_number() OVER (PARTITION BY topic, nth = 1 ORDER BY engagement DESC, post_id) <= 3 AS leads FROM a),
+      c AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY leads DESC, engagement DESC, post_id) AS place FROM b) SELECT topic, post_id, author_id, engagement, place FROM c WHERE place <= 5""")
 register("recent_posts", lambda t: d.top(t.relevant.select("post_id", "topic", F.substring("text", 1, 320).alias("text"), "published_at"), 50, F.desc("published_at"), "post_id"), "SELECT * FROM (SELECT post_id, topic, substr(text, 1, 320) AS text, published_at, row_number() OVER (ORDER BY published_at DESC, post_id) AS place FROM relevant) WHERE place <= 50")
 register("labelled_through", lambda t: d.labelled_through(t.posts, version(t, "v2"), 0.85), "WITH c AS (SELECT CAST(published_at AS DATE) AS day, count(l.post_id) / count(*) AS share FROM posts p LEFT JOIN labels l ON p.post_id = l.post_id AND label_version = 'v2' AND is_cyber IS NOT NULL GROUP BY 1) SELECT max(day) FILTER (share >= 0.85) AS through, round(min(share), 6) AS lowest FROM c")
 register("topic_top_authors", lambda t: d.top(t.relevant.where(in_window(F.col("published_at"), AS_OF, 7)).groupBy("topic", "author_handle").agg(F.count(F.lit(1)).alias("n")), 8, F.desc("n"), "author_handle", by=("topic",)), f"SELECT * FROM (SELECT topic, author_handle, count(*) AS n, row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, author_handle) AS place FROM relevant WHERE {_CUR} GROUP BY 1, 2) WHERE place <= 8")

@@ -74,7 +74,13 @@ _CV = r"cv AS (SELECT post_id, text, unnest(list_distinct(list_transform(regexp_
 register("extract_cves", lambda t: c.extract_cves(t.posts), f"WITH {_CV} SELECT * FROM mention")
 register("link_corpus", lambda t: c.link_corpus(t.posts, c.extract_cves(t.posts.where("post_id < 3000"))).agg(F.countDistinct("post_id").alias("posts"), F.count(F.lit(1)).alias("links"), F.countDistinct("cve_id").alias("cves")), f"WITH {_CV} SELECT count(DISTINCT post_id) AS posts, count(*) AS links, count(DISTINCT cve_id) AS cves FROM mention WHERE post_id >= 3000")
 register("merge_kev", lambda t: c.merge_kev(t.cve_records, t.given("part").where("p_partkey between 90 and 130 and p_partkey % 3 = 0").select(F.concat(F.lit("CVE-2024-"), (1000 + F.col("p_partkey")).cast("string")).alias("cve_id"), F.lit("2024-01-05").cast("date").alias("kev_date"))), "WITH kv AS (SELECT 'CVE-2024-' || (1000 + p_partkey) AS cve_id, DATE '2024-01-05' AS kev_date FROM part WHERE p_partkey BETWEEN 90 AND 130 AND p_partkey % 3 = 0) SELECT coalesce(r.cve_id, k.cve_id) AS cve_id, cvss, CASE WHEN k.cve_id IS NOT NULL THEN true ELSE known_exploited END AS known_exploited, kev_date FROM cve_records r FULL JOIN kv k ON r.cve_id = k.cve_id")
-register("enrich_queue", lambda t: c.extract_cves(t.posts).groupBy("cve_id").agg(F.count(F.lit(1)).alias("posts")).join(t.cve_records.where("cvss > 2").select("cve_id"), "cve_id", "left_anti").where("posts >= 2"), f"WITH {_CV} SELECT cve_id, count(*) AS posts FROM mention WHERE cve_id NOT IN (SELECT cve_id FROM cve_records WHERE cvss > 2) GROUP BY 1 HAVING count(*) >= 2")
+register(
+    "enrich_queue", lambda t: c.enrich_queue(c.extract_cves(t.posts), t.relevant, t.cve_records, t.cve_records.where("cvss > 2")),
+    f"""WITH {_CV}, g AS (SELECT cve_id, count(DISTINCT post_id) AS posts, bool_or(post_id IN (SELECT post_id FROM relevant)) AS in_relevant FROM mention GROUP BY 1),
+      k AS (SELECT g.*, coalesce(known_exploited, false) AS kev FROM g LEFT JOIN cve_records USING (cve_id))
+      SELECT *, CASE WHEN in_relevant AND kev THEN 1 WHEN in_relevant THEN 2 WHEN kev THEN 3 ELSE 4 END AS tier FROM k
+      WHERE (in_relevant OR kev OR posts >= 2) AND cve_id NOT IN (SELECT cve_id FROM cve_records WHERE cvss > 2)""",
+)
 register("top_cves", lambda t: c.top_cves(c.extract_cves(t.relevant), t.posts.where(in_window(F.col("published_at"), AS_OF, 7)), t.cve_records, 20), f"WITH {_CV}, g AS (SELECT cve_id, count(DISTINCT post_id) AS posts, count(DISTINCT source_key) AS sources, max(published_at) AS last_seen FROM mention JOIN relevant USING (post_id) WHERE {_CUR} GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY posts DESC, cve_id) AS place FROM g) SELECT o.*, cvss, known_exploited FROM o LEFT JOIN cve_records USING (cve_id) WHERE place <= 20")
 register("cve_mentions_top4", lambda t: top(c.extract_cves(t.posts).join(t.posts.select("post_id", "published_at"), "post_id").join(t.labels.where("label_version = 'v1'").select("post_id", "is_relevant"), "post_id").select("cve_id", "post_id", "is_relevant", "published_at"), 4, F.desc("is_relevant"), F.desc("published_at"), "post_id", by=("cve_id",)), f"WITH {_CV}, j AS (SELECT cve_id, p.post_id, is_relevant, published_at FROM mention m JOIN posts p USING (post_id) JOIN labels l ON l.post_id = p.post_id AND label_version = 'v1') SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY is_relevant DESC, published_at DESC, post_id) AS place FROM j) WHERE place <= 4")
 register("cve_totals", lambda t: c.extract_cves(t.relevant).agg(F.countDistinct("cve_id").alias("cves"), F.countDistinct("post_id").alias("posts"), F.count(F.lit(1)).alias("mentions")), f"WITH {_CV} SELECT count(DISTINCT cve_id) AS cves, count(DISTINCT post_id) AS posts, count(*) AS mentions FROM mention JOIN relevant USING (post_id)")
@@ -129,7 +135,24 @@ register("ingest_events", events, f"WITH {_EV} SELECT * FROM ev")
 register("canonical_name", lambda t: c.event_entities(t.registry), f"WITH {_EV} SELECT * FROM en")
 register("event_entities", lambda t: c.event_entities(t.registry).groupBy("event_id").agg(F.count(F.lit(1)).alias("entities")), f"WITH {_EV} SELECT event_id, count(*) AS entities FROM en GROUP BY 1")
 register("usable_entity", entities, f"WITH {_US} SELECT * FROM us")
-register("event_match_eval", lambda t: c.nearest_event(matches(t)), f"WITH {_MT} SELECT post_id, arg_min(event_id, (abs(delta), event_id)) AS event_id, arg_min(delta, (abs(delta), event_id)) AS delta FROM mw GROUP BY 1")
+register("nearest_event", lambda t: c.nearest_event(matches(t)), f"WITH {_MT} SELECT post_id, arg_min(event_id, (abs(delta), event_id)) AS event_id, arg_min(delta, (abs(delta), event_id)) AS delta FROM mw GROUP BY 1")
+_ALL_EVENTS = "2023-01-01", "2025-01-01"
+_EV_ALL = _US.replace("DATE '2024-01-01' AND DATE '2024-01-25'", "DATE '{}' AND DATE '{}'".format(*_ALL_EVENTS))
+
+
+def matches_anywhere(t):
+    """Of home and foreign events, whatever the days between."""
+    dated = c.ingest_events(t.registry, *_ALL_EVENTS).select("event_id", "at", "country")
+    named = entities(t).where("not is_domain").drop("country").join(dated, "event_id")
+    return c.match_events(t.posts, named, 10**6, 10**6).join(dated.select("event_id", "country"), "event_id")
+
+
+register("event_match_eval", lambda t: c.event_sets(matches_anywhere(t), "CA"), f"""WITH {_EV_ALL}, n AS (SELECT DISTINCT us.event_id, canonical, ev.at AS moment, ev.country FROM us JOIN ev USING (event_id) WHERE NOT is_domain),
+      f AS (SELECT post_id, published_at, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat FROM posts),
+      m AS (SELECT DISTINCT post_id, event_id, country, CAST(floor((epoch_us(published_at) - epoch_us(moment)) / 86400000000) AS BIGINT) AS delta FROM f JOIN n ON contains(flat, ' ' || canonical || ' ')),
+      g AS (SELECT post_id, bool_or(country = 'CA') AS own, bool_or(country = 'CA' AND delta BETWEEN -2 AND 30) AS near,
+        arg_min(event_id, (abs(delta), event_id)) FILTER (country = 'CA' AND delta BETWEEN -2 AND 30) AS event_id, arg_min(delta, (abs(delta), event_id)) FILTER (country = 'CA' AND delta BETWEEN -2 AND 30) AS delta FROM m GROUP BY 1)
+      SELECT post_id, CASE WHEN near THEN 'positive' WHEN own THEN 'out_of_window' ELSE 'negative' END AS label, event_id, delta FROM g""")
 register("oracle_hits", lambda t: matches(t).groupBy("event_id").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_MT} SELECT event_id, count(*) AS posts FROM mw GROUP BY 1")
 register("event_lead_lag", lambda t: matches(t).groupBy("event_id").agg(F.min("delta").alias("first_delta"), F.max("delta").alias("last_delta")), f"WITH {_MT} SELECT event_id, min(delta) AS first_delta, max(delta) AS last_delta FROM mw GROUP BY 1")
 register("event_funnel", lambda t: events(t).join(matches(t).join(t.labels.where("label_version = 'v1'").select("post_id", "is_relevant"), "post_id").groupBy("event_id").agg(F.bool_or("is_relevant").alias("relevant")), "event_id", "left").agg(F.count(F.lit(1)).alias("registered"), F.count("relevant").alias("captured"), F.count_if("relevant").alias("relevant")), f"WITH {_MT}, h AS (SELECT event_id, bool_or(is_relevant) AS relevant FROM mw JOIN labels l ON l.post_id = mw.post_id AND label_version = 'v1' GROUP BY 1) SELECT count(*) AS registered, count(relevant) AS captured, count(*) FILTER (relevant) AS relevant FROM ev LEFT JOIN h USING (event_id)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hubbub.operators import evaluation as e
+from hubbub.operators import authors
+from hubbub.plans import signals
 from hubbub.plans.catalog import register
 from hubbub.sources.staging import staging_path
 
@@ -58,9 +60,35 @@ register("compare_scores", lambda t: e.compare_scores(version(t, "v1"), t.labels
 register("gate_eval", lambda t: e.gate_eval(version(t, "v1").withColumn("stratum", e.stratum()), version(t, "v2"), "is_cyber"), """WITH x AS (SELECT CASE WHEN a.is_cyber THEN 'is_cyber' ELSE 'not_is_cyber' END || '/' || CASE WHEN a.is_canada THEN 'is_canada' ELSE 'not_is_canada' END AS stratum, a.is_cyber AS t, b.is_cyber AS p FROM labels a LEFT JOIN labels b ON a.post_id = b.post_id AND b.label_version = 'v2' WHERE a.label_version = 'v1'),
       g AS (SELECT stratum, count(*) FILTER (t AND p IS NOT NULL) AS positives, count(*) FILTER (t AND p) AS hits, count(*) FILTER (NOT t AND p IS NOT NULL) AS negatives, count(*) FILTER (NOT t AND NOT p) AS passed, count(*) FILTER (p IS NULL) AS unjudged FROM x GROUP BY ROLLUP (stratum))
       SELECT *, round(hits / nullif(positives, 0), 6) AS recall, round(passed / nullif(negatives, 0), 6) AS specificity FROM g""")
-register("mann_whitney", lambda t: e.mann_whitney(t.posts.select((F.col("k") % 2 == 0).alias("side"), (F.col("like_count") + F.col("repost_count")).alias("x")), "side", "x"), """WITH v AS (SELECT k % 2 = 0 AS side, like_count + repost_count AS x FROM posts WHERE repost_count IS NOT NULL),
-      r AS (SELECT side, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS r FROM v), s AS (SELECT count(*) FILTER (side) AS n_a, count(*) FILTER (NOT side) AS n_b, sum(r) FILTER (side) AS r FROM r)
-      SELECT n_a, n_b, r - n_a * (n_a + 1) / 2 AS u, round(2 * (r - n_a * (n_a + 1) / 2) / (n_a * n_b) - 1, 6) AS effect FROM s""")
+# Which kinds of account are compared, as (name, one side, other side).
+RANK_PAIRS = [
+    ("feeds_individuals", ("intel_feed_raw",), ("organic_attention", "individual_unheard")),
+    ("promotion_individuals", ("promotion_unheard", "promotion_reaching"), ("organic_attention", "individual_unheard")),
+    ("feeds_promotion", ("intel_feed_raw",), ("promotion_unheard", "promotion_reaching")),
+]
+
+
+def engagement_sides(t):
+    """A row for each pair that a settled relevant post's account belongs to."""
+    rows = t.relevant.where(authors.settled()).join(signals.profiles(t).select("author_id", "actor_type"), "author_id")
+    one = [F.when(F.col("actor_type").isin(*a, *b), F.struct(F.lit(name).alias("pair"), F.col("actor_type").isin(*a).alias("side"))) for name, a, b in RANK_PAIRS]
+    rows = rows.select((F.col("like_count") + F.col("repost_count")).alias("x"), F.explode(F.array_compact(F.array(*one))).alias("p"))
+    return rows.select("p.pair", "p.side", "x")
+
+
+_SIDES = " UNION ALL ".join(
+    f"SELECT '{name}' AS pair, actor_type IN ({', '.join(map(repr, a))}) AS side, x FROM v WHERE actor_type IN ({', '.join(map(repr, a + b))})" for name, a, b in RANK_PAIRS
+)
+register("mann_whitney", lambda t: e.mann_whitney(engagement_sides(t), "side", "x", ["pair"]), f"""WITH {signals.PROFILES_SQL},
+      v AS (SELECT actor_type, like_count + repost_count AS x FROM relevant JOIN prof USING (author_id) WHERE collected_at - published_at >= INTERVAL 24 HOUR AND repost_count IS NOT NULL AND like_count IS NOT NULL),
+      sides AS ({_SIDES}), r AS (SELECT *, rank() OVER (PARTITION BY pair ORDER BY x) + (count(*) OVER (PARTITION BY pair, x) - 1) / 2 AS r, count(*) OVER (PARTITION BY pair, x) AS t FROM sides),
+      q AS (SELECT *, row_number() OVER (PARTITION BY pair, side ORDER BY x) AS nth, count(*) OVER (PARTITION BY pair, side) AS n FROM r),
+      s AS (SELECT pair, count(*) FILTER (side) AS n_a, count(*) FILTER (NOT side) AS n_b, max(x) FILTER (side AND nth = n // 2 + 1) AS median_a, max(x) FILTER (NOT side AND nth = n // 2 + 1) AS median_b,
+        sum(r) FILTER (side) AS r, sum(t * t - 1)::DOUBLE AS ties FROM q GROUP BY pair),
+      w AS (SELECT *, r - n_a * (n_a + 1) / 2 AS u, sqrt(n_a * n_b / 12 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1)))) AS spread FROM s WHERE n_a >= 5 AND n_b >= 5),
+      y AS (SELECT *, abs(CASE WHEN spread > 0 THEN greatest(abs(u - n_a * n_b / 2) - 0.5, 0) / spread ELSE 0 END) / sqrt(2.0::DOUBLE) AS y FROM w),
+      k AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * y) AS k FROM y)
+      SELECT pair, n_a, n_b, median_a, median_b, u, round(1 - 2 * u / (n_a * n_b), 6) AS effect, round(least(1.0::DOUBLE, ((((1.061405429::DOUBLE * k - 1.453152027) * k + 1.421413741) * k - 0.284496736) * k + 0.254829592) * k * exp(-y * y)), 6) AS p FROM k""")
 
 
 def daily_predictions(t):

@@ -38,7 +38,7 @@ def test_blocks_give_what_brute_force_gives(spark):
     assert len(set(component)) > 1 and [out[i].component for i in range(len(texts))] == component
 
 
-@pytest.mark.parametrize("n", [20_000])
+@pytest.mark.parametrize("n", [6_000])
 def test_many_near_copies_of_one_text(spark, n):
     docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 80), i -> concat('t', if(i = 40 + id % 3, id, i)))) AS text")
     out = setsketch.near_duplicates(docs.repartition(8))

@@ -23,16 +23,16 @@ def test_recall_at_the_limit_by_number_of_vectors(count):
     plan = Filters(64, int(count))
     if plan.single:
         return  # one filter holds all
-    code, (x, y) = FilterCode(plan), pairs(64, 400)
+    code, (x, y) = FilterCode(plan), pairs(64, 250)
     own, other = code.filters(x), code.filters(y)
     assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(own, other)]) >= 0.99
     assert np.mean([len(a) for a in own]) <= plan.most
 
 
-@pytest.mark.parametrize("dim", [2, 4, 8, 20, 65])
+@pytest.mark.parametrize("dim", [2, 8, 65])
 def test_any_length_links_as_brute_force(spark, dim):
     rng = np.random.default_rng(dim)
-    x = rng.normal(size=(1500, dim))
+    x = rng.normal(size=(1100, dim))
     x[:200] = x[200:400] + rng.normal(size=(200, dim)) * 0.2 / math.sqrt(dim) * np.linalg.norm(x[200:400], axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     out = {r.id: r for r in sphere_filters.near_vectors(df, block=700).collect()}

@@ -22,4 +22,4 @@ def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None =
         ORACLES[name] = SHARED_SQL + (", " + text[5:] if text.upper().startswith("WITH ") else " " + text)
 
 
-from hubbub.plans import activity, content, graph, language, neighbourhood, payloads, quality_checks, records, signals, streams, units, verdicts  # noqa: E402, F401
+from hubbub.plans import activity, content, graph, language, lexicons, neighbourhood, payloads, quality_checks, records, signals, streams, units, verdicts  # noqa: E402, F401

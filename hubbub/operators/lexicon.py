@@ -9,7 +9,7 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hubbub.operators.content import compile_term, hits
+from hubbub.operators.content import compile_term
 
 
 @dataclass(frozen=True)
@@ -65,10 +65,10 @@ def load_lexicon(version: str) -> Lexicon:
     return lexicon
 
 
-def _found(text: Column, terms: list[str]) -> Column:
-    """The terms in text; one alternation over all of them spares most texts the single searches."""
-    some = F.regexp_like(text, F.lit("|".join(compile_term(t) for t in terms)))
-    return F.when(some, hits(text, terms)).otherwise(F.array().cast("array<string>"))
+def _found(text: str, low: str, terms: list[str]) -> Column:
+    """The terms in the column text; low is it in lower case, where a plain search rules out most terms before a pattern runs.
+    Blanks are single in both."""
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t.lower())) & F.regexp_like(text, F.lit(compile_term(t))), t) for t in terms)))
 
 
 def label_with(posts: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -76,11 +76,13 @@ def label_with(posts: DataFrame, lexicon: Lexicon) -> DataFrame:
     is_relevant, label_version. What a guard covers is taken out before home terms are looked for. A null text has no hits."""
     text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
     rows = posts.select("post_id", text.alias("text"))
-    guarded = F.regexp_replace("text", "|".join(map(compile_term, lexicon.guards)), " ") if lexicon.guards else F.col("text")
     none = F.array().cast("array<string>")
+    rows = rows.withColumn("low", F.lower("text")).withColumn("guards", _found("text", "low", lexicon.guards) if lexicon.guards else none)
+    covered = F.regexp_replace("text", "|".join(map(compile_term, lexicon.guards)), " ") if lexicon.guards else F.col("text")
+    rows = rows.withColumn("probe", F.when(F.size("guards") > 0, F.regexp_replace(covered, r"\s+", " ")).otherwise(F.col("text"))).withColumn("low_probe", F.lower("probe"))
     rows = rows.select(
-        "post_id", _found(F.col("text"), lexicon.cyber).alias("cyber"), (_found(F.col("text"), lexicon.guards) if lexicon.guards else none).alias("guards"),
-        *(_found(guarded, g.terms).alias(f"g_{name}") for name, g in lexicon.groups.items()), *(_found(F.col("text"), terms).alias(f"t_{name}") for name, terms in lexicon.topics),
+        "post_id", "guards", _found("text", "low", lexicon.cyber).alias("cyber"),
+        *(_found("probe", "low_probe", g.terms).alias(f"g_{name}") for name, g in lexicon.groups.items()), *(_found("text", "low", terms).alias(f"t_{name}") for name, terms in lexicon.topics),
     )
     has = F.size("cyber") > 0
     counted = {name: F.when(has, F.col(f"g_{name}")).otherwise(none) if g.requires_cyber else F.col(f"g_{name}") for name, g in lexicon.groups.items()}

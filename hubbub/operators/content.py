@@ -63,6 +63,12 @@ def upsert_posts(existing: DataFrame, batch: DataFrame, keys: list[str], arrival
     return dedup_batch(batch, keys, arrival).join(existing.select(*keys), keys, "left_anti")
 
 
+def upsert_counts(fresh: DataFrame, batch: DataFrame) -> DataFrame:
+    """One row: rows of batch that upsert_posts appends, and the others."""
+    kinds = batch.select(F.lit(0).alias("new")).unionAll(fresh.select(F.lit(1).alias("new")))
+    return kinds.agg(F.sum("new").alias("inserted"), (F.count_if(F.col("new") == 0) - F.sum("new")).alias("duplicates"))
+
+
 def upsert_labels(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Replace on (post_id, label_version)."""
     both = existing.withColumn("age", F.lit(1)).unionByName(new.withColumn("age", F.lit(0)))
@@ -101,6 +107,22 @@ def top_cves(mentions: DataFrame, posts: DataFrame, records: DataFrame, k: int)
     return rows.join(records, "cve_id", "left")
 
 
+def kev_top(mentions: DataFrame, records: DataFrame, k: int) -> DataFrame:
+    """The k ids mentioned most, and whether they are known to be exploited."""
+    counts = mentions.groupBy("cve_id").agg(F.count(F.lit(1)).alias("mentions")).orderBy(F.desc("mentions"), "cve_id").limit(k)
+    rows = counts.withColumn("place", F.row_number().over(W.orderBy(F.desc("mentions"), "cve_id")))  # k rows
+    return rows.join(records.select("cve_id", "known_exploited"), "cve_id", "left").withColumn("known_exploited", F.coalesce("known_exploited", F.lit(False)))
+
+
+def cve_daily_vector(mentions: DataFrame, posts: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Of each id the mentions on each of the days before as_of, oldest first, and the total of as many days before those."""
+    end = F.lit(as_of).cast("date")
+    rows = mentions.select("post_id", "cve_id").join(posts.select("post_id", F.to_date("published_at").alias("day")), "post_id")
+    back = F.date_diff(end, "day")  # 1 is the last day
+    each = [F.count_if(back == n).cast("string") for n in range(days, 0, -1)]
+    return rows.groupBy("cve_id").agg(F.concat_ws(",", *each).alias("daily"), F.count_if(back.between(days + 1, 2 * days)).alias("before"))
+
+
 # registry of outside events
 _LEGAL = r"\s+(inc|ltd|llc|corp|gmbh|sa|plc|co)$"
 

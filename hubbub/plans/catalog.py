@@ -10,12 +10,10 @@ from hubbub.plans.adapters import SHARED_SQL, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-BUILDS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
     """build makes the query from the adapted tables; sql follows the WITH list that adapts them for DuckDB."""
-    BUILDS[name] = build
     QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
     if sql:
         text = sql.strip()

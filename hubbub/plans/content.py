@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from hubbub.operators import content as c
 from hubbub.operators.descriptive import top
 from hubbub.operators.trend import in_window
-from hubbub.plans.adapters import AS_OF, RECORDS_CUT
-from hubbub.plans.catalog import BUILDS, ORACLES, register
+from hubbub.plans.adapters import AS_OF
+from hubbub.plans.catalog import register
 from hubbub.plans.signals import _CUR, FLAGGED_SQL, flagged
 
 _URLS = r"""regexp_extract_all(text, '(https?://[^\s<>"'']+)', 1)"""
@@ -40,10 +40,24 @@ def claims(t):
 register("resolve_published_at", lambda t: c.resolve_published_at(claims(t)), f"WITH {_CLAIM}, r AS (SELECT *, CASE WHEN created_at > indexed_at + INTERVAL 1 HOUR THEN 'future_createdAt' WHEN created_at < indexed_at - INTERVAL 2 DAY THEN 'backdated_createdAt' END AS reason FROM claim) SELECT *, CASE WHEN reason IS NULL THEN created_at ELSE indexed_at END AS published_at FROM r")
 register("created_at_suspect", lambda t: c.resolve_published_at(claims(t)).groupBy("reason").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_CLAIM} SELECT CASE WHEN created_at > indexed_at + INTERVAL 1 HOUR THEN 'future_createdAt' WHEN created_at < indexed_at - INTERVAL 2 DAY THEN 'backdated_createdAt' END AS reason, count(*) AS posts FROM claim GROUP BY 1")
 register("resolve_lang", lambda t: t.posts.select("post_id", F.coalesce("lang", F.lit("(unknown)")).alias("lang")), "SELECT post_id, coalesce(lang, '(unknown)') AS lang FROM posts")
-_TWICE = lambda t: t.posts.select("source_key", F.concat(F.lit("q"), (F.col("post_id") % 4000).cast("string")).alias("source_post_id"), "post_id")
-_TWICE_SQL = "tw AS (SELECT source_key, 'q' || (post_id % 4000) AS source_post_id, post_id FROM posts)"
-register("dedup_batch", lambda t: c.dedup_batch(_TWICE(t), ["source_key", "source_post_id"], "post_id"), f"WITH {_TWICE_SQL} SELECT source_key, source_post_id, min(post_id) AS post_id FROM tw GROUP BY ALL")
-register("upsert_posts", lambda t: c.upsert_posts(_TWICE(t).where("post_id < 2000"), _TWICE(t).where("post_id >= 1500"), ["source_key", "source_post_id"], "post_id"), f"WITH {_TWICE_SQL} SELECT source_key, source_post_id, min(post_id) AS post_id FROM tw WHERE post_id >= 1500 AND (source_key, source_post_id) NOT IN (SELECT (source_key, source_post_id) FROM tw WHERE post_id < 2000) GROUP BY ALL")
+# two posts of a source share each id; a first load up to a time, then a batch that overlaps it by a day
+_TWICE = lambda t: t.posts.select("source_key", F.expr("'q' || CAST(post_id - post_id % 6 + post_id % 3 AS STRING)").alias("source_post_id"), "post_id", "published_at")
+_TWICE_SQL = "tw AS (SELECT source_key, 'q' || (post_id - post_id % 6 + post_id % 3) AS source_post_id, post_id, published_at FROM posts)"
+_LOADED = "published_at < TIMESTAMP '2024-01-15 00:00:00'"
+_ARRIVED = "published_at >= TIMESTAMP '2024-01-14 00:00:00'"
+register("dedup_batch", lambda t: c.dedup_batch(_TWICE(t).drop("published_at"), ["source_key", "source_post_id"], "post_id"), f"WITH {_TWICE_SQL} SELECT source_key, source_post_id, min(post_id) AS post_id FROM tw GROUP BY ALL")
+_NEW_SQL = f"""{_TWICE_SQL}, fresh AS (SELECT source_key, source_post_id, min(post_id) AS post_id FROM tw a WHERE {_ARRIVED}
+      AND NOT EXISTS (SELECT 1 FROM tw b WHERE b.{_LOADED} AND b.source_key = a.source_key AND b.source_post_id = a.source_post_id) GROUP BY 1, 2)"""
+
+
+def upserted(t):
+    both = _TWICE(t)
+    batch = both.where(_ARRIVED).drop("published_at")
+    return c.upsert_posts(both.where(_LOADED), batch, ["source_key", "source_post_id"], "post_id"), batch
+
+
+register("upsert_posts", lambda t: upserted(t)[0], f"WITH {_NEW_SQL} SELECT * FROM fresh")
+register("upsert_counts", lambda t: c.upsert_counts(*upserted(t)), f"WITH {_NEW_SQL} SELECT (SELECT count(*) FROM fresh) AS inserted, count(*) - (SELECT count(*) FROM fresh) AS duplicates FROM tw WHERE {_ARRIVED}")
 register("upsert_labels", lambda t: c.upsert_labels(t.labels.where("label_version = 'v1'").select("post_id", "label_version", "topic_key"), t.labels.where("label_version = 'v2' and post_id % 3 = 0").select("post_id", F.lit("v1").alias("label_version"), "topic_key")), "SELECT a.post_id, 'v1' AS label_version, CASE WHEN a.post_id % 3 = 0 THEN b.topic_key ELSE a.topic_key END AS topic_key FROM labels a JOIN labels b ON a.post_id = b.post_id AND a.label_version = 'v1' AND b.label_version = 'v2'")
 register("label_counts", lambda t: c.label_counts(t.labels), "SELECT label_version, count(*) AS n, count(*) FILTER (is_relevant) AS n_relevant, count(*) FILTER (low_info) AS n_low_info FROM labels GROUP BY 1")
 _RULES = r"""x AS (SELECT post_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM posts),
@@ -72,8 +86,19 @@ register("term_exclusive", lambda t: term_hits(t).groupBy("post_id").agg(F.count
 # vulnerabilities
 _CV = r"cv AS (SELECT post_id, text, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\bCVE-\d{4}-\d{4,7}\b'), lambda x: upper(x)))) AS cve_id FROM posts), mention AS (SELECT post_id, cve_id, CAST(instr(upper(text), cve_id) - 1 AS BIGINT) AS char_start FROM cv)"
 register("extract_cves", lambda t: c.extract_cves(t.posts), f"WITH {_CV} SELECT * FROM mention")
-register("link_corpus", lambda t: c.link_corpus(t.posts, c.extract_cves(t.posts.where("post_id < 3000"))).agg(F.countDistinct("post_id").alias("posts"), F.count(F.lit(1)).alias("links"), F.countDistinct("cve_id").alias("cves")), f"WITH {_CV} SELECT count(DISTINCT post_id) AS posts, count(*) AS links, count(DISTINCT cve_id) AS cves FROM mention WHERE post_id >= 3000")
-register("merge_kev", lambda t: c.merge_kev(t.cve_records, t.given("part").where("p_partkey between 90 and 130 and p_partkey % 3 = 0").select(F.concat(F.lit("CVE-2024-"), (1000 + F.col("p_partkey")).cast("string")).alias("cve_id"), F.lit("2024-01-05").cast("date").alias("kev_date"))), "WITH kv AS (SELECT 'CVE-2024-' || (1000 + p_partkey) AS cve_id, DATE '2024-01-05' AS kev_date FROM part WHERE p_partkey BETWEEN 90 AND 130 AND p_partkey % 3 = 0) SELECT coalesce(r.cve_id, k.cve_id) AS cve_id, cvss, CASE WHEN k.cve_id IS NOT NULL THEN true ELSE known_exploited END AS known_exploited, kev_date FROM cve_records r FULL JOIN kv k ON r.cve_id = k.cve_id")
+register("link_corpus", lambda t: c.link_corpus(t.posts, c.extract_cves(t.posts.where(_LOADED))).agg(F.countDistinct("post_id").alias("posts"), F.count(F.lit(1)).alias("links"), F.countDistinct("cve_id").alias("cves")), f"WITH {_CV} SELECT count(DISTINCT post_id) AS posts, count(*) AS links, count(DISTINCT cve_id) AS cves FROM mention JOIN posts p USING (post_id) WHERE NOT p.{_LOADED}")
+
+
+def kev_list(t):
+    """Every third part names an id; about half of these are records."""
+    return t.given("part").where("p_partkey % 3 = 0").select(F.concat(F.lit("CVE-2024-"), (1000 + 2 * F.col("p_partkey")).cast("string")).alias("cve_id"), F.lit("2024-01-05").cast("date").alias("kev_date"))
+
+
+register(
+    "merge_kev", lambda t: c.merge_kev(t.cve_records, kev_list(t)),
+    """WITH kv AS (SELECT 'CVE-2024-' || (1000 + 2 * p_partkey) AS cve_id, DATE '2024-01-05' AS kev_date FROM part WHERE p_partkey % 3 = 0)
+      SELECT coalesce(r.cve_id, k.cve_id) AS cve_id, cvss, CASE WHEN k.cve_id IS NOT NULL THEN true ELSE known_exploited END AS known_exploited, kev_date FROM cve_records r FULL JOIN kv k ON r.cve_id = k.cve_id""",
+)
 register(
     "enrich_queue", lambda t: c.enrich_queue(c.extract_cves(t.posts), t.relevant, t.cve_records, t.cve_records.where("cvss > 2")),
     f"""WITH {_CV}, g AS (SELECT cve_id, count(DISTINCT post_id) AS posts, bool_or(post_id IN (SELECT post_id FROM relevant)) AS in_relevant FROM mention GROUP BY 1),
@@ -85,33 +110,25 @@ register("top_cves", lambda t: c.top_cves(c.extract_cves(t.relevant), t.posts.wh
 register("cve_mentions_top4", lambda t: top(c.extract_cves(t.posts).join(t.posts.select("post_id", "published_at"), "post_id").join(t.labels.where("label_version = 'v1'").select("post_id", "is_relevant"), "post_id").select("cve_id", "post_id", "is_relevant", "published_at"), 4, F.desc("is_relevant"), F.desc("published_at"), "post_id", by=("cve_id",)), f"WITH {_CV}, j AS (SELECT cve_id, p.post_id, is_relevant, published_at FROM mention m JOIN posts p USING (post_id) JOIN labels l ON l.post_id = p.post_id AND label_version = 'v1') SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY is_relevant DESC, published_at DESC, post_id) AS place FROM j) WHERE place <= 4")
 register("cve_totals", lambda t: c.extract_cves(t.relevant).agg(F.countDistinct("cve_id").alias("cves"), F.countDistinct("post_id").alias("posts"), F.count(F.lit(1)).alias("mentions")), f"WITH {_CV} SELECT count(DISTINCT cve_id) AS cves, count(DISTINCT post_id) AS posts, count(*) AS mentions FROM mention JOIN relevant USING (post_id)")
 register("lookup_cve", lambda t: t.cve_records.join(c.extract_cves(t.posts).groupBy("cve_id").agg(F.count(F.lit(1)).alias("mentions")), "cve_id", "left").select("cve_id", "cvss", "known_exploited", F.coalesce("mentions", F.lit(0)).cast("long").alias("mentions")), f"WITH {_CV} SELECT cve_id, cvss, known_exploited, count(post_id) AS mentions FROM cve_records LEFT JOIN mention USING (cve_id) GROUP BY ALL")
-register("cve_posts", lambda t: top(c.extract_cves(t.posts).where("cve_id = 'CVE-2024-1001'").join(t.posts.select("post_id", "published_at", "author_id"), "post_id").select("post_id", "published_at", "author_id"), 25, F.desc("published_at"), "post_id"), f"WITH {_CV} SELECT * FROM (SELECT post_id, published_at, author_id, row_number() OVER (ORDER BY published_at DESC, post_id) AS place FROM mention JOIN posts USING (post_id) WHERE cve_id = 'CVE-2024-1001') WHERE place <= 25")
+register(
+    "cve_posts", lambda t: top(c.extract_cves(t.posts).select("cve_id", "post_id").join(t.posts.select("post_id", "published_at", "author_id"), "post_id"), 25, F.desc("published_at"), "post_id", by=("cve_id",)),
+    f"WITH {_CV} SELECT * FROM (SELECT cve_id, post_id, published_at, author_id, row_number() OVER (PARTITION BY cve_id ORDER BY published_at DESC, post_id) AS place FROM mention JOIN posts USING (post_id)) WHERE place <= 25",
+)
 register("related_cves", lambda t: c.extract_cves(t.relevant).join(t.relevant.select("post_id", "topic"), "post_id").groupBy("topic", "cve_id").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_CV} SELECT topic, cve_id, count(*) AS posts FROM mention JOIN relevant USING (post_id) GROUP BY 1, 2")
 register("kev_concentration", lambda t: c.extract_cves(t.posts).join(t.cve_records, "cve_id", "left").agg(F.round(F.countDistinct(F.when(F.col("known_exploited"), F.col("cve_id"))) / F.countDistinct("cve_id"), 6).alias("of_cves"), F.round(F.count_if("known_exploited") / F.count(F.lit(1)), 6).alias("of_mentions")), f"WITH {_CV} SELECT round(count(DISTINCT cve_id) FILTER (known_exploited) / count(DISTINCT cve_id), 6) AS of_cves, round(count(*) FILTER (known_exploited) / count(*), 6) AS of_mentions FROM mention LEFT JOIN cve_records USING (cve_id)")
 
-# over all parts as records, whatever their number; the twins are the SQL above without the cut
-for _name in ("lookup_cve", "enrich_queue", "top_cves", "kev_concentration"):
-    register(f"{_name}_all", lambda t, build=BUILDS[_name]: build(t.with_all_records()))
-    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(RECORDS_CUT, "")
-
-
-def kev_list(t):
-    """Every third part names an id; about half of these are records."""
-    return t.given("part").where("p_partkey % 3 = 0").select(F.concat(F.lit("CVE-2024-"), (1000 + 2 * F.col("p_partkey")).cast("string")).alias("cve_id"), F.lit("2024-01-05").cast("date").alias("kev_date"))
-
-
-register("merge_kev_all", lambda t: c.merge_kev(t.with_all_records().cve_records, kev_list(t)), "WITH kv AS (SELECT 'CVE-2024-' || (1000 + 2 * p_partkey) AS cve_id, DATE '2024-01-05' AS kev_date FROM part WHERE p_partkey % 3 = 0) SELECT coalesce(r.cve_id, k.cve_id) AS cve_id, cvss, CASE WHEN k.cve_id IS NOT NULL THEN true ELSE known_exploited END AS known_exploited, kev_date FROM cve_records r FULL JOIN kv k ON r.cve_id = k.cve_id")
-ORACLES["merge_kev_all"] = ORACLES["merge_kev_all"].replace(RECORDS_CUT, "")
-
-
-def cve_vector(t):
-    m = c.extract_cves(t.posts).join(t.posts.select("post_id", F.to_date("published_at").alias("day")), "post_id").groupBy("cve_id", "day").agg(F.count(F.lit(1)).alias("n"))
-    grid = m.select("cve_id").distinct().select("cve_id", F.explode(F.expr("sequence(date'2024-01-22', date'2024-01-28', interval 1 day)")).alias("day"))
-    rows = grid.join(m, ["cve_id", "day"], "left").groupBy("cve_id").agg(F.sort_array(F.collect_list(F.struct("day", F.coalesce("n", F.lit(0)).alias("n")))).alias("v"))
-    return rows.select("cve_id", F.array_join(F.transform("v", lambda x: x["n"].cast("string")), ",").alias("daily"))
-
-
-register("cve_daily_vector", cve_vector, f"WITH {_CV}, g AS (SELECT DISTINCT cve_id FROM mention), dd AS (SELECT CAST(unnest(generate_series(DATE '2024-01-22', DATE '2024-01-28', INTERVAL 1 DAY)) AS DATE) AS day), n AS (SELECT cve_id, CAST(published_at AS DATE) AS day, count(*) AS n FROM mention JOIN posts USING (post_id) GROUP BY 1, 2) SELECT cve_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY day) AS daily FROM g CROSS JOIN dd LEFT JOIN n USING (cve_id, day) GROUP BY 1")
+register(
+    "kev_top", lambda t: c.kev_top(c.extract_cves(t.posts), t.cve_records, 20),
+    f"""WITH {_CV}, g AS (SELECT cve_id, count(*) AS mentions FROM mention GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY mentions DESC, cve_id) AS place FROM g)
+      SELECT o.*, coalesce(known_exploited, false) AS known_exploited FROM o LEFT JOIN cve_records USING (cve_id) WHERE place <= 20""",
+)
+register(
+    "cve_daily_vector", lambda t: c.cve_daily_vector(c.extract_cves(t.posts), t.posts, AS_OF, 7),
+    f"""WITH {_CV}, m AS (SELECT cve_id, CAST(published_at AS DATE) AS day FROM mention JOIN posts USING (post_id)), dd AS (SELECT unnest(generate_series(1, 7)) AS back),
+      g AS (SELECT cve_id, count(*) FILTER (day >= DATE '{AS_OF[:10]}' - 14 AND day < DATE '{AS_OF[:10]}' - 7) AS before FROM m GROUP BY 1), n AS (SELECT cve_id, day, count(*) AS n FROM m GROUP BY 1, 2)
+      SELECT g.cve_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY back DESC) AS daily, any_value(before) AS before
+      FROM g CROSS JOIN dd LEFT JOIN n ON n.cve_id = g.cve_id AND n.day = DATE '{AS_OF[:10]}' - CAST(back AS INTEGER) GROUP BY 1""",
+)
 
 # registry
 _EV = "ev AS (SELECT DISTINCT event_id, name, country, coalesce(published_at, discovered_at) AS at FROM registry WHERE CAST(coalesce(published_at, discovered_at) AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-25'), en AS (SELECT event_id, country, name AS entity, false AS is_domain, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS canonical FROM registry UNION ALL SELECT event_id, country, website, true, regexp_replace(regexp_replace(regexp_replace(lower(website), '^[a-z]+://', ''), '/.*$', ''), '^www\\.', '') FROM registry)"

@@ -141,8 +141,8 @@ def test_cve_identifiers(spark, text, found):
 def test_records_grow_with_the_parts(spark):
     for sf in ("sf0.001", "sf0.01"):
         parts = spark.read.parquet(f"/root/testdata/{sf}/part.parquet").count()
-        assert catalog.QUERIES["lookup_cve_all"](spark, f"/root/testdata/{sf}").count() == parts
-        assert catalog.QUERIES["merge_kev_all"](spark, f"/root/testdata/{sf}").where("cvss is not null").count() == parts
+        assert catalog.QUERIES["lookup_cve"](spark, f"/root/testdata/{sf}").count() == parts
+        assert catalog.QUERIES["merge_kev"](spark, f"/root/testdata/{sf}").where("cvss is not null").count() == parts
 
 
 def test_post_times(spark):

@@ -107,6 +107,11 @@ def top_cves(mentions: DataFrame, posts: DataFrame, records: DataFrame, k: int)
     return rows.join(records, "cve_id", "left")
 
 
+def cve_ids(text: Column) -> Column:
+    """The distinct ids of a text, in order."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\b(CVE-\d{4}-\d{4,7})\b"), F.lit(1)), F.upper)))
+
+
 def kev_top(mentions: DataFrame, records: DataFrame, k: int) -> DataFrame:
     """The k ids mentioned most, and whether they are known to be exploited."""
     counts = mentions.groupBy("cve_id").agg(F.count(F.lit(1)).alias("mentions")).orderBy(F.desc("mentions"), "cve_id").limit(k)
@@ -123,6 +128,12 @@ def cve_daily_vector(mentions: DataFrame, posts: DataFrame, as_of: str, days: in
     return rows.groupBy("cve_id").agg(F.concat_ws(",", *each).alias("daily"), F.count_if(back.between(days + 1, 2 * days)).alias("before"))
 
 
+def single_author_domains(domains: DataFrame) -> DataFrame:
+    """One row: domains shared, and those that one account alone shares. domains: domain, author_id."""
+    ends = domains.groupBy("domain").agg(F.min("author_id").alias("low"), F.max("author_id").alias("high"))
+    return ends.agg(F.count(F.lit(1)).alias("domains"), F.count_if(F.col("low") == F.col("high")).alias("of_one_author"))
+
+
 # registry of outside events
 _LEGAL = r"\s+(inc|ltd|llc|corp|gmbh|sa|plc|co)$"
 

@@ -127,10 +127,13 @@ def diverse_posts(posts: DataFrame, k: int = 5, authors: int = 3) -> DataFrame:
     return top(rows, k, F.coalesce("first", F.lit(False)).desc(), F.desc("engagement"), "post_id", by=("topic",)).select("topic", "post_id", "author_id", "engagement", "place")
 
 
-def labelled_through(posts: DataFrame, labels: DataFrame, coverage: float = 0.9) -> DataFrame:
+def labelled_through(posts: DataFrame, labels: DataFrame, coverage: float = 0.9, days: int = 7) -> DataFrame:
+    """The last day with enough labels; the days since..until (exclusive) that end with it, and where as many before them start."""
     rows = posts.join(labels.where("is_cyber is not null").select("post_id", F.lit(1).alias("seen")), "post_id", "left")
     daily = rows.groupBy(F.to_date("published_at").alias("day")).agg((F.count("seen") / _n()).alias("share"))
-    return daily.agg(F.max(F.when(F.col("share") >= coverage, F.col("day"))).alias("through"), F.round(F.min("share"), 6).alias("lowest"))
+    row = daily.agg(F.max(F.when(F.col("share") >= coverage, F.col("day"))).alias("through"), F.round(F.min("share"), 6).alias("lowest"))
+    ago = lambda n: F.date_sub("through", n)
+    return row.select("*", ago(-1).alias("until"), ago(days - 1).alias("since"), ago(2 * days - 1).alias("before_since"))
 
 
 def topic_split(flagged: DataFrame) -> DataFrame:

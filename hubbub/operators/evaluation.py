@@ -35,9 +35,14 @@ def wilson_ci(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]
 
 
 def gate_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Posts relevant in a and not in b, by b's flags."""
-    rows = a.where("is_relevant").select("post_id").join(b, "post_id").where(~F.col("is_relevant"))
-    return rows.groupBy("is_cyber", "is_canada").agg(F.count(F.lit(1)).alias("posts"))
+    """Posts relevant in a and explicitly not in b, by b's flags; and as direction b_only, without flags, the other way round."""
+
+    def only(x, y):
+        return x.where("is_relevant").select("post_id").join(y, "post_id").where(~F.col("is_relevant"))
+
+    split = only(a, b).groupBy("is_cyber", "is_canada").agg(F.count(F.lit(1)).alias("posts"))
+    back = only(b, a).agg(F.lit(None).cast("boolean").alias("is_cyber"), F.lit(None).cast("boolean").alias("is_canada"), F.count(F.lit(1)).alias("posts"))
+    return split.withColumn("direction", F.lit("a_only")).unionByName(back.withColumn("direction", F.lit("b_only")))
 
 
 def version_transition(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -47,8 +52,18 @@ def version_transition(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def label_migration(a: DataFrame, b: DataFrame) -> DataFrame:
-    key = lambda d, c: d.where("is_relevant").select("post_id", F.coalesce("topic_key", F.lit("other")).alias(c))
-    return key(a, "before").join(key(b, "after"), "post_id").groupBy("before", "after").agg(F.count(F.lit(1)).alias("posts"))
+    """Posts that a calls relevant and b labels too, by both topics; rows with two topics are the flows between them."""
+    key = lambda d, c: d.select("post_id", F.coalesce("topic_key", F.lit("other")).alias(c))
+    return key(a.where("is_relevant"), "before").join(key(b, "after"), "post_id").groupBy("before", "after").agg(F.count(F.lit(1)).alias("posts"))
+
+
+def migration_topics(flows: DataFrame) -> DataFrame:
+    """label_migration's rows by topic: posts in each version, the change, and what came from or went to others."""
+    n, moved = F.col("posts"), F.col("before") != F.col("after")
+    left = flows.select(F.col("before").alias("topic"), n.alias("a"), F.lit(0).alias("b"), F.when(moved, n).alias("left"), F.lit(0).alias("gained"))
+    came = flows.select(F.col("after").alias("topic"), F.lit(0).alias("a"), n.alias("b"), F.lit(0).alias("left"), F.when(moved, n).alias("gained"))
+    rows = left.unionByName(came).groupBy("topic").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("a", "b", "left", "gained")])
+    return rows.withColumn("delta", F.col("b") - F.col("a")).withColumn("change", F.round(F.try_divide(F.col("b") - F.col("a"), F.col("a")), 6))
 
 
 def cohen_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:

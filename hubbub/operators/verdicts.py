@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _ANSWER = "topic string, confidence string, rationale string, off_topic boolean"
@@ -63,9 +64,14 @@ def screen_candidates(posts: DataFrame, labels: DataFrame, min_length: int = 40)
 
 
 def entity_trend(valid: DataFrame, relevant: DataFrame) -> DataFrame:
-    """Mentions, authors and topics met together of each entity."""
-    rows = valid.select("post_id", F.lower("entity").alias("entity")).distinct().join(relevant, "post_id")
-    return rows.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("author_id").alias("authors"), F.array_sort(F.collect_set("topic")).alias("topics"))
+    """Mentions, authors, topics and the five entities most often in the same posts, joined by commas, of each entity."""
+    rows = valid.select("post_id", F.lower("entity").alias("entity")).distinct().join(relevant.select("post_id", "author_id", "topic"), "post_id")
+    each = rows.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("author_id").alias("authors"), F.array_sort(F.collect_set("topic")).alias("topics"))
+    met = rows.groupBy("post_id").agg(F.collect_set("entity").alias("met")).where("size(met) > 1")  # those of one post
+    pairs = met.select(F.explode("met").alias("entity"), "met").select("entity", F.explode(F.array_remove("met", F.col("entity"))).alias("other")).groupBy("entity", "other").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("entity").orderBy(F.desc("n"), "other"))
+    most = pairs.withColumn("place", place).where("place <= 5").groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]), ",").alias("co_entities"))
+    return each.join(most, "entity", "left")
 
 
 def topic_entities(valid: DataFrame, relevant: DataFrame) -> DataFrame:

@@ -28,6 +28,8 @@ def domains(t):
 
 register("coshare_domains", lambda t: domains(t).groupBy("domain", "author_id").agg(F.count(F.lit(1)).alias("posts")), f"WITH {FLAGGED_SQL}, {_DOM} SELECT domain, author_id, count(*) AS posts FROM dom WHERE domain <> 'blog.example.net' GROUP BY 1, 2")
 register("source_uptake", lambda t: top(domains(t).groupBy("domain").agg(F.countDistinct(F.when(~F.col("broadcast"), F.col("author_id"))).alias("organic"), F.countDistinct(F.when(F.col("broadcast"), F.col("author_id"))).alias("broadcast"), F.count(F.lit(1)).alias("posts")).where("organic + broadcast >= 3"), 18, F.desc("posts"), "domain"), f"WITH {FLAGGED_SQL}, {_DOM}, g AS (SELECT domain, count(DISTINCT author_id) FILTER (NOT broadcast) AS organic, count(DISTINCT author_id) FILTER (broadcast) AS broadcast, count(*) AS posts FROM dom WHERE domain <> 'blog.example.net' GROUP BY 1) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY posts DESC, domain) AS place FROM g WHERE organic + broadcast >= 3) WHERE place <= 18")
+register("single_author_domains", lambda t: c.single_author_domains(domains(t)), f"""WITH {FLAGGED_SQL}, {_DOM}, g AS (SELECT domain, count(DISTINCT author_id) AS authors FROM dom WHERE domain <> 'blog.example.net' GROUP BY 1)
+      SELECT count(*) AS domains, count(*) FILTER (authors = 1) AS of_one_author FROM g""")
 register("html_clean", lambda t: t.pages.select("page_id", c.html_clean(F.col("html")).alias("text")), r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
 register("parse_post_time", lambda t: t.posts.select("post_id", c.parse_post_time(F.concat(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z"))).cast("timestamp_ntz").alias("parsed")), "SELECT post_id, published_at AS parsed FROM posts")
 _CLAIM = "claim AS (SELECT post_id, collected_at AS indexed_at, CASE post_id % 3 WHEN 0 THEN collected_at + INTERVAL 3 HOUR ELSE published_at END AS created_at FROM posts)"

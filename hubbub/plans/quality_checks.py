@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hubbub.operators import evaluation as e
 from hubbub.operators import authors
+from hubbub.operators.descriptive import top
 from hubbub.plans import signals
 from hubbub.plans.catalog import register
 from hubbub.sources.staging import staging_path
@@ -29,9 +30,22 @@ def interval(t):
 register("wilson_ci", interval, """WITH g AS (SELECT topic_key, count(*) AS n, count(*) FILTER (is_relevant) AS hits FROM labels WHERE label_version = 'v2' GROUP BY 1), p AS (SELECT *, hits / n AS p, 1.96::DOUBLE AS z FROM g)
       SELECT topic_key, n, hits, round(greatest((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 0), 6) AS low, round(least((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 1), 6) AS high FROM p""")
 _AB = "labels a JOIN labels b ON a.post_id = b.post_id AND a.label_version = 'v1' AND b.label_version = 'v2'"
-register("gate_diff", lambda t: e.gate_diff(version(t, "v1"), version(t, "v2")), f"SELECT b.is_cyber, b.is_canada, count(*) AS posts FROM {_AB} WHERE a.is_relevant AND NOT b.is_relevant GROUP BY 1, 2")
+register("gate_diff", lambda t: e.gate_diff(version(t, "v1"), version(t, "v2")), f"""SELECT b.is_cyber, b.is_canada, count(*) AS posts, 'a_only' AS direction FROM {_AB} WHERE a.is_relevant AND NOT b.is_relevant GROUP BY 1, 2
+      UNION ALL SELECT NULL, NULL, count(*), 'b_only' FROM {_AB} WHERE b.is_relevant AND NOT a.is_relevant""")
 register("version_transition", lambda t: e.version_transition(version(t, "v1"), version(t, "v2")), f"SELECT b.derived_chain, count(*) AS posts, count(*) FILTER (b.is_relevant) AS relevant, count(*) FILTER (b.is_relevant AND NOT a.is_relevant) AS gained, count(*) FILTER (a.is_relevant AND NOT b.is_relevant) AS lost FROM {_AB} GROUP BY 1")
-register("label_migration", lambda t: e.label_migration(version(t, "v1"), version(t, "v2")), f"SELECT coalesce(a.topic_key, 'other') AS before, coalesce(b.topic_key, 'other') AS after, count(*) AS posts FROM {_AB} WHERE a.is_relevant AND b.is_relevant GROUP BY 1, 2")
+register("label_migration", lambda t: e.label_migration(version(t, "v1"), version(t, "v2")), f"SELECT coalesce(a.topic_key, 'other') AS before, coalesce(b.topic_key, 'other') AS after, count(*) AS posts FROM {_AB} WHERE a.is_relevant GROUP BY 1, 2")
+
+
+def flows(t):
+    return e.label_migration(version(t, "v1"), version(t, "v2"))
+
+
+_FLOW = f"fl AS (SELECT coalesce(a.topic_key, 'other') AS x, coalesce(b.topic_key, 'other') AS y FROM {_AB} WHERE a.is_relevant)"
+register("label_migration_topics", lambda t: e.migration_topics(flows(t)), f"""WITH {_FLOW}, k AS (SELECT DISTINCT x AS topic FROM fl UNION SELECT y FROM fl),
+      g AS (SELECT topic, count(*) FILTER (x = topic) AS a, count(*) FILTER (y = topic) AS b, count(*) FILTER (x = topic AND x <> y) AS "left", count(*) FILTER (y = topic AND x <> y) AS gained FROM k JOIN fl ON topic = x OR topic = y GROUP BY 1)
+      SELECT *, b - a AS delta, CASE WHEN a > 0 THEN round((b - a) / a, 6) END AS change FROM g""")
+register("label_flows_top", lambda t: top(flows(t).where("before <> after"), 12, F.desc("posts"), "before", "after"), f"""WITH {_FLOW}, g AS (SELECT x AS before, y AS after, count(*) AS posts FROM fl WHERE x <> y GROUP BY 1, 2)
+      SELECT * FROM (SELECT *, row_number() OVER (ORDER BY posts DESC, before, after) AS place FROM g) WHERE place <= 12""")
 
 
 def pairs(t):

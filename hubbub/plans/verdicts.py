@@ -39,6 +39,8 @@ register("revalidate_labels", lambda t: v.revalidate_labels(version(t, "v2"), ch
       SELECT derived_chain || '>checked' AS chain, count(*) AS posts, CAST(sum(dropped) AS BIGINT) AS dropped, count(*) FILTER (had = dropped) AS lost FROM labels JOIN g USING (post_id) WHERE label_version = 'v2' GROUP BY 1""")
 register("screen_candidates", lambda t: v.screen_candidates(t.posts, version(t, "v1")), "SELECT post_id, CAST(length(text) AS INTEGER) AS n FROM posts JOIN labels USING (post_id) WHERE label_version = 'v1' AND NOT is_canada AND length(text) > 40")
 register("entity_trend", lambda t: v.entity_trend(valid(t), t.relevant), f"""WITH {_CH}, d AS (SELECT DISTINCT post_id, lower(entity) AS entity FROM ch WHERE fault IS NULL)
-      SELECT entity, count(*) AS mentions, count(DISTINCT author_id) AS authors, list_sort(list_distinct(list(topic))) AS topics FROM d JOIN relevant USING (post_id) GROUP BY 1""")
+      , r AS (SELECT d.*, author_id, topic FROM d JOIN relevant USING (post_id)), pr AS (SELECT a.entity, b.entity AS other, count(*) AS n FROM r a JOIN r b ON a.post_id = b.post_id AND a.entity <> b.entity GROUP BY 1, 2),
+      o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, other) AS place FROM pr), m AS (SELECT entity, string_agg(other, ',' ORDER BY place) AS co_entities FROM o WHERE place <= 5 GROUP BY 1),
+      g AS (SELECT entity, count(*) AS mentions, count(DISTINCT author_id) AS authors, list_sort(list_distinct(list(topic))) AS topics FROM r GROUP BY 1) SELECT g.*, co_entities FROM g LEFT JOIN m USING (entity)""")
 register("topic_entities", lambda t: v.topic_entities(valid(t), t.relevant).orderBy(F.desc("posts"), "topic", "kind", "entity").limit(20), f"""WITH {_CH}, d AS (SELECT DISTINCT post_id, kind, lower(entity) AS entity FROM ch WHERE fault IS NULL)
       SELECT topic, kind, entity, count(*) AS posts FROM d JOIN relevant USING (post_id) GROUP BY 1, 2, 3 ORDER BY posts DESC, topic, kind, entity LIMIT 20""")

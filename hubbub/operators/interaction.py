@@ -208,10 +208,32 @@ def mention_edges(posts: DataFrame) -> DataFrame:
 
 
 def derive_run(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """Edges of a run whose keys are not derived yet, one for each key (the lowest edge_no)."""
-    key = edge_key(F.col("edge_type"), F.col("actor"), F.col("seed_id")).alias("key")
-    rows = edges.select(key, "edge_no").groupBy("key").agg(F.min("edge_no").alias("edge_no"))
-    return rows.join(known.select(key).distinct(), "key", "left_anti")
+    """edges (snapshot_id, edge_type, source, target, actor, depth) with their key, each relation once a snapshot, without
+    those of known (snapshot_id, key): deriving again adds nothing."""
+    key = edge_key(F.col("edge_type"), F.coalesce("source", "actor"), F.col("target"))
+    rows = edges.withColumn("key", key).groupBy("snapshot_id", "key", "edge_type", "source", "target").agg(F.min("actor").alias("actor"), F.min("depth").alias("depth"))
+    return rows.join(known.select("snapshot_id", "key"), ["snapshot_id", "key"], "left_anti")
+
+
+def page_outcomes(pages: DataFrame) -> DataFrame:
+    """Of each (run_id, seed_id, endpoint) the outcome of reading its pages (page from 1, ok, error, capped, items array).
+
+    The last page decides, which is the first that failed, if any: all read is success, or partial at a cap; a failed first
+    page is unavailable (not_found, blocked) or failed, a later one partial. items are distinct ones where all was read,
+    all ones before a failed page, null if the first failed; duplicates came on an earlier page already."""
+    keys = ["run_id", "seed_id", "endpoint"]
+    row, bad = F.struct("page", "ok", "error", "capped"), F.when(~F.col("ok"), F.col("page"))
+    ends = pages.groupBy(*keys).agg(F.coalesce(F.min_by(row, bad), F.max_by(row, "page")).alias("end"))
+    read = pages.join(ends, keys).where("ok and (end.ok or page < end.page)").select(*keys, "page", F.explode("items").alias("item"))
+    by_item = read.groupBy(*keys, "item", "page").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys, "item").agg(F.sum("n").alias("n"), F.min_by("n", "page").alias("first"))
+    counts = by_item.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("seen"), F.sum(F.col("n") - F.col("first")).alias("again"))
+    ok, page, zero = F.col("end.ok"), F.col("end.page"), F.lit(0)
+    early = F.when(F.col("end.error").isin("not_found", "blocked"), "unavailable").otherwise("failed")
+    outcome = F.when(ok & F.col("end.capped"), "partial").when(ok, "success").when(page > 1, "partial").otherwise(early)
+    return ends.join(counts, keys, "left").select(
+        *keys, page.alias("pages"), outcome.alias("outcome"), F.when(ok, F.coalesce("seen", zero)).when(page > 1, F.coalesce("n", zero)).alias("items"),
+        F.when(ok, F.coalesce("again", zero)).alias("duplicates"), F.when(ok, F.col("end.capped")).alias("cap_hit"),
+    )
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

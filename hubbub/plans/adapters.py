@@ -57,6 +57,9 @@ VIEWS: dict[str, str] = {
       CASE user_id % 4 WHEN 0 THEN 'broadcast' WHEN 1 THEN 'news' ELSE 'person' END AS actor_type FROM base WHERE event_id % 20 = 0""",
     "outcomes": """SELECT r.run_id, s.seed_id, e.endpoint, CASE (CAST(floor(s.seed_id / 20) AS BIGINT) + r.run_id * 3 + length(e.endpoint)) % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'partial' ELSE 'success' END AS outcome
       FROM seeds s CROSS JOIN (SELECT 0 AS run_id UNION ALL SELECT 1 UNION ALL SELECT 2) r CROSS JOIN (SELECT 'thread' AS endpoint UNION ALL SELECT 'quotes') e""",
+    "fetches": """SELECT run_id, seed_id, endpoint, page, (seed_id + page * 7) % 11 > 1 AS ok, CASE (seed_id + page * 7) % 11 WHEN 0 THEN 'not_found' WHEN 1 THEN 'server_error' END AS error, page = 3 AND max(n) > 6 AS capped, array_agg(item) AS items
+      FROM (SELECT CAST(floor(seed_id / 20) AS BIGINT) % 3 AS run_id, seed_id, edge_type AS endpoint, actor AS item, count(*) OVER (PARTITION BY seed_id, edge_type) AS n, CAST(floor((row_number() OVER (PARTITION BY seed_id, edge_type ORDER BY edge_no) - 1) / 2) AS BIGINT) + 1 AS page FROM edges WHERE edge_type <> 'reply') x
+      WHERE page <= 3 GROUP BY run_id, seed_id, endpoint, page""",
     "verdicts": """SELECT event_id AS post_id, CASE event_id % 6 WHEN 0 THEN '{"topic": "' || event_type || '", "confidence": "high", "rationale": "clear"}'
       WHEN 1 THEN 'Sure! "topic": "' || event_type || '", "confidence": "medium" and so on' WHEN 2 THEN '{"confidence": "low"}' WHEN 3 THEN '{"topic": "other"}'
       WHEN 4 THEN '{"topic": "view", "confidence": "certain", "off_topic": true}' END AS answer FROM base""",

@@ -78,8 +78,11 @@ register("kev_interaction", lambda t: i.interaction_by_cve(_mentions(t), t.edges
       h AS (SELECT target_id AS post_id, count(*) AS hits FROM edges GROUP BY 1)
       SELECT m.cve_id, count(*) AS posts, count(DISTINCT author_id) AS authors, CAST(coalesce(sum(hits), 0) AS BIGINT) AS interactions, coalesce(bool_or(known_exploited), false) AS known_exploited FROM m LEFT JOIN h USING (post_id) LEFT JOIN cve_records r ON r.cve_id = m.cve_id GROUP BY 1""")
 register("mention_edges", lambda t: i.mention_edges(t.posts), "SELECT author_id, '@friend' AS handle, count(*) AS posts FROM posts WHERE contains(text, '@friend') GROUP BY 1")
-register("derive_run", lambda t: i.derive_run(t.edges.where("run_id = 1"), t.edges.where("run_id = 0")), """WITH k AS (SELECT substr(sha256(edge_type || '|' || actor || '|' || seed_id), 1, 32) AS key, edge_no, run_id FROM edges)
-      SELECT key, min(edge_no) AS edge_no FROM k WHERE run_id = 1 AND key NOT IN (SELECT key FROM k WHERE run_id = 0) GROUP BY 1""")
-register("page_outcomes", lambda t: i.outcome_counts(t.outcomes), "SELECT run_id, endpoint, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'partial') AS partial, count(*) FILTER (outcome = 'unavailable') AS unavailable, count(*) FILTER (outcome = 'failed') AS failed FROM outcomes GROUP BY 1, 2")
+register("outcome_counts", lambda t: i.outcome_counts(t.outcomes), "SELECT run_id, endpoint, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'partial') AS partial, count(*) FILTER (outcome = 'unavailable') AS unavailable, count(*) FILTER (outcome = 'failed') AS failed FROM outcomes GROUP BY 1, 2")
 register("negative_control", lambda t: i.negative_control(t.edges), """WITH r AS (SELECT *, date_trunc('hour', event_time) AS h FROM edges WHERE edge_type = 'reply'), a AS (SELECT h, edge_no, actor, row_number() OVER (PARTITION BY h ORDER BY edge_no) AS nth FROM r),
       b AS (SELECT h, target_id, row_number() OVER (PARTITION BY h ORDER BY md5(CAST(edge_no AS VARCHAR)), edge_no) AS nth FROM r) SELECT edge_no, actor, target_id AS new_target FROM a JOIN b USING (h, nth)""")
+register("page_outcomes", lambda t: i.page_outcomes(t.fetches), """WITH f AS (SELECT *, min(page) FILTER (NOT ok) OVER w AS bad, max(page) OVER w AS most FROM fetches WINDOW w AS (PARTITION BY run_id, seed_id, endpoint)),
+      l AS (SELECT run_id, seed_id, endpoint, page, ok, error, capped FROM f WHERE page = coalesce(bad, most)), x AS (SELECT run_id, seed_id, endpoint, page, unnest(items) AS item FROM f WHERE page < coalesce(bad, most + 1)),
+      j AS (SELECT *, min(page) OVER (PARTITION BY run_id, seed_id, endpoint, item) AS first_page FROM x), n AS (SELECT run_id, seed_id, endpoint, count(*) AS n, count(DISTINCT item) AS seen, count(*) FILTER (page > first_page) AS again FROM j GROUP BY 1, 2, 3)
+      SELECT run_id, seed_id, endpoint, page AS pages, CASE WHEN ok AND capped THEN 'partial' WHEN ok THEN 'success' WHEN page > 1 THEN 'partial' WHEN error IN ('not_found', 'blocked') THEN 'unavailable' ELSE 'failed' END AS outcome,
+        CASE WHEN ok THEN coalesce(seen, 0) WHEN page > 1 THEN coalesce(n, 0) END AS items, CASE WHEN ok THEN coalesce(again, 0) END AS duplicates, CASE WHEN ok THEN capped END AS cap_hit FROM l LEFT JOIN n USING (run_id, seed_id, endpoint)""")

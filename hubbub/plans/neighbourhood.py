@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hubbub.operators import interaction
 from hubbub.plans.catalog import register
+from hubbub.plans.payloads import threads
 from hubbub.sources import feeds, payloads
 
 
@@ -123,3 +125,29 @@ def stored_bodies(t):
 
 register("qa_snapshot_hash", lambda t: payloads.check_bodies(stored_bodies(t), "packed", "digest", "payload"), """WITH p AS (SELECT DISTINCT CAST(floor(post_id / 20) AS BIGINT) AS page FROM posts)
     SELECT count(*) AS checked, count(*) FILTER (page % 10 = 3) AS digest_mismatch, count(*) FILTER (page % 10 = 5) AS json_mismatch FROM p""")
+
+
+def snapshots(t):
+    """The bodies of all three endpoints; those of every seventh seed failed."""
+    failed = F.substring("seed_uri", 8, 20).cast("long") % 140 == 0
+    kinds = {"thread": threads(t).withColumn("ok", F.lit(True)), "quotes": quote_pages(t).withColumn("ok", ~failed), "reposts": repost_pages(t).withColumn("ok", ~failed)}
+    parts = [d.select(F.concat(F.lit(f"{name}:"), "seed_uri").alias("snapshot_id"), F.lit(name).alias("endpoint"), "seed_uri", "ok", "body") for name, d in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def derived(t):
+    """The reposts of accounts whose name ends in 5 were derived before."""
+    target = F.concat(F.lit("at://p/"), F.col("seed_id").cast("string"))
+    known = t.edges.where("edge_type = 'repost' and actor like '%5'").select(F.concat(F.lit("reposts:"), target).alias("snapshot_id"), interaction.edge_key(F.col("edge_type"), F.col("actor"), target).alias("key"))
+    return interaction.derive_run(payloads.snapshot_edges(snapshots(t)), known)
+
+
+register("derive_run", derived, """WITH c AS (SELECT conv_id, turn, max(role) AS role FROM conversations WHERE turn < 4 GROUP BY 1, 2),
+      re AS (SELECT 'thread:' || conv_id || '/0' AS snapshot_id, 'reply' AS edge_type, conv_id || '/1' AS source, conv_id || '/0' AS target, role AS actor, 1 AS depth FROM c WHERE turn = 1
+        UNION ALL SELECT 'thread:' || a.conv_id || '/0', 'reply', a.conv_id || '/2', a.conv_id || '/1', a.role, 2 FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = 1 WHERE a.turn = 2),
+      qu AS (SELECT 'quotes:at://p/' || seed_id, 'quote', 'at://q/' || edge_no, 'at://p/' || seed_id, actor, NULL FROM edges WHERE edge_type = 'quote' AND seed_id % 140 <> 0),
+      rp AS (SELECT 'reposts:at://p/' || seed_id, 'repost', NULL, 'at://p/' || seed_id, actor, NULL FROM edges WHERE edge_type = 'repost' AND seed_id % 140 <> 0 AND actor NOT LIKE '%5'),
+      body AS (SELECT * FROM re UNION ALL SELECT * FROM qu),
+      al AS (SELECT * FROM body UNION ALL SELECT * FROM rp UNION ALL SELECT snapshot_id, 'author', NULL, source, actor, NULL FROM body
+        UNION ALL SELECT 'thread:' || conv_id || '/0', 'author', NULL, conv_id || '/0', max(role) FILTER (turn = 0), NULL FROM c GROUP BY conv_id)
+      SELECT DISTINCT snapshot_id, substr(sha256(edge_type || '|' || coalesce(source, actor, 'None') || '|' || target), 1, 32) AS key, edge_type, source, target, actor, depth FROM al""")

@@ -28,7 +28,7 @@ def threads(t):
     below = lambda n, inner: F.when(F.col(f"r{n}").isNotNull(), F.array(inner)).otherwise(F.array().cast("array<string>") if n == 3 else F.lit(None)).alias("replies")
     level2 = F.struct(post(2), below(3, uri(3)))
     level1 = F.struct(post(1), below(2, level2))
-    return turns.select(F.to_json(F.struct(F.struct(post(0), below(1, level1)).alias("thread"))).alias("body"))
+    return turns.select(uri(0).alias("seed_uri"), F.to_json(F.struct(F.struct(post(0), below(1, level1)).alias("thread"))).alias("body"))
 
 
 register("thread_edges", lambda t: s.thread_edges(threads(t), "body"), """WITH c AS (SELECT conv_id, turn, max(role) AS role FROM conversations WHERE turn < 4 GROUP BY 1, 2)

@@ -28,12 +28,13 @@ def search_posts(pages: DataFrame, body: str) -> DataFrame:
     )
 
 
-def thread_edges(threads: DataFrame, body: str) -> DataFrame:
-    """Reply edges of the first two levels, and whether a second-level reply has more below it that is not read."""
-    root = threads.select(F.from_json(body, THREAD)["thread"].alias("t"))
-    first = root.select(F.col("t.post.uri").alias("target"), F.explode("t.replies").alias("r"))
-    second = first.select(F.col("r.post.uri").alias("target"), F.explode("r.replies").alias("r"))
-    edge = lambda d, n, deeper: d.select(F.col("r.post.uri").alias("source"), "target", F.col("r.post.author.did").alias("actor"), F.lit(n).alias("depth"), deeper.alias("deeper"))
+def thread_edges(threads: DataFrame, body: str, *keep: str) -> DataFrame:
+    """Reply edges of the first two levels, and whether a second-level reply has more below it that is not read. Nodes
+    without a readable post give none. keep names columns of threads that stay beside the edges, here and below."""
+    root = threads.select(*keep, F.from_json(body, THREAD)["thread"].alias("t"))
+    first = root.select(*keep, F.col("t.post.uri").alias("target"), F.explode("t.replies").alias("r")).where("r.post.uri is not null")
+    second = first.select(*keep, F.col("r.post.uri").alias("target"), F.explode("r.replies").alias("r")).where("r.post.uri is not null")
+    edge = lambda d, n, deeper: d.select(*keep, F.col("r.post.uri").alias("source"), "target", F.col("r.post.author.did").alias("actor"), F.lit(n).alias("depth"), deeper.alias("deeper"))
     return edge(first, 1, F.lit(False)).unionByName(edge(second, 2, F.coalesce(F.size("r.replies") > 0, F.lit(False))))
 
 
@@ -44,19 +45,39 @@ _BELOW = "struct<`$type`: string>"
 GAP = f"thread struct<post: struct<replyCount: bigint>, replies: array<struct<`$type`: string, replies: array<{_BELOW}>>>>"
 
 
-def quote_edges(pages: DataFrame, body: str, seed_uri: str) -> DataFrame:
+def quote_edges(pages: DataFrame, body: str, seed_uri: str, *keep: str) -> DataFrame:
     """An edge for each quoting post of a page, with whether what it embeds, directly or within another record, is the seed."""
-    rows = pages.select(F.col(seed_uri).alias("target"), F.explode(F.from_json(body, QUOTES)["posts"]).alias("q")).select("target", "q.*")
+    rows = pages.select(*keep, F.col(seed_uri).alias("target"), F.explode(F.from_json(body, QUOTES)["posts"]).alias("q")).select(*keep, "target", "q.*")
     quoted = F.coalesce("record.embed.record.uri", "record.embed.record.record.uri")
     time = F.coalesce(F.try_to_timestamp("record.createdAt"), F.try_to_timestamp("indexedAt"))
-    return rows.select(F.col("uri").alias("source"), "target", F.col("author.did").alias("actor"), time.alias("event_time"), F.coalesce(quoted == F.col("target"), F.lit(False)).alias("consistent"))
+    return rows.select(*keep, F.col("uri").alias("source"), "target", F.col("author.did").alias("actor"), time.alias("event_time"), F.coalesce(quoted == F.col("target"), F.lit(False)).alias("consistent"))
 
 
-def repost_edges(pages: DataFrame, body: str, seed_uri: str) -> DataFrame:
+def repost_edges(pages: DataFrame, body: str, seed_uri: str, *keep: str) -> DataFrame:
     """An edge for each account of a page. Reposts have neither a post of their own nor a time."""
-    rows = pages.select(F.col(seed_uri).alias("target"), F.explode(F.from_json(body, REPOSTS)["repostedBy"]).alias("a"))
+    rows = pages.select(*keep, F.col(seed_uri).alias("target"), F.explode(F.from_json(body, REPOSTS)["repostedBy"]).alias("a"))
     none = F.lit(None)
-    return rows.select(none.cast("string").alias("source"), "target", F.col("a.did").alias("actor"), F.col("a.handle").alias("handle"), none.cast("timestamp").alias("event_time"))
+    return rows.select(*keep, none.cast("string").alias("source"), "target", F.col("a.did").alias("actor"), F.col("a.handle").alias("handle"), none.cast("timestamp").alias("event_time"))
+
+
+def snapshot_edges(snapshots: DataFrame) -> DataFrame:
+    """snapshot_id, edge_type, source, target, actor, depth of the relations in stored bodies: replies, quotes, reposts and
+    the authors of the seed and of each reply and quote. snapshots: snapshot_id, endpoint (thread, quotes, reposts),
+    seed_uri, ok, body. A failed snapshot, another endpoint or a body that is no such JSON gives none."""
+    read = lambda endpoint: snapshots.where((F.col("endpoint") == endpoint) & F.col("ok"))
+    none = F.lit(None).cast("int").alias("depth")
+    edge = lambda d, kind, depth=none: d.select("snapshot_id", F.lit(kind).alias("edge_type"), "source", "target", "actor", depth)
+    replies = thread_edges(read("thread"), "body", "snapshot_id")
+    quotes = quote_edges(read("quotes"), "body", "seed_uri", "snapshot_id")
+    reposts = repost_edges(read("reposts"), "body", "seed_uri", "snapshot_id")
+    seeds = read("thread").select("snapshot_id", F.from_json("body", THREAD)["thread"]["post"].alias("p")).where("p.uri is not null")
+    seeds = seeds.select("snapshot_id", F.lit(None).cast("string").alias("source"), F.col("p.uri").alias("target"), F.col("p.author.did").alias("actor"))
+    wrote = replies.select("snapshot_id", "source", "actor").unionByName(quotes.select("snapshot_id", "source", "actor"))
+    wrote = wrote.select("snapshot_id", F.lit(None).cast("string").alias("source"), F.col("source").alias("target"), "actor")
+    out = edge(replies, "reply", F.col("depth"))
+    for part in (edge(quotes, "quote"), edge(reposts, "repost"), edge(seeds.unionByName(wrote), "author")):
+        out = out.unionByName(part)
+    return out
 
 
 def thread_gap(threads: DataFrame, body: str, key: str) -> DataFrame:

@@ -241,3 +241,41 @@ def test_records_without_metrics_have_no_score(spark):
     bodies = ["no json", None, "{}", '{"metrics": {"cvssMetricV31": [], "cvssMetricV2": [{"cvssData": {"baseScore": 5.0}, "baseSeverity": "MEDIUM"}]}}']
     rows = spark.createDataFrame(list(enumerate(bodies)), "id long, body string")
     assert [(r.version, r.score, r.severity) for r in units.best_cvss(rows, "body").orderBy("id").collect()] == [(None, None, None)] * 3 + [("2.0", 5.0, "MEDIUM")]
+
+
+def test_outcomes_follow_the_last_page_read(spark):
+    rows = [
+        (1, 1, "quotes", 1, True, None, False, ["a", "b"]), (1, 1, "quotes", 2, True, None, False, ["a", "c"]),
+        (1, 2, "quotes", 1, True, None, False, ["a", "a"]), (1, 2, "quotes", 2, False, "server_error", False, []),
+        (1, 3, "quotes", 1, False, "not_found", False, []), (1, 4, "quotes", 1, False, "timeout", False, []),
+        (1, 5, "quotes", 1, True, None, True, ["x"]), (1, 6, "quotes", 1, True, None, False, []),
+    ]
+    pages = spark.createDataFrame(rows, "run_id int, seed_id int, endpoint string, page int, ok boolean, error string, capped boolean, items array<string>")
+    got = {r.seed_id: (r.pages, r.outcome, r["items"], r.duplicates, r.cap_hit) for r in interaction.page_outcomes(pages).collect()}
+    assert got == {
+        1: (2, "success", 3, 1, False), 2: (2, "partial", 2, None, None), 3: (1, "unavailable", None, None, None), 4: (1, "failed", None, None, None),
+        5: (1, "partial", 1, 0, True), 6: (1, "success", 0, 0, False),
+    }
+
+
+def test_edges_of_snapshots_are_derived_once(spark):
+    post = lambda uri, did: f'"post": {{"uri": "{uri}", "author": {{"did": "{did}"}}}}'
+    blocked = '{"$type": "x#blockedPost", "uri": "b"}'
+    thread = f'{{"thread": {{{post("s", "me")}, "replies": [{{{post("r1", "you")}, "replies": []}}, {blocked}]}}}}'
+    reposts = '{"repostedBy": [{"did": "z"}, {"did": "z"}]}'
+    rows = [("1", "thread", "s", True, thread), ("2", "reposts", "s", True, reposts), ("3", "reposts", "s", False, reposts), ("4", "quotes", "s", True, "no json"), ("5", "quotes", "s", True, None)]
+    edges = payloads.snapshot_edges(spark.createDataFrame(rows, "snapshot_id string, endpoint string, seed_uri string, ok boolean, body string"))
+    first = interaction.derive_run(edges, spark.createDataFrame([], "snapshot_id string, key string"))
+    assert sorted((r.snapshot_id, r.edge_type, r.source or "", r.target, r.actor) for r in first.collect()) == [
+        ("1", "author", "", "r1", "you"), ("1", "author", "", "s", "me"), ("1", "reply", "r1", "s", "you"), ("2", "repost", "", "s", "z"),
+    ]
+    assert interaction.derive_run(edges, first).count() == 0
+
+
+def test_both_directions_and_flows_of_two_versions(spark):
+    schema = "post_id int, is_relevant boolean, is_cyber boolean, is_canada boolean, topic_key string"
+    a = spark.createDataFrame([(1, True, True, True, "x"), (2, True, True, True, None), (3, False, True, True, "x"), (4, True, True, True, "x")], schema)
+    b = spark.createDataFrame([(1, True, True, True, "y"), (2, False, True, False, "x"), (3, True, True, True, "x")], schema)
+    assert {(r.direction, r.is_canada, r.posts) for r in evaluation.gate_diff(a, b).collect()} == {("a_only", False, 1), ("b_only", None, 1)}
+    got = {r.topic: (r.a, r.b, r.left, r.gained, r.change) for r in evaluation.migration_topics(evaluation.label_migration(a, b)).collect()}
+    assert got == {"x": (1, 1, 1, 1, 0.0), "y": (0, 1, 0, 1, None), "other": (1, 0, 1, 0, -1.0)}

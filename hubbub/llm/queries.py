@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubbub.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, setsketch, sphere_filters, token_codes, warc
+from hubbub.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, setsketch, sharding, sphere_filters, token_codes, warc
 from hubbub.llm.common import fresh_path, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,10 +82,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(_table(spark, sf_dir, "documents"), shards=40)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return rows.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def queries() -> dict:
     named = [
         op1_pii, op2_exact_dedup, op3_token_codes, op4_sphere_filters, op5_packing,
-        op6_quality, op7_mixing, op8_warc, op9_setsketch, op10_line_dedup,
+        op6_quality, op7_mixing, op8_warc, op9_setsketch, op10_line_dedup, op13_sharding,
     ]
     return {f.__name__: f for f in named}
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubbub.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, setsketch, sharding, sphere_filters, token_codes, warc
+from hubbub.llm import centroids, exact_dedup, line_dedup, mixing, packing, pii, quality, setsketch, sharding, sphere_filters, token_codes, warc
 from hubbub.llm.common import fresh_path, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,6 +82,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, final = centroids.cluster(_table(spark, sf_dir, "embeddings"), centroids.Plan(k=16, rounds=3, dim=64, scale=64))
+    rows = stage(rows, "clusters")
+    of_cluster = rows.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    whole = rows.agg(F.sum("distance").alias("inertia"))
+    digest = F.element_at(F.array(*map(F.lit, centroids.centroid_digests(final) or [""])), F.col("cluster") + 1).alias("centroid_sha256")
+    rows = rows.join(F.broadcast(of_cluster), "cluster").crossJoin(F.broadcast(whole))  # sixteen rows and one
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(_table(spark, sf_dir, "documents"), shards=40)
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
@@ -91,7 +101,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     named = [
         op1_pii, op2_exact_dedup, op3_token_codes, op4_sphere_filters, op5_packing,
-        op6_quality, op7_mixing, op8_warc, op9_setsketch, op10_line_dedup, op13_sharding,
+        op6_quality, op7_mixing, op8_warc, op9_setsketch, op10_line_dedup, op12_centroids, op13_sharding,
     ]
     return {f.__name__: f for f in named}
 
@@ -103,7 +113,33 @@ _REACH = """
                        UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.a),
              c AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
 
+
+
+def _centroid_sql(rounds: int = 3) -> str:
+    """Exact k-means, each round spelled out."""
+    distance = "CAST(list_sum(list_transform(list_zip(v.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    parts = [
+        """v AS (SELECT row_number() OVER () AS node, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e: CAST(floor(64 * e) AS BIGINT)) AS x FROM embeddings
+                 WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
+        "c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c FROM (SELECT x, sha256('1:' || vec_id) AS h FROM v ORDER BY h NULLS LAST, x LIMIT 16))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS (SELECT v.node, min({{'d': {distance}, 'k': c.k}}) AS best FROM v CROSS JOIN c{r} c GROUP BY v.node)")
+        if r < rounds:
+            parts += [
+                f"s{r} AS (SELECT best.k AS k, i, sum(x[i]) AS s, count(*) AS n FROM v JOIN a{r} USING (node) CROSS JOIN range(1, 65) t(i) GROUP BY best.k, i)",
+                f"m{r} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY k)",
+                f"c{r + 1} AS (SELECT k, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r} m USING (k))",
+            ]
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+        FROM v JOIN a{rounds} USING (node) JOIN c{rounds} c ON c.k = best.k"""
+
+
 ORACLE_SQL = {
+    "op12_centroids": _centroid_sql(),
     "op4_sphere_filters": rf"""
         WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
                              WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0

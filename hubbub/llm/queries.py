@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubbub.llm import centroids, exact_dedup, line_dedup, mixing, packing, pii, quality, setsketch, sharding, sphere_filters, token_codes, warc
+from hubbub.llm import centroids, exact_dedup, line_dedup, mixing, packing, phrases, pii, quality, setsketch, sharding, sphere_filters, token_codes, warc
 from hubbub.llm.common import fresh_path, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,6 +82,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), phrases.Plan(least=100, longest=5, top=2000))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, final = centroids.cluster(_table(spark, sf_dir, "embeddings"), centroids.Plan(k=16, rounds=3, dim=64, scale=64))
     rows = stage(rows, "clusters")
@@ -101,7 +105,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     named = [
         op1_pii, op2_exact_dedup, op3_token_codes, op4_sphere_filters, op5_packing,
-        op6_quality, op7_mixing, op8_warc, op9_setsketch, op10_line_dedup, op12_centroids, op13_sharding,
+        op6_quality, op7_mixing, op8_warc, op9_setsketch, op10_line_dedup, op11_phrases, op12_centroids, op13_sharding,
     ]
     return {f.__name__: f for f in named}
 
@@ -139,6 +143,23 @@ def _centroid_sql(rounds: int = 3) -> str:
 
 
 ORACLE_SQL = {
+    "op11_phrases": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+                          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+             total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+             g AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w CROSS JOIN range(1, 6) s(size) WHERE len(w) >= size),
+             f AS (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+             c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+             k AS (SELECT lang, phrase, a, w, size, unnest(range(1, size)) AS k FROM c),
+             x AS (SELECT k.lang, k.phrase, k.a, k.k, p.f AS l, q.f AS r, n, (CAST(1000 AS HUGEINT) * k.a * n) // (CAST(p.f AS HUGEINT) * q.f) AS score
+                   FROM k JOIN f p ON p.lang = k.lang AND p.phrase = array_to_string(k.w[1 : k.k], ' ')
+                   JOIN f q ON q.lang = k.lang AND q.phrase = array_to_string(k.w[k.k + 1 : k.size], ' ') JOIN total ON total.lang = k.lang),
+             s AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM x),
+             o AS (SELECT s.* FROM s WHERE cut = 1 AND NOT EXISTS
+                   (SELECT 1 FROM c WHERE c.lang = s.lang AND c.size > len(string_split(s.phrase, ' ')) AND 100 * c.a >= 100 * s.a AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' '))),
+             r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+        SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 2000""",
     "op12_centroids": _centroid_sql(),
     "op4_sphere_filters": rf"""
         WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings

@@ -209,12 +209,10 @@ def _ranges(rows: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
 
 def _summed(state: DataFrame, plan: Plan, n: np.ndarray, sums: np.ndarray) -> None:
     """Add to n and sums what the tasks gathered."""
-    parts = state.where("of is not null").select("of", F.posexplode(F.array_append("sums", F.col("n"))).alias("at", "value"))
-    for k, at, value in parts.groupBy("of", "at").agg(F.sum("value")).collect():
-        if at == plan.dim:
-            n[k] += value
-        else:
-            sums[k, at] += value
+    each = [F.sum(F.col("sums")[c]).alias(f"s{c}") for c in range(plan.dim)]
+    for k, more, *values in state.where("of is not null").groupBy("of").agg(F.sum("n"), *each).collect():
+        n[k] += more
+        sums[k] += values
 
 
 def cluster(table: DataFrame, plan: Plan = Plan(), *, vector_id: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray]:

@@ -56,8 +56,8 @@ class Plan:
     sample_of: int = 8
     lowered: float = 0.75
     filter_bits: int = 26
-    chunk: int = 1 << 22
-    held: int = 1 << 22
+    chunk: int = 1 << 20
+    held: int = 1 << 21
     names: int = 1 << 19
 
 
@@ -116,18 +116,22 @@ def words_of(texts: list[tuple[str, bytes]], skip: int = 0) -> Chunk:
     if not len(start):
         empty = np.zeros(0, np.int64)
         return Chunk(raw, empty, empty, empty, np.zeros(0, np.uint64), [x for x, _ in texts], empty, skip)
-    place = np.arange(start[0], len(each)) - np.repeat(start, np.diff(np.append(start, len(each))))
-    values = np.where(inside[start[0] :], _BYTE[each[start[0] :]] * _power(int((stop - start).max()) + 1)[np.minimum(place, int((stop - start).max()))], np.uint64(0))
+    longest = int((stop - start).max())
+    place = np.arange(start[0], len(each), dtype=np.int32) - np.repeat(start.astype(np.int32), np.diff(np.append(start, len(each))))
+    np.minimum(place, longest, out=place)
+    values = _BYTE[each[start[0] :]]
+    values *= _power(longest + 1)[place]
+    values *= inside[start[0] :]
     seeds = np.array([_seed(x) for x, _ in texts], np.uint64)
     hashes = _mix(_mix(np.add.reduceat(values, start - start[0])) + seeds[lang])
-    return Chunk(raw, start, stop, np.cumsum(kind == 2)[start], hashes, [x for x, _ in texts], lang, skip)
+    return Chunk(raw, start, stop, np.cumsum(kind == 2, dtype=np.int32)[start], hashes, [x for x, _ in texts], lang, skip)
 
 
 def chunks(batches, plan: Plan) -> Iterator[Chunk]:
     held, size = [], 0
     for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-            raw = text.encode().lower()
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
+            raw = text.as_buffer().to_pybytes().lower()  # one text at a time, not a list of all
             if len(raw) > plan.chunk:
                 for part, skip in slices(raw, plan.chunk, plan.longest - 1):
                     yield words_of([(lang, part)], skip)
@@ -244,7 +248,7 @@ def count_names(texts: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*named[low : low + (1 << 16)]), names_in)], schema=names_in)
 
     def count(batches):
-        totals, names, parts = {}, {}, []
+        totals, names, parts, held = {}, {}, [], 0
         for chunk in chunks(batches, plan):
             for i, n in enumerate(np.bincount(chunk.lang[chunk.skip :], minlength=len(chunk.langs)).tolist()):
                 totals[chunk.langs[i]] = totals.get(chunk.langs[i], 0) + n
@@ -252,12 +256,13 @@ def count_names(texts: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame
                 at, h = at[inside], h[inside]
                 h, first, c = np.unique(h, return_index=True, return_counts=True)
                 parts.append((h, c))
+                held += len(h)
                 for x, i in zip(h.tolist(), at[first].tolist()):
                     if x not in names:
                         names[x] = chunk.langs[chunk.lang[i]], chunk.phrase(i, n)
-            if len(names) >= plan.names:
+            if len(names) >= plan.names or held >= plan.held:
                 yield from rows(totals, names, parts)
-                totals, names, parts = {}, {}, []
+                totals, names, parts, held = {}, {}, [], 0
         yield from rows(totals, names, parts)
 
     return texts.mapInArrow(count, "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("f"))

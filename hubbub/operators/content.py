@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hubbub.operators.events import rarest_key
-
 _URL = r"https?://[^\s<>\"']+"
 
 
@@ -165,31 +163,6 @@ def usable_entity(entities: DataFrame, home: str) -> DataFrame:
     return rows.where(F.col("country") == home).unionByName(rows.where(F.col("country") != home).join(at_home, "canonical", "left_anti").select(rows.columns))
 
 
-def match_events(posts: DataFrame, entities: DataFrame, before: int, after: int) -> DataFrame:
-    """post_id, event_id, delta of posts that name an entity within [-before, after] days of its event.
-
-    entities: event_id, canonical, at. Posts and entities meet on the entity's rarest word. Only ids and times travel there; the
-    text is fetched for hits within the days and the whole name is verified in it."""
-    flat = F.trim(F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", " "))
-    tokens = posts.select("post_id", "published_at", F.explode(F.array_distinct(F.split(flat, " "))).alias("token"))
-    keyed = rarest_key(entities.select("event_id", "canonical", "at").distinct(), F.split("canonical", " "))
-    delta = F.floor((F.unix_micros(F.col("published_at").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))) / 86400000000)
-    near = tokens.join(keyed, "token").withColumn("delta", delta).where(F.col("delta").between(-before, after))
-    hits = near.select("post_id", "event_id", "canonical", "delta").join(posts.select("post_id", F.concat(F.lit(" "), flat, F.lit(" ")).alias("flat")), "post_id")
-    return hits.where(F.col("flat").contains(F.concat(F.lit(" "), "canonical", F.lit(" ")))).select("post_id", "event_id", "delta").distinct()
-
-
-def event_sets(matches: DataFrame, home: str, before: int = 2, after: int = 30) -> DataFrame:
-    """post_id, label, event_id, delta of posts that name an entity. matches: post_id, event_id, country, delta at any distance.
-    positive: a home event within the days, with the nearest one; out_of_window: home events at other times alone; negative:
-    foreign events alone."""
-    own, near = F.col("country") == home, F.col("delta").between(-before, after)
-    best = F.min_by(F.when(own & near, F.struct("event_id", "delta")), F.when(own & near, F.struct(F.abs("delta"), "event_id"))).alias("e")
-    rows = matches.groupBy("post_id").agg(F.bool_or(own).alias("own"), F.bool_or(own & near).alias("near"), best)
-    label = F.when(F.col("near"), "positive").when(F.col("own"), "out_of_window").otherwise("negative")
-    return rows.select("post_id", label.alias("label"), F.col("e.event_id").alias("event_id"), F.col("e.delta").alias("delta"))
-
-
 def enrich_queue(mentions: DataFrame, relevant: DataFrame, records: DataFrame, known: DataFrame, min_posts: int = 2) -> DataFrame:
     """Identifiers to look up: not known yet, and in a relevant post, known exploited, or in min_posts posts. tier gives the order:
     relevant ones first, exploited ones first among equals, then by posts.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hubbub.operators.keyfilter import admitted, key_bits
+
 
 def rarest_key(entities: DataFrame, keys: Column) -> DataFrame:
     """entities with `token`, of each row's keys the one that fewest rows have. A key that all share, such as a common
@@ -25,11 +27,12 @@ def match_portal(posts: DataFrame, entities: DataFrame, before: int = 14, after:
     for each event and post, matched_on the first kind by name.
 
     entities: event_id, at, entity, kind; those shorter than n are left out. Posts and entities meet on the entity's rarest run of
-    n characters; only ids travel there, the text is fetched for hits and then compared in full."""
+    n characters, of which each post keeps those that a filter of all such runs admits before they are exploded; only ids travel
+    there, the text is fetched for hits and then compared in full."""
     known = entities.where((F.length("entity") >= n) & F.col("at").isNotNull()).select("event_id", "at", F.lower("entity").alias("entity"), "kind").distinct()
     keyed = rarest_key(known, grams(F.col("entity"), n))
     low = F.lower("text")
-    found = posts.select("post_id", "published_at", F.explode(F.array_distinct(grams(low, n))).alias("token")).join(keyed, "token")
+    found = posts.select("post_id", "published_at", F.explode(admitted(F.array_distinct(grams(low, n)), key_bits(keyed))).alias("token")).join(keyed, "token")
     days = lambda k: F.make_dt_interval(F.lit(k))
     found = found.where((F.col("published_at") >= F.col("at") - days(before)) & (F.col("published_at") <= F.col("at") + days(after)))
     texts = posts.select("post_id", low.alias("low"))

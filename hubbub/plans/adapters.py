@@ -13,11 +13,11 @@ AS_OF = "2024-01-29 00:00:00"
 
 _TEXT = """CASE event_id % 12
       WHEN 0 THEN 'Breaking: data breach at a hospital in Toronto https://news.example.com/a/' || CAST(k AS STRING)
-      WHEN 1 THEN 'New vulnerability CVE-2024-' || CAST(1000 + k AS STRING) || ' exploited, patch now'
+      WHEN 1 THEN 'New vulnerability CVE-2024-' || CAST(1000 + k AS STRING) || ' exploited, patch now' || CASE WHEN k % 4 = 1 THEN ' at shop.supplier' || CAST(user_id % 10 AS STRING) || '.example.com' ELSE '' END
       WHEN 2 THEN 'lol'
       WHEN 3 THEN 'Phishing campaign targets bank customers in Canada, see https://www.sec.example.org/x.'
       WHEN 4 THEN 'Great weather today in the park with @friend'
-      WHEN 5 THEN 'Ransomware gang lists Supplier#' || lpad(CAST(user_id % 10 AS STRING), 9, '0') || ' as a victim'
+      WHEN 5 THEN 'Ransomware gang lists Supplier#' || lpad(CAST(user_id % 10 AS STRING), 9, '0') || ' as a victim' || CASE WHEN k % 3 = 0 THEN ' (www.Supplier' || CAST(user_id % 10 AS STRING) || '.example.com)' ELSE '' END
       WHEN 6 THEN 'Malware analysis thread: loader drops payload https://blog.example.net/post/' || CAST(k % 7 AS STRING) || '?x=1'
       WHEN 7 THEN 'Reading about Ottawa politics and elections in parliament'
       WHEN 8 THEN 'DDoS attack against a provincial website in Quebec reported by officials'

@@ -135,7 +135,6 @@ register(
 # registry
 _EV = "ev AS (SELECT DISTINCT event_id, name, country, coalesce(published_at, discovered_at) AS at FROM registry WHERE CAST(coalesce(published_at, discovered_at) AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-25'), en AS (SELECT event_id, country, name AS entity, false AS is_domain, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS canonical FROM registry UNION ALL SELECT event_id, country, website, true, regexp_replace(regexp_replace(regexp_replace(lower(website), '^[a-z]+://', ''), '/.*$', ''), '^www\\.', '') FROM registry)"
 _US = f"{_EV}, us AS (SELECT e.* FROM en e WHERE ((NOT is_domain AND length(canonical) >= 8 AND contains(canonical, ' ')) OR (is_domain AND length(canonical) >= 7)) AND (country = 'CA' OR canonical NOT IN (SELECT canonical FROM en WHERE country = 'CA')))"
-_MT = rf"{_US}, fl AS (SELECT post_id, published_at, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat FROM posts), mt AS (SELECT DISTINCT post_id, us.event_id, CAST(floor((epoch_us(published_at) - epoch_us(ev.at)) / 86400000000) AS BIGINT) AS delta FROM fl JOIN us ON contains(flat, ' ' || canonical || ' ') AND NOT is_domain JOIN ev ON ev.event_id = us.event_id), mw AS (SELECT * FROM mt WHERE delta BETWEEN -2 AND 30)"
 
 
 def entities(t):
@@ -146,34 +145,8 @@ def events(t):
     return c.ingest_events(t.registry, "2024-01-01", "2024-01-25")
 
 
-def matches(t):
-    return c.match_events(t.posts, entities(t).where("not is_domain").join(events(t).select("event_id", "at"), "event_id"), 2, 30)
-
-
 register("ingest_events", events, f"WITH {_EV} SELECT * FROM ev")
 register("canonical_name", lambda t: c.event_entities(t.registry), f"WITH {_EV} SELECT * FROM en")
 register("event_entities", lambda t: c.event_entities(t.registry).groupBy("event_id").agg(F.count(F.lit(1)).alias("entities")), f"WITH {_EV} SELECT event_id, count(*) AS entities FROM en GROUP BY 1")
 register("usable_entity", entities, f"WITH {_US} SELECT * FROM us")
-register("nearest_event", lambda t: c.nearest_event(matches(t)), f"WITH {_MT} SELECT post_id, arg_min(event_id, (abs(delta), event_id)) AS event_id, arg_min(delta, (abs(delta), event_id)) AS delta FROM mw GROUP BY 1")
-_ALL_EVENTS = "2023-01-01", "2025-01-01"
-_EV_ALL = _US.replace("DATE '2024-01-01' AND DATE '2024-01-25'", "DATE '{}' AND DATE '{}'".format(*_ALL_EVENTS))
-
-
-def matches_anywhere(t):
-    """Of home and foreign events, whatever the days between."""
-    dated = c.ingest_events(t.registry, *_ALL_EVENTS).select("event_id", "at", "country")
-    named = entities(t).where("not is_domain").drop("country").join(dated, "event_id")
-    return c.match_events(t.posts, named, 10**6, 10**6).join(dated.select("event_id", "country"), "event_id")
-
-
-register("event_match_eval", lambda t: c.event_sets(matches_anywhere(t), "CA"), f"""WITH {_EV_ALL}, n AS (SELECT DISTINCT us.event_id, canonical, ev.at AS moment, ev.country FROM us JOIN ev USING (event_id) WHERE NOT is_domain),
-      f AS (SELECT post_id, published_at, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat FROM posts),
-      m AS (SELECT DISTINCT post_id, event_id, country, CAST(floor((epoch_us(published_at) - epoch_us(moment)) / 86400000000) AS BIGINT) AS delta FROM f JOIN n ON contains(flat, ' ' || canonical || ' ')),
-      g AS (SELECT post_id, bool_or(country = 'CA') AS own, bool_or(country = 'CA' AND delta BETWEEN -2 AND 30) AS near,
-        arg_min(event_id, (abs(delta), event_id)) FILTER (country = 'CA' AND delta BETWEEN -2 AND 30) AS event_id, arg_min(delta, (abs(delta), event_id)) FILTER (country = 'CA' AND delta BETWEEN -2 AND 30) AS delta FROM m GROUP BY 1)
-      SELECT post_id, CASE WHEN near THEN 'positive' WHEN own THEN 'out_of_window' ELSE 'negative' END AS label, event_id, delta FROM g""")
-register("oracle_hits", lambda t: matches(t).groupBy("event_id").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_MT} SELECT event_id, count(*) AS posts FROM mw GROUP BY 1")
-register("event_lead_lag", lambda t: matches(t).groupBy("event_id").agg(F.min("delta").alias("first_delta"), F.max("delta").alias("last_delta")), f"WITH {_MT} SELECT event_id, min(delta) AS first_delta, max(delta) AS last_delta FROM mw GROUP BY 1")
-register("event_funnel", lambda t: events(t).join(matches(t).join(t.labels.where("label_version = 'v1'").select("post_id", "is_relevant"), "post_id").groupBy("event_id").agg(F.bool_or("is_relevant").alias("relevant")), "event_id", "left").agg(F.count(F.lit(1)).alias("registered"), F.count("relevant").alias("captured"), F.count_if("relevant").alias("relevant")), f"WITH {_MT}, h AS (SELECT event_id, bool_or(is_relevant) AS relevant FROM mw JOIN labels l ON l.post_id = mw.post_id AND label_version = 'v1' GROUP BY 1) SELECT count(*) AS registered, count(relevant) AS captured, count(*) FILTER (relevant) AS relevant FROM ev LEFT JOIN h USING (event_id)")
 register("events_with_domain", lambda t: c.event_entities(t.registry).where("is_domain").groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_set("canonical")), ",").alias("domains")).withColumn("registry", F.split("event_id", ":")[0]), f"WITH {_EV} SELECT event_id, string_agg(DISTINCT canonical, ',' ORDER BY canonical) AS domains, split_part(event_id, ':', 1) AS registry FROM en WHERE is_domain GROUP BY 1")
-register("search_events", lambda t: t.registry.join(c.event_entities(t.registry).where(F.col("entity").ilike("%supplier1%")).select("event_id"), "event_id", "left_semi").select("event_id", "name"), f"WITH {_EV} SELECT event_id, name FROM registry WHERE event_id IN (SELECT event_id FROM en WHERE entity ILIKE '%supplier1%')")

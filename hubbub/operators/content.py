@@ -181,54 +181,8 @@ def nearest_event(matches: DataFrame) -> DataFrame:
     return matches.groupBy("post_id").agg(F.min_by(F.struct("event_id", "delta"), F.struct(F.abs("delta"), "event_id")).alias("e")).select("post_id", "e.event_id", "e.delta")
 
 
-# lexicon labels
-CYBER = ["breach", "vulnerability", "exploited", "phishing", "ransomware", "malware", "ddos", "password leak"]
-HOME = {"place": ["toronto", "ottawa", "quebec", "canada"], "office": ["parliament", "provincial"]}
-TOPICS = {"intrusion": ["breach", "leak"], "vulnerability": ["vulnerability", "cve-"], "extortion": ["ransomware"], "fraud": ["phishing"], "disruption": ["ddos"]}
-_WORDLIKE = "abcdefghijklmnopqrstuvwxyz0123456789_"
-
-
-def compile_term(term: str) -> str:
-    """Case-insensitive; bounded at an edge that is a word character."""
-    left = r"\b" if term[0].lower() in _WORDLIKE else ""
-    right = r"\b" if term[-1].lower() in _WORDLIKE else ""
-    escaped = "".join(r"\s+" if c == " " else c if c.lower() in _WORDLIKE else "\\" + c for c in term)
-    return f"(?iu){left}{escaped}{right}"
-
-
-def hits(text: Column, terms: list[str]) -> Column:
-    return F.array_compact(F.array(*(F.when(F.regexp_like(text, F.lit(compile_term(t))), t) for t in terms)))
-
-
-def label_rules(posts: DataFrame) -> DataFrame:
-    """One projection: cyber terms, home groups with weights, the first topic with a hit, information, relevance."""
-    text = F.trim(F.regexp_replace("text", r"\s+", " "))
-    cyber, place, office = hits(text, CYBER), hits(text, HOME["place"]), hits(text, HOME["office"])
-    topic = None
-    for key, terms in TOPICS.items():
-        hit = F.size(hits(text, terms)) > 0
-        topic = F.when(hit, key) if topic is None else topic.when(hit, key)
-    tokens = effective_tokens(text)
-    rows = posts.select("post_id", text.alias("text"), cyber.alias("cyber"), place.alias("place"), office.alias("office"), topic.otherwise("other").alias("topic"), F.size(tokens).alias("tokens"))
-    # an office alone needs a place or cyber context
-    strong = F.size("place") > 0
-    home = strong | ((F.size("office") > 0) & (F.size("cyber") > 0))
-    score = F.size("place") + 0.5 * F.size("office")
-    rows = rows.select(
-        "post_id", (F.size("cyber") > 0).alias("is_cyber"), home.alias("is_home"), "topic", F.array_join("cyber", ",").alias("cyber_hits"), F.round(score, 6).alias("home_score"),
-        low_information(F.col("text"), F.col("tokens")).alias("low_reason"),
-    )
-    both = F.col("is_cyber") & F.col("is_home")
-    n = F.size(F.filter(F.split("cyber_hits", ","), lambda x: x != ""))
-    return rows.withColumn("is_relevant", both).withColumn("confidence", F.when(both, F.round(F.least(F.lit(1.0), 0.15 * n + 0.2 * F.col("home_score")), 6)).otherwise(0.0))
-
-
+# information
 def effective_tokens(text: Column) -> Column:
     """Without links, mentions and signs."""
     bare = F.regexp_replace(F.regexp_replace(text, _URL, " "), r"@\w+", " ")
     return F.filter(F.split(bare, r"[^A-Za-z0-9]+"), lambda t: t != "")
-
-
-def low_information(text: Column, tokens: Column) -> Column:
-    """The reason, or NULL; flagged posts stay."""
-    return F.when(F.lower(text).rlike(r"^(lol|ok|wow|yes|no|thanks)[.!]*$"), "reaction").when(tokens < 4, "short")

@@ -62,28 +62,9 @@ register("upsert_posts", lambda t: upserted(t)[0], f"WITH {_NEW_SQL} SELECT * FR
 register("upsert_counts", lambda t: c.upsert_counts(*upserted(t)), f"WITH {_NEW_SQL} SELECT (SELECT count(*) FROM fresh) AS inserted, count(*) - (SELECT count(*) FROM fresh) AS duplicates FROM tw WHERE {_ARRIVED}")
 register("upsert_labels", lambda t: c.upsert_labels(t.labels.where("label_version = 'v1'").select("post_id", "label_version", "topic_key"), t.labels.where("label_version = 'v2' and post_id % 3 = 0").select("post_id", F.lit("v1").alias("label_version"), "topic_key")), "SELECT a.post_id, 'v1' AS label_version, CASE WHEN a.post_id % 3 = 0 THEN b.topic_key ELSE a.topic_key END AS topic_key FROM labels a JOIN labels b ON a.post_id = b.post_id AND a.label_version = 'v1' AND b.label_version = 'v2'")
 register("label_counts", lambda t: c.label_counts(t.labels), "SELECT label_version, count(*) AS n, count(*) FILTER (is_relevant) AS n_relevant, count(*) FILTER (low_info) AS n_low_info FROM labels GROUP BY 1")
-_RULES = r"""x AS (SELECT post_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM posts),
-   h AS (SELECT post_id, text, list_filter(['breach','vulnerability','exploited','phishing','ransomware','malware','ddos','password leak'], lambda w: regexp_matches(text, '(?i)\b' || replace(w, ' ', '\s+') || '\b')) AS cyber,
-     list_filter(['toronto','ottawa','quebec','canada'], lambda w: regexp_matches(text, '(?i)\b' || w || '\b')) AS place, list_filter(['parliament','provincial'], lambda w: regexp_matches(text, '(?i)\b' || w || '\b')) AS office,
-     CASE WHEN regexp_matches(text, '(?i)\b(breach|leak)\b') THEN 'intrusion' WHEN regexp_matches(text, '(?i)\bvulnerability\b|\bcve-') THEN 'vulnerability' WHEN regexp_matches(text, '(?i)\bransomware\b') THEN 'extortion' WHEN regexp_matches(text, '(?i)\bphishing\b') THEN 'fraud' WHEN regexp_matches(text, '(?i)\bddos\b') THEN 'disruption' ELSE 'other' END AS topic,
-     len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, 'https?://[^\s<>"'']+', ' ', 'g'), '@\w+', ' ', 'g'), '[^A-Za-z0-9]+'), lambda w: w <> '')) AS tokens FROM x),
-   r AS (SELECT post_id, len(cyber) > 0 AS is_cyber, len(place) > 0 OR (len(office) > 0 AND len(cyber) > 0) AS is_home, topic, array_to_string(cyber, ',') AS cyber_hits, CAST(len(place) + 0.5 * len(office) AS DOUBLE) AS home_score,
-     CASE WHEN regexp_matches(lower(text), '^(lol|ok|wow|yes|no|thanks)[.!]*$') THEN 'reaction' WHEN tokens < 4 THEN 'short' END AS low_reason, len(cyber) AS n, tokens FROM h)"""
-register("label_rules", lambda t: c.label_rules(t.posts), f"WITH {_RULES} SELECT post_id, is_cyber, is_home, topic, cyber_hits, home_score, low_reason, is_cyber AND is_home AS is_relevant, CASE WHEN is_cyber AND is_home THEN round(least(1.0, 0.15 * n + 0.2 * home_score), 6) ELSE 0 END::DOUBLE AS confidence FROM r")
-register("cyber_hits", lambda t: t.posts.select("post_id", F.array_join(c.hits(F.col("text"), c.CYBER), ",").alias("cyber_hits")), f"WITH {_RULES} SELECT post_id, cyber_hits FROM r")
-register("geo_hits", lambda t: c.label_rules(t.posts).groupBy("is_home", "home_score").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_RULES} SELECT is_home, home_score, count(*) AS posts FROM r GROUP BY 1, 2")
-register("assign_topic", lambda t: c.label_rules(t.posts).groupBy("topic").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_RULES} SELECT topic, count(*) AS posts FROM r GROUP BY 1")
-register("effective_tokens", lambda t: t.posts.select("post_id", F.size(c.effective_tokens(F.col("text"))).alias("tokens")), f"WITH {_RULES} SELECT post_id, CAST(tokens AS INTEGER) AS tokens FROM r")
-register("low_information", lambda t: c.label_rules(t.posts).groupBy("low_reason").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_RULES} SELECT low_reason, count(*) AS posts FROM r GROUP BY 1")
-
-
-def term_hits(t):
-    return t.relevant.select("post_id", F.explode(c.hits(F.col("text"), c.CYBER)).alias("term"))
-
-
-_TH = r"th AS (SELECT post_id, w AS term FROM relevant, (SELECT unnest(['breach','vulnerability','exploited','phishing','ransomware','malware','ddos','password leak']) AS w) WHERE regexp_matches(text, '(?i)\b' || replace(w, ' ', '\s+') || '\b'))"
-register("term_yield", lambda t: term_hits(t).groupBy("term").agg(F.count(F.lit(1)).alias("posts")), f"WITH {_TH} SELECT term, count(*) AS posts FROM th GROUP BY 1")
-register("term_exclusive", lambda t: term_hits(t).groupBy("post_id").agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("term")).where("n = 1").groupBy("term").agg(F.count(F.lit(1)).alias("only")), f"WITH {_TH} SELECT term, count(*) AS only FROM (SELECT post_id, min(term) AS term FROM th GROUP BY 1 HAVING count(*) = 1) GROUP BY 1")
+_TOKENS = r"""len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, 'https?://[^\s<>"'']+', ' ', 'g'), '@\w+', ' ', 'g'), '[^A-Za-z0-9]+'), lambda w: w <> ''))"""
+register("effective_tokens", lambda t: t.posts.select("post_id", F.size(c.effective_tokens(F.col("text"))).alias("tokens")), f"SELECT post_id, CAST({_TOKENS} AS INTEGER) AS tokens FROM posts")
+
 
 # vulnerabilities
 _CV = r"cv AS (SELECT post_id, text, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\bCVE-\d{4}-\d{4,7}\b'), lambda x: upper(x)))) AS cve_id FROM posts), mention AS (SELECT post_id, cve_id, CAST(instr(upper(text), cve_id) - 1 AS BIGINT) AS char_start FROM cv)"

@@ -240,9 +240,14 @@ def count_names(texts: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame
     bits = texts.sparkSession.sparkContext.broadcast(frequent)
     names_in = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64())])
 
-    def rows(totals, names, parts):
+    def merged(parts):
         h, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]), return_inverse=True)
-        c = np.bincount(at, weights=np.concatenate([np.zeros(0), *(c for _, c in parts)]), minlength=len(h)).astype(np.int64)
+        c = np.zeros(len(h), np.int64)
+        np.add.at(c, at, np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)]))
+        return h, c
+
+    def rows(totals, names, parts):
+        h, c = merged(parts)
         named = [(*names[x], n) for x, n in zip(h.tolist(), c.tolist())] + [(lang, None, n) for lang, n in totals.items()]
         for low in range(0, len(named), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*named[low : low + (1 << 16)]), names_in)], schema=names_in)
@@ -260,7 +265,9 @@ def count_names(texts: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame
                 for x, i in zip(h.tolist(), at[first].tolist()):
                     if x not in names:
                         names[x] = chunk.langs[chunk.lang[i]], chunk.phrase(i, n)
-            if len(names) >= plan.names or held >= plan.held:
+            if held >= plan.held:  # a phrase leaves a task once, not with every chunk
+                parts, held = [merged(parts)], 0
+            if len(names) >= plan.names:
                 yield from rows(totals, names, parts)
                 totals, names, parts, held = {}, {}, [], 0
         yield from rows(totals, names, parts)

@@ -117,10 +117,12 @@ register("informative_users", lambda t: metrics.informative_users(t.relevant.wit
       m AS (SELECT author_id, avg(event_posts / posts) AS mean_share FROM d GROUP BY author_id) SELECT author_id, round(mean_share, 6) AS mean_share, round(mean_share * ln(CAST(substr(author_id, 2) AS BIGINT) * 10 + 1), 6) AS score FROM m""")
 
 # null model: the shift of (iteration, author) is a hash, so the SQL twin repeats every draw
-_SHIFT = "CAST(CAST('0x' || substr(md5(iteration || ':' || author_id), 1, 8) AS BIGINT) % 14 AS BIGINT)"
+_WORD = lambda text, k: f"CAST('0x' || substr(md5({text}), {8 * k + 1}, 8) AS BIGINT) % {nullmodel.PRIME}"
+_SHIFT = f"(((ka * h + kb) % {nullmodel.PRIME} * h + kc) % {nullmodel.PRIME} * h + kd) % {nullmodel.PRIME} % 14"
 _CELLS = f"""cells AS (SELECT topic, author_id, CAST(floor(date_diff('second', TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY, published_at) / 86400) AS BIGINT) AS day, count(*) AS n
-      FROM relevant WHERE ({_CUR}) OR ({_PREV}) GROUP BY ALL), iters AS (SELECT unnest(range(0, 40)) AS iteration),
-    drawn AS (SELECT iteration, topic, CAST(sum(CASE WHEN (day + {_SHIFT}) % 14 >= 7 THEN n ELSE -n END) AS BIGINT) AS delta FROM cells, iters GROUP BY ALL)"""
+      FROM relevant WHERE ({_CUR}) OR ({_PREV}) GROUP BY ALL), iters AS (SELECT iteration, {', '.join(f'{_WORD(chr(39) + "iteration:" + chr(39) + " || iteration", k)} AS k{c}' for k, c in enumerate('abcd'))} FROM (SELECT unnest(range(0, 40)) AS iteration)),
+    hashed AS (SELECT *, {_WORD("author_id || '#1'", 0)} AS h FROM cells),
+    drawn AS (SELECT iteration, topic, CAST(sum(CASE WHEN (day + {_SHIFT}) % 14 >= 7 THEN n ELSE -n END) AS BIGINT) AS delta FROM hashed, iters GROUP BY ALL)"""
 register("null_author_shift", lambda t: nullmodel.author_shift(t.relevant, AS_OF, W, 40), f"WITH {_CELLS} SELECT * FROM drawn")
 register("null_summary", lambda t: nullmodel.summary(nullmodel.observed(t.relevant, AS_OF, W), nullmodel.author_shift(t.relevant, AS_OF, W, 40)), f"""WITH {_CELLS}, obs AS (SELECT topic, CAST(sum(CASE WHEN day >= 7 THEN n ELSE -n END) AS BIGINT) AS delta FROM cells GROUP BY topic),
       mx AS (SELECT iteration, max(abs(delta)) AS m FROM drawn GROUP BY iteration), p95 AS (SELECT quantile_cont(m, 0.95) AS max_null_p95 FROM mx),

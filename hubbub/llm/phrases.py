@@ -57,7 +57,7 @@ class Plan:
     lowered: float = 0.75
     filter_bits: int = 26
     chunk: int = 1 << 20
-    held: int = 1 << 21
+    held: int = 1 << 20
     names: int = 1 << 19
 
 
@@ -232,7 +232,8 @@ def count_hashes(texts: DataFrame, plan: Plan, lengths: range, known: int, new:
                 parts, held = [], 0
         yield from flush(parts)
 
-    return texts.mapInArrow(count, "n int, h long, c long").groupBy("n", "h").agg(F.sum("c").alias("c"))
+    # tasks have combined their own counts, so these are dealt by phrase at once, without a second table beside Python's
+    return texts.mapInArrow(count, "n int, h long, c long").repartition("n", "h").groupBy("n", "h").agg(F.sum("c").alias("c"))
 
 
 def count_names(texts: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hubbub.operators.numbering import numbered
+
 #: Hours after which a post's counts are taken as settled.
 SETTLED = 24
 
@@ -34,8 +36,9 @@ def is_broadcast(min_posts: int = 5, min_days: int = 4, min_zero: float = 0.6) -
 
 
 def broadcast_authors(activity: DataFrame, **limits) -> DataFrame:
-    order = W.orderBy(F.desc("n_posts"), "author_id")
-    return activity.where(is_broadcast(**limits)).select("author_id", "n_posts", "n_days", "zero_rate").withColumn("place", F.row_number().over(order))
+    """With their places, most posts first, ties by author."""
+    rows = activity.where(is_broadcast(**limits)).select("author_id", "n_posts", "n_days", "zero_rate")
+    return numbered(rows, [F.desc("n_posts"), F.col("author_id")])
 
 
 def broadcast_share(activity: DataFrame) -> DataFrame:
@@ -53,7 +56,8 @@ def flag_broadcast(posts: DataFrame, activity: DataFrame) -> DataFrame:
 
 
 def broadcast_gap(flagged: DataFrame, hours: int = 0) -> DataFrame:
-    rows = flagged.where(settled(hours)) if hours else flagged
+    """hours: only posts that were collected more than so long after they were published."""
+    rows = flagged.where(F.col("collected_at") - F.col("published_at") > F.make_dt_interval(F.lit(0), F.lit(hours))) if hours else flagged
     return rows.groupBy("broadcast").agg(F.count(F.lit(1)).alias("posts"), F.round(F.avg(engagement()), 6).alias("mean_engagement"), F.round(F.avg((engagement() == 0).cast("int")), 6).alias("zero_rate"))
 
 

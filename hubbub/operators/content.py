@@ -126,12 +126,6 @@ def cve_daily_vector(mentions: DataFrame, posts: DataFrame, as_of: str, days: in
     return rows.groupBy("cve_id").agg(F.concat_ws(",", *each).alias("daily"), F.count_if(back.between(days + 1, 2 * days)).alias("before"))
 
 
-def single_author_domains(domains: DataFrame) -> DataFrame:
-    """One row: domains shared, and those that one account alone shares. domains: domain, author_id."""
-    ends = domains.groupBy("domain").agg(F.min("author_id").alias("low"), F.max("author_id").alias("high"))
-    return ends.agg(F.count(F.lit(1)).alias("domains"), F.count_if(F.col("low") == F.col("high")).alias("of_one_author"))
-
-
 # registry of outside events
 _LEGAL = r"\s+(inc|ltd|llc|corp|gmbh|sa|plc|co)$"
 

@@ -81,24 +81,6 @@ def _prf(tp: str, fp: str, fn: str) -> list[Column]:
     return [F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1")]
 
 
-def score_weighted(truth: DataFrame, labels: DataFrame, flags: list[str], sizes: DataFrame) -> DataFrame:
-    """truth: post_id, stratum and the true flags of a sample. Every row counts by its stratum's population over its sample."""
-    drawn = truth.groupBy("stratum").agg(F.count(F.lit(1)).alias("drawn"))
-    weight = sizes.join(F.broadcast(drawn), "stratum").select("stratum", (F.col("n") / F.col("drawn")).alias("w"))
-    both = truth.join(labels.select("post_id", *[F.col(f).alias(f"p_{f}") for f in flags]), "post_id").join(F.broadcast(weight), "stratum")
-    long = both.select("w", F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f).alias("t"), F.col(f"p_{f}").alias("p")) for f in flags])).alias("x")).select("w", "x.*")
-    sums = {"tp": "t and p", "fp": "not t and p", "fn": "t and not p"}
-    rows = long.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.expr(c), F.col("w")).otherwise(0.0)).alias(k) for k, c in sums.items()])
-    return rows.select("flag", "n", *_prf("tp", "fp", "fn"))
-
-
-def compare_scores(truth: DataFrame, labels: DataFrame, flag: str) -> DataFrame:
-    """Each label version beside the others on the same truth."""
-    rows = truth.select("post_id", F.col(flag).alias("t")).join(labels.select("post_id", "label_version", F.col(flag).alias("p")), "post_id").groupBy("label_version")
-    sums = {"tp": "t and p", "fp": "not t and p", "fn": "t and not p", "unjudged": "p is null"}
-    return rows.agg(*[F.count_if(F.expr(c)).alias(k) for k, c in sums.items()]).select("*", *_prf("tp", "fp", "fn"))
-
-
 def gate_eval(truth: DataFrame, labels: DataFrame, flag: str) -> DataFrame:
     """Recall and specificity per stratum and over all (stratum NULL); unjudged rows are in no denominator."""
     rows = truth.select("post_id", "stratum", F.col(flag).alias("t")).join(labels.select("post_id", F.col(flag).alias("p")), "post_id", "left").rollup("stratum")
@@ -153,13 +135,6 @@ def ppi_daily(predicted: DataFrame, labelled: DataFrame, z: float = 1.96) -> Dat
     return rows.select("day", "n", "n_labelled", enough(rate).alias("rate"), enough(rate - half).alias("low"), enough(rate + half).alias("high"))
 
 
-def quota_round_robin(units: DataFrame, quota: int, seed: str) -> DataFrame:
-    """units: unit_id, stratum. The strata take turns until the quota is full; within one the order is by hash."""
-    place = F.row_number().over(W.partitionBy("stratum").orderBy(F.md5(F.concat(F.col("unit_id").cast("string"), F.lit(seed))), "unit_id"))
-    rows = units.select("unit_id", "stratum", place.alias("place")).where(F.col("place") <= quota)
-    return rows.orderBy("place", "stratum").limit(quota)
-
-
 def verify_evidence(cited: DataFrame, served: DataFrame, key: str) -> DataFrame:
     """Cited keys that were never served, with how often each is cited."""
     return cited.join(served, key, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("times"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hubbub.operators.numbering import numbered
+
 
 def edge_key(kind: Column, source: Column, target: Column) -> Column:
     """A missing part prints as None."""
@@ -71,16 +73,6 @@ def _share(hits: str, n: str) -> Column:
     return F.round(F.try_divide(hits, n), 6)
 
 
-def csr_population(facts: DataFrame, populations: dict[str, Column]) -> DataFrame:
-    """Status counts, conversation share and observed seeds with each kind of interaction, of overlapping populations in one pass."""
-    member = F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in populations.items()]))
-    rows = facts.withColumn("population", F.explode(member)).groupBy("population").agg(
-        F.count(F.lit(1)).alias("seeds"), *[F.count_if(F.col("status") == s).alias(s) for s in ("observed", "unavailable", "failed", "missing")], F.count_if("conversation").alias("conversations"),
-        *[F.count_if(F.col("observed") & (F.col(c) > 0)).alias(f"with_{c}") for c in ("d1", "quotes", "reposts")],
-    )
-    return rows.withColumn("csr", _share("conversations", "observed"))
-
-
 def csr_depth(facts: DataFrame) -> DataFrame:
     rows = facts.where("observed").agg(F.count(F.lit(1)).alias("observed"), F.count_if(F.expr("d1 > 0")).alias("with_d1"), F.count_if(F.expr("d2 > 0")).alias("with_d2"))
     return rows.select("*", _share("with_d1", "observed").alias("share_d1"), _share("with_d2", "observed").alias("share_d2"))
@@ -92,16 +84,6 @@ def csr_weighted(facts: DataFrame, stratum: str) -> DataFrame:
     return rows.agg(F.round(F.try_divide(F.sum(F.col("n") * F.col("talk") / F.col("seen")), F.sum("n")), 6).alias("csr_weighted"))
 
 
-def seed_distribution(facts: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact quartiles, mean and zero share of each count, one row a measure."""
-    long = facts.where("observed").select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("x")) for c in columns])).alias("m")).select("m.*")
-    q = lambda p: F.percentile("x", F.lit(p))
-    return long.groupBy("measure").agg(
-        F.count("x").alias("n"), F.sum("x").alias("total"), F.round(F.avg("x"), 6).alias("mean"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"),
-        F.max("x").alias("most"), F.round(F.avg((F.col("x") == 0).cast("int")), 6).alias("zero_share"),
-    )
-
-
 def concentration(counts: DataFrame, by: str, n: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """HHI and top-k shares of counts (one row an actor). Works on the histogram of the counts, so that a
     group with very many actors is never ordered in one task."""
@@ -114,50 +96,6 @@ def concentration(counts: DataFrame, by: str, n: str, ks: tuple[int, ...] = (1,
     )
 
 
-def top_actor_removal(facts: DataFrame, ks: tuple[int, ...] = (0, 1, 5, 10)) -> DataFrame:
-    """Conversation share without the seeds of the k authors with most seeds; ties by author."""
-    order = (F.desc("n"), F.asc("author_id"))
-    top = facts.groupBy("author_id").agg(F.count(F.lit(1)).alias("n")).orderBy(*order).limit(max(ks))
-    top = top.select("author_id", F.row_number().over(W.orderBy(*order)).alias("place"))
-    rows = facts.join(F.broadcast(top), "author_id", "left").withColumn("removed", F.explode(F.array(*map(F.lit, ks))))
-    rows = rows.where("place is null or place > removed")
-    out = rows.groupBy("removed").agg(F.count(F.lit(1)).alias("seeds"), F.count_if("observed").alias("observed"), F.count_if("conversation").alias("conversations"))
-    return out.withColumn("csr", _share("conversations", "observed"))
-
-
-def count_gap(facts: DataFrame) -> DataFrame:
-    """Replies that observed seeds report of themselves against those retrieved."""
-    rows = facts.where("observed")
-    return rows.agg(F.sum("reply_count").alias("reported"), F.sum("d1").alias("retrieved"), F.count_if(F.expr("d1 < reply_count")).alias("short_seeds"), F.sum(F.greatest(F.col("reply_count") - F.col("d1"), F.lit(0))).alias("missing"))
-
-
-def snapshot_vs_conv(facts: DataFrame) -> DataFrame:
-    return facts.where("observed").groupBy((F.col("reply_count") > 0).alias("early"), "conversation").agg(F.count(F.lit(1)).alias("seeds"))
-
-
-def reply_delay(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Hours from seed to direct reply; replies dated before their seed are counted apart."""
-    rows = edges.where("edge_type = 'reply' and depth = 1").join(seeds.select("seed_id", "created_at"), "seed_id")
-    hours = (F.unix_micros(F.col("event_time").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 3.6e9
-    rows = rows.select(hours.alias("h"))
-    later = F.when(F.col("h") >= 0, F.col("h"))
-    q = lambda p: F.round(F.percentile(later, F.lit(p)), 6)
-    return rows.agg(F.count(later).alias("n"), F.count_if(F.expr("h < 0")).alias("before_seed"), q(0.5).alias("median_h"), q(0.9).alias("p90_h"), F.round(F.avg((later <= 24).cast("int")), 6).alias("within_day"))
-
-
-def sensors_by_topic(facts: DataFrame) -> DataFrame:
-    """Posts, actors and interactions of each topic, their ranks (ties by topic) and interactions a post."""
-    rows = facts.groupBy("topic_key").agg(F.count(F.lit(1)).alias("s_post"), F.countDistinct("author_id").alias("s_actor"), F.sum(F.col("d1") + F.col("d2") + F.col("quotes")).alias("s_interaction"))
-    place = lambda c: F.row_number().over(W.orderBy(F.desc(c), "topic_key")).alias(c.replace("s_", "rank_"))
-    return rows.select("*", *map(place, ("s_post", "s_actor", "s_interaction")), F.round(F.col("s_interaction") / F.col("s_post"), 6).alias("per_post"))
-
-
-def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Correlation of average ranks over a short table, such as one row a topic."""
-    mean_rank = lambda c: (F.rank().over(W.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(c)) - 1) / 2).alias(f"r_{c}")
-    return rows.select(mean_rank(x), mean_rank(y)).agg(F.round(F.corr(f"r_{x}", f"r_{y}"), 6).alias("rho"), F.count(F.lit(1)).alias("n"))
-
-
 def run_rollup(outcomes: DataFrame) -> DataFrame:
     """Seeds of each run by their worst endpoint: failed > unavailable > partial > ok."""
     worst = F.max(F.when(F.col("outcome") == "failed", 3).when(F.col("outcome") == "unavailable", 2).when(F.col("outcome") == "partial", 1).otherwise(0)).alias("w")
@@ -241,9 +179,10 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
 
 
 def negative_control(edges: DataFrame) -> DataFrame:
-    """Replies with the targets of each hour dealt anew among its replies: actors, times and target counts stay. Both
-    orders are within an hour, so no task orders more than an hour's replies."""
-    rows = edges.where("edge_type = 'reply'").withColumn("hour", F.date_trunc("hour", "event_time"))
-    natural = rows.select("hour", "edge_no", "actor", F.row_number().over(W.partitionBy("hour").orderBy("edge_no")).alias("nth"))
-    dealt = rows.select("hour", F.col("target_id").alias("new_target"), F.row_number().over(W.partitionBy("hour").orderBy(F.md5(F.col("edge_no").cast("string")), "edge_no")).alias("nth"))
-    return natural.join(dealt, ["hour", "nth"]).select("edge_no", "actor", "new_target")
+    """edge_no, actor, new_target: the targets of all replies dealt anew among them, so actors, times and target counts stay.
+    Both orders are numbered by ranges, and equal numbers meet."""
+    rows = edges.where("edge_type = 'reply'").select("edge_no", "actor", "target_id")
+    natural = numbered(rows.select("edge_no", "actor"), [F.col("edge_no")], "nth")
+    order = [F.md5(F.col("edge_no").cast("string")), F.col("edge_no")]
+    dealt = numbered(rows.select("edge_no", F.col("target_id").alias("new_target")), order, "nth").select("nth", "new_target")
+    return natural.join(dealt, "nth").select("edge_no", "actor", "new_target")

@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def persist_analysis(candidates: DataFrame, order: list[str], as_of: str, params: dict, path: str, most: int = 25) -> None:
-    """Append one row: as_of, params and the first `most` candidates in order, both as JSON."""
-    top = candidates.orderBy(*order).limit(most).withColumn("place", F.row_number().over(W.orderBy(*order)))
+def persist_analysis(candidates: DataFrame, order: list[str], as_of: str, params: dict, path: str) -> None:
+    """Append one row: as_of, params and all candidates in order (one a topic), both as JSON."""
+    top = candidates.withColumn("place", F.row_number().over(W.orderBy(*order)))
     rows = F.array_sort(F.collect_list(F.struct("place", *candidates.columns)))
     record = top.agg(F.to_json(rows).alias("candidates")).select(F.lit(as_of).alias("as_of"), F.lit(json.dumps(params, sort_keys=True)).alias("params"), "candidates")
     record.write.mode("append").parquet(path)

@@ -51,13 +51,6 @@ def tri_state_gate(posts: DataFrame, valid: DataFrame, judged: DataFrame) -> Dat
     return rows.select("post_id", "is_cyber", home.alias("is_canada"), (home & F.coalesce("is_cyber", F.lit(False))).alias("is_relevant"))
 
 
-def revalidate_labels(labels: DataFrame, checked: DataFrame) -> DataFrame:
-    """Per derivation chain: entities dropped, and posts that lose their last one."""
-    per_post = checked.groupBy("post_id").agg(F.count(F.lit(1)).alias("had"), F.count("fault").alias("dropped"))
-    rows = labels.join(per_post, "post_id").withColumn("chain", F.concat(F.col("derived_chain"), F.lit(">checked")))
-    return rows.groupBy("chain").agg(F.count(F.lit(1)).alias("posts"), F.sum("dropped").alias("dropped"), F.count_if(F.expr("had = dropped")).alias("lost"))
-
-
 def screen_candidates(posts: DataFrame, labels: DataFrame, min_length: int = 40) -> DataFrame:
     """Posts that a version rejected and that are long enough to look at again."""
     return posts.where(F.length("text") > min_length).join(labels.where("not is_canada").select("post_id"), "post_id", "left_semi").select("post_id", F.length("text").alias("n"))

@@ -56,7 +56,7 @@ register("diverse_posts", lambda t: d.diverse_posts(t.relevant), """WITH s AS (S
       b AS (SELECT *, nth = 1 AND row_number() OVER (PARTITION BY topic, nth = 1 ORDER BY engagement DESC, post_id) <= 3 AS leads FROM a),
       c AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY leads DESC, engagement DESC, post_id) AS place FROM b) SELECT topic, post_id, author_id, engagement, place FROM c WHERE place <= 5""")
 register("recent_posts", lambda t: d.top(t.relevant.select("post_id", "topic", F.substring("text", 1, 320).alias("text"), "published_at", cve_ids(F.col("text")).alias("cves")), 50, F.desc("published_at"), "post_id"), "SELECT * FROM (SELECT post_id, topic, substr(text, 1, 320) AS text, published_at, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\bCVE-\\d{4}-\\d{4,7}\\b'), lambda x: upper(x)))) AS cves, row_number() OVER (ORDER BY published_at DESC, post_id) AS place FROM relevant) WHERE place <= 50")
-register("labelled_through", lambda t: d.labelled_through(t.posts, version(t, "v2"), 0.85), "WITH c AS (SELECT CAST(published_at AS DATE) AS day, count(l.post_id) / count(*) AS share FROM posts p LEFT JOIN labels l ON p.post_id = l.post_id AND label_version = 'v2' AND is_cyber IS NOT NULL GROUP BY 1) SELECT through, lowest, through + 1 AS until, through - 6 AS since, through - 13 AS before_since FROM (SELECT max(day) FILTER (share >= 0.85) AS through, round(min(share), 6) AS lowest FROM c)")
+register("labelled_through", lambda t: d.labelled_through(t.posts, version(t, "v2"), 0.9), "WITH c AS (SELECT CAST(published_at AS DATE) AS day, count(l.post_id) / count(*) AS share FROM posts p LEFT JOIN labels l ON p.post_id = l.post_id AND label_version = 'v2' AND is_cyber IS NOT NULL GROUP BY 1) SELECT through, lowest, through + 1 AS until, through - 6 AS since, through - 13 AS before_since FROM (SELECT max(day) FILTER (share >= 0.9) AS through, round(min(share), 6) AS lowest FROM c)")
 register("topic_top_authors", lambda t: d.top(t.relevant.where(in_window(F.col("published_at"), AS_OF, 7)).groupBy("topic", "author_handle").agg(F.count(F.lit(1)).alias("n")), 8, F.desc("n"), "author_handle", by=("topic",)), f"SELECT * FROM (SELECT topic, author_handle, count(*) AS n, row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, author_handle) AS place FROM relevant WHERE {_CUR} GROUP BY 1, 2) WHERE place <= 8")
 register("topic_feed_share", lambda t: flagged(t).groupBy("topic").agg(F.round(F.count_if("broadcast") / F.count(F.lit(1)), 6).alias("feed_share")), f"WITH {FLAGGED_SQL} SELECT topic, round(count(*) FILTER (broadcast) / count(*), 6) AS feed_share FROM flagged GROUP BY topic")
 register("topic_split", lambda t: d.topic_split(flagged(t)), f"WITH {FLAGGED_SQL} SELECT topic, count(*) AS raw, count(*) FILTER (NOT broadcast) AS organic, count(DISTINCT author_id) AS raw_authors, count(DISTINCT author_id) FILTER (NOT broadcast) AS organic_authors FROM flagged GROUP BY topic")

@@ -29,14 +29,14 @@ VIEWS: dict[str, str] = {
     "base": "SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events",
     "posts": f"""SELECT event_id AS post_id, 's' || CAST(event_id % 3 AS STRING) AS source_key, 'p' || CAST(event_id AS STRING) AS source_post_id,
       'u' || CAST(user_id AS STRING) AS author_id, '@u' || CAST(user_id AS STRING) AS author_handle, ts AS published_at,
-      ts + INTERVAL '1' HOUR * (event_id % 72) AS collected_at, {_TEXT} AS text, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'fr' ELSE 'en' END AS lang,
+      ts + INTERVAL '1' HOUR * (event_id % 72 * CASE WHEN event_id % 5 = 0 THEN 4 ELSE 1 END) AS collected_at, {_TEXT} AS text, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'fr' ELSE 'en' END AS lang,
       CASE WHEN user_id % 10 < 2 THEN 0 ELSE k % 5 END AS like_count,
       CASE WHEN event_id % 13 = 0 THEN NULL WHEN user_id % 10 < 2 THEN 0 ELSE k % 3 END AS repost_count, k % 4 AS reply_count,
       event_id % 97 AS run_id, 'at://p/' || CAST(event_id AS STRING) AS uri,
       CASE WHEN k % 3 = 0 AND event_id > 10 THEN 'at://p/' || CAST(event_id - k % 9 - 1 AS STRING) END AS in_reply_to, k FROM base""",
     "labels": """SELECT event_id AS post_id, 'v1' AS label_version, event_id % 2 = 0 AS is_cyber, event_id % 3 = 0 AS is_canada, event_id % 4 <> 0 AS is_relevant,
       CASE WHEN event_type = 'signup' THEN NULL ELSE event_type END AS topic_key, event_id % 12 IN (2, 10) AS low_info, 'rules' AS derived_chain FROM base
-      UNION ALL SELECT event_id, 'v2', CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 2 = 0 END, event_id % 5 = 0, (event_id % 4 <> 0) <> (event_id % 17 = 0),
+      UNION ALL SELECT event_id, 'v2', CASE WHEN event_id % 21 = 0 OR (event_id % 7 = 0 AND ts >= TIMESTAMP '2024-01-26 00:00:00') THEN NULL ELSE event_id % 2 = 0 END, event_id % 5 = 0, (event_id % 4 <> 0) <> (event_id % 17 = 0),
       CASE WHEN event_id % 11 = 0 THEN 'view' WHEN event_type = 'signup' THEN NULL ELSE event_type END, event_id % 12 IN (2, 10),
       CASE WHEN event_id % 2 = 0 THEN 'rules>model' ELSE 'model' END FROM base""",
     "runs": """SELECT event_id % 97 AS run_id, 's' || CAST(event_id % 97 % 3 AS STRING) AS source_key,

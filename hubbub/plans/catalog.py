@@ -20,4 +20,4 @@ def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None =
         ORACLES[name] = SHARED_SQL + (", " + text[5:] if text.upper().startswith("WITH ") else " " + text)
 
 
-from hubbub.plans import activity, clusters, content, graph, language, lexicons, linking, neighbourhood, payloads, quality_checks, records, signals, streams, units, verdicts  # noqa: E402, F401
+from hubbub.plans import activity, clusters, content, conversations, graph, language, lexicons, linking, neighbourhood, payloads, quality_checks, records, scoring, sharing, signals, streams, units, verdicts, publishing  # noqa: E402, F401

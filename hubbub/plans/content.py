@@ -9,27 +9,14 @@ from hubbub.operators.descriptive import top
 from hubbub.operators.trend import in_window
 from hubbub.plans.adapters import AS_OF
 from hubbub.plans.catalog import register
-from hubbub.plans.signals import _CUR, FLAGGED_SQL, flagged
+from hubbub.plans.signals import _CUR
 
 _URLS = r"""regexp_extract_all(text, '(https?://[^\s<>"'']+)', 1)"""
 _HASH = r"""sha256(lower(trim(regexp_replace(regexp_replace(text, 'https?://[^\s<>"'']+', '', 'g'), '\s+', ' ', 'g'))))"""
 register("normalize_text", lambda t: t.posts.select("post_id", c.normalize_text(F.col("text")).alias("text")), r"SELECT post_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM posts")
 register("text_hash", lambda t: t.posts.select("post_id", c.text_hash(F.col("text")).alias("hash")), f"SELECT post_id, {_HASH} AS hash FROM posts")
 register("exact_dup_clusters", lambda t: c.exact_dup_clusters(t.posts), f"SELECT {_HASH} AS hash, count(*) AS size, arg_min(post_id, (published_at, post_id)) AS first_post, count(DISTINCT author_id) AS authors FROM posts GROUP BY 1 HAVING count(*) > 1")
-register("extract_urls", lambda t: t.posts.select("post_id", F.array_join(c.extract_urls(F.col("text")), " ").alias("urls")).where("urls <> ''"), f"SELECT post_id, array_to_string(list_transform({_URLS}, lambda u: rtrim(u, '.,;)')), ' ') AS urls FROM posts WHERE len({_URLS}) > 0")
 register("unique_urls", lambda t: t.relevant.select(F.explode(c.extract_urls(F.col("text"))).alias("url")).agg(F.countDistinct("url").alias("urls")), f"SELECT count(DISTINCT u) AS urls FROM (SELECT rtrim(unnest({_URLS}), '.,;)') AS u FROM relevant)")
-_DOM = f"dom AS (SELECT DISTINCT post_id, author_id, broadcast, regexp_replace(lower(regexp_extract(u, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '') AS domain FROM (SELECT post_id, author_id, broadcast, rtrim(unnest({_URLS}), '.,;)') AS u FROM flagged))"
-
-
-def domains(t):
-    rows = flagged(t).select("post_id", "author_id", "broadcast", F.explode(c.extract_urls(F.col("text"))).alias("url"))
-    return rows.select("post_id", "author_id", "broadcast", c.url_domain(F.col("url")).alias("domain")).distinct().where(~F.col("domain").isin("blog.example.net"))
-
-
-register("coshare_domains", lambda t: domains(t).groupBy("domain", "author_id").agg(F.count(F.lit(1)).alias("posts")), f"WITH {FLAGGED_SQL}, {_DOM} SELECT domain, author_id, count(*) AS posts FROM dom WHERE domain <> 'blog.example.net' GROUP BY 1, 2")
-register("source_uptake", lambda t: top(domains(t).groupBy("domain").agg(F.countDistinct(F.when(~F.col("broadcast"), F.col("author_id"))).alias("organic"), F.countDistinct(F.when(F.col("broadcast"), F.col("author_id"))).alias("broadcast"), F.count(F.lit(1)).alias("posts")).where("organic + broadcast >= 3"), 18, F.desc("posts"), "domain"), f"WITH {FLAGGED_SQL}, {_DOM}, g AS (SELECT domain, count(DISTINCT author_id) FILTER (NOT broadcast) AS organic, count(DISTINCT author_id) FILTER (broadcast) AS broadcast, count(*) AS posts FROM dom WHERE domain <> 'blog.example.net' GROUP BY 1) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY posts DESC, domain) AS place FROM g WHERE organic + broadcast >= 3) WHERE place <= 18")
-register("single_author_domains", lambda t: c.single_author_domains(domains(t)), f"""WITH {FLAGGED_SQL}, {_DOM}, g AS (SELECT domain, count(DISTINCT author_id) AS authors FROM dom WHERE domain <> 'blog.example.net' GROUP BY 1)
-      SELECT count(*) AS domains, count(*) FILTER (authors = 1) AS of_one_author FROM g""")
 register("html_clean", lambda t: t.pages.select("page_id", c.html_clean(F.col("html")).alias("text")), r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
 register("parse_post_time", lambda t: t.posts.select("post_id", c.parse_post_time(F.concat(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789Z"))).cast("timestamp_ntz").alias("parsed")), "SELECT post_id, published_at AS parsed FROM posts")
 _CLAIM = "claim AS (SELECT post_id, collected_at AS indexed_at, CASE post_id % 3 WHEN 0 THEN collected_at + INTERVAL 3 HOUR ELSE published_at END AS created_at FROM posts)"

@@ -25,7 +25,6 @@ for _by in ("topic_key", "actor_type", "has_cve", "in_main"):
     register(f"csr_by_{_by}", lambda t, by=_by: i.csr(t.seeds, i.seed_status(i.latest_outcome(t.outcomes)), i.seed_metrics(adopted(t)), by), f"""WITH {_SS}, {_ME}, j AS (SELECT s.{_by}, status = 'observed' AS seen, coalesce(d1, 0) + coalesce(quotes, 0) > 0 AS talk FROM seeds s LEFT JOIN ss USING (seed_id) LEFT JOIN me USING (seed_id))
       SELECT {_by}, count(*) AS seeds, count(*) FILTER (seen) AS observed, count(*) FILTER (seen AND talk) AS conversations, round(count(*) FILTER (seen AND talk) / nullif(count(*) FILTER (seen), 0), 6) AS csr FROM j GROUP BY 1""")
 register("actor_reply_graph", lambda t: i.actor_reply_graph(t.edges, t.posts.select(F.col("post_id").alias("target_id"), F.col("author_id").alias("author"))), "WITH g AS (SELECT actor AS src, author_id AS dst, count(*) AS weight FROM edges JOIN posts ON post_id = target_id WHERE edge_type = 'reply' GROUP BY 1, 2) SELECT src, dst, weight, EXISTS (SELECT 1 FROM g h WHERE h.src = g.dst AND h.dst = g.src) AS mutual FROM g")
-register("corpus_reply_edges", lambda t: t.posts.where("in_reply_to is not null").select(F.col("post_id").alias("reply"), F.col("in_reply_to").alias("uri")).join(t.posts.select("uri", F.col("post_id").alias("parent")), "uri").select("reply", "parent"), "SELECT a.post_id AS reply, b.post_id AS parent FROM posts a JOIN posts b ON a.in_reply_to = b.uri")
 
 
 def facts(t):
@@ -34,37 +33,15 @@ def facts(t):
 
 _FA = f"""{_SS}, {_ME}, fa AS (SELECT s.*, coalesce(status, 'missing') AS status, coalesce(d1, 0) AS d1, coalesce(d2, 0) AS d2, coalesce(quotes, 0) AS quotes, coalesce(reposts, 0) AS reposts,
       coalesce(status = 'observed', false) AS observed, coalesce(status = 'observed', false) AND coalesce(d1, 0) + coalesce(quotes, 0) > 0 AS conversation FROM seeds s LEFT JOIN ss USING (seed_id) LEFT JOIN me USING (seed_id))"""
-_CSR = "count(*) FILTER (conversation) AS conversations, round(count(*) FILTER (conversation) / nullif(count(*) FILTER (observed), 0), 6) AS csr"
-register("csr_population", lambda t: i.csr_population(facts(t), {"all": F.lit(True), "main": F.col("in_main"), "legacy": F.col("in_legacy")}), f"""WITH {_FA}, p AS (SELECT 'all' AS population, * FROM fa UNION ALL SELECT 'main', * FROM fa WHERE in_main UNION ALL SELECT 'legacy', * FROM fa WHERE in_legacy)
-      SELECT population, count(*) AS seeds, count(*) FILTER (status = 'observed') AS observed, count(*) FILTER (status = 'unavailable') AS unavailable, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'missing') AS missing, {_CSR.replace('observed)', "p.observed)")}, count(*) FILTER (p.observed AND d1 > 0) AS with_d1, count(*) FILTER (p.observed AND quotes > 0) AS with_quotes, count(*) FILTER (p.observed AND reposts > 0) AS with_reposts FROM p GROUP BY 1""")
 register("csr_depth", lambda t: i.csr_depth(facts(t)), f"WITH {_FA} SELECT count(*) AS observed, count(*) FILTER (d1 > 0) AS with_d1, count(*) FILTER (d2 > 0) AS with_d2, round(count(*) FILTER (d1 > 0) / count(*), 6) AS share_d1, round(count(*) FILTER (d2 > 0) / count(*), 6) AS share_d2 FROM fa WHERE observed")
 register("csr_weighted", lambda t: i.csr_weighted(facts(t), "actor_type"), f"WITH {_FA}, g AS (SELECT actor_type, count(*) AS n, count(*) FILTER (observed) AS seen, count(*) FILTER (conversation) AS talk FROM fa GROUP BY 1) SELECT round(sum(n * talk / seen) / sum(n), 6) AS csr_weighted FROM g WHERE seen > 0")
-register("seed_distribution", lambda t: i.seed_distribution(facts(t), ["d1", "d2", "quotes", "reposts"]), f"""WITH {_FA}, m AS (SELECT unnest(['d1', 'd2', 'quotes', 'reposts']) AS measure, unnest([d1, d2, quotes, reposts]) AS x FROM fa WHERE observed)
-      SELECT measure, count(*) AS n, CAST(sum(x) AS BIGINT) AS total, round(avg(x), 6) AS mean, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3, max(x) AS most, round(avg(CAST(x = 0 AS INTEGER)), 6) AS zero_share FROM m GROUP BY 1""")
-
-
 def _top_sql(source: str, by: str) -> str:
     tops = ", ".join(f"round(sum(n) FILTER (place <= {k}) / sum(n), 6) AS top_{k}" for k in (1, 5, 10))
     return f"""WITH c AS ({source}), r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n DESC) AS place FROM c)
       SELECT {by}, count(*) AS actors, CAST(sum(n) AS BIGINT) AS total, round(sum(n * n) / (sum(n) * sum(n)), 6) AS hhi, {tops} FROM r GROUP BY 1"""
 
 
-register("actor_concentration", lambda t: i.concentration(t.edges.groupBy("edge_type", "actor").agg(F.count(F.lit(1)).alias("n")), "edge_type", "n"), _top_sql("SELECT edge_type, actor, count(*) AS n FROM edges GROUP BY 1, 2", "edge_type"))
 register("topic_concentration", lambda t: i.concentration(t.seeds.groupBy("topic_key", "author_id").agg(F.count(F.lit(1)).alias("n")), "topic_key", "n"), _top_sql("SELECT topic_key, author_id, count(*) AS n FROM seeds GROUP BY 1, 2", "topic_key"))
-register("top_actor_removal", lambda t: i.top_actor_removal(facts(t)), f"""WITH {_FA}, g AS (SELECT author_id, row_number() OVER (ORDER BY count(*) DESC, author_id) AS place FROM fa GROUP BY 1), k AS (SELECT unnest([0, 1, 5, 10]) AS removed)
-      SELECT removed, count(*) AS seeds, count(*) FILTER (observed) AS observed, {_CSR.replace('observed)', 'fa.observed)')} FROM fa JOIN g USING (author_id) JOIN k ON place > removed GROUP BY 1""")
-register("count_gap", lambda t: i.count_gap(facts(t)), f"WITH {_FA} SELECT CAST(sum(reply_count) AS BIGINT) AS reported, CAST(sum(d1) AS BIGINT) AS retrieved, count(*) FILTER (d1 < reply_count) AS short_seeds, CAST(sum(greatest(reply_count - d1, 0)) AS BIGINT) AS missing FROM fa WHERE observed")
-register("snapshot_vs_conv", lambda t: i.snapshot_vs_conv(facts(t)), f"WITH {_FA} SELECT reply_count > 0 AS early, conversation, count(*) AS seeds FROM fa WHERE observed GROUP BY 1, 2")
-register("reply_delay", lambda t: i.reply_delay(t.edges, t.seeds), """WITH h AS (SELECT (epoch_us(event_time) - epoch_us(created_at)) / 3.6e9::DOUBLE AS h FROM edges JOIN seeds USING (seed_id) WHERE edge_type = 'reply' AND depth = 1)
-      SELECT count(*) FILTER (h >= 0) AS n, count(*) FILTER (h < 0) AS before_seed, round(quantile_cont(h, 0.5) FILTER (h >= 0), 6) AS median_h, round(quantile_cont(h, 0.9) FILTER (h >= 0), 6) AS p90_h, round(avg(CAST(h <= 24 AS INTEGER)) FILTER (h >= 0), 6) AS within_day FROM h""")
-_SENSOR = "se AS (SELECT topic_key, count(*) AS s_post, count(DISTINCT author_id) AS s_actor, CAST(sum(d1 + d2 + quotes) AS BIGINT) AS s_interaction FROM fa GROUP BY 1)"
-register("sensors_by_topic", lambda t: i.sensors_by_topic(facts(t)), f"""WITH {_FA}, {_SENSOR} SELECT *, row_number() OVER (ORDER BY s_post DESC, topic_key) AS rank_post, row_number() OVER (ORDER BY s_actor DESC, topic_key) AS rank_actor,
-      row_number() OVER (ORDER BY s_interaction DESC, topic_key) AS rank_interaction, round(s_interaction / s_post, 6) AS per_post FROM se""")
-register("spearman_topics", lambda t: i.spearman(i.sensors_by_topic(facts(t)), "s_post", "s_interaction"), f"""WITH {_FA}, {_SENSOR}, r AS (SELECT rank() OVER (ORDER BY s_post) + (count(*) OVER (PARTITION BY s_post) - 1) / 2 AS x, rank() OVER (ORDER BY s_interaction) + (count(*) OVER (PARTITION BY s_interaction) - 1) / 2 AS y FROM se)
-      SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM r""")
-register("csr_strict", lambda t: i.csr(t.seeds, i.seed_status(i.latest_outcome(t.outcomes).where("outcome <> 'partial'")), i.seed_metrics(adopted(t)), "topic_key"), f"""WITH {_LO}, ok AS (SELECT seed_id FROM la WHERE outcome = 'success' GROUP BY 1 HAVING count(*) = 2), {_ME}
-      SELECT topic_key, count(*) AS seeds, count(ok.seed_id) AS observed, count(*) FILTER (ok.seed_id IS NOT NULL AND coalesce(d1, 0) + coalesce(quotes, 0) > 0) AS conversations,
-      round(count(*) FILTER (ok.seed_id IS NOT NULL AND coalesce(d1, 0) + coalesce(quotes, 0) > 0) / nullif(count(ok.seed_id), 0), 6) AS csr FROM seeds LEFT JOIN ok USING (seed_id) LEFT JOIN me USING (seed_id) GROUP BY 1""")
 register("run_rollup", lambda t: i.run_rollup(t.outcomes), """WITH w AS (SELECT run_id, seed_id, max(CASE outcome WHEN 'failed' THEN 3 WHEN 'unavailable' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END) AS w FROM outcomes GROUP BY 1, 2)
       SELECT run_id, count(*) FILTER (w = 0) AS ok, count(*) FILTER (w = 1) AS partial, count(*) FILTER (w = 2) AS unavailable, count(*) FILTER (w = 3) AS failed FROM w GROUP BY 1""")
 register("resume_anti", lambda t: i.resume_anti(t.seeds, t.outcomes, 2), "SELECT seed_id FROM seeds WHERE seed_id NOT IN (SELECT seed_id FROM outcomes WHERE run_id = 2 AND outcome IN ('success', 'partial') GROUP BY 1 HAVING count(*) = 2)")
@@ -79,8 +56,11 @@ register("kev_interaction", lambda t: i.interaction_by_cve(_mentions(t), t.edges
       SELECT m.cve_id, count(*) AS posts, count(DISTINCT author_id) AS authors, CAST(coalesce(sum(hits), 0) AS BIGINT) AS interactions, coalesce(bool_or(known_exploited), false) AS known_exploited FROM m LEFT JOIN h USING (post_id) LEFT JOIN cve_records r ON r.cve_id = m.cve_id GROUP BY 1""")
 register("mention_edges", lambda t: i.mention_edges(t.posts), "SELECT author_id, '@friend' AS handle, count(*) AS posts FROM posts WHERE contains(text, '@friend') GROUP BY 1")
 register("outcome_counts", lambda t: i.outcome_counts(t.outcomes), "SELECT run_id, endpoint, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'partial') AS partial, count(*) FILTER (outcome = 'unavailable') AS unavailable, count(*) FILTER (outcome = 'failed') AS failed FROM outcomes GROUP BY 1, 2")
-register("negative_control", lambda t: i.negative_control(t.edges), """WITH r AS (SELECT *, date_trunc('hour', event_time) AS h FROM edges WHERE edge_type = 'reply'), a AS (SELECT h, edge_no, actor, row_number() OVER (PARTITION BY h ORDER BY edge_no) AS nth FROM r),
-      b AS (SELECT h, target_id, row_number() OVER (PARTITION BY h ORDER BY md5(CAST(edge_no AS VARCHAR)), edge_no) AS nth FROM r) SELECT edge_no, actor, target_id AS new_target FROM a JOIN b USING (h, nth)""")
+register(
+    "negative_control", lambda t: i.negative_control(t.edges),
+    """WITH r AS (SELECT *, row_number() OVER (ORDER BY edge_no) AS a, row_number() OVER (ORDER BY md5(CAST(edge_no AS VARCHAR)), edge_no) AS b FROM edges WHERE edge_type = 'reply')
+      SELECT x.edge_no, x.actor, y.target_id AS new_target FROM r x JOIN r y ON x.a = y.b""",
+)
 register("page_outcomes", lambda t: i.page_outcomes(t.fetches), """WITH f AS (SELECT *, min(page) FILTER (NOT ok) OVER w AS bad, max(page) OVER w AS most FROM fetches WINDOW w AS (PARTITION BY run_id, seed_id, endpoint)),
       l AS (SELECT run_id, seed_id, endpoint, page, ok, error, capped FROM f WHERE page = coalesce(bad, most)), x AS (SELECT run_id, seed_id, endpoint, page, unnest(items) AS item FROM f WHERE page < coalesce(bad, most + 1)),
       j AS (SELECT *, min(page) OVER (PARTITION BY run_id, seed_id, endpoint, item) AS first_page FROM x), n AS (SELECT run_id, seed_id, endpoint, count(*) AS n, count(DISTINCT item) AS seen, count(*) FILTER (page > first_page) AS again FROM j GROUP BY 1, 2, 3)

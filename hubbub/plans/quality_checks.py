@@ -58,19 +58,6 @@ register("cohen_kappa", lambda t: e.cohen_kappa(pairs(t), "a", "b"), f"""WITH p
       SELECT round(po, 6) AS agreement, round((po - s / (n * n)) / (1 - s / (n * n)), 6) AS kappa FROM n, m""")
 
 
-def truth(t):
-    """The sampled posts with the first version's flags as the truth."""
-    drawn = e.stratified_sample(version(t, "v2"), 25, "seed").select("post_id", "stratum")
-    return drawn.join(version(t, "v1").select("post_id", "is_cyber", "is_canada"), "post_id")
-
-
-_TR = f"{_ST}, sz AS (SELECT stratum, count(*) AS n FROM st WHERE stratum IS NOT NULL GROUP BY 1), dr AS (SELECT * FROM (SELECT post_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5(post_id || 'seed'), post_id) AS place FROM st WHERE stratum IS NOT NULL) WHERE place <= 25), tr AS (SELECT d.post_id, d.stratum, l.is_cyber, l.is_canada FROM dr d JOIN labels l ON l.post_id = d.post_id AND l.label_version = 'v1')"
-_PRF = "round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1"
-register("score_weighted", lambda t: e.score_weighted(truth(t), version(t, "v2"), ["is_cyber", "is_canada"], e.stratum_sizes(version(t, "v2"))), f"""WITH {_TR}, w AS (SELECT stratum, sz.n / count(*) AS w FROM sz JOIN dr USING (stratum) GROUP BY stratum, sz.n),
-      x AS (SELECT w, unnest(['is_cyber', 'is_canada']) AS flag, unnest([tr.is_cyber, tr.is_canada]) AS t, unnest([l.is_cyber, l.is_canada]) AS p FROM tr JOIN w USING (stratum) JOIN labels l ON l.post_id = tr.post_id AND l.label_version = 'v2'),
-      g AS (SELECT flag, count(*) AS n, coalesce(sum(w) FILTER (t AND p), 0) AS tp, coalesce(sum(w) FILTER (NOT t AND p), 0) AS fp, coalesce(sum(w) FILTER (t AND NOT p), 0) AS fn FROM x GROUP BY 1) SELECT flag, n, {_PRF} FROM g""")
-register("compare_scores", lambda t: e.compare_scores(version(t, "v1"), t.labels, "is_cyber"), f"""WITH g AS (SELECT b.label_version, count(*) FILTER (a.is_cyber AND b.is_cyber) AS tp, count(*) FILTER (NOT a.is_cyber AND b.is_cyber) AS fp, count(*) FILTER (a.is_cyber AND NOT b.is_cyber) AS fn, count(*) FILTER (b.is_cyber IS NULL) AS unjudged
-      FROM labels a JOIN labels b USING (post_id) WHERE a.label_version = 'v1' GROUP BY 1) SELECT *, {_PRF} FROM g""")
 register("gate_eval", lambda t: e.gate_eval(version(t, "v1").withColumn("stratum", e.stratum()), version(t, "v2"), "is_cyber"), """WITH x AS (SELECT CASE WHEN a.is_cyber THEN 'is_cyber' ELSE 'not_is_cyber' END || '/' || CASE WHEN a.is_canada THEN 'is_canada' ELSE 'not_is_canada' END AS stratum, a.is_cyber AS t, b.is_cyber AS p FROM labels a LEFT JOIN labels b ON a.post_id = b.post_id AND b.label_version = 'v2' WHERE a.label_version = 'v1'),
       g AS (SELECT stratum, count(*) FILTER (t AND p IS NOT NULL) AS positives, count(*) FILTER (t AND p) AS hits, count(*) FILTER (NOT t AND p IS NOT NULL) AS negatives, count(*) FILTER (NOT t AND NOT p) AS passed, count(*) FILTER (p IS NULL) AS unjudged FROM x GROUP BY ROLLUP (stratum))
       SELECT *, round(hits / nullif(positives, 0), 6) AS recall, round(passed / nullif(negatives, 0), 6) AS specificity FROM g""")
@@ -115,8 +102,6 @@ register("ppi_daily", daily_predictions, """WITH x AS (SELECT CAST(published_at
       FROM posts JOIN labels a USING (post_id) JOIN labels b USING (post_id) WHERE a.label_version = 'v1' AND b.label_version = 'v2'),
       g AS (SELECT day, count(*) AS n, count(d) AS n_labelled, avg(p) + avg(d) AS rate, 1.96::DOUBLE * sqrt(var_samp(p) / count(*) + var_samp(d) / nullif(count(d), 0)) AS half FROM x GROUP BY 1)
       SELECT day, n, n_labelled, CASE WHEN n_labelled > 1 AND n > 1 THEN round(rate, 6) END AS rate, CASE WHEN n_labelled > 1 AND n > 1 THEN round(rate - half, 6) END AS low, CASE WHEN n_labelled > 1 AND n > 1 THEN round(rate + half, 6) END AS high FROM g""")
-register("quota_round_robin", lambda t: e.quota_round_robin(version(t, "v2").where("topic_key is not null").select(F.col("post_id").alias("unit_id"), F.col("topic_key").alias("stratum")), 50, "q"), """SELECT post_id AS unit_id, topic_key AS stratum, CAST(row_number() OVER (PARTITION BY topic_key ORDER BY md5(post_id || 'q'), post_id) AS INTEGER) AS place
-      FROM labels WHERE label_version = 'v2' AND topic_key IS NOT NULL ORDER BY place, stratum LIMIT 50""")
 register("verify_evidence", lambda t: e.verify_evidence(t.posts.where("in_reply_to is not null").select(F.col("in_reply_to").alias("uri")), t.relevant.select("uri"), "uri"), "SELECT in_reply_to AS uri, count(*) AS times FROM posts WHERE in_reply_to IS NOT NULL AND in_reply_to NOT IN (SELECT uri FROM relevant) GROUP BY 1")
 
 

@@ -86,7 +86,7 @@ register("broadcast_authors", lambda t: authors.broadcast_authors(activity(t)),
 register("broadcast_share", lambda t: authors.broadcast_share(activity(t)), f"""WITH {ACTIVITY_SQL}, s AS (SELECT CAST((SELECT coalesce(sum(n_posts), 0) FROM bc) AS BIGINT) AS posts, CAST(sum(n_posts) AS BIGINT) AS all_posts, (SELECT count(*) FROM bc) AS authors, count(*) AS all_authors FROM rated)
       SELECT *, coalesce(round(posts / nullif(all_posts, 0), 6), 0) AS post_share, coalesce(round(authors / nullif(all_authors, 0), 6), 0) AS author_share FROM s""")
 register("broadcast_gap", lambda t: authors.broadcast_gap(flagged(t)), f"WITH {FLAGGED_SQL} SELECT broadcast, count(*) AS posts, round(avg(like_count + repost_count), 6) AS mean_engagement, round(avg(CAST(like_count + repost_count = 0 AS INTEGER)), 6) AS zero_rate FROM flagged GROUP BY broadcast")
-register("broadcast_gap_settled", lambda t: authors.broadcast_gap(flagged(t), hours=48), f"WITH {FLAGGED_SQL} SELECT broadcast, count(*) AS posts, round(avg(like_count + repost_count), 6) AS mean_engagement, round(avg(CAST(like_count + repost_count = 0 AS INTEGER)), 6) AS zero_rate FROM flagged WHERE collected_at - published_at >= INTERVAL 48 HOUR GROUP BY broadcast")
+register("broadcast_gap_settled", lambda t: authors.broadcast_gap(flagged(t), hours=168), f"WITH {FLAGGED_SQL} SELECT broadcast, count(*) AS posts, round(avg(like_count + repost_count), 6) AS mean_engagement, round(avg(CAST(like_count + repost_count = 0 AS INTEGER)), 6) AS zero_rate FROM flagged WHERE collected_at - published_at > INTERVAL 168 HOUR GROUP BY broadcast")
 register("actor_composition", lambda t: authors.actor_composition(flagged(t)), f"""WITH {FLAGGED_SQL}, c AS (SELECT topic, count(*) AS posts, count(*) FILTER (broadcast) AS broadcast_posts, count(DISTINCT author_id) AS authors, count(DISTINCT author_id) FILTER (broadcast) AS broadcast_authors FROM flagged GROUP BY topic)
       SELECT *, round_even(broadcast_posts / posts, 4) AS share, CASE WHEN broadcast_posts / posts >= 0.5 THEN 'mostly broadcast' WHEN broadcast_posts / posts >= 0.2 THEN 'mixed' ELSE 'mostly organic' END AS reading FROM c""")
 register("measure_audience", lambda t: authors.measure_audience(t.posts), f"WITH {AUDIENCE_SQL} SELECT * FROM audience")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from hubbub.plans.adapters import Tables
 from hubbub.plans.catalog import register
+from hubbub.sources.staging import staging_path
 from hubbub.streaming import ingest as s
+from hubbub.streaming import settling
 
 _LATE = "CASE WHEN event_id % 50 = 0 THEN ts + INTERVAL '40' DAY WHEN event_id % 50 = 1 THEN ts - INTERVAL '9' DAY ELSE ts END"
 
@@ -37,3 +39,24 @@ def post_stream(t):
 
 register("stream_settled_engagement", lambda t: s.run_settled(t.spark, post_stream(t), "author_id"), """SELECT author_id, count(*) AS n_settled, CAST(sum(like_count + repost_count) AS BIGINT) AS engagement,
       count(*) FILTER (like_count + repost_count = 0) AS n_zero FROM posts WHERE collected_at - published_at >= INTERVAL 24 HOUR AND like_count + repost_count IS NOT NULL GROUP BY 1""")
+
+
+def snapshots(t):
+    return post_stream(t).select("post_id", "author_id", "published_at", "collected_at", (F.col("like_count") + F.col("repost_count")).alias("engagement"))
+
+
+register(
+    "stream_settled_posts", lambda t: settling.run_settle(t.spark, snapshots(t)).select("post_id", "author_id", "engagement"),
+    """SELECT post_id, author_id, CAST(like_count + repost_count AS BIGINT) AS engagement FROM posts
+      WHERE epoch_ms(published_at) + 86400000 < (SELECT max(epoch_ms(collected_at)) FROM posts)""",
+)
+
+
+def counted_run(t):
+    """The counters of one backfill, over its batches."""
+    out = staging_path(t.spark, "ingest")
+    rows = s.ingest(repeated(t), ["event_id"], f"{out}/rows", f"{out}/checkpoint", None)
+    return rows.agg(F.sum("fetched").alias("fetched"), F.sum("kept").alias("kept"), F.sum("late").alias("late"), F.min("first_at").cast("timestamp_ntz").alias("first_at"), F.max("last_at").cast("timestamp_ntz").alias("last_at"))
+
+
+register("stream_run_counters", counted_run, "SELECT count(*) + count(*) FILTER (event_id % 10 = 0) AS fetched, count(*) AS kept, 0 AS late, min(ts) AS first_at, max(ts) AS last_at FROM events")

@@ -35,8 +35,6 @@ register("post_entities", lambda t: v.post_entities(t.entities, t.posts), """SEL
       FROM entities JOIN posts USING (post_id) GROUP BY post_id, label_version, entity""")
 register("tri_state_gate", lambda t: v.tri_state_gate(t.posts, valid(t), version(t, "v2")), f"""WITH {_CH}, h AS (SELECT DISTINCT post_id FROM ch WHERE fault IS NULL)
       SELECT p.post_id, is_cyber, h.post_id IS NOT NULL AS is_canada, h.post_id IS NOT NULL AND coalesce(is_cyber, false) AS is_relevant FROM posts p LEFT JOIN h USING (post_id) LEFT JOIN labels l ON l.post_id = p.post_id AND label_version = 'v2'""")
-register("revalidate_labels", lambda t: v.revalidate_labels(version(t, "v2"), checked(t)), f"""WITH {_CH}, g AS (SELECT post_id, count(*) AS had, count(fault) AS dropped FROM ch GROUP BY 1)
-      SELECT derived_chain || '>checked' AS chain, count(*) AS posts, CAST(sum(dropped) AS BIGINT) AS dropped, count(*) FILTER (had = dropped) AS lost FROM labels JOIN g USING (post_id) WHERE label_version = 'v2' GROUP BY 1""")
 register("screen_candidates", lambda t: v.screen_candidates(t.posts, version(t, "v1")), "SELECT post_id, CAST(length(text) AS INTEGER) AS n FROM posts JOIN labels USING (post_id) WHERE label_version = 'v1' AND NOT is_canada AND length(text) > 40")
 register("entity_trend", lambda t: v.entity_trend(valid(t), t.relevant), f"""WITH {_CH}, d AS (SELECT DISTINCT post_id, lower(entity) AS entity FROM ch WHERE fault IS NULL)
       , r AS (SELECT d.*, author_id, topic FROM d JOIN relevant USING (post_id)), pr AS (SELECT a.entity, b.entity AS other, count(*) AS n FROM r a JOIN r b ON a.post_id = b.post_id AND a.entity <> b.entity GROUP BY 1, 2),

@@ -1,10 +1,14 @@
-"""The incremental loop as a stream: choose the event time, drop repeats, keep window counts current.
+"""The incremental loop as a stream: choose the event time, drop repeats, keep window counts current, settle posts by timers.
 
 Each call works off what is there (availableNow) and resumes from its checkpoint when called again.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +18,31 @@ from hubbub.sources.staging import staging_path
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """A folder or a single Parquet file; the pattern that matches path alone is what a streaming source takes."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+    schema = spark.read.parquet(re.sub(_GLOB, r"\\\g<0>", path)).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(re.sub(_GLOB, r"\\\g<0>", path[:-1]) + f"[{path[-1]}]")
+
+
+#: Characters of a path that a pattern would take for its own.
+_GLOB = r"[\\\[\]{}*?]"
+#: State on disk, its changes logged with each batch: keys that never leave must not fill the executors' memory.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.numRecentProgressUpdates": "100000",
+}
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state in RocksDB; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def repaired(stream: DataFrame, created: str, indexed: str) -> DataFrame:
@@ -24,11 +51,27 @@ def repaired(stream: DataFrame, created: str, indexed: str) -> DataFrame:
     return resolve_published_at(stream.withColumns(clocks))
 
 
-def ingest(stream: DataFrame, key: list[str], path: str, checkpoint: str, delay: str | None = "2 days") -> None:
-    """Append each key's first row. With a delay the state stays bounded, and every row that comes later than that is
-    dropped, first or not. Without one no row is ever late; the state holds every key."""
-    rows = stream.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(key) if delay else stream.dropDuplicates(key)
-    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+COUNTERS = "run_id string, batch long, fetched long, kept long, late long, first_at timestamp, last_at timestamp"
+
+
+def ingest(stream: DataFrame, key: list[str], path: str, checkpoint: str, delay: str | None = "2 days") -> DataFrame:
+    """Append each key's first row, and return the run's counters: for each batch the rows fetched, kept and too late, and
+    their range of times; what is neither kept nor late was a repeat. With a delay the state stays bounded, and every row
+    that comes later than that is dropped, first or not. Without one no row is ever late; the state holds every key."""
+    spark = stream.sparkSession
+    timed = stream.withWatermark("published_at", delay) if delay else stream
+    timed = timed.observe("fetched", F.count(F.lit(1)).alias("n"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"))
+    rows = timed.dropDuplicatesWithinWatermark(key) if delay else timed.dropDuplicates(key)
+    rows = rows.observe("kept", F.count(F.lit(1)).alias("n"))
+    with state_on_disk(spark):
+        query = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        out = []
+        for p in query.recentProgress:
+            seen, kept = p.observedMetrics.get("fetched"), p.observedMetrics.get("kept")
+            if seen is not None and seen.n:
+                out.append((str(p.runId), p.batchId, seen.n, kept.n if kept else 0, sum(s.numRowsDroppedByWatermark for s in p.stateOperators), seen.first_at, seen.last_at))
+    return spark.createDataFrame(out, COUNTERS)
 
 
 def window_counts(stream: DataFrame, width: str, slide: str, by: str, path: str, checkpoint: str, delay: str | None = "2 days") -> None:
@@ -38,7 +81,8 @@ def window_counts(stream: DataFrame, width: str, slide: str, by: str, path: str,
     counts = timed.groupBy(F.window("published_at", width, slide), by).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), by, "n")
     each = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/of={number}")
-    counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+    with state_on_disk(stream.sparkSession):
+        counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
 
 
 def latest_counts(spark: SparkSession, path: str, by: str) -> DataFrame:
@@ -68,7 +112,8 @@ def settled_engagement(stream: DataFrame, by: str, path: str, checkpoint: str, h
         F.count(F.lit(1)).alias("n_settled"), F.sum(engagement).alias("engagement"), F.count_if(engagement == 0).alias("n_zero")
     )
     each = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/of={number}")
-    counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+    with state_on_disk(stream.sparkSession):
+        counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_settled(spark: SparkSession, stream: DataFrame, by: str, hours: int = 24) -> DataFrame:

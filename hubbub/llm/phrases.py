@@ -7,9 +7,10 @@ and a further pass counts what became countable by that, until no pass finds a f
 length, so there are at most `longest` of them. The result does not depend on the sample; only the number of passes does.
 
 Proposed phrases reach the tasks as a Bloom filter of fixed size, whatever their number: what it admits in error is
-counted exactly as well, and is dropped for its count. Within passes phrases are 64-bit hashes of language and words,
-combined in a task before they are shuffled. A last pass names the frequent ones and counts them by language and words.
-Two phrases of a task whose hashes collide would be counted as one: about F**2 / 2**65 for F frequent phrases.
+counted exactly as well, and is dropped for its count. Phrases are 64-bit hashes of language and words, combined in a task
+before they are shuffled; two frequent ones whose hashes collide would be counted as one, with a chance of about
+F**2 / 2**65 for F frequent phrases. Their words are read at last, from a few documents and, for those that these lack,
+from all; so a task sends few names and each once.
 
 A candidate is scored at its weakest cut, floor(1000 a n / (l r)) in decimals of 38 digits. One that a longer candidate
 holds with an equal count is dropped; as counts never rise with length, a candidate longer by one word tells. Tops are
@@ -48,16 +49,18 @@ _PARTS = 64
 @dataclass(frozen=True)
 class Plan:
     """Phrases of 2 to `longest` words with `least` occurrences in a language. The sample is one of `sample_of` documents;
-    there a phrase is proposed from `lowered` times its share of `least` on. Filters have 2**filter_bits bits."""
+    there a phrase is proposed from `lowered` times its share of `least` on. Names are looked for in one of `named_of`
+    documents first. Filters have 2**filter_bits bits."""
 
     least: int = 100
     longest: int = 5
     top: int = 2000
     sample_of: int = 8
     lowered: float = 0.75
+    named_of: int = 32
     filter_bits: int = 26
     chunk: int = 1 << 20
-    held: int = 1 << 20
+    held: int = 1 << 21
     names: int = 1 << 19
 
 
@@ -236,51 +239,43 @@ def count_hashes(texts: DataFrame, plan: Plan, lengths: range, known: int, new:
     return texts.mapInArrow(count, "n int, h long, c long").repartition("n", "h").groupBy("n", "h").agg(F.sum("c").alias("c"))
 
 
-def count_names(texts: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
-    """lang, phrase and c of the phrases that the filter admits, by task; phrase is null for all words of a language."""
-    bits = texts.sparkSession.sparkContext.broadcast(frequent)
-    names_in = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64())])
-
-    def merged(parts):
-        h, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]), return_inverse=True)
-        c = np.zeros(len(h), np.int64)
-        np.add.at(c, at, np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)]))
-        return h, c
+def name_hashes(texts: DataFrame, plan: Plan, frequent: np.ndarray, wanted: np.ndarray) -> DataFrame:
+    """h, lang, phrase of the phrases in the filter `wanted` among those in `frequent`, once for each task, and under a null
+    h each language with its number of words, c."""
+    sc = texts.sparkSession.sparkContext
+    frequent_bits, wanted_bits = sc.broadcast(frequent), sc.broadcast(wanted)
+    schema = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64())])
 
-    def rows(totals, names, parts):
-        h, c = merged(parts)
-        named = [(*names[x], n) for x, n in zip(h.tolist(), c.tolist())] + [(lang, None, n) for lang, n in totals.items()]
+    def rows(named):
         for low in range(0, len(named), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*named[low : low + (1 << 16)]), names_in)], schema=names_in)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*named[low : low + (1 << 16)]), schema)], schema=schema)
 
-    def count(batches):
-        totals, names, parts, held = {}, {}, [], 0
+    def name(batches):
+        totals, seen, named = {}, set(), []
         for chunk in chunks(batches, plan):
             for i, n in enumerate(np.bincount(chunk.lang[chunk.skip :], minlength=len(chunk.langs)).tolist()):
                 totals[chunk.langs[i]] = totals.get(chunk.langs[i], 0) + n
-            for n, at, h, inside in counted(chunk, plan.longest, plan.longest, bits.value):
-                at, h = at[inside], h[inside]
-                h, first, c = np.unique(h, return_index=True, return_counts=True)
-                parts.append((h, c))
-                held += len(h)
-                for x, i in zip(h.tolist(), at[first].tolist()):
-                    if x not in names:
-                        names[x] = chunk.langs[chunk.lang[i]], chunk.phrase(i, n)
-            if held >= plan.held:  # a phrase leaves a task once, not with every chunk
-                parts, held = [merged(parts)], 0
-            if len(names) >= plan.names:
-                yield from rows(totals, names, parts)
-                totals, names, parts, held = {}, {}, [], 0
-        yield from rows(totals, names, parts)
-
-    return texts.mapInArrow(count, "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
+            for n, at, h, inside in counted(chunk, plan.longest, plan.longest, frequent_bits.value):
+                inside = inside & admits(wanted_bits.value, h)  # not in place: longer phrases are built on it
+                h, first = np.unique(h[inside], return_index=True)
+                for x, i in zip(h.view(np.int64).tolist(), at[inside][first].tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        named.append((x, chunk.langs[chunk.lang[i]], chunk.phrase(i, n), None))
+            if len(named) >= plan.names:
+                yield from rows(named)
+                named = []
+                seen = seen if len(seen) < 8 * plan.names else set()
+        yield from rows(named + [(None, lang, None, n) for lang, n in totals.items()])
+
+    return texts.mapInArrow(name, "h long, lang string, phrase string, c long")
 
 
 def frequent_phrases(docs: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, int]:
     """(lang, phrase and f of all frequent phrases from one word on, and of all words under a null phrase; passes made)."""
-    texts = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), whole_text(F.col("text")).alias("text"))
-    part = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(plan.sample_of)) == 0
-    sample = docs.where(part).select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), whole_text(F.col("text")).alias("text"))
+    one_of = lambda salt, n: docs.where(F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.lit(n)) == 0)
+    of = lambda d: d.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), whole_text(F.col("text")).alias("text"))
+    texts, sample = of(docs), of(one_of("sample", plan.sample_of))
     from_ = F.col("c") >= max(2, int(plan.lowered * plan.least / plan.sample_of))
     short = stage(count_hashes(sample, plan, range(1, 3), 0, None).where(from_).select("n", "h"), "sample-short")
     proposals = short
@@ -292,14 +287,23 @@ def frequent_phrases(docs: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, i
     while True:
         passes += 1
         counts = count_hashes(texts, plan, range(1, plan.longest + 1), plan.longest, new, old).where(F.col("c") >= plan.least)
-        counts = stage(counts.select("n", "h"), "frequent")
+        counts = stage(counts, "frequent")
         found = counts if found is None else found.unionByName(counts)
-        failed = stage(counts.join(proposals, ["n", "h"], "left_anti"), "border-failures")
+        failed = stage(counts.select("n", "h").join(proposals, ["n", "h"], "left_anti"), "border-failures")
         if failed.where(F.col("n") < plan.longest).isEmpty():
             break
         proposals = proposals.unionByName(failed)
         new, old = filter_of(failed, plan, new), new
-    return stage(count_names(texts, plan, filter_of(found, plan)).where(F.col("phrase").isNull() | (F.col("f") >= plan.least)), "named"), passes
+    # most names come from few documents; what these lack is looked for in all
+    frequent, each = filter_of(found, plan), [F.first("lang").alias("lang"), F.first("phrase").alias("phrase")]
+    named = stage(name_hashes(of(one_of("names", plan.named_of)), plan, frequent, frequent).where("h is not null").groupBy("h").agg(*each), "names")
+    rest = found.join(named.select("h"), "h", "left_anti")
+    rest = stage(name_hashes(texts, plan, frequent, filter_of(rest, plan)), "names")
+    totals = rest.where("h is null").groupBy("lang").agg(F.lit(None).cast("string").alias("phrase"), F.sum("c").alias("f"))
+    named = named.unionByName(rest.where("h is not null").groupBy("h").agg(*each))
+    # a hash may be named in both steps, by an error of the filter
+    known = found.join(named.groupBy("h").agg(*each), "h").select("lang", "phrase", F.col("c").alias("f"))
+    return stage(known.unionByName(totals.select("lang", "phrase", "f")), "named"), passes
 
 
 def _joined(words: Column, at: Column | int, n: Column) -> Column:

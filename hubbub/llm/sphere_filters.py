@@ -17,10 +17,10 @@ block. Equal vectors are folded into one with a weight and known by a number of
 travels to each of its filters as bytes of the precision that it has in the table.
 
 Vectors of each length are searched by a code of their own, so all of equal length are compared, and vectors of
-different lengths never link. A length with few vectors has one filter that holds them all. Vectors that
+different lengths never link. However few vectors a length has, they are found by filters. Vectors that
 are null, empty, zero, or hold null or non-finite components link with nothing. Repeated rows link with each other.
 Rows that share an id but not the vector are vectors of their own: each gets its own links and the smallest id of its
-own component. Empty tables give no rows. Labels and other columns are not read, so their names cannot clash.
+own component. A null id is no number: such a vector links like any other, and its component is that of the ids in it. Empty tables give no rows. Labels and other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -103,15 +103,10 @@ class Filters:
     def size(self) -> int:
         return self.shape[0]
 
-    @property
-    def single(self) -> bool:
-        """One filter holds all vectors."""
-        return self.count <= self.bucket
-
     @property
     def numbers(self) -> int:
         """Numbers that the filters take up."""
-        return 1 if self.single else self.codes * self.size**2
+        return self.codes * self.size**2
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -260,12 +255,9 @@ def near_vectors(table: DataFrame, *, vector_id: str = "vec_id", vector: str = "
                 places = np.flatnonzero(dims == dim)
                 for low in range(0, len(places), 1024):
                     part = places[low : low + 1024]
-                    if plan.single:
-                        found = [np.zeros(1, np.int64)] * len(part)
-                    else:
-                        if dim not in coders:
-                            coders[dim] = FilterCode(plan)
-                        found = coders[dim].filters(_matrix([vectors[at] for at in part], dim))
+                    if dim not in coders:
+                        coders[dim] = FilterCode(plan)
+                    found = coders[dim].filters(_matrix([vectors[at] for at in part], dim))
                     for at, f in zip(part, found):
                         filters[at] = (f + base).tolist()
             yield pa.RecordBatch.from_arrays([batch["node"], batch["dim"], batch["vector"], batch["weight"], pa.array(filters, pa.list_(pa.int64()))], ["node", "dim", "vector", "weight", "filters"])

@@ -9,7 +9,8 @@ each document that loses some, never text.
 
 A line's key is the line without blanks at its ends and with A-Z lower-cased. Null and empty texts are one empty
 line and lose nothing. Lines that repeat within one document count once. Rows with equal doc_id count as one
-document and lose lines together. Empty tables give no rows. Columns other than doc_id and text are not read
+document and lose lines together. A row with a null doc_id is no document that could be told from others: it neither
+counts towards the documents that hold a line nor loses any. Empty tables give no rows. Columns other than doc_id and text are not read
 by the search; apply_bitmaps passes them through, but for those named like its two counts, which it replaces.
 """
 
@@ -30,7 +31,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def line_hashes(docs: DataFrame, *, min_points: int) -> DataFrame:
     """h1, h2 (128 bits of the key), doc_id, line for each line whose key has min_points code points."""
-    lines = docs.select("doc_id", F.posexplode(F.split(whole_text(F.col("text")), "\n")).alias("line", "text"))
+    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(whole_text(F.col("text")), "\n")).alias("line", "text"))
     key = F.btrim(F.col("text"), F.lit(BLANKS))
     lines = lines.where(F.length("text") >= min_points).select("doc_id", "line", key.alias("key")).where(F.length("key") >= min_points)
     key = F.translate("key", _UPPER, _LOWER)

@@ -291,3 +291,14 @@ def test_empty_tables_and_clashing_columns(spark, odd):
     pages, path = spark.createDataFrame([], "page_id long, url string, html string"), fresh_path(spark, "warc")
     warc.write_warc(pages, path)
     assert warc.read_warc(spark, path).count() == 0
+
+
+def test_lines_of_rows_without_an_id(spark):
+    def kept(ids):
+        docs = spark.createDataFrame([(i, "a line that is certainly longer than forty points") for i in ids], "doc_id long, text string")
+        out = line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs)).collect()
+        return sorted((-1 if r.doc_id is None else r.doc_id, r.n_dropped) for r in out)
+
+    assert kept([0, 1, 2, 3, None, None]) == [(-1, 0), (-1, 0), (0, 0), (1, 0), (2, 0), (3, 0)]
+    assert kept([None] * 6) == [(-1, 0)] * 6
+    assert kept([0, 1, 2, 3, 4, None]) == [(-1, 0), (0, 1), (1, 1), (2, 1), (3, 1), (4, 0)]

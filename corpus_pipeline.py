@@ -2,8 +2,8 @@
 
 Null and empty texts are scored like others; what stays of them packs as the end id alone. Rows that share a doc_id but
 not the text are documents of their own; of rows equal in both one stays from the near-duplicate stage on, and mixing
-gives equal rows the most copies that one of them got. A row with a null doc_id is a document of its own, which near
-duplicates and mixing see under a number above all ids and return with null; that number, and so the draw of the mix,
+gives equal rows the most copies that one of them got. A row with a null doc_id is a document of its own, which line
+dedup, near duplicates and mixing see under a number above all ids and return with null; that number, and so the draw of the mix,
 may differ between runs. Empty tables give no pieces. Further columns of documents, whatever their names, pass
 through every stage but the last.
 """
@@ -47,9 +47,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    numbered, most = _numbered(docs)
     counts = free_name(docs, "lines"), free_name(docs, "dropped")
-    kept = line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs, min_points=40, min_docs=5), into=counts)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*map(col, docs.columns))
+    kept = line_dedup.apply_bitmaps(numbered, line_dedup.line_bitmaps(numbered, min_points=40, min_docs=5), into=counts)
+    return _unnumbered(kept.withColumn("n_chars", F.length("text").cast("long")).select(*map(col, docs.columns)), most)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,7 +164,7 @@ def sensor_correlations(rows: DataFrame) -> DataFrame:
     mean_rank = lambda c: (F.rank().over(W.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(c)) - 1) / 2).alias(f"r_{c}")
     ranks = rows.select(*map(mean_rank, names))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    rho = lambda a, b: F.when((F.stddev_pop(f"r_{a}") > 0) & (F.stddev_pop(f"r_{b}") > 0), F.round(F.corr(f"r_{a}", f"r_{b}"), 6))
+    rho = lambda a, b: F.round(F.try_divide(F.covar_pop(f"r_{a}", f"r_{b}"), F.stddev_pop(f"r_{a}") * F.stddev_pop(f"r_{b}")), 6)
     one = ranks.agg(F.count(F.lit(1)).alias("n"), *(rho(a, b).alias(f"{a}~{b}") for a, b in pairs))
     return one.select("n", F.inline(F.array(*(F.struct(F.lit(f"{a}~{b}").alias("pair"), F.col(f"{a}~{b}").alias("rho")) for a, b in pairs))))
 

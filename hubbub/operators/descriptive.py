@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hubbub.operators.authors import engagement
+from hubbub.operators.percentiles import exact_percentiles
 from hubbub.operators.trend import days, in_window, instant
 
 
@@ -54,9 +55,11 @@ def posts_per_author(by_topic: DataFrame) -> DataFrame:
 
 
 def lag_by_mode(posts: DataFrame, runs: DataFrame) -> DataFrame:
+    """mode, mean, median and outer tenths of the hours from publication to collection, and mean likes."""
     rows = posts.join(runs.select("run_id", "mode"), "run_id").withColumn("lag", F.timestamp_diff("SECOND", F.col("published_at"), F.col("collected_at")) / 3600)
-    p = lambda q, name: F.round(F.percentile("lag", q), 6).alias(name)
-    return rows.groupBy("mode").agg(F.round(F.avg("lag"), 6).alias("mean_lag"), p(0.1, "p10"), p(0.5, "median"), p(0.9, "p90"), F.round(F.avg("like_count"), 6).alias("mean_likes"))
+    means = rows.groupBy("mode").agg(F.round(F.avg("lag"), 6).alias("mean_lag"), F.round(F.avg("like_count"), 6).alias("mean_likes"))
+    ranks = exact_percentiles(rows, ["mode"], "lag", {"p10": 0.1, "median": 0.5, "p90": 0.9}).drop("n")
+    return means.join(ranks.select("mode", *(F.round(c, 6).alias(c) for c in ("p10", "median", "p90"))), "mode")
 
 
 def bad_run_groups(runs: DataFrame) -> DataFrame:

@@ -54,7 +54,19 @@ _mentions = lambda t: t.posts.select("post_id", "author_id", F.explode(F.array_d
 register("kev_interaction", lambda t: i.interaction_by_cve(_mentions(t), t.edges, t.cve_records), """WITH m AS (SELECT DISTINCT post_id, author_id, upper(unnest(regexp_extract_all(text, '(?i)\\bCVE-[0-9]{4}-[0-9]{4,7}\\b'))) AS cve_id FROM posts),
       h AS (SELECT target_id AS post_id, count(*) AS hits FROM edges GROUP BY 1)
       SELECT m.cve_id, count(*) AS posts, count(DISTINCT author_id) AS authors, CAST(coalesce(sum(hits), 0) AS BIGINT) AS interactions, coalesce(bool_or(known_exploited), false) AS known_exploited FROM m LEFT JOIN h USING (post_id) LEFT JOIN cve_records r ON r.cve_id = m.cve_id GROUP BY 1""")
-register("mention_edges", lambda t: i.mention_edges(t.posts), "SELECT author_id, '@friend' AS handle, count(*) AS posts FROM posts WHERE contains(text, '@friend') GROUP BY 1")
+
+
+def chatty(t):
+    """Texts with several handles, repeats in another case, and mail addresses, which are no handles."""
+    more = F.concat(F.lit(" cc @Ann"), F.col("k") % 4, F.lit(", @ann"), F.col("k") % 4, F.lit(". write to x@mail.example or (@b_"), F.col("post_id") % 3, F.lit(")@"))
+    return t.posts.withColumn("text", F.concat("text", F.when(F.col("post_id") % 3 > 0, more).otherwise(F.lit(""))))
+
+
+register(
+    "mention_edges", lambda t: i.mention_edges(chatty(t)),
+    """WITH h AS (SELECT post_id, author_id, '@friend' AS handle FROM posts WHERE post_id % 12 = 4 UNION ALL SELECT post_id, author_id, '@ann' || (k % 4) FROM posts WHERE post_id % 3 > 0
+      UNION ALL SELECT post_id, author_id, '@b_' || (post_id % 3) FROM posts WHERE post_id % 3 > 0) SELECT author_id, handle, count(*) AS posts FROM h GROUP BY 1, 2""",
+)
 register("outcome_counts", lambda t: i.outcome_counts(t.outcomes), "SELECT run_id, endpoint, count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'partial') AS partial, count(*) FILTER (outcome = 'unavailable') AS unavailable, count(*) FILTER (outcome = 'failed') AS failed FROM outcomes GROUP BY 1, 2")
 register(
     "negative_control", lambda t: i.negative_control(t.edges),

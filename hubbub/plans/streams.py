@@ -46,9 +46,9 @@ def snapshots(t):
 
 
 register(
-    "stream_settled_posts", lambda t: settling.run_settle(t.spark, snapshots(t)).select("post_id", "author_id", "engagement"),
+    "stream_settled_posts", lambda t: settling.run_settle(t.spark, snapshots(t), hours=240).select("post_id", "author_id", "engagement"),
     """SELECT post_id, author_id, CAST(like_count + repost_count AS BIGINT) AS engagement FROM posts
-      WHERE epoch_ms(published_at) + 86400000 < (SELECT max(epoch_ms(collected_at)) FROM posts)""",
+      WHERE epoch_ms(published_at) + 864000000 < (SELECT max(epoch_ms(collected_at)) FROM posts)""",
 )
 
 

@@ -51,7 +51,7 @@ def repaired(stream: DataFrame, created: str, indexed: str) -> DataFrame:
     return resolve_published_at(stream.withColumns(clocks))
 
 
-COUNTERS = "run_id string, batch long, fetched long, kept long, late long, first_at timestamp, last_at timestamp"
+COUNTERS = "run_id string, batch long, fetched long, kept long, late long, first_at long, last_at long"
 
 
 def ingest(stream: DataFrame, key: list[str], path: str, checkpoint: str, delay: str | None = "2 days") -> DataFrame:
@@ -60,7 +60,8 @@ def ingest(stream: DataFrame, key: list[str], path: str, checkpoint: str, delay:
     that comes later than that is dropped, first or not. Without one no row is ever late; the state holds every key."""
     spark = stream.sparkSession
     timed = stream.withWatermark("published_at", delay) if delay else stream
-    timed = timed.observe("fetched", F.count(F.lit(1)).alias("n"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"))
+    micros = F.unix_micros(F.col("published_at").cast("timestamp"))
+    timed = timed.observe("fetched", F.count(F.lit(1)).alias("n"), *(f(micros).alias(c) for f, c in ((F.min, "first_at"), (F.max, "last_at"))))
     rows = timed.dropDuplicatesWithinWatermark(key) if delay else timed.dropDuplicates(key)
     rows = rows.observe("kept", F.count(F.lit(1)).alias("n"))
     with state_on_disk(spark):
@@ -71,7 +72,7 @@ def ingest(stream: DataFrame, key: list[str], path: str, checkpoint: str, delay:
             seen, kept = p.observedMetrics.get("fetched"), p.observedMetrics.get("kept")
             if seen is not None and seen.n:
                 out.append((str(p.runId), p.batchId, seen.n, kept.n if kept else 0, sum(s.numRowsDroppedByWatermark for s in p.stateOperators), seen.first_at, seen.last_at))
-    return spark.createDataFrame(out, COUNTERS)
+    return spark.createDataFrame(out, COUNTERS).withColumns({c: F.timestamp_micros(c) for c in ("first_at", "last_at")})
 
 
 def window_counts(stream: DataFrame, width: str, slide: str, by: str, path: str, checkpoint: str, delay: str | None = "2 days") -> None:

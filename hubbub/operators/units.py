@@ -41,13 +41,33 @@ def best_cvss(records: DataFrame, body: str) -> DataFrame:
     return rows.select(*[c for c in records.columns if c != body], "m.version", "m.score", "m.severity", "description")
 
 
-def seed_populations(seeds: DataFrame, rules: DataFrame) -> DataFrame:
-    """Seeds and the posts that only the rules find, with a flag for each population."""
-    found = rules.select(F.col("post_id").alias("seed_id"), F.lit(True).alias("in_rules")).distinct()
-    rows = seeds.select("seed_id", "in_main", "in_legacy").join(found, "seed_id", "full").fillna(False, ["in_main", "in_legacy", "in_rules"])
-    nowhere = ~(F.col("in_main") | F.col("in_legacy") | F.col("in_rules"))
-    return rows.withColumn("exclusion_reason", F.when(nowhere, "no_population"))
+def seed_populations(main: DataFrame, legacy: DataFrame, rules: DataFrame, faults: DataFrame, provenance: DataFrame) -> DataFrame:
+    """seed_id, in_main, in_legacy, in_rules, derived_chain, provenance_status, annotation_run, prompt_hash, model and
+    exclusion_reason of every post that the legacy or the rule version calls relevant, also where the legacy version has no
+    label at all.
+
+    main, legacy, rules: post_id, is_relevant; main also derived_chain (array) and `step`, its own version. The run, prompt and
+    model are those of the first link of the chain. A post that only the rules found has none. A legacy post that the main
+    version lost tells by which faults. faults: post_id, fault. provenance: post_id, label_version, prompt_sha256, model_id,
+    recorded_at."""
+    flag = lambda d, name: d.select(F.col("post_id").alias("seed_id"), F.col("is_relevant").alias(name))
+    rows = flag(legacy, "in_legacy").join(flag(rules, "in_rules"), "seed_id", "full")
+    rows = rows.where(F.coalesce("in_legacy", F.lit(False)) | F.coalesce("in_rules", F.lit(False)))
+    chained = main.select(F.col("post_id").alias("seed_id"), F.col("is_relevant").alias("in_main"), F.concat("derived_chain", F.array("step")).alias("chain"))
+    rows = rows.join(chained, "seed_id", "left").fillna(False, ["in_main", "in_legacy", "in_rules"])
+    why = faults.where("fault is not null").select("post_id", "fault").distinct().groupBy(F.col("post_id").alias("seed_id")).agg(F.array_join(F.array_sort(F.collect_list("fault")), "+").alias("why"))
+    heads = provenance.select(F.col("post_id").alias("seed_id"), F.col("label_version").alias("head"), "prompt_sha256", "model_id", "recorded_at")
+    rows = rows.withColumn("head", F.get("chain", F.lit(0))).join(heads, ["seed_id", "head"], "left").join(why, "seed_id", "left")
+    judged = F.col("in_main") | F.col("in_legacy")
+    status = F.when(~judged, "deterministic_rules").when(F.size("chain") > 2, "derived_validated").otherwise("direct_then_validated")
+    run = F.concat_ws("@", F.when(F.col("recorded_at").isNotNull(), F.col("head")), F.date_format("recorded_at", "yyyy-MM-dd HH:mm:ss"))
+    lost = F.when(F.col("in_legacy") & ~F.col("in_main"), F.concat(F.lit("failed_check:"), F.coalesce("why", F.lit(""))))
+    return rows.select(
+        "seed_id", "in_main", "in_legacy", "in_rules", F.array_join("chain", ">").alias("derived_chain"), status.alias("provenance_status"), F.when(judged, run).alias("annotation_run"),
+        F.when(judged, F.col("prompt_sha256")).alias("prompt_hash"), F.when(judged, F.col("model_id")).alias("model"), lost.alias("exclusion_reason"),
+    )
 
 
 def population_overlaps(populations: DataFrame) -> DataFrame:
+    """How many seeds are in which of the populations."""
     return populations.groupBy("in_main", "in_legacy", "in_rules").agg(F.count(F.lit(1)).alias("seeds"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from hubbub.operators import units as u
 from hubbub.plans.catalog import register
+from hubbub.plans.quality_checks import version
+from hubbub.plans.verdicts import _CH, checked
 
 _UNITS = [
     "event_id AS unit_id",
@@ -39,11 +41,30 @@ register("best_cvss", lambda t: u.best_cvss(bodies(t), "body"), """WITH g AS (SE
 
 
 def populations(t):
-    rules = t.labels.where("label_version = 'v2' and is_relevant and startswith(derived_chain, 'rules')")
-    return u.seed_populations(t.seeds, rules)
+    """The checked version is the main one, the second version before its check the legacy one, the first that of the rules."""
+    found = checked(t)
+    some = lambda rows: rows.select("post_id").distinct().withColumn("some", F.lit(True))
+    cyber = F.coalesce("is_cyber", F.lit(False)) & F.col("some").isNotNull()
+    judged = version(t, "v2")
+    legacy = judged.join(some(found), "post_id", "left").select("post_id", cyber.alias("is_relevant"))
+    main = judged.join(some(found.where("fault is null")), "post_id", "left")
+    main = main.select("post_id", cyber.alias("is_relevant"), F.concat(F.split("derived_chain", ">"), F.array(F.lit("v2"))).alias("derived_chain"), F.lit("v2_checked").alias("step"))
+    heads = judged.where("post_id % 4 < 3").select(
+        "post_id", F.split("derived_chain", ">")[0].alias("label_version"), F.sha2((F.col("post_id") % 3).cast("string"), 256).alias("prompt_sha256"), F.concat(F.lit("m"), F.col("post_id") % 2).alias("model_id"),
+        F.expr("TIMESTAMP '2024-01-02 03:04:05'").alias("recorded_at"),
+    )
+    return u.seed_populations(main, legacy, version(t, "v1").select("post_id", "is_relevant"), found, heads)
 
 
-_POPULATIONS = """ru AS (SELECT DISTINCT post_id FROM labels WHERE label_version = 'v2' AND is_relevant AND derived_chain LIKE 'rules%'),
-      po AS (SELECT coalesce(seed_id, post_id) AS seed_id, coalesce(in_main, false) AS in_main, coalesce(in_legacy, false) AS in_legacy, post_id IS NOT NULL AS in_rules FROM seeds FULL JOIN ru ON seed_id = post_id)"""
-register("seed_populations", populations, f"WITH {_POPULATIONS} SELECT *, CASE WHEN NOT (in_main OR in_legacy OR in_rules) THEN 'no_population' END AS exclusion_reason FROM po")
-register("population_overlaps", lambda t: u.population_overlaps(populations(t)), f"WITH {_POPULATIONS} SELECT in_main, in_legacy, in_rules, count(*) AS seeds FROM po GROUP BY 1, 2, 3")
+_POPULATIONS = f"""{_CH}, sm AS (SELECT post_id, bool_or(fault IS NULL) AS good, string_agg(DISTINCT fault, '+' ORDER BY fault) AS why FROM ch GROUP BY 1),
+      po AS (SELECT v.post_id AS seed_id, coalesce(v.is_cyber, false) AND coalesce(good, false) AS in_main, coalesce(v.is_cyber, false) AND sm.post_id IS NOT NULL AS in_legacy, r.is_relevant AS in_rules,
+        v.derived_chain || '>v2>v2_checked' AS derived_chain, split_part(v.derived_chain, '>', 1) AS head, why
+        FROM labels v JOIN labels r ON r.post_id = v.post_id AND r.label_version = 'v1' LEFT JOIN sm ON sm.post_id = v.post_id WHERE v.label_version = 'v2')"""
+register(
+    "seed_populations", populations,
+    f"""WITH {_POPULATIONS} SELECT seed_id, in_main, in_legacy, in_rules, derived_chain, CASE WHEN in_main OR in_legacy THEN 'derived_validated' ELSE 'deterministic_rules' END AS provenance_status,
+      CASE WHEN in_main OR in_legacy THEN CASE WHEN seed_id % 4 < 3 THEN head || '@2024-01-02 03:04:05' ELSE '' END END AS annotation_run,
+      CASE WHEN (in_main OR in_legacy) AND seed_id % 4 < 3 THEN sha256(CAST(seed_id % 3 AS VARCHAR)) END AS prompt_hash, CASE WHEN (in_main OR in_legacy) AND seed_id % 4 < 3 THEN 'm' || (seed_id % 2) END AS model,
+      CASE WHEN in_legacy AND NOT in_main THEN 'failed_check:' || coalesce(why, '') END AS exclusion_reason FROM po WHERE in_legacy OR in_rules""",
+)
+register("population_overlaps", lambda t: u.population_overlaps(populations(t)), f"WITH {_POPULATIONS} SELECT in_main, in_legacy, in_rules, count(*) AS seeds FROM po WHERE in_legacy OR in_rules GROUP BY 1, 2, 3")

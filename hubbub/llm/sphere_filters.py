@@ -8,7 +8,7 @@ that share a filter are joined on it and verified by their exact cosine in doubl
 
 The threshold follows the number of vectors: filters keep about `bucket` members. It comes from the exact measure of
 spherical caps, and the number of directions from the exact chance that two vectors at the limit share a cap, so
-that such a pair shares `expected` filters at every size. Simulated recall at the limit, for 1e3 to 1e9 vectors, is in
+that such a pair shares `expected` filters at every size, and more of them where few vectors make filters wide. Simulated recall at the limit, for 1e3 to 1e9 vectors, is in
 the tests; against brute force it is measured there too.
 
 A pair is counted in the first filter that both share, so links need no distinct over pairs; inside
@@ -91,11 +91,13 @@ class Filters:
         tail = min(0.04, self.bucket / max(1, self.count))
         while self.expected / cap_shared(self.width, tail, self.limit) > self.most:
             tail *= 1.25
-        size = math.ceil(math.sqrt(self.expected / cap_shared(self.width, tail, self.limit) / self.codes / tail))
+        # wide filters need few directions, whose shares vary more from vector to vector: more of them even that out
+        wanted = self.expected * (1 + 20 * tail)
+        size = math.ceil(math.sqrt(wanted / cap_shared(self.width, tail, self.limit) / self.codes / tail))
         low, high = tail / 4, tail * 2
         for _ in range(30):  # the level at which so many directions give `expected`
             mid = math.sqrt(low * high)
-            enough = self.codes * size**2 * mid * cap_shared(self.width, mid, self.limit) >= self.expected
+            enough = self.codes * size**2 * mid * cap_shared(self.width, mid, self.limit) >= wanted
             low, high = (low, mid) if enough else (mid, high)
         return size, high
 

@@ -23,7 +23,7 @@ def test_recall_at_the_limit_by_number_of_vectors(count):
     plan = Filters(64, int(count))
     code, (x, y) = FilterCode(plan), pairs(64, 250)
     own, other = code.filters(x), code.filters(y)
-    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(own, other)]) >= 0.99
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(own, other)]) >= (0.99 if count > 1e6 else 0.995)
     assert np.mean([len(a) for a in own]) <= plan.most
 
 

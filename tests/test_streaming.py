@@ -1,6 +1,7 @@
 """Streams: restart with counters, state on disk, odd paths, timers that settle posts."""
 
 import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -61,3 +62,29 @@ def test_posts_settle_once_with_their_newest_snapshot(spark, tmp_path):
     assert run() == [(1, 9, at(20)), (2, None, at(3)), (4, 3, at(44.5))]
     assert run() == [(1, 9, at(20)), (2, None, at(3)), (4, 3, at(44.5))]
     assert spark.read.parquet(f"{tmp_path}/rows").where(F.col("post_id") == 1).first().published_at == at(0)
+
+
+def test_a_bucket_of_posts_is_one_entry_of_state(spark, tmp_path):
+    """Many posts in few buckets, over three batches, against a plain loop."""
+    rng, waiting, settled, clock = random.Random(3), {}, {}, -1
+    ms = lambda t: round((t - NOON).total_seconds() * 1000)
+    for batch in range(3):
+        rows = []
+        for _ in range(1500):
+            post = rng.randrange(900)
+            published = NOON + timedelta(minutes=post)
+            collected = published + timedelta(hours=12 * batch, minutes=rng.randrange(600), milliseconds=rng.randrange(1000))
+            rows.append((post, f"u{post}", published, collected, rng.choice([None, 0, rng.randrange(9), 2**60 + 1])))
+        add(spark, tmp_path, f"b{batch}", rows, SNAPSHOT)
+        for post, _, _, collected, engagement in rows:
+            if post not in settled and ms(collected) > clock:
+                waiting[post] = max(waiting.get(post, (datetime.min, -1, False)), (collected, engagement or 0, engagement is not None))
+        clock = max(clock, *(ms(r[3]) for r in rows))
+        for post in [p for p in waiting if p * 60_000 + 20 * 3_600_000 < clock]:
+            settled[post] = waiting.pop(post)
+        settling.settle(ingest.read_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/rows", f"{tmp_path}/checkpoint", hours=20, forget_hours=5000, buckets=4)
+        got = {r.post_id: (r.collected_at, r.engagement) for r in spark.read.schema(settling.SETTLED).parquet(f"{tmp_path}/rows").collect()}
+        assert got == {p: (v[0], v[1] if v[2] else None) for p, v in settled.items()}
+        assert spark.read.parquet(f"{tmp_path}/rows").count() == len(got)
+    assert settled and waiting
+    assert spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/checkpoint").count() == 4

@@ -141,6 +141,9 @@ class Sketcher:
         return _mix((_mix(parts + np.uint64(1)) * self.bands).sum(1, dtype=np.uint64)).view(np.int64)
 
 
+_SHARES = np.linspace(0.02, 1.0, 50)
+
+
 def likely(larger: np.ndarray, equal: np.ndarray, registers: int, n_u: np.ndarray, n_v: np.ndarray, plan: Plan) -> np.ndarray:
     """Which pairs keep a likelihood within `unlikely` of its maximum at some J of the threshold or above."""
     u = n_u / (n_u + n_v)
@@ -156,11 +159,11 @@ def likely(larger: np.ndarray, equal: np.ndarray, registers: int, n_u: np.ndarra
         up, down = np.maximum(p(u - v * j), 1e-9), np.maximum(p(v - u * j), 1e-9)
         return larger * np.log(up) + smaller * np.log(down) + equal * np.log(np.maximum(1 - up - down, 1e-9))
 
-    best = top = np.full(len(u), -np.inf)
-    for share in np.linspace(0.02, 1.0, 50):
-        value = log_likelihood(most * share)
-        top = np.maximum(top, value)
-        best = np.where(most * share >= plan.percent / 100 - 1e-9, np.maximum(best, value), best)
+    # all shares in one array: most calls have few pairs
+    j = most * _SHARES[:, None]
+    values = log_likelihood(j)
+    top = values.max(0)
+    best = np.where(j >= plan.percent / 100 - 1e-9, values, -np.inf).max(0)
     at_threshold = log_likelihood(np.minimum(most, plan.percent / 100))
     best = np.where(most * 100 >= plan.percent - 1e-9, np.maximum(best, at_threshold), -np.inf)
     return best >= np.maximum(top, best) - plan.unlikely

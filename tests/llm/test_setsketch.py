@@ -5,6 +5,7 @@ import random
 import pytest
 
 from hubbub.llm import setsketch
+from hubbub.llm.components import connected_components
 from tests.llm.test_operators import brute_components, documents
 
 ROWS = "doc_id long, text string"
@@ -43,3 +44,16 @@ def test_many_near_copies_of_one_text(spark, n):
     docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 80), i -> concat('t', if(i = 40 + id % 3, id, i)))) AS text")
     out = setsketch.near_duplicates(docs.repartition(8))
     assert out.where("component = 0").count() == n and out.where("first").count() == 1
+
+
+def test_a_small_graph_takes_few_jobs(spark):
+    """A run with many partitions pays for every shuffle, however few edges there are."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1400)], "u long, v long")
+    spark.sparkContext.setJobGroup("few jobs", "")
+    try:
+        out = connected_components(links)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs"))
+    finally:
+        spark.sparkContext.setJobGroup("others", "")
+    assert sorted({r.component for r in out.collect()}) == [0, 1000] and out.count() == 701
+    assert jobs <= 6

@@ -2,44 +2,68 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubbub.sources.staging import discard, staged
 
+#: Edges that one task closes at once, whatever the size of the graph: 4 MB of ids.
+AT_ONCE = 1 << 18
 
-def _sum_of(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
 
+def _close(batches):
+    """Every node of the edges and the smallest node that it reaches."""
+    ends = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches]
+    if not ends:
+        return
+    u, v = (np.concatenate(x) for x in zip(*ends))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while not np.array_equal(root[a], root[b]):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[root], pa.int64())], ["node", "component"])
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, at_once: int = AT_ONCE) -> DataFrame:
     """node, component (its smallest node) of every node that has an edge (u, v).
 
-    Alternates two steps until nothing changes: every node hands its larger neighbours its smallest one, then
-    its smaller neighbours. Minima are combined before the shuffle, staged and joined back as a plain table, so Spark
-    splits a node with very many neighbours like any skewed join key. Each round is staged, so no lineage grows;
-    the tables of a round go once the next one is written. Null ends have no edge; repeated edges count once."""
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    now = staged(now, "edges")
-    before = _sum_of(now)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    In a round every node moves to the first of itself and its neighbours, and edges are drawn anew between the places;
+    those whose ends meet are gone. First is the smallest node in round 0, which folds stars around their smallest node,
+    and the one of the smallest hash later, which halves ordered chains too. One task closes the edges once at most at_once
+    are left. Firsts are combined before the shuffle, staged and joined back as a plain table, so Spark splits a node with
+    very many neighbours like any skewed join key. Each round is staged, so no lineage grows; its tables go when they have
+    been read. Null ends have no edge; repeated edges count once."""
+    now = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u > v").distinct()
+    now, moves = staged(now, "edges"), []
+    while now.count() > at_once:
+        if len(moves) == max_rounds:
+            raise RuntimeError(f"edges are left after {max_rounds} rounds")
+        rank = (lambda c, seed=len(moves): F.xxhash64(c, F.lit(seed))) if moves else F.col
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = staged(least, "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.where("u > v").distinct(), "large")
-        lower = staged(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
-        small = large.join(lower, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, now = now, staged(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(old, least, large, lower)
-        after = _sum_of(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        first = both.groupBy("u").agg(F.min_by("v", rank("v")).alias("v"))
+        to = F.when(rank("v") < rank("u"), F.col("v")).otherwise(F.col("u"))
+        moves.append(staged(first.select(F.col("u").alias("node"), to.alias("to")), "moves"))
+        moved = now
+        for end in ("u", "v"):
+            moved = moved.join(moves[-1].select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")), end)
+        moved = moved.select(F.greatest("u_to", "v_to").alias("u"), F.least("u_to", "v_to").alias("v")).where("u > v").distinct()
+        old, now = now, staged(moved, "edges")
+        discard(old)
+    out = staged(now.coalesce(1).mapInArrow(_close, "node long, component long"), "components")
+    discard(now)
+    if not moves:
+        return out
+    for move in reversed(moves):
+        out = move.join(out.select(F.col("node").alias("to"), "component"), "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+    if len(moves) > 1:  # by hashes a component is not named by its smallest node
+        out = staged(out, "components")
+        least = staged(out.groupBy("component").agg(F.min("node").alias("least")), "least")
+        out = out.join(least, "component").select("node", F.col("least").alias("component"))
+    out = staged(out, "components")
+    discard(*moves)
+    return out

@@ -16,17 +16,24 @@ def shares(t):
     return t.edges.where("edge_type in ('quote', 'repost') and seed_id % 3 = 0").select(F.col("edge_no").alias("post_id"), F.col("target_id").alias("of"))
 
 
-def clustered(t):
-    return c.post_clusters(t.posts, mentions(t), shares(t), GAP)
+def clustered(t, named=None):
+    return c.post_clusters(t.posts, named or staged_mentions(t), shares(t), GAP)
+
+
+def staged_mentions(t):
+    """Read several times, so the texts are searched once."""
+    return c.staged(mentions(t), "mentions")
 
 
 def described(t):
-    return c.describe_clusters(clustered(t), t.posts, mentions(t))
+    named = staged_mentions(t)
+    return c.describe_clusters(c.staged(clustered(t, named), "clusters"), t.posts, named)
 
 
 def effective(t):
-    own = c.staged(clustered(t), "clusters")
-    return c.effective_counts(c.describe_clusters(own, t.posts, mentions(t)), own, t.relevant)
+    named = staged_mentions(t)
+    own = c.staged(clustered(t, named), "clusters")
+    return c.effective_counts(c.describe_clusters(own, t.posts, named), own, t.relevant)
 
 
 # runs by the gap to the post before; clusters by walking all links

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from hubbub.llm.components import connected_components as corpus_components
 from hubbub.operators import clusters
 from hubbub.operators.components import connected_components
 
@@ -67,3 +68,15 @@ def test_clusters_are_described_and_counted(spark):
     assert sorted((r.cluster_id, r.posts, r.authors, r.entities, r.score, r.many_voices) for r in rows.collect()) == [(0, 3, 1, 2, 0.333333, False), (3, 1, 1, 0, 1.0, True), (4, 1, 0, 0, 0.0, False)]
     topics = spark.createDataFrame([(0, "t"), (1, "t"), (3, "t"), (4, "s")], "post_id long, topic string")
     assert sorted(tuple(r) for r in clusters.effective_counts(rows, own, topics).collect()) == [("s", 1, 1, 0), ("t", 3, 2, 1)]
+
+
+def test_components_need_few_rounds_and_jobs(spark):
+    """Chains in order, a star and pairs: in rounds alone, in rounds and a last task, and, when few edges are there, at once."""
+    chain = [(i, i + 1) for i in range(1000)]
+    links = chain + [(5000, i) for i in range(2000, 4000)] + [(i, i - 1) for i in range(6001, 6200, 2)]
+    expected = {i: 0 for i in range(1001)} | {i: 2000 for i in [5000, *range(2000, 4000)]} | {i: i - (i % 2) for i in range(6000, 6200)}
+    table = spark.createDataFrame(links, "u long, v long")
+    for at_once, rounds in [(0, 30), (500, 8), (1 << 18, 0)]:
+        for function in (connected_components, corpus_components):
+            assert {r.node: r.component for r in function(table, max_rounds=rounds, at_once=at_once).collect()} == expected
+    assert connected_components(table.where("u < 0")).count() == 0

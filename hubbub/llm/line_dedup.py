@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from hubbub.llm.common import BLANKS, n_partitions, plain_names, stage, whole_text
+from hubbub.llm.common import BLANKS, few_at_once, n_partitions, plain_names, stage, whole_text
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -125,7 +125,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, into: tuple[str, str]
     schema = StructType([*schema, StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
     def cut(batches):
-        for batch in batches:
+        for batch in few_at_once(batches):
             texts, n_lines, n_dropped = [], [], []
             for text, bitmap in zip(batch["text"].to_pylist(), batch["bitmap"].to_pylist()):
                 n, dropped = text.count("\n") + 1, 0

@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubbub.llm.common import whole_text
-from hubbub.llm.tokens import word_encoder
+from hubbub.llm.common import few_at_once, whole_text
+from hubbub.llm.tokens import MEMORY, word_encoder
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, placed string"
 _PIECE = pa.schema([
@@ -141,15 +141,15 @@ class _Packer:
             self._close(1 << (self.tokens.bit_length() - 1))
 
 
-def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, block_tokens: int = 1 << 22) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, block_tokens: int = 1 << 22, memory: int = MEMORY) -> DataFrame:
     """Pieces of docs (doc_id, text): each with its ids, its place in its document and in its sequence.
     capacity must be a power of two. sequence_id is unique; a task's sequences are numbered on from
-    its partition number times 2**36."""
+    its partition number times 2**36. A Python worker remembers what up to `memory` words of a kind encode to."""
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
     def pieces(batches):
-        encoder, end = word_encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
+        encoder, end = word_encoder(tokenizer_path, memory), int(end_id).to_bytes(4, "little")
         packer = _Packer(capacity, TaskContext.get().partitionId() << 36)
 
         def done():
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int = 1, capacity: int
                 columns = zip(*rows[i : i + 1024])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE)], schema=_PIECE)
 
-        for batch in batches:
+        for batch in few_at_once(batches):
             doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
             for doc_id, text in zip(doc_ids, texts):
                 packer.add(doc_id, encoder.encode([text])[0] + end)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from hubbub.llm.common import plain_names, stage, whole_text
+from hubbub.llm.common import few_at_once, plain_names, stage, whole_text
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,7 @@ def context_sums(docs: DataFrame, s: Settings) -> np.ndarray:
                 near(b[ok], a[ok])
 
         held, n = [], 0
-        for batch in batches:
+        for batch in few_at_once(batches):
             for text in batch["text"].to_pylist():
                 held.append(word_buckets(text, s.buckets))
                 n += len(held[-1])
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def pool(batches):
-        for batch in batches:
+        for batch in few_at_once(batches):
             found = [shared.value.pooled(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(found, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model, *, into: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
-        for batch in batches:
+        for batch in few_at_once(batches):
             x = np.array([shared.value.pooled(t or "") for t in batch["text"].to_pylist()]).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(x))], [*batch.schema.names, "score"])
 

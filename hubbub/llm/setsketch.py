@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubbub.llm.common import stage, whole_text
+from hubbub.llm.common import few_at_once, stage, whole_text
 from hubbub.llm.components import connected_components
 
 _SLICE = 1 << 20
@@ -174,7 +174,7 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
 
     def sketch(batches):
         sketcher = Sketcher(plan)
-        for batch in batches:
+        for batch in few_at_once(batches):
             sizes, digests, registers, keys = [], [], [], []
             for text in batch["text"].to_pylist():
                 shingles = shingle_set(text, plan.width)
@@ -204,7 +204,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
 
     def sets(batches):
         seen = set()  # a row that is repeated very often leaves a task once
-        for batch in batches:
+        for batch in few_at_once(batches):
             nodes, found = [], []
             for text, node, digest in zip(*(batch[c].to_pylist() for c in ("text", "node", "digest"))):
                 if node in seen:

@@ -159,9 +159,8 @@ def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int = 1, capacity: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE)], schema=_PIECE)
 
         for batch in few_at_once(batches):
-            doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for doc_id, text in zip(doc_ids, texts):
-                packer.add(doc_id, encoder.encode([text])[0] + end)
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.each(batch["text"])):
+                packer.add(doc_id, ids + end)
                 if packer.tokens >= block_tokens:
                     packer.fill()
                     packer.settle(block_tokens // 2)

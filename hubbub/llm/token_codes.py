@@ -94,7 +94,7 @@ def write_token_codes(
             return pa.RecordBatch.from_pylist([row], _SEGMENT)
 
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist())):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.each(batch["text"])):
                 doc_ids.append(doc_id)
                 parts.append(ids + end)
                 held += len(ids) // 4 + 1

@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from hubbub.llm import packing, queries
+from hubbub.llm import packing, queries, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,3 +88,31 @@ def test_pairs_beside_one_long_remainder():
     pieces, _ = packed([2000] + [1024] * 2000)
     how = Counter(p[7] for p in pieces)
     assert how["search"] >= 1999 and how["cut"] <= 12
+
+
+def test_frequent_words_are_encoded_once_among_rare_ones():
+    encoder, calls = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), memory=400), Counter()
+    model = encoder.model
+
+    class Counting:
+        def tokenize(self, piece):
+            calls[piece] += 1
+            return model.tokenize(piece)
+
+    encoder.model = Counting()
+    letters = "abcdefghijklmnopqrst"
+    for i in range(100):
+        common, rare = [f"common{x}" for x in letters], [f"rare{letters[i // 10]}{letters[i % 10]}{x}," for x in letters]
+        text = " ".join(["start", *common, *rare])
+        assert encoder.encode([text]) == encoder._whole([text])
+    assert {calls[f"\u0120common{x}"] for x in letters} == {1} and sum(calls.values()) < 2100
+    assert max(map(len, (encoder.first, encoder.later, encoder.pieces))) <= 400
+
+
+@pytest.mark.parametrize("part", [1, 40, 1 << 23])
+def test_arrow_texts_encode_in_order_whatever_the_parts(monkeypatch, part):
+    monkeypatch.setattr(tokens, "PART", part)
+    encoder = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), memory=3)
+    texts = ["", "a b\nc d, e.", "two  blanks", "é ß, x.", "", "日 b", "b, b. b! it's 1,000 ...", "a\x1fb", "<|endoftext|> a", "x.\ny"] * 20
+    for chosen in (texts[3:], texts[:1], texts[2:3], []):
+        assert encoder.encode(pa.array([*texts[:3], *chosen], pa.string()).slice(3)) == encoder._whole(chosen)

@@ -2,12 +2,14 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from hubbub.llm.components import connected_components as corpus_components
 from hubbub.operators import clusters
 from hubbub.operators.components import connected_components
+from hubbub.plans.clusters import described
 
 NOON = datetime(2024, 1, 1, 12)
 MENTION = "entity string, post_id long, published_at timestamp"
@@ -80,3 +82,15 @@ def test_components_need_few_rounds_and_jobs(spark):
         for function in (connected_components, corpus_components):
             assert {r.node: r.component for r in function(table, max_rounds=rounds, at_once=at_once).collect()} == expected
     assert connected_components(table.where("u < 0")).count() == 0
+
+
+def test_quotes_and_reposts_of_every_seed_link(spark):
+    """Of seeds that 3 divides (60) and of others (20, 40, 100); replies link nothing."""
+    posts = [(i, f"u{i % 2}", NOON + timedelta(days=i), "lol") for i in (20, 21, 40, 41, 42, 60, 61, 80, 81, 100, 101)]
+    edges = [(21, 20, 20, "quote"), (41, 40, 40, "repost"), (42, 40, 41, "quote"), (61, 60, 60, "repost"), (81, 80, 80, "reply"), (101, 100, 100, "quote")]
+    tables = SimpleNamespace(
+        posts=spark.createDataFrame(posts, "post_id long, author_id string, published_at timestamp, text string"),
+        edges=spark.createDataFrame(edges, "edge_no long, seed_id long, target_id long, edge_type string"),
+        entities=spark.createDataFrame([], "post_id long, label_version string, entity string, kind string"),
+    )
+    assert {r.cluster_id: r.posts for r in described(tables).collect()} == {20: 2, 40: 3, 60: 2, 80: 1, 81: 1, 100: 2}

@@ -29,7 +29,7 @@ def entity_runs(mentions: DataFrame, gap_hours: int) -> DataFrame:
     gap = F.col("first") - F.lag("last").over(order)
     starts = F.when(F.coalesce(gap > seconds * 1_000_000, F.lit(True)), F.col("bucket"))
     runs = ends.select("entity", "bucket", F.last(starts, ignorenulls=True).over(order).alias("run"))
-    return rows.join(runs, ["entity", "bucket"]).select("entity", "post_id", "run")
+    return rows.join(runs.hint("merge"), ["entity", "bucket"]).select("entity", "post_id", "run")
 
 
 def run_links(runs: DataFrame) -> DataFrame:
@@ -42,21 +42,22 @@ def post_clusters(posts: DataFrame, mentions: DataFrame, shares: DataFrame, gap_
     """post_id, cluster_id (the cluster's smallest post) of every post; one that shares nothing is a cluster of its own.
 
     posts: post_id. mentions: entity, post_id, published_at. shares: post_id and the post_id `of` that it quotes or
-    reposts; shares of posts that are not among posts link nothing."""
-    known = posts.select("post_id").distinct()
-    shares = shares.join(known, "post_id", "left_semi").join(known.select(F.col("post_id").alias("of")), "of", "left_semi")
+    reposts; shares of posts that are not among posts link nothing. Joins by post are merges: ids are far larger
+    in memory than in files, by whose size Spark would send all of them to every executor."""
+    known = posts.select("post_id").distinct().hint("merge")
+    shares = shares.join(known, "post_id", "left_semi").join(known.select(F.col("post_id").alias("of")).hint("merge"), "of", "left_semi")
     links = run_links(entity_runs(mentions.join(known, "post_id", "left_semi"), gap_hours)).unionByName(shares.select(F.col("post_id").alias("u"), F.col("of").alias("v")))
     labels = connected_components(links).withColumnsRenamed({"node": "post_id", "component": "label"})
-    return known.join(labels, "post_id", "left").select("post_id", F.coalesce("label", "post_id").alias("cluster_id"))
+    return known.join(labels.hint("merge"), "post_id", "left").select("post_id", F.coalesce("label", "post_id").alias("cluster_id"))
 
 
 def describe_clusters(clusters: DataFrame, posts: DataFrame, mentions: DataFrame, min_share: float = 0.8) -> DataFrame:
     """cluster_id, posts, authors, entities, first_at, last_at, score = authors / posts and whether it is from many voices:
     a cluster that few accounts fill is told from its own posts, without any history of the accounts."""
-    rows = clusters.join(posts.select("post_id", "author_id", "published_at"), "post_id")
+    rows = clusters.join(posts.select("post_id", "author_id", "published_at").hint("merge"), "post_id")
     # distinct pairs first, so that no cluster holds its authors in one buffer
     authors = rows.select("cluster_id", "author_id").distinct().groupBy("cluster_id").agg(F.count("author_id").alias("authors"))
-    named = clusters.join(mentions.select("post_id", "entity"), "post_id").select("cluster_id", "entity").distinct()
+    named = clusters.join(mentions.select("post_id", "entity").hint("merge"), "post_id").select("cluster_id", "entity").distinct()
     entities = named.groupBy("cluster_id").agg(F.count("entity").alias("entities"))
     out = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("posts"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"))
     share = F.col("authors") / F.col("posts")

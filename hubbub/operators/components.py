@@ -35,9 +35,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, at_once: int =
     In a round every node moves to the first of itself and its neighbours, and edges are drawn anew between the places;
     those whose ends meet are gone. First is the smallest node in round 0, which folds stars around their smallest node,
     and the one of the smallest hash later, which halves ordered chains too. One task closes the edges once at most at_once
-    are left. Firsts are combined before the shuffle, staged and joined back as a plain table, so Spark splits a node with
-    very many neighbours like any skewed join key. Each round is staged, so no lineage grows; its tables go when they have
-    been read. Null ends have no edge; repeated edges count once."""
+    are left. Firsts are combined before the shuffle, staged and joined back as a plain table by a merge, whatever
+    its file's size, so Spark splits a node with very many neighbours like any skewed join key. Each round is staged, so no
+    lineage grows; its tables go when they have been read. Null ends have no edge; repeated edges count once."""
     now = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u > v").distinct()
     now, moves = staged(now, "edges"), []
     while now.count() > at_once:
@@ -50,7 +50,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, at_once: int =
         moves.append(staged(first.select(F.col("u").alias("node"), to.alias("to")), "moves"))
         moved = now
         for end in ("u", "v"):
-            moved = moved.join(moves[-1].select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")), end)
+            moved = moved.join(moves[-1].select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")).hint("merge"), end)
         moved = moved.select(F.greatest("u_to", "v_to").alias("u"), F.least("u_to", "v_to").alias("v")).where("u > v").distinct()
         old, now = now, staged(moved, "edges")
         discard(old)
@@ -59,11 +59,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, at_once: int =
     if not moves:
         return out
     for move in reversed(moves):
-        out = move.join(out.select(F.col("node").alias("to"), "component"), "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+        out = move.join(out.select(F.col("node").alias("to"), "component").hint("merge"), "to", "left").select("node", F.coalesce("component", "to").alias("component"))
     if len(moves) > 1:  # by hashes a component is not named by its smallest node
         out = staged(out, "components")
         least = staged(out.groupBy("component").agg(F.min("node").alias("least")), "least")
-        out = out.join(least, "component").select("node", F.col("least").alias("component"))
+        out = out.join(least.hint("merge"), "component").select("node", F.col("least").alias("component"))
     out = staged(out, "components")
     discard(*moves)
     return out

@@ -94,3 +94,12 @@ def test_quotes_and_reposts_of_every_seed_link(spark):
         entities=spark.createDataFrame([], "post_id long, label_version string, entity string, kind string"),
     )
     assert {r.cluster_id: r.posts for r in described(tables).collect()} == {20: 2, 40: 3, 60: 2, 80: 1, 81: 1, 100: 2}
+
+
+def test_joins_by_post_send_no_table_to_all(spark):
+    """A file of ids is far smaller than the ids in memory, so its size must not decide."""
+    named = mention(spark, [("a", 1, 0), ("a", 2, 60)])
+    tables = [clusters.entity_runs(named, 3), clusters.post_clusters(of_posts(spark, range(3)), named, shares_of(spark, [(0, 1)]), 3)]
+    for table in tables:
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
